@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.llm import rules
+from graniteloom.llm import mixing, rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_sainte_lague_mix": mixing.op4,
+        "op5_bounded_ring": sharding.op5,
         "op10_quality_rules": rules.op10,
     }
 
