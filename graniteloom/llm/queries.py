@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.llm import bpe, mixing, rules, sharding
+from graniteloom.llm import bpe, chat, mixing, rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_sainte_lague_mix": mixing.op4,
         "op5_bounded_ring": sharding.op5,
+        "op7_budgeted_chat": chat.op7,
         "op8_byte_bpe": bpe.op8,
         "op10_quality_rules": rules.op10,
     }
