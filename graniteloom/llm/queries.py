@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.llm import bpe, chat, mixing, rules, sharding
+from graniteloom.llm import bpe, chat, mixing, pii, rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_contextual_pii": pii.op2,
         "op4_sainte_lague_mix": mixing.op4,
         "op5_bounded_ring": sharding.op5,
         "op7_budgeted_chat": chat.op7,
