@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.llm import bpe, chat, mixing, pii, rules, sharding
+from graniteloom.llm import bpe, chat, mixing, pii, quality, rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_segment_toxicity": toxicity.op1,
         "op2_contextual_pii": pii.op2,
         "op4_sainte_lague_mix": mixing.op4,
         "op5_bounded_ring": sharding.op5,
         "op7_budgeted_chat": chat.op7,
         "op8_byte_bpe": bpe.op8,
+        "op9_compression_quality": quality.op9,
         "op10_quality_rules": rules.op10,
     }
 
