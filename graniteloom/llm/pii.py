@@ -31,9 +31,8 @@ KINDS = tuple(PATTERNS)
 #: A quick sign that a text may hold the kind at all.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 IP_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Identifier-like tokens: a digit in a run of these signs, the whole run taken.
-SIGNS = r"\p{L}0-9@._%+/#-"
-CANDIDATE = rf"(?<![{SIGNS}])[{SIGNS}&&[^0-9]]*+[0-9][{SIGNS}]*+"
+#: Identifier-like tokens: stretches without white space that hold a digit, scanned once from their beginning.
+CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 #: Least distinct seeds of a pattern, least share of its places, rounds, and least mean weight of an instance.
 LEAST_SEEDS, LEAST_SHARE, ROUNDS, LEAST_WEIGHT = 3, 0.5, 3, 2.0
@@ -57,6 +56,13 @@ def _identifier(m: Column) -> Column:
     return (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 5) & (F.length(m) <= 64)
 
 
+def _bare(s: Column) -> Column:
+    """A span without the signs around its letters and digits."""
+    value = F.regexp_extract(s["value"], r"[\p{L}0-9](?s:.*)[\p{L}0-9]", 0)
+    start = s["start"] + F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9]*", 0))
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), s["kind"].alias("kind"), value.alias("value"))
+
+
 def spans_of(text: Column, pattern: str, kind: str, valid: Callable[[Column], Column]) -> Column:
     """array<struct<start, stop, kind, value>> of the valid matches of pattern in text, in code points.
 
@@ -105,7 +111,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     text = text_of()
     base = docs.select(*keep, text.alias("_t")).withColumn("_base", base_spans(F.col("_t")))
     other = F.filter(
-        spans_of(F.col("_t"), CANDIDATE, "other", _identifier),
+        F.transform(spans_of(F.col("_t"), CANDIDATE, "other", _identifier), _bare),
         lambda s: ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
     )
     base = base.withColumn("_other", F.when(F.col("_t").rlike("[0-9]"), other).otherwise(F.expr(NO_SPANS)))
