@@ -15,11 +15,12 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graniteloom.llm.common import documents, text_of
+from graniteloom.llm.common import documents
 
 #: Fixed value: the byte-level pre-tokenizer's pattern, with white space as Unicode's property of that name.
 PATTERN = (
@@ -28,11 +29,11 @@ PATTERN = (
 )
 
 #: Words remembered per worker, and the longest word (bytes) that is remembered.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 LONGEST = 64
 
 #: Characters of text a worker encodes before it hands rows on.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -199,27 +200,32 @@ def _slices(lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
         yield begin, len(lengths)
 
 
-def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, *, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """docs with the array<int> column `ids` in place of any column of that name: the token ids of each whole text.
 
     vocabulary: path of the tokenizer file on the driver. A null or empty text gets no ids. Added strings of the file
     (such as end-of-text marks) found in a text become their own ids. Rows are independent: repeated rows repeat
-    their ids, an empty table gives an empty one, and other columns pass through.
+    their ids, an empty table gives an empty one, and other columns pass through. With `decoded`, a column of that
+    name holds what decode() makes of the ids, so that a round trip needs one pass and one worker.
     """
     tables = docs.sparkSession.sparkContext.broadcast(load_vocabulary(vocabulary))
-    keep = [c for c in docs.columns if c != ids]
-    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), text_of(text).alias("text"))
-    schema = T.StructType([body.schema["row"], T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    keep = [c for c in docs.columns if c not in (ids, decoded)]
+    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
+    made = [ids, *([decoded] if decoded else [])]
+    schema = T.StructType([body.schema["row"], T.StructField(ids, T.ArrayType(T.IntegerType())), *(T.StructField(c, T.StringType()) for c in made[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)
         for batch in batches:
-            texts = batch.column(1)
+            texts = batch.column(0).field(keep.index(text)).cast(pa.string()).fill_null("")
             for begin, end in _slices(pa.compute.utf8_length(texts).to_pylist(), SLICE_CHARS):
                 found = [encoder.encode(t) for t in texts.slice(begin, end - begin).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), _listed(found)], ["row", ids])
+                columns = [batch.column(0).slice(begin, end - begin), _listed(found)]
+                if decoded:
+                    columns.append(pa.array([encoder.decode(a) for a in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["row", *made])
 
-    return body.mapInArrow(run, schema).select("row.*", ids)
+    return body.mapInArrow(run, schema).select("row.*", *made)
 
 
 def decode(rows: DataFrame, vocabulary: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -264,6 +270,4 @@ def digests(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = vocabulary_path()
-    ids = encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text")
-    return digests(decode(ids, path), ["doc_id"])
+    return digests(encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path(), decoded="decoded"), ["doc_id"])
