@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.llm import bpe, chat, mixing, pii, quality, rules, sharding, toxicity
+from graniteloom.llm import bpe, chat, mixing, ngram_join, pii, quality, rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_contextual_pii": pii.op2,
         "op4_sainte_lague_mix": mixing.op4,
         "op5_bounded_ring": sharding.op5,
+        "op6_signature_tree_join": ngram_join.op6,
         "op7_budgeted_chat": chat.op7,
         "op8_byte_bpe": bpe.op8,
         "op9_compression_quality": quality.op9,
