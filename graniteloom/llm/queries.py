@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.llm import bpe, chat, mixing, ngram_join, pii, quality, rules, sharding, toxicity
+from graniteloom.llm import bpe, chat, embedding_dedup, mixing, ngram_join, pii, quality, rules, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_segment_toxicity": toxicity.op1,
         "op2_contextual_pii": pii.op2,
+        "op3_multi_index_dedup": embedding_dedup.op3,
         "op4_sainte_lague_mix": mixing.op4,
         "op5_bounded_ring": sharding.op5,
         "op6_signature_tree_join": ngram_join.op6,
