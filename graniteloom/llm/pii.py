@@ -36,6 +36,8 @@ CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 
 #: Least distinct seeds of a pattern, least share of its places, rounds, and least mean weight of an instance.
 LEAST_SEEDS, LEAST_SHARE, ROUNDS, LEAST_WEIGHT = 3, 0.5, 3, 2.0
+#: Parts of the texts (one in so many) whose places are counted first, to drop hopeless patterns; all texts at last.
+STAGES = (64, 8, 1)
 #: Most patterns that are broadcast; more of them meet the words by a shuffled join.
 BROADCAST_ROWS = 100_000
 CONTEXT_CHARS = 96
@@ -150,10 +152,23 @@ def discovered(docs: DataFrame, marks: DataFrame, *, rounds: int = ROUNDS) -> Da
     edges = written(marks.select("kind", "value", F.explode("patterns").alias("pattern")).distinct())
     seeds = edges.where("kind <> 'other'")
     others = edges.where("kind = 'other'").select("value", "pattern")
-    # Only patterns that some candidate stands in can extract anything.
-    counted = seeds.groupBy("pattern").agg(F.count_distinct("value").alias("F")).join(others.select("pattern").distinct(), "pattern", "left_semi")
-    enough = written(counted.where(F.col("F") >= LEAST_SEEDS).select("pattern"))
-    places = written(place_counts(docs, enough))
+    # Only patterns that some candidate stands in can extract anything; most: what F can come to at most.
+    counted = edges.groupBy("pattern").agg(
+        F.count_distinct(F.when(F.col("kind") != "other", F.col("value"))).alias("F"),
+        F.count_distinct(F.when(F.col("kind") == "other", F.col("value"))).alias("_others"),
+    )
+    counted = counted.where("_others > 0").select("pattern", "F", (F.col("F") + F.col("_others")).alias("most"))
+    enough = written(counted.where(F.col("F") >= LEAST_SEEDS))
+    # The places in a part of the texts are a lower bound of all: patterns that fail by it would fail by the whole
+    # count, and go before the larger part is counted. Those that are left are counted in all texts.
+    for parts in STAGES:
+        if enough.isEmpty():
+            break
+        part = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0) if parts > 1 else docs
+        places = place_counts(part, enough.select("pattern"))
+        enough = written(enough.drop("T").join(places, "pattern", "left").fillna(0, ["T"]).where(F.col("T") * LEAST_SHARE <= F.col("most")))
+    places = enough if "T" in enough.columns else enough.withColumn("T", F.lit(0).cast("long"))
+    places = places.select("pattern", "T")
     lexicon = seeds.select("kind", "value", "pattern")
     found = None
     for _ in range(rounds):
