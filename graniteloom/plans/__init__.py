@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def curate_split(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+from pyspark.sql import DataFrame, SparkSession
 
+from graniteloom.plans import curating
+from graniteloom.plans.curating import curate_split
 
-def queries():
-    return {}
+__all__ = ["curate_split", "oracle_sql", "queries"]
+MODULES = (curating,)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
