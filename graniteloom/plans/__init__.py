@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.plans import curating
+from graniteloom.plans import curating, evaluating, matching, streams
 from graniteloom.plans.curating import curate_split
 
 __all__ = ["curate_split", "oracle_sql", "queries"]
-MODULES = (curating,)
+MODULES = (curating, evaluating, matching, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
