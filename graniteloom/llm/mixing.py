@@ -152,15 +152,15 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of docs: each document once for each whole copy taken, and once with the words
     of its partial copy. Needs doc_id (unique), source and text; n_chars follows the text if it is there."""
     chosen = plan(docs, ["doc_id"], **how).where("taken > 0")
-    joined = docs.withColumnRenamed("doc_id", "_id").join(chosen.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_passes", "_head", "_tail"), "_id")
+    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    joined = body.join(chosen.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_passes", "_head", "_tail"), "_id")
     part = F.col("_head") + F.col("_tail")
     copies = F.array_repeat(F.lit(True), F.col("_passes").cast("int"))
     each = joined.withColumn("_whole", F.explode(F.concat(copies, F.when(part > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    text = F.when(F.col("_whole"), F.col("text")).otherwise(partial_text(F.col("text"), F.col("_size"), F.col("_head"), F.col("_tail")))
-    each = each.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        each = each.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return each.select(*(F.col("_id" if c == "doc_id" else c).alias(c) for c in docs.columns))
+    text = F.when(F.col("_whole"), F.col("_text")).otherwise(partial_text(F.col("_text"), F.col("_size"), F.col("_head"), F.col("_tail")))
+    made = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("_new")}
+    each = each.withColumn("_new", text)
+    return each.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
