@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graniteloom.operators.state import cut
+
 
 def resolve(starts: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 8) -> DataFrame:
     """(id, verdict, source, steps): each start's way up the edges (node, up; one way a node) to a source (node, kind).
@@ -22,7 +24,7 @@ def resolve(starts: DataFrame, edges: DataFrame, sources: DataFrame, depth: int
             .when(F.col("up").isNull() | F.lit(step == depth), F.lit("unknown"))
             .when(F.array_contains("path", F.col("up")), F.lit("cycle"))
         )
-        seen = seen.withColumn("verdict", verdict)
+        seen = cut(seen.withColumn("verdict", verdict))
         ended = seen.where("verdict IS NOT NULL").select("id", "verdict", F.when(F.col("kind").isNotNull(), F.col("at")).alias("source"), F.lit(step).alias("steps"))
         done = ended if done is None else done.unionByName(ended)
         open_ = seen.where("verdict IS NULL").select("id", F.col("up").alias("at"), F.concat("path", F.array("up")).alias("path"))
@@ -35,7 +37,7 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     front = seen
     for hop in range(1, depth + 1):
         step = front.select("start", F.col("node").alias("a")).join(edges.select("a", "b"), "a").select("start", F.col("b").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         seen = seen.unionByName(front)
     return seen
 
