@@ -8,7 +8,7 @@ ranges; dual traversal drops node pairs whose largest possible overlap is too sm
 already. Surviving pairs are checked exactly.
 
 Before that, sets that cannot have a partner are put aside: a linked set shares at least a tenth of its size within
-its first three tenths. Equal sets are one. Nothing is capped: large groups are split into blocks, and the block
+its first three tenths, and four fifths of its shingles in all. Equal sets are one. Nothing is capped: large groups are split into blocks, and the block
 pairs of one group are as many tasks as needed.
 """
 
@@ -149,7 +149,13 @@ def _candidates(docs: DataFrame, first: DataFrame, order) -> DataFrame:
         ends = np.cumsum([0, *(len(s) for s in sets)]).astype(np.int32)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
 
-    return written(chosen.mapInArrow(run, "id long, s array<long>").select("id", F.size("s").cast("long").alias("n"), "s"))
+    able = written(chosen.mapInArrow(run, "id long, s array<long>").select("id", F.size("s").cast("long").alias("n"), "s"))
+    # Of these, a linked set shares four fifths of all its shingles with others.
+    one = Window.partitionBy("token")
+    each = able.select("id", "n", F.explode("s").alias("token"))
+    held = each.withColumn("_lo", F.min("id").over(one)).withColumn("_hi", F.max("id").over(one)).where("_lo <> _hi")
+    kept = held.groupBy("id", "n").agg(F.count(F.lit(1)).alias("have")).where("5 * have >= 4 * n").select("id").distinct()
+    return written(able.join(kept, "id"))
 
 
 def _members(candidates: DataFrame, order) -> DataFrame:
