@@ -23,8 +23,9 @@ from graniteloom.llm.common import table, written
 from graniteloom.llm.components import components
 
 COSINE = 0.9
-#: Codewords of each half, most rows that fit them, target recall at the threshold, vectors of a block.
-CODEWORDS, SAMPLE, RECALL, BLOCK = 64, 20_000, 0.998, 512
+#: Vectors of a cell that are aimed at, least and most codewords of each half, most rows that fit them, target recall
+#: at the threshold, vectors of a block.
+CELL, LEAST_CODEWORDS, MOST_CODEWORDS, SAMPLE, RECALL, BLOCK = 256, 4, 1024, 20_000, 0.97, 512
 SEED = 3
 
 
@@ -58,7 +59,7 @@ def region_distances(x: np.ndarray, words: np.ndarray) -> np.ndarray:
     return gap * gap
 
 
-def fit(rows: np.ndarray, cosine: float = COSINE, recall: float = RECALL, codewords: int = CODEWORDS, seed: int = SEED) -> dict:
+def fit(rows: np.ndarray, cosine: float = COSINE, recall: float = RECALL, codewords: int = 64, seed: int = SEED) -> dict:
     """Codebooks of both halves, and the reach: the squared distance up to which cells are visited."""
     rng = np.random.default_rng(seed)
     x = _unit(rows)
@@ -145,7 +146,9 @@ def near_duplicates(vectors: DataFrame, *, id: str = "vec_id", embedding: str =
     alone = body.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     if len(sample) == 0:
         return alone
-    index = spark.sparkContext.broadcast(fit(np.array(sample["x"].tolist()), cosine))
+    # Cells grow in number with the vectors, not in size.
+    codewords = int(np.clip(np.ceil(np.sqrt(same.count() / CELL)), LEAST_CODEWORDS, MOST_CODEWORDS))
+    index = spark.sparkContext.broadcast(fit(np.array(sample["x"].tolist()), cosine, codewords=codewords))
 
     def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
