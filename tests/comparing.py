@@ -8,7 +8,7 @@ import pandas as pd
 
 
 def _text(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and np.isnan(v)):
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
