@@ -28,8 +28,8 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 
-#: Words remembered per worker, and the longest word (bytes) that is remembered.
-REMEMBERED = 120_000
+#: Words of a generation that a worker remembers (it keeps two), and the longest word (bytes) that is remembered.
+REMEMBERED = 220_000
 LONGEST = 64
 
 #: Characters of text a worker encodes before it hands rows on.
@@ -74,7 +74,7 @@ def load_vocabulary(path: str) -> dict:
     single = [0] * 256
     for c, b in alphabet.items():
         single[b] = ids[c]
-    return {"ranks": ranks, "made": made, "strings": strings, "single": single, "added": added, "size": size, "known": {}, "chunks": {}}
+    return {"ranks": ranks, "made": made, "strings": strings, "single": single, "added": added, "size": size, "known": [{}, {}], "chunks": [{}, {}]}
 
 
 def merged(raw: bytes, t: dict) -> list[int]:
@@ -120,50 +120,69 @@ def merged(raw: bytes, t: dict) -> list[int]:
     return [s for s in symbols if s >= 0]
 
 
+class Memory:
+    """A mapping of two generations: a full one becomes the old one, and what is asked for again comes back from it."""
+
+    def __init__(self, generations: list[dict]):
+        self.generations = generations
+        self.get = generations[0].get
+
+    def put(self, key: str, value: list[int]) -> None:
+        if len(self.generations[0]) >= REMEMBERED:
+            self.generations[:] = [{}, self.generations[0]]
+            self.get = self.generations[0].get
+        self.generations[0][key] = value
+
+    def recall(self, key: str) -> list[int] | None:
+        value = self.generations[1].get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+
 class Encoder:
     """encode() and decode() over the tables of load_vocabulary."""
 
     def __init__(self, tables: dict):
         import regex
 
-        self.tables, self.known, self.chunks = tables, tables["known"], tables["chunks"]
+        self.tables, self.known, self.chunks = tables, Memory(tables["known"]), Memory(tables["chunks"])
         self.odd_space = re.compile(r" \s").search
         self.words = regex.compile(PATTERN).findall
         added = sorted(tables["added"], key=len, reverse=True)
         self.added = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
 
     def word(self, word: str) -> list[int]:
-        raw = word.encode()
-        out = merged(raw, self.tables)
-        if len(raw) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = out
+        out = self.known.get(word) or self.known.recall(word)
+        if out is None:
+            raw = word.encode()
+            out = merged(raw, self.tables)
+            if len(raw) <= LONGEST:
+                self.known.put(word, out)
         return out
 
     def chunk(self, chunk: str) -> list[int]:
-        """Ids of a stretch of text that the pre-tokenizer cuts by itself."""
-        out: list[int] = []
-        for word in self.words(chunk):
-            out += self.known.get(word) or self.word(word)
-        if len(chunk) <= LONGEST:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[chunk[1:]] = out
+        """Ids of a space and the stretch after it, which the pre-tokenizer cuts by itself."""
+        out = self.chunks.get(chunk) or self.chunks.recall(chunk)
+        if out is None:
+            out = []
+            for word in self.words(" " + chunk):
+                out += self.word(word)
+            if len(chunk) <= LONGEST:
+                self.chunks.put(chunk, out)
         return out
 
     def _encode(self, text: str, add) -> None:
         # A space belongs to what follows it, so a text can be cut there, unless white space follows.
         if text[-1:] == " " or self.odd_space(text):
             for word in self.words(text):
-                add(self.known.get(word) or self.word(word))
+                add(self.word(word))
             return
         first, *chunks = text.split(" ")
         for word in self.words(first):
-            add(self.known.get(word) or self.word(word))
-        get = self.chunks.get
+            add(self.word(word))
         for chunk in chunks:
-            add(get(chunk) or self.chunk(" " + chunk))
+            add(self.chunks.get(chunk) or self.chunk(chunk))
 
     def encode(self, text: str) -> np.ndarray:
         out: list[int] = []
