@@ -6,7 +6,7 @@ it, and the words before and after it. A pattern is scored by its seeds (F disti
 the corpus (T): F/T must be high, and the weight is log2(F + 1). Tokens that confident patterns extract join the
 lexicon, their other contexts gain, and so on for a few rounds over that bipartite graph; all their occurrences
 become spans. The graph holds identifiers only, so it is small beside the corpus; counting T is the one pass over all
-words, against the few patterns with enough seeds.
+words, against the patterns that could come to enough seeds in some round.
 """
 
 from __future__ import annotations
@@ -143,8 +143,9 @@ def place_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
             )
         ).alias("pattern")
     )
-    small = patterns.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(patterns) if small else patterns, "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("T"))
+    if patterns.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(patterns), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("T"))
+    return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("T")).join(patterns, "pattern")
 
 
 def discovered(docs: DataFrame, marks: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
@@ -152,13 +153,10 @@ def discovered(docs: DataFrame, marks: DataFrame, *, rounds: int = ROUNDS) -> Da
     edges = written(marks.select("kind", "value", F.explode("patterns").alias("pattern")).distinct())
     seeds = edges.where("kind <> 'other'")
     others = edges.where("kind = 'other'").select("value", "pattern")
-    # Only patterns that some candidate stands in can extract anything; most: what F can come to at most.
-    counted = edges.groupBy("pattern").agg(
-        F.count_distinct(F.when(F.col("kind") != "other", F.col("value"))).alias("F"),
-        F.count_distinct(F.when(F.col("kind") == "other", F.col("value"))).alias("_others"),
-    )
-    counted = counted.where("_others > 0").select("pattern", "F", (F.col("F") + F.col("_others")).alias("most"))
-    enough = written(counted.where(F.col("F") >= LEAST_SEEDS))
+    # Only patterns that some candidate stands in can extract anything; most: what F can come to in any round, when
+    # every candidate is found. A pattern without seeds may get them from the tokens that an earlier round found.
+    counted = edges.groupBy("pattern").agg(F.count_if(F.col("kind") == "other").alias("_others"), F.count(F.lit(1)).alias("most"))
+    enough = written(counted.where((F.col("_others") > 0) & (F.col("most") >= LEAST_SEEDS)).select("pattern", "most"))
     # The places in a part of the texts are a lower bound of all: patterns that fail by it would fail by the whole
     # count, and go before the larger part is counted. Those that are left are counted in all texts.
     for parts in STAGES:

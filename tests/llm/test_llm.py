@@ -111,6 +111,17 @@ def test_personal_data_base_and_context(spark):
     assert pii.detect(docs(spark, ["x"]).limit(0), ["doc_id"]).count() == 0
 
 
+def test_found_tokens_seed_further_patterns(spark):
+    """Base phones carry one context to X, Y and Z; only these carry the next one to W."""
+    near = [f"{' '.join(words(8, i))} call me at +1 (555) 555-{1000 + i} now" for i in range(20)]
+    near += [f"{' '.join(words(8, 50 + i))} call me at 555100{i} now" for i in range(3)]
+    far = [f"{' '.join(words(8, 70 + i))} his desk extension 555100{i} today" for i in range(3)]
+    texts = [*near, *far, "the desk extension 5558888 today", "order 5559999 left"]
+    out = {x["doc_id"]: x["spans"] for x in pii.detect(docs(spark, texts), ["doc_id"]).select("doc_id", pii.spelled(F.col("spans")).alias("spans")).collect()}
+    n = len(texts)
+    assert out[n - 2] == "phone:19:26" and out[n - 1] == ""
+
+
 # -- 3: embeddings
 
 
