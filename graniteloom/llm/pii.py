@@ -30,7 +30,8 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: A quick sign that a text may hold the kind at all.
 HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
-IP_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: The zeros before a part are not possessive: the last of them may be the part itself.
+IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Identifier-like tokens: stretches without white space that hold a digit, scanned once from their beginning.
 CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
 

@@ -122,6 +122,13 @@ def test_found_tokens_seed_further_patterns(spark):
     assert out[n - 2] == "phone:19:26" and out[n - 1] == ""
 
 
+def test_addresses_with_parts_of_zero(spark):
+    texts = ["10.0.0.1", "0.0.0.0", "1.2.3.00", "at 127.0.0.1, 192.168.0.1 and 010.000.255.0", "0.0.0.256", "1.0.0300.1", "0" * 3000 + ".0.0." + "0" * 3000, "0" * 3000 + ".0.0.x"]
+    out = {x["doc_id"]: x["base"] for x in pii.detect(docs(spark, texts), ["doc_id"]).select("doc_id", pii.spelled(F.col("base")).alias("base")).collect()}
+    assert [out[i] for i in range(len(texts))] == [base(t) for t in texts]
+    assert out[0] == "ip:0:8" and out[1] == "ip:0:7" and out[2] == "ip:0:8" and out[3].count("ip:") == 3 and out[4] == out[5] == ""
+
+
 # -- 3: embeddings
 
 
