@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,8 @@ MOST_TOKENS, MOST_CANDIDATES, LEAST_TEXTS, LEAST_Z, STEMS, PRIOR = 50_000, 200_0
 DOCS, BROADCAST_ROWS = 4000, 1_000_000
 SEED = 1
 TOKEN = re.compile(r"[^\W\d_]+")
+SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("score", T.DoubleType())]))
+ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())]))
 #: Tokens whose scores a worker remembers.
 REMEMBERED = 300_000
 
@@ -107,17 +109,16 @@ class Passages:
     def find(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens, and the maximal segments as (first token, token after the last, score).
 
-        A token scores where it stands first: the odds are those of holding it at all.
+        Every occurrence of a token scores, so a passage is found wherever it stands and however often.
         """
         tokens = TOKEN.findall(text.lower())
         get = self.known.get
         scores = [get(t) for t in tokens]
-        hits, seen = [], set()
+        hits = []
         for at, score in enumerate(scores):
             if score is None:
                 score = self.token(tokens[at])
-            if score > 0.0 and tokens[at] not in seen:
-                seen.add(tokens[at])
+            if score > 0.0:
                 hits.append((at, score))
         return len(tokens), maximal_segments(hits, self.gap)
 
@@ -156,28 +157,35 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int
 
 
 def score(docs: DataFrame, trained: dict, keep: list[str], *, text: str = "text") -> DataFrame:
-    """keep, score (0 to 1, higher: toxic) and n_passages (significant ones, E < 0.05) of each row.
+    """keep, score (0 to 1, higher: toxic), n_passages (significant ones, E < 0.05) and passages of each row.
 
+    passages are the significant ones by position: array<struct<first, stop, score>>, in tokens, stop exclusive.
     A null text counts as empty: it has no passage and the least evidence. Equal texts get equal scores.
     """
     body = docs.select(F.struct(*keep).alias("row"), text_of(text).alias("text"))
-    schema = T.StructType([body.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType())])
+    schema = T.StructType([body.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType()), T.StructField("passages", SPANS)])
     sent = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         passages, k = Passages(model["scores"], model["gap"]), model["k"]
         for batch in batches:
-            x, n = [], []
+            x, n, spans = [], [], []
             for t in batch.column(1):
                 m, found = passages.find(t.as_py())
                 segments = [s for _, _, s in found]
                 x.append(features(m, segments, k))
-                n.append(sum(k * max(m, 1) * np.exp(-s) < 0.05 for s in segments))
+                spans.append([{"first": b, "stop": e, "score": float(s)} for b, e, s in found if k * max(m, 1) * np.exp(-s) < 0.05])
+                n.append(len(spans[-1]))
             scores = logistic(model["model"], np.array(x, dtype=float).reshape(len(x), 4))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(n, pa.int64())], ["row", "score", "n_passages"])
+            columns = [batch.column(0), pa.array(scores), pa.array(n, pa.int64()), pa.array(spans, ARROW_SPANS)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "score", "n_passages", "passages"])
 
-    return body.mapInArrow(run, schema).select("row.*", "score", "n_passages")
+    return body.mapInArrow(run, schema).select("row.*", "score", "n_passages", "passages")
+
+
+def spelled(passages: Column) -> Column:
+    return F.array_join(F.transform(passages, lambda p: F.concat_ws(":", p["first"].cast("string"), p["stop"].cast("string"))), ",")
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,4 +193,4 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = held_out("doc_id", 4, 2)
     trained = train(docs, table(spark, sf_dir, "labels").where(~apart))
     scored = score(docs, trained, ["doc_id"])
-    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages")
+    return scored.select("doc_id", apart.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_passages", spelled(F.col("passages")).alias("passages"))

@@ -76,6 +76,17 @@ def test_maximal_segments_against_brute_force():
         assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want)) and max((s for *_, s in got), default=0) == max((s for *_, s in want), default=0)
 
 
+def test_every_toxic_passage_is_found(spark):
+    passages = toxicity.Passages({"vile": 4.0, "nasty": 3.0, "foul": 3.0}, 1.0)
+    clean, toxic = " ".join(["calm"] * 30), "vile nasty foul"
+    assert passages.find(f"{toxic} {clean} {toxic} {clean}")[1] == [(0, 3, 10.0), (33, 36, 10.0)]
+    apart = " ".join(f"{w} {clean}" for w in toxic.split())
+    assert max(s for *_, s in passages.find(f"{apart} {toxic}")[1]) >= 10.0
+    model = {"scores": passages.scores, "gap": 1.0, "k": 0.001, "model": toxicity.train(docs(spark, ["a"]), spark.createDataFrame([], "doc_id long, toxic int"))["model"]}
+    row = toxicity.score(docs(spark, [f"{toxic} {clean} {toxic}"]), model, ["doc_id"]).first()
+    assert row["n_passages"] == 2 and [(p["first"], p["stop"]) for p in row["passages"]] == [(0, 3), (33, 36)]
+
+
 # -- 2: personal data
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
