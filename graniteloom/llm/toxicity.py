@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 from graniteloom.llm.common import documents, table, text_of, written
 from graniteloom.llm.fitting import fit_logistic, held_out, logistic, sample_ids
 
-#: Most tokens of the lexicon and most candidates for it, least texts a token is in, least z-score, letters of the
-#: stems, weight of the prior.
-MOST_TOKENS, MOST_CANDIDATES, LEAST_TEXTS, LEAST_Z, STEMS, PRIOR = 50_000, 200_000, 3, 3.7, (4, 5, 6, 7, 8), 10.0
+#: Least toxic texts a token is in, least z-score, letters of the stems, weight of the prior.
+LEAST_TEXTS, LEAST_Z, STEMS, PRIOR = 3, 3.7, (4, 5, 6, 7, 8), 10.0
 #: Most labelled rows of each class that calibrate, and most labels that are broadcast (more are joined by a shuffle).
 DOCS, BROADCAST_ROWS = 4000, 1_000_000
 SEED = 1
@@ -36,10 +35,10 @@ REMEMBERED = 300_000
 
 
 def lexicon(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> DataFrame:
-    """token, log_odds, z of the most toxic tokens: words, and stems that begin with "~".
+    """token, log_odds, z of all toxic tokens: words, and stems that begin with "~".
 
     Counts are texts that hold the token, over all labelled rows; texts that share their least hash of three words,
-    as copies and near copies mostly do, count once. The lexicon has MOST_TOKENS rows at most.
+    as copies and near copies mostly do, count once.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
     known = F.broadcast(known) if labels.count() <= BROADCAST_ROWS else known
@@ -50,17 +49,14 @@ def lexicon(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> Data
     body = written(body.join(once.select("doc_id").distinct(), "doc_id", "left_semi"))
     stems = ", ".join(f"transform(filter(_w, w -> length(w) > {n}), w -> concat('~', left(w, {n})))" for n in STEMS)
     each = body.select("_label", F.explode(F.expr(f"concat(_w, array_distinct(concat({stems})))")).alias("token"))
-    toxic = each.where("_label = 1").groupBy("token").agg(F.count(F.lit(1)).alias("y1")).where(F.col("y1") >= LEAST_TEXTS)
-    toxic = written(toxic.orderBy(F.desc("y1"), "token").limit(MOST_CANDIDATES))
-    clean = each.where("_label = 0").join(F.broadcast(toxic.select("token")), "token").groupBy("token").agg(F.count(F.lit(1)).alias("y0"))
-    counts = toxic.join(clean, "token", "left").select("token", "y1", F.coalesce("y0", F.lit(0)).alias("y0"))
+    counts = each.groupBy("token").agg(F.sum("_label").alias("y1"), F.sum(1 - F.col("_label")).alias("y0")).where(F.col("y1") >= LEAST_TEXTS)
     n1, n0 = (int(v or 0) for v in body.agg(F.sum("_label"), F.sum(1 - F.col("_label"))).first())
     # The prior of a token is PRIOR texts of either class, with the token's rate in all labelled texts.
     prior = F.greatest((F.col("y1") + F.col("y0")) / max(1, n1 + n0) * PRIOR, F.lit(0.05))
     a, b = F.col("y1") + prior, F.col("y0") + prior
     odds = F.log(a / F.greatest(n1 + PRIOR - a, F.lit(0.5))) - F.log(b / F.greatest(n0 + PRIOR - b, F.lit(0.5)))
     scored = counts.select("token", odds.alias("log_odds"), (odds / F.sqrt(1 / a + 1 / F.greatest(b, F.lit(0.5)))).alias("z"))
-    return scored.where((F.col("z") >= LEAST_Z) & (F.col("log_odds") > 1)).orderBy(F.desc("z"), "token").limit(MOST_TOKENS)
+    return scored.where((F.col("z") >= LEAST_Z) & (F.col("log_odds") > 1))
 
 
 def maximal_segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
