@@ -25,7 +25,7 @@ from graniteloom.llm.components import components
 COSINE = 0.9
 #: Vectors of a cell that are aimed at, least and most codewords of each half, most rows that fit them, target recall
 #: at the threshold, vectors of a block.
-CELL, LEAST_CODEWORDS, MOST_CODEWORDS, SAMPLE, RECALL, BLOCK = 256, 4, 1024, 20_000, 0.97, 512
+CELL, LEAST_CODEWORDS, MOST_CODEWORDS, SAMPLE, RECALL, BLOCK = 256, 4, 1024, 20_000, 0.998, 512
 SEED = 3
 
 

@@ -167,6 +167,11 @@ def test_embeddings_against_brute_force(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_reach_is_that_of_the_stated_recall():
+    x = np.random.default_rng(1).standard_normal((2000, 16))
+    assert embedding_dedup.fit(x, codewords=8)["reach"] == embedding_dedup.fit(x, recall=0.998, codewords=8)["reach"] > embedding_dedup.fit(x, recall=0.97, codewords=8)["reach"]
+
+
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)] + [(None, 1)]
