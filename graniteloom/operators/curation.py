@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graniteloom.operators.state import cut
+
 #: The least and most characters of a sample.
 LEAST_CHARS, MOST_CHARS = 40, 12_000
 
@@ -72,13 +74,14 @@ def mapped(column: Column, table: dict[str, str]) -> Column:
 def rank_in_order(rows: DataFrame, order: list[Column | str], out: str = "rank") -> DataFrame:
     """rows with their place (1, 2, ...) in a total order, without one task for all rows.
 
-    Rows are range-partitioned and sorted; counts of the partitions, a table of one row each, give the offsets.
+    Rows are range-partitioned and sorted, and checkpointed in that order; counts of the partitions, a table of one row
+    each, give the offsets.
     """
     spark = rows.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     laid = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
     laid = laid.withColumn("_at", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("long"), 33))
-    laid = laid.persist()
+    laid = cut(laid)
     sizes = laid.groupBy("_part").agg(F.max("_at").alias("_last")).select("_part", (F.col("_last") + 1).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_part", "_before")

@@ -1,16 +1,27 @@
-"""State of iterative operators."""
+"""State of iterative operators, in a folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or the folder that setCheckpointDir() named. Where neither is set, a local session (tests)
+    gets a folder of its own; on a cluster that would be a different one on every machine, so it is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, checkpointed in the shared folder of spark.checkpoint.dir, so that a round neither
-    repeats the rounds before it nor depends on one executor. Where the setting is absent (tests), a local folder."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    """rows without their lineage, checkpointed in the shared folder, so that a round neither repeats the rounds before
+    it nor depends on one executor."""
+    shared_dir(rows.sparkSession)
     return rows.checkpoint()

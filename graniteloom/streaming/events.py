@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """New Parquet files below a folder, as they come."""
+    """New Parquet files below a folder, as they come; event times without a zone are taken in the session's zone,
+    since watermarks need instants."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return with_instants(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+
+
+def with_instants(events: DataFrame) -> DataFrame:
+    """events with every TIMESTAMP_NTZ column as TIMESTAMP."""
+    zoned = {f.name: F.col(f.name).cast("timestamp") for f in events.schema.fields if isinstance(f.dataType, T.TimestampNTZType)}
+    return events.withColumns(zoned) if zoned else events
 
 
 def first_seen(events: DataFrame, key: str, ts: str = "ts", late: str = "1 day") -> DataFrame:
