@@ -1,12 +1,15 @@
-"""What the operators of this subpackage share: tables, words, written intermediate tables."""
+"""What the operators of this subpackage share: tables, words, arrays, written intermediate tables."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graniteloom.operators.state import shared_dir
+
 #: White space of the word definition; every other character belongs to a word.
 SPACES = "\t\n\x0b\x0c\r"
 
@@ -19,17 +22,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        import tempfile
-
-        found = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and lost executors cost nothing.
 
@@ -44,6 +36,40 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept(keep: list[str], *made: str) -> list[str]:
+    """The columns of keep that do not have the name of a result column: a result replaces what has its name."""
+    taken = {m.lower() for m in made}
+    return [c for c in keep if c.lower() not in taken]
+
+
+def row_of(columns: list[str]) -> Column:
+    """columns as one struct, so that no name of theirs can meet one of an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.struct(F.lit(True).alias("_"))
+
+
+def fields_of(row: str, columns: list[str]) -> list[Column]:
+    """The columns that row_of() packed."""
+    return [F.col(row).getField(c).alias(c) for c in columns]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """The running sums of an array of numbers (or what another associative `join` makes of them).
+
+    Each of log2(n) steps adds what stands 1, 2, 4, ... places before, so a long array costs n log n.
+    """
+    steps = F.sequence(F.lit(0), F.length(F.bin((F.size(values) - 1).cast("long"))) - 1)
+
+    def step(a: Column, k: Column) -> Column:
+        return F.transform(a, lambda v, i: let(F.get(a, i - F.pow(F.lit(2), k).cast("int")), lambda w: F.when(w.isNull(), v).otherwise(join(w, v))))
+
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(steps, values, step))
+
+
 def text_of(column: str = "text") -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -1,12 +1,17 @@
 r"""Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
-Base spans come from fixed patterns for e-mail addresses, IP addresses, card and phone numbers. They are the seeds.
-Every seed and every other identifier-like token votes for the lexical patterns it stands in: the two words before
-it, and the words before and after it. A pattern is scored by its seeds (F distinct values) against all its places in
-the corpus (T): F/T must be high, and the weight is log2(F + 1). Tokens that confident patterns extract join the
-lexicon, their other contexts gain, and so on for a few rounds over that bipartite graph; all their occurrences
-become spans. The graph holds identifiers only, so it is small beside the corpus; counting T is the one pass over all
-words, against the patterns that could come to enough seeds in some round.
+Base spans come from fixed patterns for e-mail addresses, IP addresses, card and phone numbers. They are the first
+seeds; key-like tokens (long runs of letters and digits) are seeds of a fifth kind, `key`, which count as found only
+where a context confirms them. Every seed, and every other identifier-like token, votes for the lexical patterns it
+stands in: the two words before it, and the words before and after it.
+
+A pattern is scored against all its places in the corpus: F is its number of distinct known values, P the number of
+its distinct places that hold one, T the number of all its distinct places. It is confident if F is at least
+LEAST_SEEDS and P at least half of T, and weighs log2(F + 1). A place is the three words from the slot on, so copies
+of a document count once. Tokens that confident patterns extract join the known values, all patterns are scored anew,
+and so on for a few rounds over the bipartite graph of patterns and values; all occurrences of what is found become
+spans. The graph holds identifiers only, so it is small beside the corpus; counting T is the one pass over all words,
+against the patterns that could come to enough values in some round.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteloom.llm.common import documents, text_of, words_of, written
+from graniteloom.llm.common import documents, fields_of, kept, let, row_of, running, text_of, words_of, written
 
 #: Fixed values, in the order that settles ties. Possessive quantifiers and the anchors `(?:\G|(?<!...))` only keep
 #: matching linear: they find the same spans as the plain patterns.
@@ -28,20 +33,30 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-#: A quick sign that a text may hold the kind at all.
-HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 #: The zeros before a part are not possessive: the last of them may be the part itself.
 IP_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Identifier-like tokens: stretches without white space that hold a digit, scanned once from their beginning.
-CANDIDATE = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-
-#: Least distinct seeds of a pattern, least share of its places, rounds, and least mean weight of an instance.
+#: What must stand in a text that holds the kind.
+HINTS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
+#: Identifier-like tokens: words with a digit, or with one of the signs @ _ : = + . between letters, of at least
+#: LEAST_CHARS characters from their first to their last letter or digit. Length has no upper limit.
+LIKE = r"[0-9]|\p{L}[@_:=+.]\p{L}"
+LEAST_CHARS = 5
+#: Other words (group 1), and the next word that may be like that (group 2); each search goes on where the last ended.
+NEXT_CANDIDATE = r"\G((?:(?:[^\s0-9@_:=+.]++|(?<!\p{L})[@_:=+.]|[@_:=+.](?!\p{L}))*+\s++)*+)(\S++)"
+#: Key-like tokens: twenty or more letters and digits, with four digits and a letter at least.
+KEY = "^(?=(?:[A-Za-z]*[0-9]){4})(?=[0-9]*[A-Za-z])[A-Za-z0-9]{20,}$"
+
+#: Least distinct known values of a pattern, least share of its places, rounds, and least mean weight of an instance.
 LEAST_SEEDS, LEAST_SHARE, ROUNDS, LEAST_WEIGHT = 3, 0.5, 3, 2.0
 #: Parts of the texts (one in so many) whose places are counted first, to drop hopeless patterns; all texts at last.
 STAGES = (64, 8, 1)
-#: Most patterns that are broadcast; more of them meet the words by a shuffled join.
-BROADCAST_ROWS = 100_000
-CONTEXT_CHARS = 96
+#: Most bytes of patterns that are broadcast (16 a pattern); more of them meet the words by a shuffled join.
+BROADCAST_BYTES = 16 << 20
+#: Characters of the pieces that a text is cut into before spans are cut out of it.
+PIECE = 4096
+
+SPANS = "array<struct<start:int,stop:int,kind:string,value:string,first:int,last:int>>"
+NO_SPANS = f"cast(array() AS {SPANS})"
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -55,131 +70,153 @@ def _valid(kind: str, m: Column) -> Column:
     return F.length(F.regexp_replace(m, "[^0-9]", "")).between(10, 15)
 
 
-def _identifier(m: Column) -> Column:
-    return (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 5) & (F.length(m) <= 64)
+def _word_ends(text: Column) -> Column:
+    """Words of a piece of text that end inside it."""
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][\x20\x09-\x0D]"))
 
 
-def _bare(s: Column) -> Column:
-    """A span without the signs around its letters and digits."""
-    value = F.regexp_extract(s["value"], r"[\p{L}0-9](?s:.*)[\p{L}0-9]", 0)
-    start = s["start"] + F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9]*", 0))
-    return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), s["kind"].alias("kind"), value.alias("value"))
+def spans_of(cut: Column, kind: str, valid: Callable[[Column], Column]) -> Column:
+    """The valid ones of the matches m in a text with the gaps g before each of them, as SPANS: code points
+    [start, stop), and first and last, the numbers of the words they begin and end in. Matches must begin and end with
+    a character of a word.
 
+    Both follow from running sums over matches and gaps, so a text costs n log n in its matches.
+    """
 
-def spans_of(text: Column, pattern: str, kind: str, valid: Callable[[Column], Column]) -> Column:
-    """array<struct<start, stop, kind, value>> of the valid matches of pattern in text, in code points.
+    def gap(s: Column, i: Column) -> Column:
+        # A mark stands for the match before the gap, whose last word may end there.
+        return F.concat(F.when(i == 0, "").otherwise("x"), F.get(s["g"], i))
 
-    Starts follow from the lengths of the matches and of what lies between them, so a text is scanned twice, not
-    once for each match.
-    """
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    def sums(s: Column) -> Column:
+        chars = F.transform(s["m"], lambda x, i: F.length(x) + F.length(F.get(s["g"], i)))
+        words = F.transform(s["m"], lambda x, i: _word_ends(x) + _word_ends(gap(s, i)))
+        return F.struct(s["m"].alias("m"), running(chars).alias("stop"), running(words).alias("last"))
+
+    def made(s: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            stop, last = F.get(s["stop"], i), F.get(s["last"], i)
+            return F.struct(
+                (stop - F.length(x)).alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), x.alias("value"), (last - _word_ends(x)).alias("first"), last.alias("last")
+            )
+
+        return F.filter(F.transform(s["m"], one), lambda z: valid(z["value"]))
 
-    def step(a: Column, x: Column) -> Column:
-        start, stop = a["at"] + F.length(x["g"]), a["at"] + F.length(x["g"]) + F.length(x["m"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), F.lit(kind).alias("kind"), x["m"].alias("value"))
-        return F.struct(stop.alias("at"), F.when(valid(x["m"]), F.concat(a["all"], F.array(span))).otherwise(a["all"]).alias("all"))
+    return let(let(cut, sums), made)
 
-    each = F.arrays_zip(matches.alias("m"), F.slice(gaps, 1, F.size(matches)).alias("g"))
-    return F.aggregate(each, F.struct(F.lit(0).alias("at"), F.expr(NO_SPANS).alias("all")), step, lambda a: a["all"])
 
+def _matches(text: Column, pattern: str) -> Column:
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
 
-NO_SPANS = "cast(array() AS array<struct<start:int,stop:int,kind:string,value:string>>)"
+
+def _bare(s: Column) -> Column:
+    """A candidate without the signs around its letters and digits."""
+    value = F.regexp_extract(s["value"], r"[\p{L}0-9](?s:.*)[\p{L}0-9]", 0)
+    start = s["start"] + F.length(F.regexp_extract(s["value"], r"^[^\p{L}0-9]*", 0))
+    kind = F.when(value.rlike(KEY), "key").otherwise("other")
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), kind.alias("kind"), value.alias("value"), s["first"].alias("first"), s["last"].alias("last"))
 
 
 def _rank(kind: Column) -> Column:
-    return F.array_position(F.array(*(F.lit(k) for k in KINDS)), kind)
+    return F.array_position(F.array(*(F.lit(k) for k in (*KINDS, "key"))), kind)
 
 
 def _ordered(spans: Column) -> Column:
-    """By start, then kind as listed, then stop; repeated spans once."""
+    """(start, stop, kind, value) by start, then kind as listed, then stop; repeated spans once."""
     keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), _rank(s["kind"]).alias("r"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["value"].alias("value")))
-    return F.transform(F.array_sort(F.array_distinct(keyed)), lambda s: F.struct(s["start"], s["stop"], s["kind"], s["value"]))
+    once = let(F.array_sort(keyed), lambda a: F.filter(a, lambda s, i: (i == 0) | (s != F.get(a, i - 1))))
+    return F.transform(once, lambda s: F.struct(s["start"], s["stop"], s["kind"], s["value"]))
 
 
 def base_spans(text: Column) -> Column:
+    """The base spans of a text, kind by kind."""
     found = []
     for kind, pattern in PATTERNS.items():
-        hint = F.contains(text, F.lit(HINTS[kind])) if HINTS[kind] else text.rlike("[0-9]")
-        spans = spans_of(text, pattern, kind, partial(_valid, kind))
-        found.append(F.when(hint, spans).otherwise(F.expr(NO_SPANS)))
-    return _ordered(F.concat(*found))
+        hint = F.contains(text, F.lit(HINTS[kind])) & text.rlike(pattern)
+        found.append(F.when(hint, spans_of(_matches(text, pattern), kind, partial(_valid, kind))).otherwise(F.expr(NO_SPANS)))
+    return F.concat(*found)
+
+
+def _candidates(text: Column, base: Column) -> Column:
+    """Identifier-like tokens of a text whose word no base span touches."""
+    cut = F.struct(F.regexp_extract_all(text, F.lit(NEXT_CANDIDATE), F.lit(2)).alias("m"), F.regexp_extract_all(text, F.lit(NEXT_CANDIDATE), F.lit(1)).alias("g"))
+    like = F.transform(spans_of(cut, "other", lambda m: m.rlike(LIKE)), _bare)
+    all_ = F.when(text.rlike(LIKE), F.filter(like, lambda s: F.length(s["value"]) >= LEAST_CHARS)).otherwise(F.expr(NO_SPANS))
+    # By first word, base spans before the candidate of the same word: a running maximum of their last words tells
+    # whether one of them covers the candidate's.
+    def placed(spans: Column, r: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["first"].alias("at"), F.lit(r).alias("r"), s.alias("s")))
+
+    keyed = F.array_sort(F.concat(placed(base, 0), placed(all_, 1)))
+    covered = lambda a: running(F.transform(a, lambda x: F.when(x["r"] == 0, x["s"]["last"]).otherwise(-1)), F.greatest)
+    free = let(let(keyed, lambda a: F.struct(a.alias("a"), covered(a).alias("c"))), lambda z: F.filter(z["a"], lambda x, i: (x["r"] == 1) & (F.get(z["c"], i) < x["at"])))
+    return F.when(F.size(base) == 0, all_).otherwise(F.transform(free, lambda x: x["s"]))
 
 
-def _words(text: Column) -> Column:
-    return words_of(F.lower(text))
+PATTERN_OF = """filter(array(
+    CASE WHEN {at} >= 2 THEN named_struct('pattern', xxhash64('L2', {w}[{at} - 2], {w}[{at} - 1]), 'place', {place}) END,
+    CASE WHEN {one} AND {at} >= 1 AND {at} + 1 < size({w}) THEN named_struct('pattern', xxhash64('LR', {w}[{at} - 1], {w}[{at} + 1]), 'place', {place}) END),
+    z -> z IS NOT NULL)"""
+
+
+def _patterns(w: str, at: str, one: str) -> str:
+    """The patterns around word number `at` of the array w, each with the place that it is: the three words from there.
+    The pattern of the words on both sides holds for slots of one word."""
+    return PATTERN_OF.format(w=w, at=at, one=one, place=f"xxhash64({w}[{at}], get({w}, {at} + 1), get({w}, {at} + 2))")
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, _base (base spans) and _marks (seeds and candidates with their contexts) of each row."""
-    text = text_of()
-    base = docs.select(*keep, text.alias("_t")).withColumn("_base", base_spans(F.col("_t")))
-    other = F.filter(
-        F.transform(spans_of(F.col("_t"), CANDIDATE, "other", _identifier), _bare),
-        lambda s: ~F.exists("_base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])),
-    )
-    base = base.withColumn("_other", F.when(F.col("_t").rlike("[0-9]"), other).otherwise(F.expr(NO_SPANS)))
-
-    def marked(s: Column) -> Column:
-        width = F.lit(CONTEXT_CHARS)
-        left = _words(F.substring(F.col("_t"), F.greatest(F.lit(1), s["start"] + 1 - width), F.least(width, s["start"])))
-        right = _words(F.substring(F.col("_t"), s["stop"] + 1, width))
-        one, two = F.coalesce(F.get(F.reverse(left), F.lit(0)), F.lit("^")), F.coalesce(F.get(F.reverse(left), F.lit(1)), F.lit("^"))
-        after = F.coalesce(F.get(right, F.lit(0)), F.lit("$"))
-        return F.struct(
-            *(s[c].alias(c) for c in ("start", "stop", "kind", "value")),
-            F.array(F.xxhash64(F.lit("L2"), two, one), F.xxhash64(F.lit("LR"), one, after)).alias("patterns"),
-        )
-
-    return base.select(*keep, "_base", F.transform(F.concat("_base", "_other"), marked).alias("_marks"))
+    """row (keep), text, base (base spans) and marks (seeds and candidates with their patterns) of each row."""
+    text = docs.select(row_of(keep).alias("row"), text_of().alias("text"))
+    found = text.withColumn("base", base_spans(F.col("text")))
+    # The explode of one row keeps Catalyst from unfolding the spans into every expression below.
+    found = found.select("row", "text", F.explode(F.array("base")).alias("base"))
+    found = found.withColumn("all", F.concat("base", _candidates(F.col("text"), F.col("base"))))
+    found = found.select("row", "text", "base", F.explode(F.array("all")).alias("all"))
+    words = F.when(F.size("all") > 0, words_of(F.lower("text"))).otherwise(F.array().cast("array<string>"))
+    found = found.select("row", "text", "base", "all", F.explode(F.array(words)).alias("w"))
+    marks = f"transform(all, s -> named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind, 'value', s.value, 'patterns', {_patterns('w', 's.first', 's.first = s.last')}))"
+    return found.select("row", "text", "base", F.expr(marks).alias("marks"))
 
 
 def place_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """pattern and T, the places in docs where it could extract a token, for the given patterns (column pattern)."""
-    w = docs.select(_words(text_of()).alias("_w"))
-    rows = w.select(
-        F.explode(
-            F.expr(
-                "CASE WHEN size(_w) >= 2 THEN flatten(transform(sequence(0, size(_w) - 2), i -> array("
-                "xxhash64('L2', _w[i], _w[i + 1]), xxhash64('LR', _w[i], get(_w, i + 2))))) ELSE cast(array() AS array<bigint>) END"
-            )
-        ).alias("pattern")
-    )
-    if patterns.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(patterns), "pattern").groupBy("pattern").agg(F.count(F.lit(1)).alias("T"))
-    return rows.groupBy("pattern").agg(F.count(F.lit(1)).alias("T")).join(patterns, "pattern")
+    """pattern and T, its distinct places in docs, for the given patterns (column pattern)."""
+    w = docs.select(F.explode(F.array(words_of(F.lower(text_of())))).alias("w"))
+    rows = w.select(F.explode(F.expr(f"flatten(transform(sequence(0, greatest(size(w) - 1, 0)), i -> CASE WHEN size(w) > 0 THEN {_patterns('w', 'i', 'true')} ELSE array() END))")).alias("z")).select("z.*")
+    known = F.broadcast(patterns) if patterns.count() * 16 <= BROADCAST_BYTES else patterns
+    return rows.join(known, "pattern").groupBy("pattern").agg(F.count_distinct("place").alias("T"))
 
 
 def discovered(docs: DataFrame, marks: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
     """value and kind of the identifiers that confident patterns extract. marks: one row per seed or candidate."""
-    edges = written(marks.select("kind", "value", F.explode("patterns").alias("pattern")).distinct())
-    seeds = edges.where("kind <> 'other'")
-    others = edges.where("kind = 'other'").select("value", "pattern")
-    # Only patterns that some candidate stands in can extract anything; most: what F can come to in any round, when
-    # every candidate is found. A pattern without seeds may get them from the tokens that an earlier round found.
-    counted = edges.groupBy("pattern").agg(F.count_if(F.col("kind") == "other").alias("_others"), F.count(F.lit(1)).alias("most"))
-    enough = written(counted.where((F.col("_others") > 0) & (F.col("most") >= LEAST_SEEDS)).select("pattern", "most"))
+    edges = written(marks.select("kind", "value", F.explode("patterns").alias("z")).select("kind", "value", "z.*").distinct())
+    unsure = F.col("kind").isin("other", "key")
+    # Only patterns that some candidate stands in can extract anything; values and places: what F and P can come to in
+    # any round, when every candidate is known.
+    counted = edges.groupBy("pattern").agg(F.bool_or(unsure).alias("some"), F.count_distinct("value").alias("values"), F.count_distinct("place").alias("places"))
+    enough = written(counted.where(F.col("some") & (F.col("values") >= LEAST_SEEDS)).select("pattern", "places", F.lit(0).cast("long").alias("T")))
     # The places in a part of the texts are a lower bound of all: patterns that fail by it would fail by the whole
     # count, and go before the larger part is counted. Those that are left are counted in all texts.
     for parts in STAGES:
         if enough.isEmpty():
             break
         part = docs.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == 0) if parts > 1 else docs
-        places = place_counts(part, enough.select("pattern"))
-        enough = written(enough.drop("T").join(places, "pattern", "left").fillna(0, ["T"]).where(F.col("T") * LEAST_SHARE <= F.col("most")))
-    places = enough if "T" in enough.columns else enough.withColumn("T", F.lit(0).cast("long"))
-    places = places.select("pattern", "T")
-    lexicon = seeds.select("kind", "value", "pattern")
-    found = None
+        counts = place_counts(part, enough.select("pattern"))
+        enough = written(enough.drop("T").join(counts, "pattern", "left").fillna(0, ["T"]).where(F.col("T") * LEAST_SHARE <= F.col("places")))
+    graph = written(edges.join(enough.select("pattern", "T"), "pattern"))
+    seeds = graph.where("kind <> 'other'")
+    open_ = graph.where(unsure)
+    lexicon, found = seeds, None
     for _ in range(rounds):
-        by_kind = lexicon.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("f"))
-        scored = by_kind.groupBy("pattern").agg(F.sum("f").alias("F"), F.max_by("kind", F.struct("f", "kind")).alias("kind"))
-        scored = scored.join(places, "pattern").where((F.col("F") >= LEAST_SEEDS) & (F.col("F") >= LEAST_SHARE * F.col("T")))
-        weighed = others.join(scored.select("pattern", "kind", F.log2(F.col("F") + 1).alias("weight")), "pattern")
+        kinds = lexicon.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("f"))
+        kinds = kinds.groupBy("pattern").agg(F.max_by("kind", F.struct("f", "kind")).alias("kind"))
+        scores = lexicon.groupBy("pattern", "T").agg(F.count_distinct("value").alias("F"), F.count_distinct("place").alias("P"))
+        scores = scores.where((F.col("F") >= LEAST_SEEDS) & (F.col("P") >= LEAST_SHARE * F.col("T"))).join(kinds, "pattern")
+        weighed = open_.select("value", "pattern").distinct().join(scores.select("pattern", "kind", F.log2(F.col("F") + 1).alias("weight")), "pattern")
         new = weighed.groupBy("value").agg(F.avg("weight").alias("w"), F.max_by("kind", F.struct("weight", "kind")).alias("kind"))
         found = written(new.where(F.col("w") >= LEAST_WEIGHT).select("value", "kind"))
         if found.isEmpty():
             break
-        lexicon = seeds.select("kind", "value", "pattern").unionByName(others.join(found, "value").select("kind", "value", "pattern"))
+        lexicon = seeds.unionByName(open_.drop("kind").join(found, "value").select(*seeds.columns))
     return found
 
 
@@ -187,43 +224,57 @@ def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, base (base spans) and spans (with those the method adds): arrays of struct<start, stop, kind, value>.
 
     Offsets are code points, stop exclusive; spans go by start, then kind. A null or empty text has none. Texts are
-    read whole. Rows are told apart by nothing: equal rows get equal spans, and an empty table gives an empty one.
-    Columns of keep must not start with "_".
+    read whole. Rows are told apart by their place in the table, so null or repeated ids do not matter: equal texts get
+    equal spans, and an empty table gives an empty one. A column of keep named base or spans gives way to the result.
     """
-    if any(c.startswith("_") for c in keep):
-        raise ValueError("columns of keep must not start with _")
-    found = written(scanned(docs, keep).withColumn("_row", F.monotonically_increasing_id()))
-    marks = found.select("_row", F.explode("_marks").alias("m")).select("_row", "m.*")
+    return _detected(docs, keep).select(*fields_of("row", kept(keep, "base", "spans")), "base", "spans")
+
+
+def _detected(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """row, text, base and spans."""
+    found = written(scanned(docs, keep).withColumn("at", F.monotonically_increasing_id()))
+    marks = found.select("at", F.explode("marks").alias("m")).select("at", "m.*")
     lexicon = discovered(docs, marks.select("kind", "value", "patterns"))
-    more = marks.where("kind = 'other'").select("_row", "start", "stop", "value").join(lexicon, "value")
-    more = more.groupBy("_row").agg(F.collect_list(F.struct("start", "stop", "kind", "value")).alias("_more"))
-    both = found.join(more, "_row", "left")
-    return both.select(*keep, F.col("_base").alias("base"), _ordered(F.concat("_base", F.coalesce("_more", F.expr(NO_SPANS)))).alias("spans"))
+    more = marks.where("kind IN ('other', 'key')").select("at", "start", "stop", "value").join(lexicon, "value")
+    more = more.groupBy("at").agg(F.collect_list(F.struct("start", "stop", "kind", "value")).alias("more"))
+    both = found.join(more, "at", "left")
+    base = F.transform("base", lambda s: F.struct(s["start"], s["stop"], s["kind"], s["value"]))
+    added = F.coalesce("more", F.expr("cast(array() AS array<struct<start:int,stop:int,kind:string,value:string>>)"))
+    return both.select("row", "text", _ordered(base).alias("base"), _ordered(F.concat(base, added)).alias("spans"))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """text with each span, or run of overlapping spans, replaced by the kind of its first one in brackets."""
+    # What ends before a span: a new run begins where that is not beyond the span's start.
+    ends = running(F.transform(spans, lambda s: s["stop"]), F.greatest)
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / PIECE).cast("int")), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE)))
+
+    def part(pieces: Column, a: Column, b: Column) -> Column:
+        """Code points [a, b): only the pieces they lie in are looked through."""
+        first = F.floor(a / PIECE).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, F.floor(b / PIECE).cast("int") - first + 1), "")
+        return F.substring(near, a - first * PIECE + 1, b - a)
+
+    def written_out(z: Column) -> Column:
+        runs = F.transform(z["s"], lambda s, i: F.struct(F.coalesce(F.get(z["e"], i - 1), F.lit(0)).alias("a"), s["start"].alias("b"), s["kind"].alias("kind")))
+        runs = F.filter(runs, lambda r: r["a"] <= r["b"])
+        said = F.transform(runs, lambda r: F.concat(part(z["p"], r["a"], r["b"]), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+        end = F.element_at(z["e"], -1)
+        return F.concat(F.array_join(said, ""), part(z["p"], end, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.struct(spans.alias("s"), ends.alias("e"), pieces.alias("p")), written_out))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of personal data in text replaced by its kind in brackets; n_chars follows if there is one.
 
-    Overlapping spans are one, named for the first. A text without spans stays as it is, null included.
+    Overlapping spans are one, named for the first. A text without spans stays as it is, null included. Needs text;
+    other columns pass through whatever their names. Null and repeated ids, repeated rows and empty tables are as in
+    detect().
     """
-    body = docs.select(F.struct("*").alias("row"), "text")
-    spans = F.aggregate(
-        "spans",
-        F.expr("cast(array() AS array<struct<start:int,stop:int,kind:string>>)"),
-        lambda a, s: F.when(
-            (F.size(a) > 0) & (s["start"] < F.coalesce(F.get(F.reverse(a), F.lit(0))["stop"], F.lit(0))),
-            F.concat(
-                F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))),
-                F.transform(F.slice(F.reverse(a), 1, 1), lambda z: F.struct(z["start"].alias("start"), F.greatest(z["stop"], s["stop"]).alias("stop"), z["kind"].alias("kind"))),
-            ),
-        ).otherwise(F.concat(a, F.array(F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))),
-    )
-    found = detect(body, ["row", "text"]).select("row", "text", spans.alias("s"))
-    text = F.expr(
-        "concat(array_join(transform(s, (x, i) -> concat(substring(text, coalesce(get(s, i - 1).stop, 0) + 1, x.start - coalesce(get(s, i - 1).stop, 0)),"
-        " '[', upper(x.kind), ']')), ''), substring(text, s[size(s) - 1].stop + 1, length(text)))"
-    )
-    changed = found.select("row", F.when(F.size("s") == 0, F.col("text")).otherwise(text).alias("text"))
+    found = _detected(docs, docs.columns).select("row", F.explode(F.array("spans")).alias("spans"))
+    text = F.when(F.size("spans") == 0, F.col("row")["text"]).otherwise(replaced(F.col("row")["text"], F.col("spans")))
+    changed = found.select("row", text.alias("text"))
     out = []
     for c in docs.columns:
         if c == "text":
@@ -244,6 +295,7 @@ def _is(kind: str) -> Callable[[Column], Column]:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, counts of the base spans by kind, their digest, and all spans, for every document."""
     found = detect(documents(spark, sf_dir), ["doc_id"])
     counts = [F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(spelled(F.col("base")), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))

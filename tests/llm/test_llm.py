@@ -1,11 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graniteloom.llm import bpe, chat, components, embedding_dedup, mixing, ngram_join, pii, quality, rules, sharding, toxicity
+from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,22 +100,15 @@ def test_lexicon_is_whole_beside_many_common_words(spark):
 
 # -- 2: personal data
 
-PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
 
 def base(text):
-    def holds(kind, m):
-        if kind == "ip":
-            return all(int(x) <= 255 for x in m.split("."))
-        d = re.sub("[^0-9]", "", m)
-        if kind == "card":
-            total = sum(v if i % 2 == 0 else sum(divmod(2 * v, 10)) for i, v in enumerate(map(int, reversed(d))))
-            return 14 <= len(d) <= 19 and total % 10 == 0
-        return kind == "email" or 10 <= len(d) <= 15
+    return brute.spelled(brute.base_spans(text))
+
 
-    kinds = list(PLAIN)
-    found = sorted((m.start(), kinds.index(k), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text or "", re.ASCII) if holds(k, m.group()))
-    return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in found)
+def spans(spark, texts):
+    out = {x["doc_id"]: x for x in pii.detect(docs(spark, texts), ["doc_id"]).select("doc_id", pii.spelled(F.col("base")).alias("base"), pii.spelled(F.col("spans")).alias("spans")).collect()}
+    assert len(out) == len(texts)
+    return [out[i]["base"] for i in range(len(texts))], [out[i]["spans"] for i in range(len(texts))]
 
 
 def test_personal_data_base_and_context(spark):
@@ -122,11 +117,14 @@ def test_personal_data_base_and_context(spark):
     known = [f"{' '.join(words(8, i))} call me at +1 (555) 555-{1000 + i} now" for i in range(20)]
     unseen = ["please call me at 5551239 now", "order 5559999 left"]
     texts = [*noise, *EDGE, "x@y.zz a@b.c.d_e@f.g 1.2.3.4 300.1.1.1 4539-1488-0343-6467 " + "1" * 5000 + " " + "a" * 5000 + "@", *known, *unseen]
-    out = {x["doc_id"]: x for x in pii.detect(docs(spark, texts), ["doc_id"]).select("doc_id", pii.spelled(F.col("base")).alias("base"), pii.spelled(F.col("spans")).alias("spans")).collect()}
-    assert [out[i]["base"] for i in range(len(texts))] == [base(t) for t in texts]
+    got, found = spans(spark, texts)
+    assert got == [base(t) for t in texts]
+    want = brute.personal_data(texts)
+    assert found == [brute.spelled(x) for x in want]
     n = len(texts)
-    assert out[n - 2]["spans"] == "phone:18:25" and out[n - 1]["spans"] == ""
+    assert found[n - 2] == "phone:18:25" and found[n - 1] == ""
     red = {x["doc_id"]: x for x in pii.redacted(docs(spark, texts)).collect()}
+    assert [red[i]["text"] for i in range(n)] == [t if t is None else brute.redacted(t, x) for t, x in zip(texts, want, strict=True)]
     assert red[n - 2]["text"] == "please call me at [PHONE] now" and red[n - 2]["n_chars"] == 29 and len(red) == n
     assert pii.detect(docs(spark, ["x"]).limit(0), ["doc_id"]).count() == 0
 
@@ -137,15 +135,53 @@ def test_found_tokens_seed_further_patterns(spark):
     near += [f"{' '.join(words(8, 50 + i))} call me at 555100{i} now" for i in range(3)]
     far = [f"{' '.join(words(8, 70 + i))} his desk extension 555100{i} today" for i in range(3)]
     texts = [*near, *far, "the desk extension 5558888 today", "order 5559999 left"]
-    out = {x["doc_id"]: x["spans"] for x in pii.detect(docs(spark, texts), ["doc_id"]).select("doc_id", pii.spelled(F.col("spans")).alias("spans")).collect()}
-    n = len(texts)
-    assert out[n - 2] == "phone:19:26" and out[n - 1] == ""
+    found = spans(spark, texts)[1]
+    assert found == [brute.spelled(x) for x in brute.personal_data(texts)]
+    assert found[-2] == "phone:19:26" and found[-1] == ""
+
+
+def test_bootstrapping_against_brute_force(spark):
+    """Contexts, identifiers of several kinds and noise at random; most patterns end near a threshold."""
+    r = random.Random(12)
+    cues = ["call me at", "my badge is", "write to:", "the host", "token =", "see page"]
+    values = [*(f"+1 (555) 555-{1000 + i}" for i in range(9)), *(f"u{i}@mail.example.org" for i in range(9)), *(f"10.0.{i}.1" for i in range(9)), *(f"55510{i}" for i in range(9))]
+    values += [*(f'"{hex(r.getrandbits(160))[2:]}"' for _ in range(6)), "user_name", "jane.doe", "a.b.c.d", "q:r", "x" * 90 + "7", "word", "plain", "(12345),", "9" * 4]
+    texts = []
+    for _ in range(250):
+        parts = []
+        for _ in range(r.randrange(1, 6)):
+            parts += words(r.randrange(4), r.random(), 12)
+            cue = r.choice(cues)
+            parts.append(cue)
+            parts.append(r.choice(values if r.random() < 0.8 else ["nothing", "home"]))
+        texts.append(r.choice([" ", "  ", "\n"]).join(parts))
+    texts += [*EDGE, "now.now", *texts[:30]]
+    got, found = spans(spark, texts)
+    want = [brute.spelled(x) for x in brute.personal_data(texts)]
+    assert found == want and sum(a != b for a, b in zip(got, found, strict=True)) > 20
+
+
+def test_a_text_of_100000_addresses(spark):
+    text = " ".join(f"10.0.{i % 256}.1" for i in range(100_000))
+    began = time.time()
+    row = pii.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row["text"] == " ".join(["[IP]"] * 100_000) and time.time() - began < 120
+
+
+def test_personal_data_of_odd_rows(spark):
+    """Null and repeated ids, columns named like results, and a table without rows."""
+    rows = spark.createDataFrame([(None, "a@b.cd", "x", 1), (None, "a@b.cd", "x", 1), (1, None, "y", 2), (1, "z 1.2.3.4", None, 3)], "doc_id long, text string, base string, at int")
+    got = pii.detect(rows, ["doc_id", "base", "at"])
+    assert got.columns == ["doc_id", "at", "base", "spans"]
+    assert sorted((str(r["doc_id"]), r["at"], len(r["base"])) for r in got.collect()) == [("1", 2, 0), ("1", 3, 1), ("None", 1, 1), ("None", 1, 1)]
+    red = pii.redacted(rows)
+    assert red.columns == rows.columns and sorted(str(r["text"]) for r in red.collect()) == ["None", "[EMAIL]", "[EMAIL]", "z [IP]"]
 
 
 def test_addresses_with_parts_of_zero(spark):
     texts = ["10.0.0.1", "0.0.0.0", "1.2.3.00", "at 127.0.0.1, 192.168.0.1 and 010.000.255.0", "0.0.0.256", "1.0.0300.1", "0" * 3000 + ".0.0." + "0" * 3000, "0" * 3000 + ".0.0.x"]
-    out = {x["doc_id"]: x["base"] for x in pii.detect(docs(spark, texts), ["doc_id"]).select("doc_id", pii.spelled(F.col("base")).alias("base")).collect()}
-    assert [out[i] for i in range(len(texts))] == [base(t) for t in texts]
+    out = spans(spark, texts)[0]
+    assert out == [base(t) for t in texts]
     assert out[0] == "ip:0:8" and out[1] == "ip:0:7" and out[2] == "ip:0:8" and out[3].count("ip:") == 3 and out[4] == out[5] == ""
 
 

@@ -5,26 +5,14 @@ from graniteloom.llm import bpe, mixing, queries
 from graniteloom.llm.common import documents, written
 from graniteloom.llm.oracles import OP10
 from tests.comparing import oracle
-from tests.llm.test_llm import PLAIN, WORD, base, shingles
+from tests.llm import brute
+from tests.llm.test_llm import WORD, shingles
 
 
 def test_every_operator_is_registered():
     names = [n.split("_")[0] for n in queries.queries()]
     assert names == [f"op{i}" for i in range(1, 11)]
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and PLAIN
-
-
-def redacted(text):
-    spans, out, at = [], [], 0
-    for kind, start, stop in (s.split(":") for s in base(text).split(",") if s):
-        if spans and int(start) < spans[-1][2]:
-            spans[-1][2] = max(spans[-1][2], int(stop))
-        else:
-            spans.append([kind, int(start), int(stop)])
-    for kind, start, stop in spans:
-        out += [text[at:start], f"[{kind.upper()}]"]
-        at = stop
-    return "".join(out) + text[at:]
+    assert set(queries.oracle_sql()) <= set(queries.queries())
 
 
 def test_stages_against_brute_force(spark, sf_dir):
@@ -56,7 +44,8 @@ def test_stages_against_brute_force(spark, sf_dir):
                 up[max(x, y)] = min(x, y)
     assert sorted(r["doc_id"] for r in near) == sorted({find(i) for i in sets})
 
-    assert {r["doc_id"]: r["text"] for r in private} == {r["doc_id"]: redacted(given[r["doc_id"]]["text"]) for r in near}
+    texts = [given[r["doc_id"]]["text"] for r in near]
+    assert {r["doc_id"]: r["text"] for r in private} == {r["doc_id"]: brute.redacted(t, x) for r, t, x in zip(near, texts, brute.personal_data(texts), strict=True)}
 
     sizes = {r["doc_id"]: len(WORD.findall(r["text"])) for r in private}
     taken = {}
