@@ -289,4 +289,5 @@ def digests(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of the token ids, and of the text decoded from them, of every document."""
     return digests(encode(documents(spark, sf_dir).select("doc_id", "text"), vocabulary_path(), decoded="decoded"), ["doc_id"])

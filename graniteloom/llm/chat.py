@@ -7,8 +7,9 @@ Prefix sums of turn tokens choose spans of whole turns: a window holds the syste
 turns as `history` tokens allow, and new turns up to `budget`. Only new assistant texts are under the loss mask, so a
 repeated turn is never a target twice.
 
-A conversation is cut at multiples of BLOCK turn numbers (and after BLOCK rows, should turn numbers repeat): a window
-never crosses a cut, so no task gathers a conversation, however long it is.
+A conversation is laid out in parts of BLOCK turns, so no task gathers a conversation, however long it is: a new window
+begins with each part, and repeats the history before it like any other window. Turns are numbered by their place in
+blocks of turn numbers and the sums of the blocks before.
 """
 
 from __future__ import annotations
@@ -45,13 +46,13 @@ def token_count(text: Column) -> Column:
 
 
 def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, tokens: Column | None = None, target: str = "assistant") -> DataFrame:
-    """One row per window: conv_id, block, part, window, repeated, tokens, over_budget, text, spans.
+    """One row per window: conv_id, part, window, repeated, tokens, over_budget, text, spans.
 
     Needs conv_id, turn, role, text; other columns are left out. Order is by turn (null first), then role and text;
     repeated rows are turns of their own. A null conv_id is one conversation, a null role or text is empty. If the
     first turn's role is `system`, every window begins with it. repeated: leading turns that an earlier window has.
     spans: [start, stop) of each target in code points of text. A turn that exceeds the budget by itself gets its own
-    window, over_budget. An empty table gives an empty one. `tokens` is a Column over `text`.
+    window, over_budget. An empty table gives an empty one. `tokens` is a Column over `text`, at least 0.
     """
     if history < 0 or budget <= 0:
         raise ValueError("budget must be positive and history not negative")
@@ -69,13 +70,13 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, t
         F.length(escaped(F.col("role"), role=True)).alias("_role_chars"),
         F.concat(F.lit(BEGIN), escaped(F.col("role"), role=True), F.lit(AFTER_ROLE), escaped(F.col("text")), F.lit(END)).alias("f"),
     )
-    heads = base.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text", "f", "n", "block")).alias("_head"))
-    heads = heads.select(
-        F.col("conv_id").alias("_conv"),
-        F.col("_head.block").alias("_head_block"),
-        F.when(F.col("_head.role") == "system", F.col("_head.f")).otherwise("").alias("_sys"),
-        F.when(F.col("_head.role") == "system", F.col("_head.n")).otherwise(F.lit(0)).cast("long").alias("_sys_n"),
-    )
+    heads = base.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text", "f", "n")).alias("_head"))
+    is_system = F.col("_head.role") == "system"
+    heads = heads.select(F.col("conv_id").alias("_conv"), F.when(is_system, F.col("_head.f")).otherwise("").alias("_sys"), F.when(is_system, F.col("_head.n")).otherwise(F.lit(0)).cast("long").alias("_sys_n"))
+    # Places and running sums inside a block of turn numbers, and what the blocks before it sum to.
+    sums = base.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("a"), F.sum("n").alias("b"), F.sum(F.length("f").cast("long")).alias("c"))
+    earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("conv_id").alias("_conv"), F.col("block").alias("_block"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}") for c in "abc"))
     order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = base.select(
@@ -88,43 +89,40 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, t
         "n",
         F.sum("n").over(upto).alias("upto"),
         F.sum(F.length("f").cast("long")).over(upto).alias("chars"),
-    ).withColumn("part", F.expr(f"(at - 1) div {BLOCK}"))
-    turn = F.struct("at", "hit", "f", "lead", "n", "upto", "chars")
-    packed = laid.groupBy("conv_id", "block", "part").agg(F.sort_array(F.collect_list(turn)).alias("t"))
-    packed = packed.join(heads, F.col("conv_id").eqNullSafe(F.col("_conv")))
-    first = (F.col("block") == F.col("_head_block")) & (F.col("part") == 0)
-    with_head = first & (F.col("_sys") != "")
-    packed = packed.select(
-        "conv_id",
-        "block",
-        "part",
-        first.alias("_first"),
-        "_sys",
-        "_sys_n",
-        F.when(with_head, F.expr("slice(t, 2, size(t))")).otherwise(F.col("t")).alias("t"),
     )
+    laid = laid.join(offsets, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block")))
+    laid = laid.withColumns({"at": F.col("at") + F.col("_a"), "upto": F.col("upto") + F.col("_b"), "chars": F.col("chars") + F.col("_c")})
+    # A turn also goes, as history, to the parts that begin within `history` tokens after it: every turn has MARKS tokens
+    # at least, so only the last turns before a part can be meant.
+    reach = history // MARKS
+    part = F.expr(f"(at - 1) div {BLOCK}")
+    last = F.expr(f"(at - 1 + {reach}) div {BLOCK}")
+    dealt = laid.withColumn("own", part).withColumn("part", F.explode(F.sequence(part, last)))
+    turn = F.struct("at", (F.col("own") == F.col("part")).alias("own"), "hit", "f", "lead", "n", "upto", "chars")
+    packed = dealt.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(turn)).alias("t")).where("exists(t, y -> y.own)")
+    packed = packed.join(heads, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    # The system turn is in no list: every window begins with it.
+    packed = packed.select("conv_id", "part", "_sys", "_sys_n", F.when(F.col("_sys") != "", F.expr("filter(t, y -> y.at > 1)")).otherwise(F.col("t")).alias("t"))
     packed = packed.withColumn("_room", F.lit(budget) - F.col("_sys_n"))
     chosen = f"""
         aggregate(t, named_struct('w', cast(array() AS array<struct<h:int,s:int>>), 'i', 0, 'b', 0L), (a, x) ->
-          CASE WHEN a.i > 0 AND x.upto - a.b <= _room THEN named_struct('w', a.w, 'i', a.i + 1, 'b', a.b)
+          CASE WHEN NOT x.own OR size(a.w) > 0 AND x.upto - a.b <= _room THEN named_struct('w', a.w, 'i', a.i + 1, 'b', a.b)
           ELSE transform(
             array(size(filter(t, y -> y.at < x.at AND (x.upto - x.n - y.upto + y.n > {history} OR x.upto - y.upto + y.n > _room)))),
             h -> named_struct('w', concat(a.w, array(named_struct('h', h, 's', a.i))), 'i', a.i + 1, 'b', t[h].upto - t[h].n))[0]
-          END, a -> CASE WHEN size(a.w) = 0 THEN array(named_struct('h', 0, 's', 0)) ELSE a.w END)"""
+          END, a -> CASE WHEN size(a.w) = 0 THEN array(named_struct('h', size(t), 's', size(t))) ELSE a.w END)"""
     cut = packed.withColumn("_w", F.expr(chosen))
     cut = cut.select("*", F.expr("posexplode(_w) AS (window, _at)"))
     cut = cut.select(
         "conv_id",
-        "block",
         "part",
         "window",
-        "_first",
         "_sys",
         "_sys_n",
         F.expr("_at.s - _at.h").alias("_n_history"),
         F.expr("slice(t, _at.h + 1, coalesce(get(_w, window + 1).s, size(t)) - _at.h)").alias("x"),
     )
-    repeated = F.col("_n_history") + F.when((F.col("_sys") != "") & ~(F.col("_first") & (F.col("window") == 0)), 1).otherwise(0)
+    repeated = F.col("_n_history") + F.when((F.col("_sys") != "") & ((F.col("part") > 0) | (F.col("window") > 0)), 1).otherwise(0)
     used = F.col("_sys_n") + F.expr("aggregate(x, 0L, (a, y) -> a + y.n)")
     spans = """
         transform(filter(slice(x, _n_history + 1, size(x)), y -> y.hit), y ->
@@ -132,7 +130,6 @@ def windows(turns: DataFrame, *, budget: int = BUDGET, history: int = HISTORY, t
             named_struct('start', b + y.lead, 'stop', b + length(y.f) - {end}))[0])""".format(end=len(END))
     return cut.select(
         "conv_id",
-        "block",
         "part",
         "window",
         repeated.cast("int").alias("repeated"),
@@ -162,11 +159,11 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every conversation, read back from its windows. A digest needs a conversation's text in one row."""
     said = "\\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = F.array(*(F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(said).alias("text")) for i, r in enumerate(("user", "assistant"))))
+    extra = spark.range(1).select(F.inline(rows))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     read = read_back(windows(turns)).select(
         "conv_id",
-        "block",
         "part",
         "window",
         F.size("turns").cast("long").alias("n"),
@@ -177,7 +174,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = read.groupBy("conv_id").agg(
         F.sum("n").alias("n_turns"),
         F.sum("chars").alias("formatted_chars"),
-        F.sort_array(F.collect_list(F.struct("block", "part", "window", "turns", "loss"))).alias("w"),
+        F.sort_array(F.collect_list(F.struct("part", "window", "turns", "loss"))).alias("w"),
     )
     turns_text, loss_text = (F.array_join(F.col(f"w.{c}"), "") for c in ("turns", "loss"))
     return whole.select(

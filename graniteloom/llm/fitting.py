@@ -31,11 +31,11 @@ def expanded(x: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> dict[str, np.ndarray]:
-    """Logistic regression on standardised quadratic features, by Newton steps. With one class only, or no rows, the
-    model is the constant (n1 + 1) / (n + 2)."""
+    """Logistic regression on standardised quadratic features, by Newton steps. With one class only, or no features,
+    the model is the constant (n1 + 1) / (n + 2)."""
     prior = (float(y.sum()) + 1) / (len(y) + 2)
-    wide = expanded(x) if len(y) else np.zeros((0, 0))
-    if len(y) == 0 or y.min() == y.max():
+    wide = expanded(x) if len(x) else np.zeros((0, 0))
+    if len(x) == 0 or y.min() == y.max():
         return {"mean": np.zeros(0), "scale": np.ones(0), "w": np.array([np.log(prior / (1 - prior))])}
     mean, scale = wide.mean(0), wide.std(0) + 1e-9
     z = np.hstack([np.ones((len(y), 1)), np.clip((wide - mean) / scale, -8, 8)])

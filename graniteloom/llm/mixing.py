@@ -3,7 +3,8 @@
 Sources get integer numbers of blocks by the highest quotients weight/(2k+1); inside a source, whole passes over it
 come first and the rest is apportioned to hash shards of the source in the same way. In each shard the documents lie
 in a seeded order, and the shard's quota is a run of blocks from a seeded start. No source is handled by one task:
-only sums for each (source, shard) meet, and the order is made inside a shard.
+only sums for each (source, shard) meet, and the order is made inside a shard. A source has a shard for every
+SHARD_ROWS rows of the whole table, so shards do not grow with the input.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graniteloom.llm.common import documents, text_of, word_count, written
+from graniteloom.llm.common import documents, fields_of, kept, row_of, text_of, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
-SHARDS = 256
+#: Least number of shards of a source, and rows of the whole table for each further one.
+SHARDS, SHARD_ROWS = 256, 1 << 16
 BLOCKS = 1 << 20
 SEED = 20
 
@@ -100,45 +102,53 @@ def quotas(cells: DataFrame, blocks: int, weights: tuple[float, ...], most: int)
     return dealt.withColumn("_rest", F.least(F.col("_quota") * F.col("_block"), F.col("_words"))).drop("_weight", "_share", "_quota")
 
 
-def plan(docs: DataFrame, keep: list[str], *, weights=WEIGHTS, most: int = MOST_TIMES, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """keep, size, source_size, target, taken of each row, and where the words of its partial copy lie.
-
-    taken = _passes * size + _head + _tail: the partial copy is the first _head and the last _tail words. Sizes are
-    words; a null or empty text has none and takes none. A null source is one source, after the others. An empty
-    table gives an empty plan. Equal rows may differ in taken by their partial copy.
-    """
-    clash = {"size", "source_size", "target", "taken"} & set(keep)
-    if clash:
-        raise ValueError(f"{sorted(clash)} would be there twice")
-    base = written(
-        docs.select(
-            *keep,
-            word_count(text_of()).alias("size"),
-            F.col("source").isNull().alias("_null"),
-            F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_src"),
-            F.xxhash64(F.lit(seed), "doc_id").alias("_at"),
-        ).withColumn("_shard", F.pmod("_at", F.lit(shards)).cast("int"))
-    )
+def _place(seed: int, *parts: Column | str) -> Column:
+    """60 bits of the MD5 digest of seed and parts, which any engine can compute."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+
+
+def _laid(docs: DataFrame, row: Column, weights, most: int, shards: int | None, blocks: int, seed: int) -> DataFrame:
+    """row, size, source_size, target, passes, head and tail of each row of docs."""
+    shards = shards or max(SHARDS, -(-docs.count() // SHARD_ROWS))
+    base = docs.select(
+        row.alias("row"),
+        word_count(text_of()).alias("size"),
+        F.col("source").isNull().alias("_null"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_src"),
+        # Rows without an id of their own lie where their text puts them.
+        _place(seed, F.coalesce(F.col("doc_id").cast("string"), F.md5(text_of()))).alias("_at"),
+        F.md5(text_of()).alias("_tie"),
+    ).withColumn("_shard", F.pmod("_at", F.lit(shards)).cast("int"))
+    base = written(base)
     cell = ["_null", "_src", "_shard"]
     quota = quotas(base.groupBy(*cell).agg(F.sum("size").alias("_words")), blocks, tuple(weights), most)
-    order = Window.partitionBy(*cell).orderBy("_at", *keep, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*cell).orderBy("_at", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = base.withColumn("_begin", F.sum("size").over(order) - F.col("size")).join(quota, cell)
-    start = F.pmod(F.xxhash64(F.lit(seed + 1), *cell), F.greatest(F.lit(1), F.expr("_words div _block"))) * F.col("_block")
+    turn = F.pmod(_place(seed + 1, F.when(F.col("_null"), "null").otherwise("source"), "_src", F.col("_shard").cast("string")), F.greatest(F.lit(1), F.expr("_words div _block")))
+    start = turn * F.col("_block")
     turned = laid.withColumn("_begin", F.when(F.col("_words") > 0, F.pmod(F.col("_begin") - start, F.nullif(F.col("_words"), F.lit(0)))).otherwise(0))
     # A row's words lie at [_begin, _begin + size), going on at 0 after _words; those below _rest are taken.
     head = F.greatest(F.lit(0), F.least(F.col("_rest") - F.col("_begin"), F.col("size")))
     tail = F.greatest(F.lit(0), F.least(F.col("_rest"), F.col("_begin") + F.col("size") - F.col("_words")))
-    cut = turned.withColumn("_head", head).withColumn("_tail", tail)
-    return cut.select(
-        *keep,
-        "size",
-        F.col("source_size").cast("long").alias("source_size"),
-        "target",
-        (F.col("_passes") * F.col("size") + F.col("_head") + F.col("_tail")).cast("long").alias("taken"),
-        F.col("_passes").cast("long").alias("_passes"),
-        F.col("_head").cast("long").alias("_head"),
-        F.col("_tail").cast("long").alias("_tail"),
-    )
+    return turned.select("row", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("_passes").cast("long").alias("passes"), head.cast("long").alias("head"), tail.cast("long").alias("tail"))
+
+
+def _taken() -> Column:
+    return F.col("passes") * F.col("size") + F.col("head") + F.col("tail")
+
+
+def plan(docs: DataFrame, keep: list[str], *, weights=WEIGHTS, most: int = MOST_TIMES, shards: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """keep, size, source_size, target and taken of each row.
+
+    Sizes are words; a null or empty text has none and takes none. A null source is one source, after the others. Rows
+    are told apart by their place in the table: a null or repeated doc_id is a row like any other, and of wholly equal
+    rows either may be the one that is taken in part. An empty table gives an empty plan. A column of keep with the
+    name of a result gives way to it.
+    """
+    made = ["size", "source_size", "target", "taken"]
+    stay = kept(keep, *made)
+    laid = _laid(docs, row_of(stay), weights, most, shards, blocks, seed)
+    return laid.select(*fields_of("row", stay), "size", "source_size", "target", _taken().cast("long").alias("taken"))
 
 
 def partial_text(text: Column, size: Column, head: Column, tail: Column) -> Column:
@@ -148,20 +158,27 @@ def partial_text(text: Column, size: Column, head: Column, tail: Column) -> Colu
     return F.when(head + tail >= size, text).otherwise(F.array_join(chosen, ""))
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself, with the columns of docs: each document once for each whole copy taken, and once with the words
-    of its partial copy. Needs doc_id (unique), source and text; n_chars follows the text if it is there."""
-    chosen = plan(docs, ["doc_id"], **how).where("taken > 0")
-    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    joined = body.join(chosen.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_passes", "_head", "_tail"), "_id")
-    part = F.col("_head") + F.col("_tail")
-    copies = F.array_repeat(F.lit(True), F.col("_passes").cast("int"))
-    each = joined.withColumn("_whole", F.explode(F.concat(copies, F.when(part > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>")))))
-    text = F.when(F.col("_whole"), F.col("_text")).otherwise(partial_text(F.col("_text"), F.col("_size"), F.col("_head"), F.col("_tail")))
-    made = {"text": F.col("_new"), "n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": F.col("_new")}
-    each = each.withColumn("_new", text)
+def mixed(docs: DataFrame, *, weights=WEIGHTS, most: int = MOST_TIMES, shards: int | None = None, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of docs: each row once for each whole copy taken, and once with the words of its
+    partial copy. Needs doc_id, source and text; n_chars follows the text if it is there. Null and repeated ids, odd
+    texts and empty tables are as in plan(); other columns pass through whatever their names."""
+    # Rows get a number that is written with them, so that the plan finds its row again whatever the ids are.
+    body = written(docs.select(row_of(docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")))
+    numbered = body.select(F.col("row").getField("doc_id").alias("doc_id"), F.col("row").getField("source").alias("source"), F.col("row").getField("text").alias("text"), "at")
+    chosen = _laid(numbered, F.col("at"), weights, most, shards, blocks, seed).where(_taken() > 0)
+    joined = body.join(chosen.select(F.col("row").alias("at"), "size", "passes", "head", "tail"), "at")
+    copies = F.array_repeat(F.lit(True), F.col("passes").cast("int"))
+    part = F.when(F.col("head") + F.col("tail") > 0, F.array(F.lit(False))).otherwise(F.array().cast("array<boolean>"))
+    each = joined.withColumn("whole", F.explode(F.concat(copies, part)))
+    given = F.col("row").getField("text")
+    text = F.when(F.col("whole"), given).otherwise(partial_text(given, F.col("size"), F.col("head"), F.col("tail")))
+    each = each.select("row", text.alias("new"))
+    made = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
     return each.select(*(made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size, its source's size and target, and the words taken, for every document."""
     return plan(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")

@@ -22,14 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graniteloom.llm.common import documents, written
+from graniteloom.llm.common import documents, fields_of, row_of, written
 from graniteloom.llm.components import components
 from graniteloom.llm.shingles import set_key, shingle_sets
 
 #: Frequent shingles that the order knows (a bound on what is broadcast), and shingles counted at a time.
 FREQUENT, COUNTED = 1 << 18, 2_000_000
-#: Most candidate ids that are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Most bytes of candidate ids (16 each) that are broadcast; more are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Documents of a block, shingles of a block, children of a tree node, bits of a signature.
 BLOCK_DOCS, BLOCK_SHINGLES, FANOUT, BITS = 256, 1 << 18, 8, 1024
 
@@ -130,7 +130,7 @@ def _candidates(docs: DataFrame, first: DataFrame, order) -> DataFrame:
     able = able.where("have >= lacks").select(F.col("k").alias("k1"))
     reps = first.where("token IS NULL AND n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"))
     ids = written(reps.join(able, "k1").select(F.col("id").alias("_id")).distinct())
-    chosen = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, F.col("id") == F.col("_id")).select("id", "text")
+    chosen = docs.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, F.col("id") == F.col("_id")).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,11 +150,29 @@ def _candidates(docs: DataFrame, first: DataFrame, order) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "s"])
 
     able = written(chosen.mapInArrow(run, "id long, s array<long>").select("id", F.size("s").cast("long").alias("n"), "s"))
-    # Of these, a linked set shares four fifths of all its shingles with others.
+    # Of these, a linked set shares four fifths of all its shingles with others. Those known as frequent surely are
+    # shared, and are counted where they lie: only the others, which few sets hold, meet by shingle.
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequency = Order(*order.value).frequency
+        for batch in batches:
+            ids, sizes, known, tokens = [], [], [], []
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                s = s.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                plain = s[frequency(s) == 0]
+                # One row more, without a partner for sure, keeps sets whose shingles are all frequent.
+                tokens.append(np.append(plain, np.array([i], dtype=np.int64).view(np.uint64)))
+                ids.append(np.full(len(plain) + 1, i, dtype=np.int64))
+                sizes.append(np.full(len(plain) + 1, len(s), dtype=np.int64))
+                known.append(np.append(np.full(len(plain), -1), len(s) - len(plain)))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate(tokens))), *(pa.array(np.concatenate(x)) for x in (ids, sizes, known))], ["token", "id", "n", "known"])
+
+    each = able.select("id", "s").mapInArrow(rare, "token long, id long, n long, known long")
     one = Window.partitionBy("token")
-    each = able.select("id", "n", F.explode("s").alias("token"))
-    held = each.withColumn("_lo", F.min("id").over(one)).withColumn("_hi", F.max("id").over(one)).where("_lo <> _hi")
-    kept = held.groupBy("id", "n").agg(F.count(F.lit(1)).alias("have")).where("5 * have >= 4 * n").select("id").distinct()
+    held = each.withColumn("_lo", F.min("id").over(one)).withColumn("_hi", F.max("id").over(one)).where("known >= 0 OR _lo <> _hi")
+    have = F.count_if(F.col("known") < 0) + F.max(F.greatest("known", F.lit(0)))
+    kept = held.groupBy("id", "n").agg(have.alias("have")).where("5 * have >= 4 * n").select("id")
     return written(able.join(kept, "id"))
 
 
@@ -290,12 +308,13 @@ def links_of(candidates: DataFrame, order) -> DataFrame:
 
     known = components(one).select("id", "component")
     labelled = members.join(known, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    counts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
-    open_ = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_labels"), F.max_by("label", F.struct("m", "label")).alias("_major")).where("_labels > 1")
+    counts = labelled.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("t"))
+    open_ = counts.groupBy("token").agg(F.count(F.lit(1)).alias("_labels"), F.max_by("label", F.struct("m", "label")).alias("_major"), F.sum("t").alias("t")).where("_labels > 1")
     labelled = written(labelled.join(open_, "token").withColumn("minor", F.col("label") != F.col("_major")).drop("_labels", "_major"))
-    whole = labelled.where(F.col("c") <= BLOCK_DOCS)
+    one_task = (F.col("c") <= BLOCK_DOCS) & (F.col("t") <= BLOCK_SHINGLES)
+    whole = labelled.where(one_task)
     whole = _compared(whole.withColumn("side", F.lit(2)), candidates, ["token"])
-    parts = _blocks(labelled.where(F.col("c") > BLOCK_DOCS).withColumn("class", _size_class()), ["token", "class", "minor"])
+    parts = _blocks(labelled.where(~one_task).withColumn("class", _size_class()), ["token", "class", "minor"])
     parts = written(parts)
     node = parts.select("token", "class", "minor", "block").distinct()
     other = node.select("token", F.col("class").alias("class2"), F.col("minor").alias("minor2"), F.col("block").alias("block2"))
@@ -315,7 +334,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     A null or empty text, or one without words, has no shingles and links with nothing; a text of fewer than five
     words has its word sequence as its one shingle. Texts are read whole. Rows with the same doc_id are one document;
-    a null doc_id links with nothing and its component_id is null. An empty table gives an empty one.
+    a null doc_id links with nothing and its component_id is null. An empty table gives an empty one; other columns are
+    left out.
     """
     spark = docs.sparkSession
     body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
@@ -333,10 +353,24 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is that of their component: one document of each group of near copies stays."""
-    kept = near_copies(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    """One row of docs of each group of near copies stays: that of the smallest doc_id, null last.
+
+    Rows are told apart by their place in the table, so rows with a null or a repeated doc_id are documents like any
+    other; of rows with equal ids the earlier stays. A row without words stays. Needs doc_id and text; all columns pass
+    through whatever their names. An empty table gives an empty one.
+    """
+    body = written(docs.select(row_of(docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")))
+    found = near_copies(body.select(F.col("at").alias("doc_id"), F.col("row").getField("text").alias("text")))
+    found = found.select(F.col("doc_id").alias("at"), "component_id")
+    ids = body.select("at", F.col("row").getField("doc_id").alias("doc_id"))
+    # Only groups of two or more need a look at their ids; the others' rows stay as they are.
+    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    grouped = written(found.join(many, "component_id"))
+    first = grouped.join(ids, "at").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("least"))
+    gone = grouped.join(first.select(F.col("least.at").alias("at"), F.lit(True).alias("stays")), "at", "left").where("stays IS NULL").select("at")
+    return body.join(gone, "at", "left_anti").select(*fields_of("row", docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of the shingle set and component of every document."""
     return near_copies(documents(spark, sf_dir))

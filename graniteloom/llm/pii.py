@@ -165,7 +165,7 @@ def _patterns(w: str, at: str, one: str) -> str:
 
 
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """row (keep), text, base (base spans) and marks (seeds and candidates with their patterns) of each row."""
+    """row (keep), base (base spans) and marks (seeds and candidates with their patterns) of each row."""
     text = docs.select(row_of(keep).alias("row"), text_of().alias("text"))
     found = text.withColumn("base", base_spans(F.col("text")))
     # The explode of one row keeps Catalyst from unfolding the spans into every expression below.
@@ -173,9 +173,9 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     found = found.withColumn("all", F.concat("base", _candidates(F.col("text"), F.col("base"))))
     found = found.select("row", "text", "base", F.explode(F.array("all")).alias("all"))
     words = F.when(F.size("all") > 0, words_of(F.lower("text"))).otherwise(F.array().cast("array<string>"))
-    found = found.select("row", "text", "base", "all", F.explode(F.array(words)).alias("w"))
+    found = found.select("row", "base", "all", F.explode(F.array(words)).alias("w"))
     marks = f"transform(all, s -> named_struct('start', s.start, 'stop', s.stop, 'kind', s.kind, 'value', s.value, 'patterns', {_patterns('w', 's.first', 's.first = s.last')}))"
-    return found.select("row", "text", "base", F.expr(marks).alias("marks"))
+    return found.select("row", "base", F.expr(marks).alias("marks"))
 
 
 def place_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -231,7 +231,7 @@ def detect(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def _detected(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """row, text, base and spans."""
+    """row, base and spans."""
     found = written(scanned(docs, keep).withColumn("at", F.monotonically_increasing_id()))
     marks = found.select("at", F.explode("marks").alias("m")).select("at", "m.*")
     lexicon = discovered(docs, marks.select("kind", "value", "patterns"))
@@ -240,7 +240,7 @@ def _detected(docs: DataFrame, keep: list[str]) -> DataFrame:
     both = found.join(more, "at", "left")
     base = F.transform("base", lambda s: F.struct(s["start"], s["stop"], s["kind"], s["value"]))
     added = F.coalesce("more", F.expr("cast(array() AS array<struct<start:int,stop:int,kind:string,value:string>>)"))
-    return both.select("row", "text", _ordered(base).alias("base"), _ordered(F.concat(base, added)).alias("spans"))
+    return both.select("row", _ordered(base).alias("base"), _ordered(F.concat(base, added)).alias("spans"))
 
 
 def replaced(text: Column, spans: Column) -> Column:

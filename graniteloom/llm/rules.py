@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graniteloom.llm.common import SPACES, text_of, words_of
+from graniteloom.llm.common import SPACES, documents, fields_of, kept, row_of, text_of, words_of
 
 #: Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -103,18 +103,28 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+MADE = (
+    "n_symbols word_chars n_lines n_dup_lines n_words n_stop n_repeat_words mean_word_chars symbol_ratio stop_ratio repeat_ratio dup_line_ratio base_failed failed_rules kept"
+).split()
+
+
 def judged(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, base_failed, the names of the failed rules and kept, for each row of docs.
 
     base_failed: fewer than 10 words, or more than a fifth of the words in repeated windows. kept is false for
-    those and for texts that fail any rule. Rows are independent: equal rows get equal results, an empty table
-    gives an empty one, and no row is moved between tasks.
+    those and for texts that fail any rule. Rows are independent, so null and repeated ids do not matter: equal rows
+    get equal results, an empty table gives an empty one, and no row is moved between tasks. A column of keep with the
+    name of a result gives way to it.
     """
-    clash = {"_t", "_w", "_h", "_s", "_p", "_lines"} & set(keep)
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are used by the operator; rename them first")
+    stay = kept(keep, *MADE)
+    verdict = _judged(docs.select(row_of(stay).alias("_row"), text_of().alias("text")), rules)
+    return verdict.select(*fields_of("_row", stay), *MADE)
+
+
+def _judged(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """_row and the results, for rows of _row and text."""
     n = F.nullif(F.col("n_words"), F.lit(0))
-    ratios = measures(docs, keep).select(
+    ratios = measures(rows, ["_row"]).select(
         "*",
         (F.col("word_chars") / n).alias("mean_word_chars"),
         (F.col("n_symbols") / n).alias("symbol_ratio"),
@@ -130,18 +140,17 @@ def judged(docs: DataFrame, keep: list[str], rules: tuple[Rule, ...] = RULES) ->
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs that pass, with the columns of docs: the filtering form of `judged`.
 
-    Needs a text column; other columns pass through whatever their names, but for a few starting with "_".
+    Needs a text column; other columns pass through whatever their names. Rows with a null text fail.
     """
-    body = docs.select(F.struct("*").alias("row"), "text")
+    body = docs.select(row_of(docs.columns).alias("_row"), "text")
     # The one-row explode keeps the filter from being pushed down, where the verdict's expressions would be unfolded
     # into each other and evaluated again and again.
-    verdict = judged(body, ["row"], rules).select("row", F.explode(F.array("kept")).alias("kept"))
-    return verdict.where("kept").select("row.*")
+    verdict = _judged(body, rules).select("_row", F.explode(F.array("kept")).alias("kept"))
+    return verdict.where("kept").select(*fields_of("_row", docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    from graniteloom.llm.common import documents
-
+    """Counts and verdict of every document."""
     return judged(documents(spark, sf_dir), ["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

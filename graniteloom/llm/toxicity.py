@@ -1,10 +1,15 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Tokens get log-odds of toxic against clean labelled text with informative Dirichlet priors: a token's prior is its
-share of all labelled text. Words fall back on their stem (first letters), so unseen forms of a known stem count.
-A linear-time scan (all maximal scoring segments) finds every toxic passage of a text; a passage's score S in a text
-of m tokens has the extreme-value expectation E = K m exp(-lambda S), and the evidence -ln E of the passages is
-aggregated and calibrated to a probability.
+share of all labelled text. Tokens are counted in a fixed number of hash buckets, so what is sent to the tasks has a
+bound whatever the vocabulary. A bucket whose log-odds are significant, toxic or clean, keeps them; all other tokens
+share the log-odds of their pooled counts. Words without a significant bucket fall back on their stem (first letters),
+so unseen forms of a known stem count. Every token's score is its log-odds less DRIFT: clean text must drift downwards
+for its segments to end.
+
+A linear-time scan (all maximal scoring segments) finds every toxic passage of a text. In clean text of m tokens,
+K m exp(-lambda S) passages of a score of S or more are expected; lambda and K are fitted to the passages of clean
+labelled texts. The evidence lambda S - ln(K m) of a text's passages is aggregated and calibrated to a probability.
 """
 
 from __future__ import annotations
@@ -19,13 +24,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graniteloom.llm.common import documents, table, text_of, written
+from graniteloom.llm.common import documents, fields_of, kept, row_of, table, text_of, words_of, written
 from graniteloom.llm.fitting import fit_logistic, held_out, logistic, sample_ids
 
-#: Least toxic texts a token is in, least z-score, letters of the stems, weight of the prior.
-LEAST_TEXTS, LEAST_Z, STEMS, PRIOR = 3, 3.7, (4, 5, 6, 7, 8), 10.0
-#: Most labelled rows of each class that calibrate, and most labels that are broadcast (more are joined by a shuffle).
-DOCS, BROADCAST_ROWS = 4000, 1_000_000
+#: Hash buckets of tokens; a significant one takes 8 bytes of what is broadcast, so 32 MB at most.
+BUCKETS = 1 << 22
+#: Least texts a token is in, least z-score and toxic log-odds, letters of the stems, weight of the prior, drift.
+LEAST_TEXTS, LEAST_Z, LEAST_ODDS, STEMS, PRIOR, DRIFT = 3, 3.7, 1.0, (4, 5, 6, 7, 8), 10.0, 1.0
+#: Most labelled rows of each class that calibrate; most bytes of labels (32 a row) that are broadcast: more of them are
+#: joined by a shuffle.
+DOCS, BROADCAST_BYTES = 4000, 32 << 20
 SEED = 1
 TOKEN = re.compile(r"[^\W\d_]+")
 SPANS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("score", T.DoubleType())]))
@@ -34,69 +42,92 @@ ARROW_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64()), (
 REMEMBERED = 300_000
 
 
-def lexicon(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> DataFrame:
-    """token, log_odds, z of all toxic tokens: words, and stems that begin with "~".
+def bucket_counts(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> DataFrame:
+    """bucket, y1 and y0: toxic and clean labelled texts that hold a token of the bucket (words, and stems that begin
+    with "~"), over all labelled rows.
 
-    Counts are texts that hold the token, over all labelled rows; texts that share their least hash of three words,
-    as copies and near copies mostly do, count once.
+    Texts of one label that share their least hash of three words, as copies and near copies mostly do, share one vote:
+    each of n such texts counts 1/n. A row of bucket -1 holds the votes of all texts.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    known = F.broadcast(known) if labels.count() <= BROADCAST_ROWS else known
-    words = docs.select("doc_id", F.regexp_extract_all(F.lower(text_of()), F.lit(r"\p{L}+"), F.lit(0)).alias("_w")).join(known, "doc_id")
-    least = F.expr("coalesce(array_min(transform(_w, (w, i) -> xxhash64(w, get(_w, i + 1), get(_w, i + 2)))), 0)")
-    body = written(words.select("doc_id", "_label", least.alias("_least"), F.array_distinct("_w").alias("_w")))
-    once = body.groupBy("_label", "_least").agg(F.min("doc_id").alias("doc_id"))
-    body = written(body.join(once.select("doc_id").distinct(), "doc_id", "left_semi"))
+    known = F.broadcast(known) if labels.count() * 32 <= BROADCAST_BYTES else known
+    flat = F.lower(text_of())
+    words = docs.select("doc_id", F.regexp_extract_all(flat, F.lit(r"\p{L}+"), F.lit(0)).alias("_w"), words_of(flat).alias("_s")).join(known, "doc_id")
+    least = F.expr("coalesce(array_min(transform(_s, (w, i) -> xxhash64(w, get(_s, i + 1), get(_s, i + 2)))), 0)")
+    body = written(words.select("_label", least.alias("_least"), F.array_distinct("_w").alias("_w")))
+    votes = body.groupBy("_label", "_least").agg((1 / F.count(F.lit(1))).alias("_vote"))
     stems = ", ".join(f"transform(filter(_w, w -> length(w) > {n}), w -> concat('~', left(w, {n})))" for n in STEMS)
-    each = body.select("_label", F.explode(F.expr(f"concat(_w, array_distinct(concat({stems})))")).alias("token"))
-    counts = each.groupBy("token").agg(F.sum("_label").alias("y1"), F.sum(1 - F.col("_label")).alias("y0")).where(F.col("y1") >= LEAST_TEXTS)
-    n1, n0 = (int(v or 0) for v in body.agg(F.sum("_label"), F.sum(1 - F.col("_label"))).first())
-    # The prior of a token is PRIOR texts of either class, with the token's rate in all labelled texts.
-    prior = F.greatest((F.col("y1") + F.col("y0")) / max(1, n1 + n0) * PRIOR, F.lit(0.05))
+    # Tokens are summed within a group of copies before the group's vote is joined, which is small beside them.
+    hashed = F.expr(f"array_distinct(transform(concat(array('~'), _w, {stems}), t -> CASE WHEN t = '~' THEN -1L ELSE pmod(xxhash64(t), {BUCKETS}L) END))")
+    each = body.select("_label", "_least", F.explode(hashed).alias("bucket"))
+    each = each.groupBy("_label", "_least", "bucket").agg(F.count(F.lit(1)).alias("_n")).join(votes, ["_label", "_least"])
+    share = F.col("_n") * F.col("_vote")
+    return each.groupBy("bucket").agg(F.sum(F.when(F.col("_label") == 1, share).otherwise(0.0)).alias("y1"), F.sum(F.when(F.col("_label") == 0, share).otherwise(0.0)).alias("y0"))
+
+
+def lexicon(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> dict:
+    """buckets (sorted) and odds of the significant buckets, other (log-odds of all the rest), as arrays and a number."""
+    counts = written(bucket_counts(docs, labels, label=label))
+    totals = counts.where("bucket = -1").first()
+    n1, n0 = (float(totals["y1"]), float(totals["y0"])) if totals else (0.0, 0.0)
+    # The prior of a bucket is PRIOR texts of either class, with the bucket's rate in all labelled texts.
+    prior = F.greatest((F.col("y1") + F.col("y0")) / max(1.0, n1 + n0) * PRIOR, F.lit(0.05))
     a, b = F.col("y1") + prior, F.col("y0") + prior
     odds = F.log(a / F.greatest(n1 + PRIOR - a, F.lit(0.5))) - F.log(b / F.greatest(n0 + PRIOR - b, F.lit(0.5)))
-    scored = counts.select("token", odds.alias("log_odds"), (odds / F.sqrt(1 / a + 1 / F.greatest(b, F.lit(0.5)))).alias("z"))
-    return scored.where((F.col("z") >= LEAST_Z) & (F.col("log_odds") > 1))
+    scored = counts.where("bucket >= 0").select("bucket", "y1", "y0", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
+    toxic = (F.col("y1") >= LEAST_TEXTS) & (F.col("z") >= LEAST_Z) & (F.col("odds") > LEAST_ODDS)
+    clean = (F.col("y0") >= LEAST_TEXTS) & (F.col("z") <= -LEAST_Z)
+    found = scored.where(toxic | clean).select("bucket", "odds").toPandas().sort_values("bucket")
+    rest = scored.agg(*(F.coalesce(F.sum(F.when(toxic | clean, 0.0).otherwise(F.col(c))), F.lit(0.0)).alias(c) for c in ("y1", "y0")), *(F.coalesce(F.sum(c), F.lit(0.0)).alias(f"{c}s") for c in ("y1", "y0"))).first()
+    other = float(np.log((rest["y1"] + 1) / (rest["y1s"] + 1)) - np.log((rest["y0"] + 1) / (rest["y0s"] + 1)))
+    return {"buckets": found["bucket"].to_numpy(dtype=np.int32), "odds": found["odds"].to_numpy(dtype=np.float32), "other": other}
 
 
-def maximal_segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (begin, end, score) of a token sequence in linear time.
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (begin, end, score) of a sequence of token scores, in linear time.
 
-    hits: positions and scores of the tokens above 0, by position; every other token scores -gap. Runs of those count
-    as one step, so the work is in proportion to the hits.
+    Candidates lie on a stack, each with its sums before and up to it, and a link to the nearest earlier one of a lower
+    sum before: a new positive token is joined to that one if the sum up to it is higher, and so on along the links.
     """
-    stack: list[list[float]] = []  # begin, end, sum before it, sum up to its end
-    total, last = 0.0, -1
-    for at, score in hits:
-        total -= gap * (at - last - 1)
-        last = at
-        new = [at, at + 1, total, total + score]
-        total += score
-        while stack:
-            # The nearest earlier segment whose left sum is lower; those in between cannot be joined.
-            k = len(stack) - 1
-            while k >= 0 and stack[k][2] >= new[2]:
-                k -= 1
-            if k < 0 or stack[k][3] >= new[3]:
-                break
-            new = [stack[k][0], new[1], stack[k][2], new[3]]
+    sums = np.cumsum(scores, dtype=np.float64)
+    at = np.flatnonzero(scores > 0)
+    stack: list[tuple[int, int, float, float, int]] = []  # begin, end, sum before, sum up to its end, link
+    for i, upto, own in zip(at.tolist(), sums[at].tolist(), scores[at].tolist(), strict=True):
+        begin, left = i, upto - own
+        k = len(stack) - 1
+        while k >= 0 and stack[k][2] >= left:
+            k = stack[k][4]
+        while k >= 0 and stack[k][3] < upto:
+            begin, left = stack[k][0], stack[k][2]
+            link = stack[k][4]
             del stack[k:]
-        stack.append(new)
-    return [(int(b), int(e), r - left) for b, e, left, r in stack]
+            k = link
+        stack.append((begin, i + 1, left, upto, k))
+    return [(b, e, upto - left) for b, e, left, upto, _ in stack]
 
 
 class Passages:
     """Toxic passages of texts, from a lexicon."""
 
-    def __init__(self, scores: dict[str, float], gap: float):
-        self.scores, self.gap, self.known = scores, gap, {}
+    def __init__(self, lexicon: dict):
+        self.buckets, self.odds = lexicon["buckets"], lexicon["odds"]
+        self.neutral = lexicon["other"] - DRIFT
+        self.known: dict[str, float] = {}
+
+    def significant(self, token: str) -> float | None:
+        import xxhash
+
+        bucket = xxhash.xxh64_intdigest(token.encode(), seed=42) % BUCKETS
+        at = int(np.searchsorted(self.buckets, bucket))
+        return float(self.odds[at]) if at < len(self.buckets) and self.buckets[at] == bucket else None
 
     def token(self, token: str) -> float:
-        """The score of a token above 0: its own, else that of its longest stem in the lexicon, else 0."""
-        score = self.scores.get(token, 0.0)
+        """The score of a token: by its own log-odds, else those of its longest stem that has any, else the others'."""
+        odds = self.significant(token)
         for n in reversed(STEMS):
-            if score == 0.0 and len(token) > n:
-                score = self.scores.get("~" + token[:n], 0.0)
+            if odds is None and len(token) > n:
+                odds = self.significant("~" + token[:n])
+        score = self.neutral if odds is None else odds - DRIFT
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[token] = score
@@ -109,75 +140,76 @@ class Passages:
         """
         tokens = TOKEN.findall(text.lower())
         get = self.known.get
-        scores = [get(t) for t in tokens]
-        hits = []
-        for at, score in enumerate(scores):
-            if score is None:
-                score = self.token(tokens[at])
-            if score > 0.0:
-                hits.append((at, score))
-        return len(tokens), maximal_segments(hits, self.gap)
+        scores = np.array([s if (s := get(t)) is not None else self.token(t) for t in tokens], dtype=np.float64)
+        return len(tokens), maximal_segments(scores)
 
 
-def features(m: int, scores: list[float], k: float) -> list[float]:
-    """Best score, best and summed evidence -ln(K m exp(-score)) of the passages, and the log of the length."""
-    evidence = [max(0.0, s - np.log(k * max(m, 1))) for s in scores]
-    return [max(scores, default=0.0), max(evidence, default=0.0), float(np.log1p(sum(evidence))), float(np.log1p(m))]
+def tail(scores: np.ndarray, tokens: float) -> tuple[float, float]:
+    """lambda and K of clean passages: an exponential tail above the median score, by maximum likelihood. Too few
+    passages (under 20) leave lambda at 1."""
+    if len(scores) < 20:
+        return 1.0, float((len(scores) + 0.5) / max(1.0, tokens))
+    least = float(np.median(scores))
+    beyond = scores[scores > least]
+    rate = float(np.clip(1 / max(1e-9, float((beyond - least).mean()) if len(beyond) else 1.0), 0.1, 10.0))
+    return rate, float((len(beyond) + 0.5) / max(1.0, tokens) * np.exp(rate * least))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = DOCS, seed: int = SEED) -> dict:
-    """Lexicon, gap, K and calibration. labels: doc_id and label (0 clean, 1 toxic, null ignored) to learn from.
+def evidence(m: int, scores: list[float], rate: float, k: float) -> list[float]:
+    """-ln(K m exp(-lambda S)) of the best passage of a text of m tokens, and the logarithm of the sum of those above 0."""
+    each = [rate * s - float(np.log(k * max(m, 1))) for s in scores]
+    return [max(each, default=-1.0), float(np.log1p(sum(e for e in each if e > 0)))]
 
-    With lambda = 1 (scores are log-odds), K is set so that clean sample texts have as many passages with a score of
-    at least s as K m exp(-s) says, at the s that an eighth of the lexicon's tokens reaches.
-    """
-    scores = {r["token"]: float(r["log_odds"]) for r in lexicon(docs, labels, label=label).collect()}
-    gap = 1.0
+
+def train(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", rows: int = DOCS, seed: int = SEED) -> dict:
+    """Lexicon, tail (lambda and K) and calibration. labels: doc_id and label (0 clean, 1 toxic, null ignored) to learn
+    from; without labels of both classes the score is constant."""
+    words = lexicon(docs, labels, label=label)
     chosen = F.broadcast(sample_ids(labels, label, rows, seed))
     body = docs.select(F.col("doc_id").alias("_id"), text_of().alias("_t")).join(chosen, "_id")
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passages = Passages(scores, gap)
+        passages = Passages(words)
         for batch in batches:
             seen = [passages.find(t) for t in batch["_t"]]
             yield pd.DataFrame({"id": batch["_id"], "label": batch["_label"], "m": [m for m, _ in seen], "s": [[s for _, _, s in f] for _, f in seen]})
 
     sample = body.mapInPandas(found, "id long, label int, m long, s array<double>").toPandas().sort_values("id", kind="stable")
     clean = sample[sample["label"] == 0]
-    least = float(np.quantile(list(scores.values()), 0.125)) if scores else 1.0
-    passed = sum(1 for row in clean["s"] for s in row if s >= least)
-    k = float((passed + 0.5) / max(1.0, float(clean["m"].sum()) * np.exp(-least)))
-    k = min(max(k, 1e-6), 10.0)
-    x = np.array([features(m, s, k) for m, s in zip(sample["m"], sample["s"], strict=True)], dtype=float).reshape(len(sample), 4)
-    return {"scores": scores, "gap": gap, "k": k, "model": fit_logistic(x, sample["label"].to_numpy(dtype=float))}
+    rate, k = tail(np.array([s for row in clean["s"] for s in row], dtype=float), float(clean["m"].sum()))
+    x = np.array([evidence(m, s, rate, k) for m, s in zip(sample["m"], sample["s"], strict=True)], dtype=float).reshape(len(sample), 2)
+    return {"words": words, "lambda": rate, "k": k, "model": fit_logistic(x, sample["label"].to_numpy(dtype=float))}
 
 
 def score(docs: DataFrame, trained: dict, keep: list[str], *, text: str = "text") -> DataFrame:
     """keep, score (0 to 1, higher: toxic), n_passages (significant ones, E < 0.05) and passages of each row.
 
     passages are the significant ones by position: array<struct<first, stop, score>>, in tokens, stop exclusive.
-    A null text counts as empty: it has no passage and the least evidence. Equal texts get equal scores.
+    A null text counts as empty: it has no passage and the least evidence. Rows are independent, so null and repeated
+    ids do not matter; equal texts get equal scores, and an empty table gives an empty one. A column of keep with the
+    name of a result gives way to it.
     """
-    body = docs.select(F.struct(*keep).alias("row"), text_of(text).alias("text"))
+    made = ["score", "n_passages", "passages"]
+    stay = kept(keep, *made)
+    body = docs.select(row_of(stay).alias("row"), text_of(text).alias("text"))
     schema = T.StructType([body.schema["row"], T.StructField("score", T.DoubleType()), T.StructField("n_passages", T.LongType()), T.StructField("passages", SPANS)])
     sent = docs.sparkSession.sparkContext.broadcast(trained)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        passages, k = Passages(model["scores"], model["gap"]), model["k"]
+        passages, rate, k = Passages(model["words"]), model["lambda"], model["k"]
         for batch in batches:
             x, n, spans = [], [], []
             for t in batch.column(1):
                 m, found = passages.find(t.as_py())
-                segments = [s for _, _, s in found]
-                x.append(features(m, segments, k))
-                spans.append([{"first": b, "stop": e, "score": float(s)} for b, e, s in found if k * max(m, 1) * np.exp(-s) < 0.05])
+                x.append(evidence(m, [s for _, _, s in found], rate, k))
+                spans.append([{"first": b, "stop": e, "score": float(s)} for b, e, s in found if k * max(m, 1) * np.exp(-rate * s) < 0.05])
                 n.append(len(spans[-1]))
-            scores = logistic(model["model"], np.array(x, dtype=float).reshape(len(x), 4))
+            scores = logistic(model["model"], np.array(x, dtype=float).reshape(len(x), 2))
             columns = [batch.column(0), pa.array(scores), pa.array(n, pa.int64()), pa.array(spans, ARROW_SPANS)]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "score", "n_passages", "passages"])
+            yield pa.RecordBatch.from_arrays(columns, ["row", *made])
 
-    return body.mapInArrow(run, schema).select("row.*", "score", "n_passages", "passages")
+    return body.mapInArrow(run, schema).select(*fields_of("row", stay), *made)
 
 
 def spelled(passages: Column) -> Column:
@@ -185,6 +217,7 @@ def spelled(passages: Column) -> Column:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted and the significant passages of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     apart = held_out("doc_id", 4, 2)
     trained = train(docs, table(spark, sf_dir, "labels").where(~apart))
