@@ -38,11 +38,40 @@ def first_failing(rules: list[tuple[str, Column]]) -> Column:
     return found
 
 
-def dedup_first(rows: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
-    """The first row of each key in a stated order; a copy count goes along as n_copies."""
-    part = Window.partitionBy(*key)
-    ranked = rows.withColumn("_at", F.row_number().over(part.orderBy(*order))).withColumn("n_copies", F.count(F.lit(1)).over(part))
-    return ranked.where("_at = 1").drop("_at")
+def dedup_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key in a stated order (the other columns settle ties); n_copies counts the rows.
+
+    A minimum with partial aggregation: a text with very many copies is no task of its own.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    first = [*order, *(c for c in rest if c not in order)]
+    found = rows.groupBy(*key).agg(F.min(F.struct(*first)).alias("_first"), F.count(F.lit(1)).alias("n_copies"))
+    return found.select(*(F.col(c) if c in key else F.col("_first")[c].alias(c) for c in rows.columns), "n_copies")
+
+
+def tokens(text: Column) -> Column:
+    """The lower-cased tokens of a text between white space."""
+    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[ \t\r\n]+", " ")), " ")
+
+
+def shingle_rows(rows: DataFrame, keep: list[str], text: Column, k: int = 5) -> DataFrame:
+    """keep, n and t: one row for each distinct k-token shingle (hashed) of a text, of which it has n. A text of fewer
+    tokens has all of them as its one shingle."""
+    cut = rows.select(*keep, F.explode(F.array(tokens(text))).alias("_w"))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, k), " ")))
+    sets = cut.select(*keep, F.explode(F.array(F.array_distinct(windows))).alias("_s"))
+    return sets.select(*keep, F.size("_s").alias("n"), F.explode("_s").alias("t"))
+
+
+def contained(rows: DataFrame, id: str, text: str, held: DataFrame, item: str, held_text: str, share: float = 0.5, k: int = 5) -> DataFrame:
+    """(id, item, shared) of the texts that hold at least `share` of the k-token shingles of a held-out item.
+
+    Held-out shingles are few beside the rows', and meet them before anything is shuffled.
+    """
+    items = shingle_rows(held, [item], F.col(held_text), k).select(item, F.col("n").alias("_of"), "t")
+    met = shingle_rows(rows, [id], F.col(text), k).select(id, "t").join(items, "t")
+    found = met.groupBy(id, item, "_of").agg(F.count(F.lit(1)).alias("shared"))
+    return found.where(F.col("shared") >= F.lit(share) * F.col("_of")).drop("_of")
 
 
 def without_leaks(rows: DataFrame, held_out: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,6 +117,14 @@ def rank_in_order(rows: DataFrame, order: list[Column | str], out: str = "rank")
     return laid.join(F.broadcast(offsets), "_part").withColumn(out, F.col("_at") + F.col("_before") + 1).drop("_part", "_at", "_before")
 
 
+def rank_within(rows: DataFrame, group: str, order: list[Column | str], out: str = "rank") -> DataFrame:
+    """rows with their place (1, 2, ...) within their group: places in the order of all groups, less what lies before
+    the group. No group is one task."""
+    laid = rank_in_order(rows, [F.col(group), *order], "_all")
+    before = laid.groupBy(group).agg(F.min("_all").alias("_first")).withColumnRenamed(group, "_group")
+    return laid.join(before, F.col(group).eqNullSafe(F.col("_group"))).withColumn(out, F.col("_all") - F.col("_first") + 1).drop("_all", "_first", "_group")
+
+
 def temporal_split(rows: DataFrame, group: str, when: str, share: int = 10) -> DataFrame:
     """(group, when, split): the newest 1/share of the groups by their latest time, one at least, is the test split."""
     latest = rows.groupBy(group).agg(F.max(when).alias(when))
@@ -98,10 +135,10 @@ def temporal_split(rows: DataFrame, group: str, when: str, share: int = 10) -> D
 
 def stratified_sample(rows: DataFrame, stratum: str, id: str, share: float, seed: int = 42) -> DataFrame:
     """max(1, round(n * share)) rows of each stratum, in the order of a keyed hash."""
-    part = Window.partitionBy(stratum)
-    order = part.orderBy(F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string")), 256), id)
-    ranked = rows.withColumn("_at", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(part))
-    return ranked.where(F.col("_at") <= F.greatest(F.lit(1), F.round(F.col("_n") * share).cast("long"))).drop("_at", "_n")
+    ranked = rank_within(rows, stratum, [F.sha2(F.concat(F.lit(f"{seed}:"), F.col(id).cast("string")), 256), F.col(id)], "_at")
+    sizes = rows.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"))
+    found = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    return found.where(F.col("_at") <= F.greatest(F.lit(1), F.round(F.col("_n") * share).cast("long"))).drop("_at", "_n", "_stratum")
 
 
 def quota_fill(groups: DataFrame, part: str, id: str, size: str, quota: float, seed: int = 42) -> DataFrame:
@@ -117,24 +154,45 @@ def split_leaks(rows: DataFrame, group: str, split: str) -> DataFrame:
     return rows.groupBy(group).agg(F.count_distinct(split).alias("n_splits"), F.count(F.lit(1)).alias("n_rows")).where("n_splits > 1")
 
 
-def near_dup_pairs(rows: DataFrame, bucket: list[str], id: str, text: str, threshold: float, k: int = 5) -> DataFrame:
-    """(id_a, id_b, jaccard) of the pairs within a bucket whose k-token shingle sets reach the threshold.
+def shingle_sets(rows: DataFrame, keep: list[str], text: str, k: int = 5) -> DataFrame:
+    """keep and s: the sorted distinct k-token shingles (hashed) of each text."""
+    cut = rows.select(*keep, F.explode(F.array(tokens(F.col(text)))).alias("_w"))
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - k, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("_w", i + 1, k), " ")))
+    return cut.select(*keep, F.array_sort(F.array_distinct(windows)).alias("s"))
+
+
+def near_dup_pairs(rows: DataFrame, bucket: str, group: str, id: str, text: str, threshold: float, k: int = 5) -> DataFrame:
+    """(id_a, id_b, jaccard) of the pairs of one bucket and of different groups whose k-token shingle sets reach the
+    threshold. Rows of one bucket, group and set are one, with the smallest id.
 
-    Pairs come from shared shingles, counted, so unlike pairs cost nothing. Shingles of fewer than k tokens: the text.
+    A prefix join: with shingles ordered by how many sets hold them, rare ones first, sets that reach the threshold
+    share one of their first n - ceil(threshold * n) + 1, so what many texts hold brings nobody together.
     """
-    tokens = F.split(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), " ")
-    shingles = F.when(
-        F.size("_w") >= k,
-        F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("_w") - k), lambda i: F.array_join(F.slice("_w", i + 1, k), " "))),
-    ).otherwise(F.array(F.array_join("_w", " ")))
-    # The one-row explode keeps the tokens from being unfolded into each shingle's expression.
-    cut = rows.select(*bucket, F.col(id).alias("id"), F.explode(F.array(tokens)).alias("_w"))
-    sets = cut.select(*bucket, "id", F.explode(F.array(shingles)).alias("s"))
-    sized = sets.select(*bucket, "id", F.size("s").alias("n"), F.explode("s").alias("t")).withColumn("t", F.xxhash64("t"))
-    left = sized.select(*bucket, F.col("id").alias("id_a"), F.col("n").alias("n_a"), "t")
-    right = sized.select(*bucket, F.col("id").alias("id_b"), F.col("n").alias("n_b"), "t")
-    met = left.join(right, [*bucket, "t"]).where("id_a < id_b").groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("both"))
-    return met.select("id_a", "id_b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    sets = cut(shingle_sets(rows, [bucket, group, id], text, k).groupBy(bucket, group, "s").agg(F.min(id).alias("id")))
+    each = sets.select(bucket, group, "id", F.size("s").alias("n"), F.explode("s").alias("t"))
+    counts = each.groupBy(bucket, "t").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("c", F.lit(1)), "t"))
+    first = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
+    prefix = cut(each.join(counts, [bucket, "t"], "left").withColumn("_at", place).where((F.col("_at") <= first) & (F.col("c") > 1)).select(bucket, group, "id", "n", "t"))
+    left = prefix.select(bucket, "t", F.col(group).alias("_ga"), F.col("id").alias("id_a"), F.col("n").alias("n_a"))
+    right = prefix.select(bucket, "t", F.col(group).alias("_gb"), F.col("id").alias("id_b"), F.col("n").alias("n_b"))
+    alike = (F.col("id_a") < F.col("id_b")) & (F.col("_ga") != F.col("_gb")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9)
+    met = left.join(right, [bucket, "t"]).where(alike).select("id_a", "id_b").distinct()
+    a, b = (sets.select(F.col("id").alias(f"id_{x}"), F.col("s").alias(f"s_{x}")) for x in "ab")
+    both = met.join(a, "id_a").join(b, "id_b").withColumn("_both", F.size(F.array_intersect("s_a", "s_b")))
+    jaccard = F.col("_both") / (F.size("s_a") + F.size("s_b") - F.col("_both"))
+    return both.select("id_a", "id_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def shingle_index(rows: DataFrame, id: str, text: str, queries: DataFrame, top: int = 20, threshold: float = 0.95, k: int = 5) -> DataFrame:
+    """(q, id, shared, jaccard): of the rows that share most shingles with each query (id, text), `top` at most, those
+    that reach the threshold. The rank limit drops rows in every partition before they are shuffled."""
+    sets = shingle_rows(rows, [id], F.col(text), k).select(F.col(id).alias("id"), "n", "t")
+    asked = shingle_rows(queries.select(F.col(id).alias("q"), text), ["q"], F.col(text), k).select("q", F.col("n").alias("n_q"), "t")
+    shared = sets.join(asked, "t").where("q <> id").groupBy("q", "id", "n", "n_q").agg(F.count(F.lit(1)).alias("shared"))
+    ranked = shared.withColumn("_at", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("shared"), "id"))).where(F.col("_at") <= top)
+    jaccard = F.col("shared") / (F.col("n") + F.col("n_q") - F.col("shared"))
+    return ranked.select("q", "id", "shared", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
 def numbered_lines(text: Column, width: int = 4) -> Column:

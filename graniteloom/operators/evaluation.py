@@ -41,8 +41,10 @@ def pair_sides(rows: DataFrame, pair: str, gold: str, value: str) -> DataFrame:
 
 
 def pair_outcome(vuln_flagged: Column, safe_flagged: Column) -> Column:
+    """The outcome of a pair by the verdicts on its two sides; a verdict that is null (no parsed answer, or no such
+    row) makes it parse_fail, which counts like any other."""
     return (
-        F.when(vuln_flagged & ~safe_flagged, "correct").when(vuln_flagged & safe_flagged, "vulnerable").when(~vuln_flagged & ~safe_flagged, "benign").otherwise("reversed")
+        F.when(vuln_flagged.isNull() | safe_flagged.isNull(), "parse_fail").when(vuln_flagged & ~safe_flagged, "correct").when(vuln_flagged & safe_flagged, "vulnerable").when(~vuln_flagged & ~safe_flagged, "benign").otherwise("reversed")
     )
 
 
@@ -70,6 +72,41 @@ def threshold_counts(rows: DataFrame, by: list[str], gold: str, score: str) -> D
     return out.withColumns({"fn": F.col("_P") - F.col("tp"), "tn": F.col("_N") - F.col("fp")}).drop("_p", "_n", "_P", "_N")
 
 
+def strided_grid(rows: DataFrame, score: str, places: int = 3, steps: int = 200) -> DataFrame:
+    """tau: every (n div steps)-th distinct score, rounded, and 0."""
+    values = rows.select(F.round(score, places).alias("tau")).distinct()
+    ranked = rank_in_order(values, ["tau"])
+    step = values.agg(F.greatest(F.lit(1), F.expr(f"count(1) div {steps}")).alias("_step"))
+    chosen = ranked.join(F.broadcast(step)).where((F.col("rank") - 1) % F.col("_step") == 0).select("tau")
+    return chosen.unionByName(rows.sparkSession.range(1).select(F.lit(0.0).alias("tau"))).distinct()
+
+
+def grid_counts(rows: DataFrame, gold: str, score: str, grid: DataFrame, places: int = 3) -> DataFrame:
+    """tau and the confusion counts of `score >= tau` for a grid of at most `places` decimals.
+
+    Scores are summed by the largest number of that many decimals that they reach, which decides the same at every tau:
+    the one running sum is over at most a few thousand steps, however many scores there are.
+    """
+    g, near = F.col(gold), F.round(score, places)
+    reached = F.when(near > F.col(score), F.round(near - 10**-places, places)).otherwise(near)
+    steps = rows.groupBy(reached.alias("tau")).agg(F.count_if(g).alias("p"), F.count_if(~g).alias("n"))
+    both = steps.select("tau", "p", "n", F.lit(0).alias("on")).unionByName(grid.select("tau", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("on")))
+    both = both.groupBy("tau").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.max("on").alias("on"))
+    down = Window.orderBy(F.desc("tau")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    all_ = Window.partitionBy(F.lit(0))
+    out = both.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "_P": F.sum("p").over(all_), "_N": F.sum("n").over(all_)}).where("on = 1")
+    return out.select("tau", "tp", "fp", (F.col("_P") - F.col("tp")).alias("fn"), (F.col("_N") - F.col("fp")).alias("tn"))
+
+
+def quantile_pick(counts: DataFrame, by: list[str], value: str, n: str, picks: dict[str, str]) -> DataFrame:
+    """by and, for each name in picks, the value at a place (1, 2, ...) of the sorted rows: an expression over _n, their
+    number. counts holds how many rows (n) have a value, so a window meets distinct values only."""
+    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = part.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = counts.withColumns({"_upto": F.sum(n).over(upto), "_n": F.sum(n).over(part)})
+    return laid.groupBy(*by).agg(*(F.min(F.when(F.col("_upto") >= F.expr(e), F.col(value))).alias(name) for name, e in picks.items()))
+
+
 def best_threshold(curve: DataFrame, by: list[str], cap: float | None = None) -> DataFrame:
     """The tau of the highest f1 (the smallest tau among equals), of those with fpr <= cap if any has it, else of all."""
     meets = F.lit(True) if cap is None else F.col("fpr") <= cap

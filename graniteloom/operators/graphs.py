@@ -8,24 +8,36 @@ from pyspark.sql import functions as F
 from graniteloom.operators.state import cut
 
 
+#: What a name is resolved by, in this order.
+PRECEDENCE = ("user_input", "static_import", "prop_flow", "alias")
+
+
+def _precedence(kind: Column) -> Column:
+    return F.array_position(F.array(*(F.lit(k) for k in PRECEDENCE)), kind)
+
+
 def resolve(starts: DataFrame, edges: DataFrame, sources: DataFrame, depth: int = 8) -> DataFrame:
-    """(id, verdict, source, steps): each start's way up the edges (node, up; one way a node) to a source (node, kind).
+    """(id, verdict, source, steps, path): each start's way up the edges (node, up, kind) to a source (node, kind).
 
-    Verdict: the source's kind, "cycle" if a node comes again, "unknown" at a dead end or after `depth` steps. A round
-    is one join with the open ways; finished ways leave.
+    A node that is a source ends the way, a user input before a static import; else its edge goes on, a property flow
+    before an alias, the smallest `up` among equals. Verdict: the source's kind, "cycle" if a node comes again,
+    "unknown" at a dead end or after `depth` steps. path: the nodes, from the start on. A round is one join with the
+    open ways; finished ways leave.
     """
-    up = edges.groupBy("node").agg(F.min("up").alias("up"))
+    first = F.min(F.struct(_precedence(F.col("kind")), "kind"))["kind"]
+    known = sources.groupBy(F.col("node").alias("at")).agg(first.alias("kind"))
+    up = edges.groupBy(F.col("node").alias("at")).agg(F.min(F.struct(_precedence(F.col("kind")).alias("p"), "up"))["up"].alias("up"))
+    step_of = cut(known.join(up, "at", "full"))
     open_ = starts.select("id", F.col("node").alias("at"), F.array("node").alias("path"))
     done = None
     for step in range(depth + 1):
-        seen = open_.join(sources.groupBy(F.col("node").alias("at")).agg(F.min("kind").alias("kind")), "at", "left").join(up.withColumnRenamed("node", "at"), "at", "left")
         verdict = (
             F.when(F.col("kind").isNotNull(), F.col("kind"))
             .when(F.col("up").isNull() | F.lit(step == depth), F.lit("unknown"))
             .when(F.array_contains("path", F.col("up")), F.lit("cycle"))
         )
-        seen = cut(seen.withColumn("verdict", verdict))
-        ended = seen.where("verdict IS NOT NULL").select("id", "verdict", F.when(F.col("kind").isNotNull(), F.col("at")).alias("source"), F.lit(step).alias("steps"))
+        seen = cut(open_.join(step_of, "at", "left").withColumn("verdict", verdict))
+        ended = seen.where("verdict IS NOT NULL").select("id", "verdict", F.when(F.col("kind").isNotNull(), F.col("at")).alias("source"), F.lit(step).alias("steps"), "path")
         done = ended if done is None else done.unionByName(ended)
         open_ = seen.where("verdict IS NULL").select("id", F.col("up").alias("at"), F.concat("path", F.array("up")).alias("path"))
     return done
@@ -42,15 +54,32 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def neighborhood(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int = 64) -> DataFrame:
-    """(start, n_nodes, n_edges, truncated): the induced graph of the `most` nodes nearest each start."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    ranked = reach(starts, both, hops).withColumn("_at", F.row_number().over(Window.partitionBy("start").orderBy("hops", "node")))
-    total = ranked.groupBy("start").agg(F.count(F.lit(1)).alias("_all"))
-    nodes = ranked.where(F.col("_at") <= most).select("start", "node")
-    inner = nodes.withColumnRenamed("node", "a").join(edges.select("a", "b").distinct(), "a").join(nodes.withColumnRenamed("node", "b"), ["start", "b"])
-    counted = nodes.groupBy("start").agg(F.count(F.lit(1)).alias("n_nodes")).join(inner.groupBy("start").agg(F.count(F.lit(1)).alias("n_edges")), "start", "left")
-    return counted.join(total, "start").select("start", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), (F.col("_all") > most).alias("truncated"))
+def neighborhood(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int = 64, most_edges: int = 256) -> DataFrame:
+    """(start, n_nodes, n_edges, truncated): the induced graph of the `most` nodes nearest each start (by hops, then
+    node), with its first `most_edges` edges (a to b); truncated if either limit left something out.
+
+    The limit holds hop by hop: a node's neighbours beyond the first 2 * most + 2 in order can never be among those
+    chosen, so a hub is not expanded.
+    """
+    plain = cut(edges.select("a", "b").distinct())
+    both = plain.unionByName(plain.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    both = cut(both.withColumn("_at", near).where(F.col("_at") <= 2 * most + 2).drop("_at"))
+    seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
+    front = seen
+    for hop in range(1, hops + 1):
+        step = front.select("start", F.col("node").alias("a")).join(both, "a").select("start", F.col("b").alias("node")).distinct()
+        fresh = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        every = seen.unionByName(fresh).withColumn("_at", F.row_number().over(Window.partitionBy("start").orderBy("hops", "node")))
+        seen = cut(every.where(F.col("_at") <= most + 1).drop("_at"))
+        front = seen.where(F.col("hops") == hop)
+    ranked = seen.withColumn("_at", F.row_number().over(Window.partitionBy("start").orderBy("hops", "node")))
+    nodes = cut(ranked.where(F.col("_at") <= most).select("start", "node"))
+    total = seen.groupBy("start").agg(F.count(F.lit(1)).alias("_all"))
+    inner = nodes.withColumnRenamed("node", "a").join(plain, "a").join(nodes.withColumnRenamed("node", "b"), ["start", "b"])
+    counted = nodes.groupBy("start").agg(F.count(F.lit(1)).alias("n_nodes")).join(inner.groupBy("start").agg(F.count(F.lit(1)).alias("_e")), "start", "left")
+    e = F.coalesce("_e", F.lit(0))
+    return counted.join(total, "start").select("start", "n_nodes", F.least(e, F.lit(most_edges)).alias("n_edges"), ((F.col("_all") > most) | (e > most_edges)).alias("truncated"))
 
 
 def evidence_verdict(kinds: Column) -> Column:

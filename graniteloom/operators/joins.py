@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -38,11 +38,12 @@ def has_near(left: DataFrame, right: DataFrame, key: list[str], id: str, a: str,
     return left.select(id).join(hits, id, "left").select(id, F.coalesce("hit", F.lit(False)).alias("hit"))
 
 
-def nearest(left: DataFrame, right: DataFrame, key: list[str], id: str, a: str, b: str, other: str, band: int) -> DataFrame:
-    """(id, other): the nearest row of right within the band, one not before a first, then by distance and `other`."""
+def nearest(left: DataFrame, right: DataFrame, key: list[str], id: str, a: str, b: str, operator: str, other: str, band: int) -> DataFrame:
+    """(id, other): the nearest row of right within the band: one not before a first, then by distance, then one that is
+    no operator (a boolean column), then by `other`."""
     met = within_band(left.select(*key, id, a), right, key, a, b, band)
-    order = Window.partitionBy(id).orderBy(F.when(F.col(b) >= F.col(a), 0).otherwise(1), F.abs(F.col(b) - F.col(a)), other)
-    return met.withColumn("_at", F.row_number().over(order)).where("_at = 1").select(id, other)
+    order = F.struct(F.col(b) < F.col(a), F.abs(F.col(b) - F.col(a)), F.col(operator), F.col(other))
+    return met.groupBy(id).agg(F.min_by(other, order).alias(other))
 
 
 def first_of(keyed: DataFrame, exact: DataFrame, wild: DataFrame, key: str, wild_key: str, value: str) -> DataFrame:
@@ -52,10 +53,14 @@ def first_of(keyed: DataFrame, exact: DataFrame, wild: DataFrame, key: str, wild
     return keyed.join(exact, key, "left").join(wild, wild_key, "left").withColumn(value, F.coalesce("_exact", "_wild")).drop("_exact", "_wild")
 
 
-def rule_matches(rows: DataFrame, rules: list[tuple[str, str, str]], text: str, keep: list[str]) -> DataFrame:
-    """keep, rule_id and category of every rule (id, category, pattern) found in the text.
+def rule_matches(calls: DataFrame, rules: list[tuple[str, str, str, str]], keep: list[str], columns: dict[str, str]) -> DataFrame:
+    """keep, rule_id and category of every rule (id, category, match, pattern) that holds for a call.
 
-    The rules are one array of verdicts in one projection, so a text is read once and nothing is joined.
+    match says what a pattern is for, and columns where that stands: `name` and `full` must match as a whole, `code`
+    somewhere in it. The rules are one array of verdicts in one projection, so a row is read once and nothing is joined.
     """
-    verdicts: list[Column] = [F.when(F.col(text).rlike(p), F.struct(F.lit(i).alias("rule_id"), F.lit(c).alias("category"))) for i, c, p in rules]
-    return rows.select(*keep, F.inline(F.array_compact(F.array(*verdicts))))
+    verdicts: list[Column] = []
+    for rule_id, category, match, pattern in rules:
+        expression = pattern if match == "code" else f"^(?:{pattern})$"
+        verdicts.append(F.when(F.col(columns[match]).rlike(expression), F.struct(F.lit(rule_id).alias("rule_id"), F.lit(category).alias("category"))))
+    return calls.select(*keep, F.inline(F.array_compact(F.array(*verdicts))))

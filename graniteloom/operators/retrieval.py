@@ -5,26 +5,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most query vectors that are broadcast.
-MOST_QUERIES = 10_000
+#: Query vectors that are broadcast at a time.
+BATCH = 10_000
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def norm(v: Column) -> Column:
+    return F.sqrt(dot(v, v))
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """(q, id, sim, rank): the k points of the highest cosine for each query (id, vector), those of at least `floor`.
 
-    The stated query set is broadcast within a checked bound. The rank limit is applied in each partition of the
-    points before the rest is shuffled (Spark's window group limit), so a shuffle holds k rows a query and partition.
+    Queries are broadcast BATCH at a time. The rank limit is applied in each partition of the points before the rest is
+    shuffled (Spark's window group limit), so a shuffle holds k rows a query and partition.
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries; split them")
-    norm = F.sqrt(dot(F.col("vector"), F.col("vector")))
-    q = queries.select(F.col("id").alias("q"), F.col("vector").alias("qv"), norm.alias("qn"))
-    p = points.select("id", "vector", norm.alias("pn"))
-    sims = p.join(F.broadcast(q)).select("q", "id", (dot(F.col("qv"), F.col("vector")) / (F.col("qn") * F.col("pn"))).alias("sim"))
-    if floor is not None:
-        sims = sims.where(F.col("sim") >= floor)
-    return sims.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= k)
+    batches = max(1, -(-queries.count() // BATCH))
+    q = queries.select(F.col("id").alias("q"), F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"), F.pmod(F.xxhash64("id"), F.lit(batches)).alias("_batch"))
+    p = points.select("id", "vector", norm(F.col("vector")).alias("pn"))
+    found = None
+    for batch in range(batches):
+        sims = p.join(F.broadcast(q.where(F.col("_batch") == batch).drop("_batch")))
+        sims = sims.select("q", "id", (dot(F.col("qv"), F.col("vector")) / (F.col("qn") * F.col("pn"))).alias("sim"))
+        if floor is not None:
+            sims = sims.where(F.col("sim") >= floor)
+        best = sims.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= k)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def flat_index(points: DataFrame) -> DataFrame:
+    """(id, vector) with unit vectors, so that an inner product is a cosine; null and zero vectors stay out."""
+    n = norm(F.col("vector"))
+    return points.where(n > 0).select("id", F.transform("vector", lambda v: v.cast("double") / n).alias("vector"))
+
+
+def with_payload(index: DataFrame, payload: DataFrame) -> DataFrame:
+    """An index as points of another store: id, vector and the payload's columns; points without payload stay."""
+    return index.join(payload, "id", "left")

@@ -15,13 +15,22 @@ BUCKET = (
 LANGUAGES = {"en": "english", "de": "german", "fr": "french"}
 
 
+def _leaking(spark, sf_dir):
+    """(doc_id, item_id, shared) of the documents that hold a benchmark passage."""
+    docs, held = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return C.contained(docs, "doc_id", "text", held, "item_id", "passage")
+
+
 def curate_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length band, first of equal texts, leakage out, hash split: counts by split and language."""
-    rows = samples(spark, sf_dir).where(C.length_band(F.col("text"))).select("doc_id", "lang", "key")
+    """Length band, first of equal texts, leakage of held-out texts and passages out, hash split: counts by split and
+    language."""
+    rows = samples(spark, sf_dir).where(C.length_band(F.col("text"))).select("doc_id", "lang", "n_chars", "key")
     held = table(spark, sf_dir, "benchmark").select(C.content_key(F.col("text")).alias("key"))
     kept = C.without_leaks(C.dedup_first(rows, ["key"], ["doc_id"]), held, ["key"])
+    kept = C.without_leaks(kept, _leaking(spark, sf_dir), ["doc_id"])
     split = F.when(C.hash_bucket(F.col("doc_id")) == 0, "val").otherwise("train")
-    return kept.groupBy(split.alias("split"), "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_copies").alias("n_rows"))
+    counts = kept.groupBy(split.alias("split"), "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_copies").alias("n_rows"), F.round(F.avg("n_chars"), 6).alias("mean_chars"))
+    return counts
 
 
 def len_filter(spark, sf_dir):
@@ -66,10 +75,16 @@ def severity_bucket(spark, sf_dir):
 
 
 def leak_anti(spark, sf_dir):
-    """Documents whose first line is in the held-out benchmark, by content, are left out."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", C.content_key(F.element_at(F.split("text", "\n"), -1)).alias("key"))
+    """Documents that are a held-out text, by content, or hold one of its passages are left out: one anti-join each."""
+    rows = samples(spark, sf_dir).select("doc_id", "source", "key")
     held = table(spark, sf_dir, "benchmark").select(C.content_key(F.col("text")).alias("key"))
-    return C.without_leaks(rows, held, ["key"]).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    kept = C.without_leaks(C.without_leaks(rows, held, ["key"]), _leaking(spark, sf_dir), ["doc_id"])
+    return kept.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def leaking_items(spark, sf_dir):
+    """The leaking documents themselves, with the item and the shingles they share with it."""
+    return _leaking(spark, sf_dir)
 
 
 def temporal_split(spark, sf_dir):
@@ -99,8 +114,16 @@ def split_leak(spark, sf_dir):
 
 
 def near_dup_pairs(spark, sf_dir):
+    """Near copies of one language in different sources."""
     rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return C.near_dup_pairs(rows, ["source", "lang"], "doc_id", "text", 0.8).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+    return C.near_dup_pairs(rows, "lang", "source", "doc_id", "text", 0.8).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+def shingle_index(spark, sf_dir):
+    """The texts most like every document whose id is divisible by 50, among the 20 that share most shingles with it."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = C.shingle_index(rows, "doc_id", "text", rows.where("doc_id % 50 = 0"))
+    return found.withColumn("jaccard", F.round("jaccard", 6))
 
 
 def line_number(spark, sf_dir):
@@ -127,10 +150,10 @@ def cross_tab(spark, sf_dir):
 
 
 def nested_first_match(spark, sf_dir):
-    """The first array element that meets a predicate, else the first: turns of a conversation."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    chosen = F.coalesce(F.get(F.filter("t", lambda x: x["role"] == "assistant"), F.lit(0)), F.get("t", F.lit(0)))
-    return turns.select("conv_id", chosen["turn"].alias("turn"), chosen["role"].alias("role"))
+    """The first turn that meets a predicate, else the first: one minimum a conversation, and no list of its turns."""
+    first = F.min(F.struct(F.col("role") != "assistant", "turn", "role"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first.alias("t"))
+    return turns.select("conv_id", F.col("t.turn").alias("turn"), F.col("t.role").alias("role"))
 
 
 def reject_filter(spark, sf_dir):
@@ -147,29 +170,33 @@ def source_cap(spark, sf_dir):
 
 
 def rollup_overlap(spark, sf_dir):
-    """Sources by the languages they share: sizes of intersection and difference of two sets."""
-    docs = table(spark, sf_dir, "documents").select("source", "lang", F.expr("n_chars div 100").alias("size"))
-    de, en = (docs.where(F.col("lang") == x).select("size").distinct() for x in ("de", "en"))
-    return de.intersect(en).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("both")).unionByName(
-        de.subtract(en).agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit("only_de"))
-    )
+    """Languages by the text sizes they share: sizes of intersection and difference of every two sets."""
+    sets = table(spark, sf_dir, "documents").select("lang", F.expr("n_chars div 100").alias("size")).distinct()
+    total = sets.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    two = sets.select(F.col("lang").alias("other"), "size").join(sets, "size").where("lang <> other").groupBy("lang", "other").agg(F.count(F.lit(1)).alias("both"))
+    every = total.join(total.select(F.col("lang").alias("other")), F.col("lang") != F.col("other"))
+    return every.join(two, ["lang", "other"], "left").select("lang", "other", F.coalesce("both", F.lit(0)).alias("n_both"), (F.col("n") - F.coalesce("both", F.lit(0))).alias("only"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        curate_split, len_filter, dedup_first, dedup_two_keys, filter_trace, lang_map, ext_lang, label_unpivot, severity_bucket, leak_anti, temporal_split, group_split,
+        curate_split, len_filter, dedup_first, dedup_two_keys, filter_trace, lang_map, ext_lang, label_unpivot, severity_bucket, leak_anti, leaking_items, shingle_index, temporal_split, group_split,
         stratified_sample, quota_fill, split_leak, near_dup_pairs, line_number, budget_truncate, group_count, topk_count, cross_tab, nested_first_match, reject_filter,
         source_cap, rollup_overlap,
     )
 }
 
 KEY = "sha1(lower(trim(regexp_replace({0}, '[ \\t\\r\\n]+', ' ', 'g'))))"
+SHINGLE = """(SELECT DISTINCT {0}, array_to_string(w[i : i + 4], ' ') AS t FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM
+    (SELECT {0}, string_split(trim(regexp_replace(lower(text), '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS w FROM {1})))"""
+LEAKING = f"""ds AS {SHINGLE.format("doc_id", "documents")}, bs AS {SHINGLE.format("item_id", "benchmark")}, bn AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
+    leaking AS (SELECT doc_id, item_id, count(*) AS shared FROM ds JOIN bs USING (t) JOIN bn USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= CAST(0.5 AS DOUBLE) * n)"""
 ORACLE = {
-    "curate_split": f"""WITH {SAMPLES}, kept AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY key) AS c
+    "curate_split": f"""WITH {SAMPLES}, {LEAKING}, kept AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY key) AS c
         FROM samples WHERE length(trim(text)) BETWEEN 40 AND 12000)
-        SELECT CASE WHEN {BUCKET.format("doc_id")} = 0 THEN 'val' ELSE 'train' END AS split, lang, count(*) AS n, CAST(sum(c) AS BIGINT) AS n_rows
-        FROM kept WHERE r = 1 AND key NOT IN (SELECT {KEY.format("text")} FROM benchmark) GROUP BY ALL""",
+        SELECT CASE WHEN {BUCKET.format("doc_id")} = 0 THEN 'val' ELSE 'train' END AS split, lang, count(*) AS n, CAST(sum(c) AS BIGINT) AS n_rows, round(avg(n_chars), 6) AS mean_chars
+        FROM kept WHERE r = 1 AND key NOT IN (SELECT {KEY.format("text")} FROM benchmark) AND doc_id NOT IN (SELECT doc_id FROM leaking) GROUP BY ALL""",
     "len_filter": "SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents WHERE length(trim(text)) BETWEEN 40 AND 1600 GROUP BY lang",
     "dedup_first": f"WITH {SAMPLES} SELECT key, min(doc_id) AS doc_id, count(*) AS n_copies FROM samples GROUP BY key",
     "dedup_two_keys": f"""WITH {SAMPLES}, one AS (SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY source, n_chars ORDER BY doc_id) = 1)
@@ -182,8 +209,13 @@ ORACLE = {
     "label_unpivot": "SELECT p_partkey, 'vuln' AS label, upper(p_name) AS value FROM part UNION ALL SELECT p_partkey, 'safe', lower(p_name) FROM part",
     "severity_bucket": """WITH s AS (SELECT CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE CAST(s_suppkey % 11 AS DOUBLE) END AS v FROM supplier)
         SELECT CASE WHEN v IS NULL THEN 'UNKNOWN' WHEN v >= 9 THEN 'CRITICAL' WHEN v >= 7 THEN 'HIGH' WHEN v >= 4 THEN 'MEDIUM' WHEN v > 0 THEN 'LOW' ELSE 'NONE' END AS severity, count(*) AS n FROM s GROUP BY 1""",
-    "leak_anti": f"""WITH d AS (SELECT source, {KEY.format("string_split(text, chr(10))[-1]")} AS key FROM documents)
-        SELECT source, count(*) AS n FROM d WHERE key NOT IN (SELECT {KEY.format("text")} FROM benchmark) GROUP BY source""",
+    "leak_anti": f"""WITH {SAMPLES}, {LEAKING} SELECT source, count(*) AS n FROM samples
+        WHERE key NOT IN (SELECT {KEY.format("text")} FROM benchmark) AND doc_id NOT IN (SELECT doc_id FROM leaking) GROUP BY source""",
+    "leaking_items": f"WITH {LEAKING} SELECT * FROM leaking",
+    "shingle_index": f"""WITH ds AS {SHINGLE.format("doc_id", "documents")}, n AS (SELECT doc_id, count(*) AS n FROM ds GROUP BY 1),
+        m AS (SELECT a.doc_id AS q, b.doc_id AS id, count(*) AS shared FROM ds a JOIN ds b ON a.t = b.t AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY shared DESC, id) AS r FROM m), j AS (SELECT q, id, shared, CAST(shared AS DOUBLE) / (x.n + y.n - shared) AS j FROM r JOIN n x ON x.doc_id = q JOIN n y ON y.doc_id = id WHERE r <= 20)
+        SELECT q, id, shared, round(j, 6) AS jaccard FROM j WHERE j >= CAST(0.95 AS DOUBLE)""",
     "temporal_split": """WITH g AS (SELECT o_custkey, max(o_orderdate) AS o_orderdate FROM orders GROUP BY 1),
         r AS (SELECT *, row_number() OVER (ORDER BY o_orderdate DESC, o_custkey) AS r, count(*) OVER () AS n FROM g)
         SELECT CASE WHEN r <= greatest(1, n // 10) THEN 'test' ELSE 'train' END AS split, count(*) AS n, min(o_orderdate) AS oldest, max(o_orderdate) AS newest FROM r GROUP BY 1""",
@@ -195,12 +227,10 @@ ORACLE = {
         ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before, CAST(sum(size) OVER (PARTITION BY lang) AS BIGINT) AS total FROM g) SELECT lang, source, size FROM w WHERE before < total * CAST(0.3 AS DOUBLE)""",
     "split_leak": f"""WITH e AS (SELECT user_id, CASE WHEN {BUCKET.format("event_id")} = 0 THEN 'val' ELSE 'train' END AS split FROM events)
         SELECT user_id, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM e GROUP BY 1 HAVING count(DISTINCT split) > 1""",
-    "near_dup_pairs": """WITH w AS (SELECT doc_id, source, lang, string_split(trim(regexp_replace(text, '[ \\t\\r\\n]+', ' ', 'g')), ' ') AS w FROM documents),
-        s AS (SELECT DISTINCT doc_id, source, lang, CASE WHEN len(w) >= 5 THEN array_to_string(w[i : i + 4], ' ') ELSE array_to_string(w, ' ') END AS t
-          FROM (SELECT *, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
-        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
-        m AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id GROUP BY 1, 2)
-        SELECT id_a, id_b, round(CAST(c AS DOUBLE) / (x.n + y.n - c), 6) AS jaccard FROM m JOIN n x ON x.doc_id = id_a JOIN n y ON y.doc_id = id_b WHERE CAST(c AS DOUBLE) / (x.n + y.n - c) >= 0.8""",
+    "near_dup_pairs": f"""WITH ds AS {SHINGLE.format("doc_id", "documents")}, k AS (SELECT doc_id, string_agg(t, chr(1) ORDER BY t) AS k, count(*) AS n FROM ds GROUP BY 1),
+        c AS (SELECT min(doc_id) AS doc_id, lang, source, n FROM k JOIN documents USING (doc_id) GROUP BY lang, source, k, n), s AS (SELECT doc_id, lang, source, n, t FROM c JOIN ds USING (doc_id)),
+        m AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b, count(*) AS c, any_value(a.n) AS x, any_value(b.n) AS y FROM s a JOIN s b ON a.t = b.t AND a.lang = b.lang AND a.source <> b.source AND a.doc_id < b.doc_id GROUP BY 1, 2)
+        SELECT id_a, id_b, round(CAST(c AS DOUBLE) / (x + y - c), 6) AS jaccard FROM m WHERE CAST(c AS DOUBLE) / (x + y - c) >= CAST(0.8 AS DOUBLE)""",
     "line_number": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)
         SELECT doc_id, md5(string_agg(lpad(CAST(i AS VARCHAR), 4, ' ') || ': ' || line, chr(10) ORDER BY i)) AS digest FROM l GROUP BY doc_id""",
     "budget_truncate": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -216,6 +246,7 @@ ORACLE = {
         count(*) FILTER (NOT (contains(text, '***') OR contains(text, '%%%') OR length(text) < 40)) AS kept FROM documents GROUP BY 1""",
     "source_cap": """WITH r AS (SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY sha256('42:' || doc_id), doc_id) AS r FROM labels)
         SELECT doc_id, toxic FROM r WHERE toxic = 1 OR r <= (SELECT floor(sum(toxic) / CAST(0.3 AS DOUBLE) - sum(toxic)) FROM labels)""",
-    "rollup_overlap": """WITH d AS (SELECT DISTINCT lang, n_chars // 100 AS size FROM documents WHERE lang IN ('de', 'en')), n AS (SELECT size, count(*) AS c, min(lang) AS lang FROM d GROUP BY 1)
-        SELECT count(*) FILTER (c = 2) AS n, 'both' AS part FROM n UNION ALL SELECT count(*) FILTER (c = 1 AND lang = 'de'), 'only_de' FROM n""",
-}
+    "rollup_overlap": """WITH d AS (SELECT DISTINCT lang, n_chars // 100 AS size FROM documents), l AS (SELECT lang, count(*) AS n FROM d GROUP BY 1),
+        b AS (SELECT x.lang, y.lang AS other, count(*) AS c FROM d x JOIN d y ON x.size = y.size AND x.lang <> y.lang GROUP BY 1, 2)
+        SELECT x.lang, y.lang AS other, coalesce(c, 0) AS n_both, x.n - coalesce(c, 0) AS only FROM l x JOIN l y ON x.lang <> y.lang LEFT JOIN b ON b.lang = x.lang AND b.other = y.lang""",
+}

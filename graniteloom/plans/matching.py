@@ -9,6 +9,7 @@ from graniteloom.operators import findings as D
 from graniteloom.operators import graphs as G
 from graniteloom.operators import joins as J
 from graniteloom.operators import retrieval as R
+from graniteloom.operators.curation import rank_in_order
 from graniteloom.plans.tables import table
 
 
@@ -48,21 +49,22 @@ def left_default(spark, sf_dir):
 
 
 def ordinal_join(spark, sf_dir):
-    """Two aligned files joined by a stored ordinal; rows whose keys disagree are counted."""
-    one = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("at"), F.col("o_custkey").alias("a"))
-    two = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 97 == 0, -1).otherwise(F.col("o_custkey")).alias("b"))
-    return one.join(two, "at").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("a") != F.col("b")).alias("misaligned"))
+    """Two files of equal order: rows are numbered by their order and joined by the number; rows whose keys disagree are
+    counted."""
+    orders = table(spark, sf_dir, "orders")
+    one = rank_in_order(orders.select("o_orderkey", F.col("o_custkey").alias("a")), ["o_orderkey"], "at")
+    two = rank_in_order(orders.select("o_orderkey", F.when(F.col("o_orderkey") % 97 == 0, -1).otherwise(F.col("o_custkey")).alias("b")), ["o_orderkey"], "at")
+    return one.select("at", "a").join(two.select("at", "b"), "at", "full").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("misaligned"))
 
 
 def _spans(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 9 = 0")
+    """A span of its user's time for every event, of 20,000 to a million seconds."""
     at = F.unix_timestamp("ts")
-    return e.select("user_id", F.col("event_id").alias("name"), at.alias("start"), (at + (F.col("event_id") % 50 + 1) * 20000).alias("stop"))
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("name"), at.alias("start"), (at + (F.col("event_id") % 50 + 1) * 20000).alias("stop"))
 
 
 def _points(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 5 = 1")
-    return e.select("user_id", F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("at"))
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), F.unix_timestamp("ts").alias("at"))
 
 
 def interval_containment(spark, sf_dir):
@@ -74,38 +76,63 @@ def smallest_enclosing(spark, sf_dir):
     return J.smallest_enclosing(_points(spark, sf_dir), _spans(spark, sf_dir), ["user_id"], "id", "at", "name", "start", "stop", 200_000)
 
 
+def _ends(spark, sf_dir):
+    operator = (F.col("name") % 3 == 0).alias("operator")
+    return _spans(spark, sf_dir).select("user_id", F.col("stop").alias("b"), "name", operator)
+
+
 def tolerance_join(spark, sf_dir):
-    right = _spans(spark, sf_dir).select("user_id", F.col("start").alias("b"))
-    return J.has_near(_points(spark, sf_dir), right, ["user_id"], "id", "at", "b", 50_000)
+    """Whether a span of the user ends near each event."""
+    return J.has_near(_points(spark, sf_dir), _ends(spark, sf_dir), ["user_id"], "id", "at", "b", 5_000)
 
 
 def nearest_line(spark, sf_dir):
-    right = _spans(spark, sf_dir).select("user_id", F.col("start").alias("b"), "name")
-    return J.nearest(_points(spark, sf_dir), right, ["user_id"], "id", "at", "b", "name", 100_000)
+    """The end of a span nearest to each event: one not before it first, then by distance, then no operator."""
+    return J.nearest(_points(spark, sf_dir), _ends(spark, sf_dir), ["user_id"], "id", "at", "b", "operator", "name", 100_000)
 
 
 def line_ladder(spark, sf_dir):
-    """Hits at tolerances 0, 1, 3 and 10 of one list of lines against another, by file."""
-    lines = table(spark, sf_dir, "lineitem")
-    truth = lines.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("line"))
-    found = lines.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("guess"))
-    gap = truth.join(found, "l_orderkey").select(F.abs(F.col("line") - F.col("guess")).alias("gap"))
-    return gap.select(F.inline(F.array(*(F.struct(F.lit(t).alias("tolerance"), (F.col("gap") <= t).alias("hit")) for t in (0, 1, 3, 10))))).groupBy("tolerance").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
-
-
-RULES = [("r1", "symbols", "[#$%&*]{3}"), ("r2", "mail", "[a-z]@[a-z]"), ("r3", "key", "token ="), ("r4", "shout", "!!"), ("r5", "number", "[0-9]{12}")]
+    """Truths (every line of every order) with another line of the order within 0, 1, 3 and 10: all, and those in and out
+    of sight (the first four lines)."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    guess = lines.select("l_orderkey", F.col("l_linenumber").alias("other"), F.col("l_partkey").alias("guess"))
+    gap = lines.join(guess, "l_orderkey").where("l_linenumber <> other").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.abs(F.col("l_partkey") - F.col("guess"))).alias("gap"))
+    known = lines.join(gap, ["l_orderkey", "l_linenumber"], "left").select("gap", (F.col("l_linenumber") <= 4).alias("seen"))
+    scopes = F.array(F.lit("all"), F.when(F.col("seen"), "visible").otherwise("invisible"))
+    each = known.select("gap", F.explode(scopes).alias("scope"))
+    steps = F.inline(F.array(*(F.struct(F.lit(t).alias("tolerance"), F.coalesce(F.col("gap") <= t, F.lit(False)).alias("hit")) for t in (0, 1, 3, 10))))
+    return each.select("scope", steps).groupBy("scope", "tolerance").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("n"))
+
+
+RULES = [
+    ("r1", "host", "full", "https?://m[.][^/]+/.*"),
+    ("r2", "number", "name", "[0-9]+"),
+    ("r3", "script", "code", "track[(][0-9]+[)]"),
+    ("r4", "feed", "name", "[0-9]+.utm_source=feed"),
+    ("r5", "partial", "name", "[0-9]"),
+    ("r6", "style", "code", "margin:0"),
+]
 
 
 def rule_match(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return J.rule_matches(rows, RULES, "text", ["source"]).groupBy("source", "rule_id", "category").agg(F.count(F.lit(1)).alias("n"))
+    """Rules against the name (last part), the full address and the code of pages: the first two match as a whole."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("url", "([^/]*)$", 1).alias("name"), "html")
+    found = J.rule_matches(pages, RULES, ["page_id"], {"name": "name", "full": "url", "code": "html"})
+    return found.groupBy("rule_id", "category").agg(F.count(F.lit(1)).alias("n"), F.sum("page_id").alias("pages"))
 
 
 def candidate_agg(spark, sf_dir):
-    """Counts, up to three distinct samples and the latest time of each event type and user group."""
-    e = table(spark, sf_dir, "events").withColumn("grp", F.col("user_id") % 10)
-    sample = F.slice(F.array_sort(F.collect_set(F.floor("value"))), 1, 3)
-    return e.groupBy("event_type", "grp").agg(F.count(F.lit(1)).alias("n"), F.array_join(sample.cast("array<string>"), ",").alias("samples"), F.max("ts").alias("latest"))
+    """Counts, the three smallest distinct samples, the two most frequent values and the latest time of each event type
+    and user group. Distinct values are counted first, and a group passes on a few of them only."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("grp"), F.floor("value").alias("v"), "ts")
+    key = ["event_type", "grp"]
+    values = e.groupBy(*key, "v").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("ts"))
+    picks = []
+    for name, order, most in (("samples", ["v"], 3), ("top", [F.desc("n"), "v"], 2)):
+        few = values.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col("at") <= most)
+        picks.append(few.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"].cast("string")), ",").alias(name)))
+    sums = values.groupBy(*key).agg(F.sum("n").alias("n"), F.max("ts").alias("latest"))
+    return sums.join(picks[0], key).join(picks[1], key)
 
 
 def locf(spark, sf_dir):
@@ -164,26 +191,35 @@ def tier(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
+    """Ways up between customers: property flows from every order, aliases from the larger ones."""
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_custkey").alias("node"), (F.col("o_custkey") * 7 % 1501 + 1).alias("up")).distinct()
+    flow = o.where("o_orderkey % 3 > 0").select(F.col("o_custkey").alias("node"), (F.col("o_custkey") * 7 % 1501 + 1).alias("up"), F.lit("prop_flow").alias("kind"))
+    alias = o.select(F.col("o_custkey").alias("node"), (F.col("o_orderkey") % 1499).alias("up"), F.lit("alias").alias("kind"))
+    return flow.unionByName(alias).distinct()
 
 
 def taint_resolve(spark, sf_dir):
-    edges = _edges(spark, sf_dir)
-    c = table(spark, sf_dir, "customer")
-    sources = c.where("c_custkey % 13 = 0").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 2 == 0, "user_input").otherwise("static_import").alias("kind"))
-    return G.resolve(c.select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("node")), edges, sources, 8)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
+    user = c.where("node % 26 = 0").withColumn("kind", F.lit("user_input"))
+    static = c.where("node % 13 = 0").withColumn("kind", F.lit("static_import"))
+    found = G.resolve(c.select(F.col("node").alias("id"), "node"), _edges(spark, sf_dir), user.unionByName(static), 8)
+    return found.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
 
 
 def var_length_path(spark, sf_dir):
+    """Nodes within six steps of every customer whose id is divisible by 50, and its segment, if it has one."""
     edges = _edges(spark, sf_dir).select(F.col("node").alias("a"), F.col("up").alias("b"))
     starts = table(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node"))
-    return G.reach(starts, edges, 6)
+    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_mktsegment").alias("segment"))
+    return G.reach(starts, edges, 6).join(segments, "node", "left").select("start", "node", "hops", "segment")
 
 
 def neighborhood(spark, sf_dir):
-    edges = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select((F.col("l_partkey") % 300).alias("a"), (F.col("l_suppkey") % 300 + 300).alias("b"))
-    return G.neighborhood(edges.select(F.col("a").alias("node")).distinct().where("node % 10 = 0"), edges, 2, 64)
+    """What lies within two steps of every customer: orders, and their parts."""
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("a"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("b"))
+    p = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey")).alias("b"))
+    starts = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
+    return G.neighborhood(starts, o.unionByName(p), 2, 64)
 
 
 def evidence_verdict(spark, sf_dir):
@@ -197,26 +233,37 @@ def risk_score(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.round(G.adjusted_risk(F.col("event_id") % 21 / F.lit(2.0), verdict), 6).alias("risk"))
 
 
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
 def knn(spark, sf_dir):
     """The five nearest vectors of every vector whose id is divisible by 50."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    e = _vectors(spark, sf_dir)
     return R.knn(e.where("id % 50 = 0"), e, 5).select("q", "id", "rank", F.round("sim", 5).alias("sim"))
 
 
+def knn_filtered(spark, sf_dir):
+    """The same among the vectors of one label, at a similarity of at least a half."""
+    e = _vectors(spark, sf_dir)
+    return R.knn(e.where("id % 50 = 0"), e.where("label = 1"), 5, 0.5).select("q", "id", "rank", F.round("sim", 5).alias("sim"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hash_lookup, fallback_join, key_intersection, semi_allowlist, resume_anti, left_default, ordinal_join, interval_containment, smallest_enclosing, tolerance_join, nearest_line,
         line_ladder, rule_match, candidate_agg, locf, diff_line_no, finding_dedupe, merge_findings, evidence_rank, critic_filter, policy_aggregate, tier, taint_resolve, var_length_path,
-        neighborhood, evidence_verdict, risk_score, knn,
+        neighborhood, evidence_verdict, risk_score, knn, knn_filtered,
     )
 }
 
-SPANS = "spans AS (SELECT user_id, event_id AS name, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + (event_id % 50 + 1) * 20000 AS stop FROM events WHERE event_id % 9 = 0)"
-POINTS = "points AS (SELECT user_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS pos FROM events WHERE event_id % 5 = 1)"
+SPANS = "spans AS (SELECT user_id, event_id AS name, CAST(floor(epoch(ts)) AS BIGINT) AS start, CAST(floor(epoch(ts)) AS BIGINT) + (event_id % 50 + 1) * 20000 AS stop FROM events)"
+POINTS = "points AS (SELECT user_id, event_id AS id, CAST(floor(epoch(ts)) AS BIGINT) AS pos FROM events)"
 ENGINES = """f AS (SELECT conv_id, turn % 3 AS line, CASE length(text) % 3 WHEN 0 THEN 'graph' WHEN 1 THEN 'rules' ELSE 'review' END AS engine, length(text) % 3 + 1 AS rank, length(text) % 7 AS weight FROM conversations)"""
-EDGES = "edges AS (SELECT DISTINCT o_custkey AS node, o_custkey * 7 % 1501 + 1 AS up FROM orders)"
-RULE_ROWS = ", ".join(f"('{i}', '{c}', '{p}')" for i, c, p in RULES)
+ENDS = "ends AS (SELECT user_id, stop AS b, name, name % 3 = 0 AS operator FROM spans)"
+EDGES = """edges AS (SELECT DISTINCT o_custkey AS node, o_custkey * 7 % 1501 + 1 AS up, 1 AS p FROM orders WHERE o_orderkey % 3 > 0 UNION SELECT o_custkey, o_orderkey % 1499, 2 FROM orders)"""
+RULE_ROWS = ", ".join(f"('{i}', '{c}', '{m}', '{p}')" for i, c, m, p in RULES)
 
 ORACLE = {
     "hash_lookup": "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1",
@@ -230,14 +277,17 @@ ORACLE = {
     "interval_containment": f"WITH {SPANS}, {POINTS} SELECT id, count(*) AS n, min(name) AS first FROM points p JOIN spans s ON p.user_id = s.user_id AND pos BETWEEN start AND stop GROUP BY 1",
     "smallest_enclosing": f"""WITH {SPANS}, {POINTS}, r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY stop - start, name) AS r FROM points p LEFT JOIN spans s ON p.user_id = s.user_id AND pos BETWEEN start AND stop)
         SELECT id, name FROM r WHERE r = 1""",
-    "tolerance_join": f"WITH {SPANS}, {POINTS} SELECT id, EXISTS (SELECT 1 FROM spans s WHERE s.user_id = p.user_id AND abs(start - pos) <= 50000) AS hit FROM points p",
-    "nearest_line": f"""WITH {SPANS}, {POINTS}, r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY start < pos, abs(start - pos), name) AS r FROM points p JOIN spans s ON p.user_id = s.user_id AND abs(start - pos) <= 100000)
+    "tolerance_join": f"WITH {SPANS}, {POINTS}, {ENDS} SELECT id, EXISTS (SELECT 1 FROM ends s WHERE s.user_id = p.user_id AND abs(b - pos) <= 5000) AS hit FROM points p",
+    "nearest_line": f"""WITH {SPANS}, {POINTS}, {ENDS}, r AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY b < pos, abs(b - pos), operator, name) AS r FROM points p JOIN ends s ON p.user_id = s.user_id AND abs(b - pos) <= 100000)
         SELECT id, name FROM r WHERE r = 1""",
-    "line_ladder": """WITH g AS (SELECT abs(a.l_partkey - b.l_partkey) AS gap FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2)
-        SELECT t AS tolerance, count(*) FILTER (gap <= t) AS hits, count(*) AS n FROM g, (VALUES (0), (1), (3), (10)) v(t) GROUP BY 1""",
-    "rule_match": f"SELECT source, rule_id, category, count(*) AS n FROM documents JOIN (VALUES {RULE_ROWS}) r(rule_id, category, pattern) ON regexp_matches(text, pattern) GROUP BY 1, 2, 3",
-    "candidate_agg": """WITH s AS (SELECT event_type, user_id % 10 AS grp, list_sort(list_distinct(list(CAST(floor(value) AS BIGINT))))[1:3] AS s, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1, 2)
-        SELECT event_type, grp, n, array_to_string(s, ',') AS samples, latest FROM s""",
+    "line_ladder": """WITH g AS (SELECT a.l_orderkey, a.l_linenumber, min(abs(a.l_partkey - b.l_partkey)) AS gap FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber <> b.l_linenumber GROUP BY 1, 2),
+        k AS (SELECT g.gap, a.l_linenumber <= 4 AS seen FROM lineitem a JOIN g USING (l_orderkey, l_linenumber)), e AS (SELECT gap, 'all' AS scope FROM k UNION ALL SELECT gap, CASE WHEN seen THEN 'visible' ELSE 'invisible' END FROM k)
+        SELECT scope, t AS tolerance, count(*) FILTER (gap <= t) AS hits, count(*) AS n FROM e, (VALUES (0), (1), (3), (10)) v(t) GROUP BY 1, 2""",
+    "rule_match": f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS name, html FROM pages)
+        SELECT rule_id, category, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS pages FROM p JOIN (VALUES {RULE_ROWS}) r(rule_id, category, match, pattern)
+        ON CASE match WHEN 'name' THEN regexp_full_match(name, pattern) WHEN 'full' THEN regexp_full_match(url, pattern) ELSE regexp_matches(html, pattern) END GROUP BY 1, 2""",
+    "candidate_agg": """WITH v AS (SELECT event_type, user_id % 10 AS grp, CAST(floor(value) AS BIGINT) AS v, count(*) AS n, max(ts) AS ts FROM events GROUP BY 1, 2, 3)
+        SELECT event_type, grp, CAST(sum(n) AS BIGINT) AS n, max(ts) AS latest, array_to_string(list(v ORDER BY v)[1:3], ',') AS samples, array_to_string(list(v ORDER BY n DESC, v)[1:2], ',') AS top FROM v GROUP BY 1, 2""",
     "locf": "SELECT event_id, last_value(CASE WHEN event_id % 4 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS mark FROM events",
     "diff_line_no": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT *, length(line) % 3 AS s FROM l),
         n AS (SELECT doc_id, s, CAST(sum((s <> 1)::INT) OVER w AS BIGINT) AS o, CAST(sum((s <> 0)::INT) OVER w AS BIGINT) AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
@@ -250,23 +300,26 @@ ORACLE = {
     "critic_filter": f"""WITH {ENGINES}, g AS (SELECT engine, weight < 3 AND weight % 2 = 0 AND weight <> 1 AND abs(weight * 4) <= 6 AS gone FROM f) SELECT engine, count(*) FILTER (gone) AS removed, count(*) FILTER (NOT gone) AS kept FROM g GROUP BY 1""",
     "policy_aggregate": f"""WITH {ENGINES} SELECT CASE WHEN rank = 1 THEN 'TRUST' WHEN weight = 0 THEN 'PARTIAL' WHEN weight / CAST(7 AS DOUBLE) + CAST(0.1 AS DOUBLE) >= CAST(0.6 AS DOUBLE) THEN 'SIGNAL' ELSE 'NO_BETTER' END AS verdict, count(*) AS n FROM f GROUP BY 1""",
     "tier": f"WITH {ENGINES} SELECT CASE WHEN weight = 0 THEN 'exact' WHEN weight = 1 THEN 'path_hit' WHEN weight < 4 THEN 'near' ELSE 'miss' END AS tier, count(*) AS n FROM f GROUP BY 1",
-    "taint_resolve": f"""WITH RECURSIVE {EDGES}, src AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 2 = 0 THEN 'user_input' ELSE 'static_import' END AS kind FROM customer WHERE c_custkey % 13 = 0),
+    "taint_resolve": f"""WITH RECURSIVE {EDGES}, up AS (SELECT node, up FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY p, up) AS r FROM edges) WHERE r = 1),
+        src AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 26 = 0 THEN 'user_input' ELSE 'static_import' END AS kind FROM customer WHERE c_custkey % 13 = 0),
         w AS (SELECT c_custkey AS id, c_custkey AS here, [c_custkey] AS path, 0 AS step FROM customer
-          UNION ALL SELECT id, up, list_append(path, up), step + 1 FROM w JOIN edges ON node = here WHERE step < 8 AND here NOT IN (SELECT node FROM src) AND NOT list_contains(path, up)),
+          UNION ALL SELECT id, up, list_append(path, up), step + 1 FROM w JOIN up ON node = here WHERE step < 8 AND here NOT IN (SELECT node FROM src) AND NOT list_contains(path, up)),
         e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step DESC) AS r FROM w)
-        SELECT id, CASE WHEN kind IS NOT NULL THEN kind WHEN up IS NULL OR step = 8 THEN 'unknown' ELSE 'cycle' END AS verdict, CASE WHEN kind IS NOT NULL THEN here END AS source, step AS steps
-        FROM e LEFT JOIN src ON src.node = here LEFT JOIN edges ON edges.node = here WHERE r = 1""",
+        SELECT id, CASE WHEN kind IS NOT NULL THEN kind WHEN up IS NULL OR step = 8 THEN 'unknown' ELSE 'cycle' END AS verdict, CASE WHEN kind IS NOT NULL THEN here END AS source, step AS steps, array_to_string(path, '>') AS path
+        FROM e LEFT JOIN src ON src.node = here LEFT JOIN up ON up.node = here WHERE r = 1""",
     "var_length_path": f"""WITH RECURSIVE {EDGES}, w AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS hops FROM customer WHERE c_custkey % 50 = 0
-          UNION ALL SELECT start, up, hops + 1 FROM w JOIN edges ON edges.node = w.node WHERE hops < 6) SELECT start, node, min(hops) AS hops FROM w GROUP BY 1, 2""",
-    "neighborhood": """WITH e AS (SELECT DISTINCT l_partkey % 300 AS a, l_suppkey % 300 + 300 AS b FROM lineitem WHERE l_linenumber = 1), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-        s AS (SELECT DISTINCT a AS start FROM e WHERE a % 10 = 0), h AS (SELECT start, start AS node, 0 AS hops FROM s UNION ALL SELECT start, b, 1 FROM s JOIN u ON a = start
+          UNION SELECT start, up, hops + 1 FROM w JOIN edges ON edges.node = w.node WHERE hops < 6) SELECT start, node, min(hops) AS hops, max(c_mktsegment) AS segment FROM w LEFT JOIN customer ON c_custkey = node GROUP BY 1, 2""",
+    "neighborhood": """WITH e AS (SELECT DISTINCT 'c' || o_custkey AS a, 'o' || o_orderkey AS b FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        s AS (SELECT 'c' || c_custkey AS start FROM customer), h AS (SELECT start, start AS node, 0 AS hops FROM s UNION ALL SELECT start, b, 1 FROM s JOIN u ON a = start
           UNION ALL SELECT start, y.b, 2 FROM s JOIN u x ON x.a = start JOIN u y ON y.a = x.b), m AS (SELECT start, node, min(hops) AS hops FROM h GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, node) AS r, count(*) OVER (PARTITION BY start) AS c FROM m), k AS (SELECT * FROM r WHERE r <= 64),
         g AS (SELECT x.start, count(*) AS n FROM e JOIN k x ON x.node = e.a JOIN k y ON y.node = e.b AND x.start = y.start GROUP BY 1)
-        SELECT k.start, count(*) AS n_nodes, coalesce(max(g.n), 0) AS n_edges, max(c) > 64 AS truncated FROM k LEFT JOIN g ON g.start = k.start GROUP BY 1""",
+        SELECT k.start, count(*) AS n_nodes, least(coalesce(max(g.n), 0), 256) AS n_edges, max(c) > 64 OR coalesce(max(g.n), 0) > 256 AS truncated FROM k LEFT JOIN g ON g.start = k.start GROUP BY 1""",
     "evidence_verdict": """WITH u AS (SELECT user_id, max(CASE WHEN value > 90 THEN 2 WHEN value > 50 THEN 1 ELSE 0 END) AS k FROM events GROUP BY 1)
         SELECT CASE k WHEN 2 THEN 'tainted' WHEN 1 THEN 'safe' ELSE 'unknown' END AS verdict, count(*) AS n FROM u GROUP BY 1""",
     "risk_score": """SELECT event_id, round(greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), event_id % 21 / CAST(2 AS DOUBLE) + CAST(CASE event_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN -1.0 ELSE -0.2 END AS DOUBLE))), 6) AS risk FROM events""",
     "knn": """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS id, list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) AS sim FROM q, embeddings)
         SELECT q, id, rank, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM s) WHERE rank <= 5""",
+    "knn_filtered": """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS id, list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) AS sim FROM q, embeddings WHERE label = 1)
+        SELECT q, id, rank, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM s WHERE sim >= 0.5) WHERE rank <= 5""",
 }

@@ -25,8 +25,10 @@ def test_hash_bucket_is_the_number_modulo_ten(spark):
 
 def test_near_dup_pairs_by_hand(spark):
     rows = spark.createDataFrame([(1, 0, "a b c d e f"), (2, 0, "a b c d e g"), (3, 1, "a b c d e f")], "id int, b int, text string")
-    got = C.near_dup_pairs(rows, ["b"], "id", "text", 0.2).collect()
+    rows = rows.withColumn("g", F.col("id") % 2)
+    got = C.near_dup_pairs(rows, "b", "g", "id", "text", 0.2).collect()
     assert [(r["id_a"], r["id_b"], round(r["jaccard"], 6)) for r in got] == [(1, 2, 0.333333)]
+    assert C.near_dup_pairs(rows.withColumn("g", F.lit(1)), "b", "g", "id", "text", 0.2).count() == 0
 
 
 def test_pair_and_rank_metrics(spark):
@@ -50,11 +52,13 @@ def test_intervals_and_bands(spark):
 
 
 def test_way_to_a_source(spark):
-    edges = spark.createDataFrame([("c", "b"), ("b", "a"), ("x", "y"), ("y", "x"), ("l", "m")], "node string, up string")
-    sources = spark.createDataFrame([("a", "user_input")], "node string, kind string")
+    """A user input goes before an import, a property flow before an alias; the way itself comes along."""
+    edges = [("c", "z", "alias"), ("c", "b", "prop_flow"), ("b", "a", "alias"), ("x", "y", "alias"), ("y", "x", "alias"), ("l", "m", "alias")]
+    edges = spark.createDataFrame(edges, "node string, up string, kind string")
+    sources = spark.createDataFrame([("a", "static_import"), ("a", "user_input")], "node string, kind string")
     starts = spark.createDataFrame([(1, "c"), (2, "x"), (3, "l"), (4, "a")], "id int, node string")
-    got = {r["id"]: (r["verdict"], r["source"], r["steps"]) for r in G.resolve(starts, edges, sources).collect()}
-    assert got == {1: ("user_input", "a", 2), 2: ("cycle", None, 1), 3: ("unknown", None, 1), 4: ("user_input", "a", 0)}
+    got = {r["id"]: (r["verdict"], r["source"], r["steps"], r["path"]) for r in G.resolve(starts, edges, sources).collect()}
+    assert got == {1: ("user_input", "a", 2, ["c", "b", "a"]), 2: ("cycle", None, 1, ["x", "y"]), 3: ("unknown", None, 1, ["l", "m"]), 4: ("user_input", "a", 0, ["a"])}
 
 
 def test_risk_moves_with_the_verdict(spark):
