@@ -142,16 +142,6 @@ def locf(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.last(mark, ignorenulls=True).over(w).alias("mark"))
 
 
-def diff_line_no(spark, sf_dir):
-    """Running line numbers of both sides of texts read as diffs: lines that begin in upper case stand on one side."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    side = F.when(F.length("line") % 3 == 0, "old").when(F.length("line") % 3 == 1, "new").otherwise("both")
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = lines.withColumn("side", side)
-    numbered = rows.select("doc_id", "pos", "side", F.sum((F.col("side") != "new").cast("int")).over(w).alias("old_no"), F.sum((F.col("side") != "old").cast("int")).over(w).alias("new_no"))
-    return numbered.groupBy("doc_id").agg(F.max("old_no").alias("old_lines"), F.max("new_no").alias("new_lines"), F.sum(F.when(F.col("side") == "new", F.col("new_no")).otherwise(0)).alias("added_at"))
-
-
 def finding_dedupe(spark, sf_dir):
     f = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("category"), "l_orderkey")
     return D.dedupe(f, ["file", "line", "category"], ["l_orderkey"])
@@ -253,7 +243,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hash_lookup, fallback_join, key_intersection, semi_allowlist, resume_anti, left_default, ordinal_join, interval_containment, smallest_enclosing, tolerance_join, nearest_line,
-        line_ladder, rule_match, candidate_agg, locf, diff_line_no, finding_dedupe, merge_findings, evidence_rank, critic_filter, policy_aggregate, tier, taint_resolve, var_length_path,
+        line_ladder, rule_match, candidate_agg, locf, finding_dedupe, merge_findings, evidence_rank, critic_filter, policy_aggregate, tier, taint_resolve, var_length_path,
         neighborhood, evidence_verdict, risk_score, knn, knn_filtered,
     )
 }
@@ -289,9 +279,6 @@ ORACLE = {
     "candidate_agg": """WITH v AS (SELECT event_type, user_id % 10 AS grp, CAST(floor(value) AS BIGINT) AS v, count(*) AS n, max(ts) AS ts FROM events GROUP BY 1, 2, 3)
         SELECT event_type, grp, CAST(sum(n) AS BIGINT) AS n, max(ts) AS latest, array_to_string(list(v ORDER BY v)[1:3], ',') AS samples, array_to_string(list(v ORDER BY n DESC, v)[1:2], ',') AS top FROM v GROUP BY 1, 2""",
     "locf": "SELECT event_id, last_value(CASE WHEN event_id % 4 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS mark FROM events",
-    "diff_line_no": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS i, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT *, length(line) % 3 AS s FROM l),
-        n AS (SELECT doc_id, s, CAST(sum((s <> 1)::INT) OVER w AS BIGINT) AS o, CAST(sum((s <> 0)::INT) OVER w AS BIGINT) AS n FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING))
-        SELECT doc_id, max(o) AS old_lines, max(n) AS new_lines, CAST(sum(CASE WHEN s = 1 THEN n ELSE 0 END) AS BIGINT) AS added_at FROM n GROUP BY 1""",
     "finding_dedupe": """WITH r AS (SELECT l_suppkey AS file, l_linenumber AS line, l_returnflag AS category, min(l_orderkey) AS l_orderkey, count(*) - 1 AS n_duplicates FROM lineitem GROUP BY 1, 2, 3)
         SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, category) - 1 AS uid FROM r""",
     "merge_findings": f"""WITH {ENGINES}, d AS (SELECT DISTINCT conv_id, line, engine, rank FROM f WHERE engine <> 'review' OR weight > 3)
