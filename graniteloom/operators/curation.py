@@ -208,3 +208,13 @@ def budget_prefix(lines: DataFrame, id: str, pos: str, cost: str, budget: int) -
     return summed.groupBy(id).agg(
         F.count_if(fits).alias("lines_kept"), F.coalesce(F.max(F.when(fits, F.col("_sum"))), F.lit(0)).alias("cost_kept"), F.count(F.lit(1)).alias("n_lines")
     )
+
+
+def visible_prefix(rows: DataFrame, id: str, text: str, line: str, budget: int, tokens) -> DataFrame:
+    """(id, lines_kept, tokens_kept, visible): the longest run of first lines within a budget of tokens, and whether the
+    line (from 1 on; null or 0: none) is among them. tokens makes the count of a Column of text: any tokenizer fits."""
+    lines = rows.select(F.col(id), F.col(line).alias("_line"), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("_pos", "_text"))
+    costs = lines.select(id, "_line", "_pos", (tokens(F.col("_text")) + 1).alias("_cost"))
+    kept = budget_prefix(costs, id, "_pos", "_cost", budget)
+    at = rows.select(id, F.coalesce(line, F.lit(0)).alias("_line"))
+    return kept.join(at, id).select(id, "lines_kept", F.col("cost_kept").alias("tokens_kept"), ((F.col("_line") > 0) & (F.col("_line") <= F.col("lines_kept"))).alias("visible"))

@@ -48,7 +48,7 @@ def sentences(text: Column) -> Column:
 def reason(text: Column, cue: str, least: int = 30, most: int = 400) -> Column:
     """struct<reason, tier>: the first sentence of fitting length that holds a cue ("causal"), else the first of fitting
     length ("plain"), else the first `most` characters ("cut")."""
-    fitting = F.filter(F.transform(sentences(text), F.trim), lambda s: F.length(s).between(least, most))
+    fitting = F.filter(F.transform(sentences(text), lambda x: F.trim(x)), lambda s: F.length(s).between(least, most))
     causal, plain = F.get(F.filter(fitting, lambda s: s.rlike(cue)), F.lit(0)), F.get(fitting, F.lit(0))
     tier = F.when(causal.isNotNull(), "causal").when(plain.isNotNull(), "plain").otherwise("cut")
     return F.struct(F.coalesce(causal, plain, F.left(text, F.lit(most))).alias("reason"), tier.alias("tier"))

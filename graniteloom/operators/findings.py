@@ -28,16 +28,55 @@ def best_per_file(findings: DataFrame, file: str, order: list[Column | str]) ->
     return ranked.where("_at = 1").drop("_at")
 
 
-def suppressed(verdict: Column, confidence: Column, basis: Column, line: Column, reason: Column, window: int = 6) -> Column:
-    """Whether a critic may remove a finding: false verdict, high confidence, a basis line shown to it, and a reason."""
+def criticised(verdict: Column, confidence: Column, basis: Column, line: Column, reason: Column, window: int = 6) -> Column:
+    """What a critic makes of a finding: REMOVED for a false verdict of high confidence on a line that was shown to it,
+    with a reason; UNCERTAIN for a false verdict that lacks one of these; else KEPT."""
     shown = basis.isNotNull() & (F.abs(basis - line) <= window)
-    return F.coalesce((verdict == "FALSE") & (confidence == "high") & shown & (F.length(F.trim(reason)) > 0), F.lit(False))
+    sure = F.coalesce((confidence == "high") & shown & (F.length(F.trim(reason)) > 0), F.lit(False))
+    return F.when(F.coalesce(verdict != "FALSE", F.lit(True)), "KEPT").when(sure, "REMOVED").otherwise("UNCERTAIN")
 
 
-def policy(trusted: Column, score: Column, delta: Column, tau: float) -> Column:
-    """TRUST, SIGNAL or NO_BETTER; PARTIAL without a score."""
-    return F.when(trusted, "TRUST").when(score.isNull(), "PARTIAL").when(score + delta >= tau, "SIGNAL").otherwise("NO_BETTER")
+def policy(trusted: Column, score: Column, delta: Column, tau: Column, fallback: Column) -> Column:
+    """struct<verdict, fallback>: TRUST where the engine is trusted, else SIGNAL or NO_BETTER by score + delta >= tau. A
+    missing score takes the fallback's; without either it is PARTIAL."""
+    used = F.coalesce(score, fallback)
+    verdict = F.when(trusted, "TRUST").when(used.isNull(), "PARTIAL").when(used + delta >= tau, "SIGNAL").otherwise("NO_BETTER")
+    return F.struct(verdict.alias("verdict"), (~trusted & score.isNull() & fallback.isNotNull()).alias("fallback"))
 
 
-def tier(exact: Column, on_path: Column, near: Column) -> Column:
-    return F.when(exact, "exact").when(on_path, "path_hit").when(near, "near").otherwise("miss")
+def tier(line: Column, path: Column, truth: Column, near: int = 5) -> Column:
+    """How a finding meets a true line: exact, on its path, near it, or not."""
+    return F.when(line == truth, "exact").when(F.array_contains(path, truth), "path_hit").when(F.abs(line - truth) <= near, "near").otherwise("miss")
+
+
+def file_verdict(files: DataFrame, flows: DataFrame, file: str, sanitized: str) -> DataFrame:
+    """file and verdict: vuln with a flow that is not sanitized, safe_sanitized with sanitized ones only, safe without
+    any, unknown for files that were not analysed (files: file, analysed)."""
+    sums = flows.groupBy(file).agg(F.bool_or(~F.col(sanitized)).alias("_live"), F.count(F.lit(1)).alias("_n"))
+    verdict = F.when(~F.col("analysed"), "unknown").when(F.col("_live"), "vuln").when(F.col("_n") > 0, "safe_sanitized").otherwise("safe")
+    return files.join(sums, file, "left").select(file, verdict.alias("verdict"))
+
+
+def retried(inputs: DataFrame, first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """Every input with the result of the first pass, else of the second, else none: as many rows as inputs."""
+    missing = inputs.select(key).join(first, key, "left_anti")
+    found = first.withColumn("passes", F.lit(1)).unionByName(second.join(missing, key, "left_semi").withColumn("passes", F.lit(2)))
+    return inputs.join(found, key, "left").fillna(0, ["passes"])
+
+
+def ladder(text: Column, source: str, sink: str, sanitizer: str) -> Column:
+    """tainted, sanitized, source_only, sink_only or clean, by patterns of one language."""
+    s, k, z = text.rlike(source), text.rlike(sink), text.rlike(sanitizer)
+    return F.when(s & k & ~z, "tainted").when(s & k, "sanitized").when(k, "sink_only").when(s, "source_only").otherwise("clean")
+
+
+def three_valued(tainted: Column, overwritten: Column) -> Column:
+    """vuln, safe or unknown of a value that may be tainted and may be overwritten by a constant; null is unknown."""
+    live = tainted & ~overwritten
+    return F.when(live, "vuln").when(~live, "safe").otherwise("unknown")
+
+
+def by_language(rows: DataFrame, policies: dict[str, str], language: str, out: str) -> DataFrame:
+    """rows with the policy of their language, else that of "_default"."""
+    table = F.create_map(*(F.lit(x) for pair in policies.items() for x in pair))
+    return rows.withColumn(out, F.coalesce(F.try_element_at(table, F.col(language)), F.lit(policies["_default"])))

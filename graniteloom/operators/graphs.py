@@ -91,3 +91,45 @@ def adjusted_risk(base: Column, verdict: Column) -> Column:
     """Fixed values: +0.9 tainted, -1.0 safe, -0.2 unknown, kept within 0 and 10."""
     step = F.when(verdict == "tainted", 0.9).when(verdict == "safe", -1.0).otherwise(-0.2)
     return F.greatest(F.lit(0.0), F.least(F.lit(10.0), base + step))
+
+
+def overridden_edges(edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """edges (a, b) with those out of the nodes that rules (a, b) speak of replaced by the rules'."""
+    return edges.select("a", "b").join(rules.select("a").distinct(), "a", "left_anti").unionByName(rules.select("a", "b"))
+
+
+def flows(sources: DataFrame, sinks: DataFrame, edges: DataFrame, depth: int = 6) -> DataFrame:
+    """(source, sink, hops, path): for every source and sink (node) that a way of at most `depth` edges joins, the shortest
+    one, the least among equals. A round is one join; a way goes on only from nodes that it reaches for the first time."""
+    step_of = cut(edges.select("a", "b").distinct())
+    seen = sources.select(F.col("node").alias("source"), "node", F.array("node").alias("path")).distinct()
+    front = seen
+    for _ in range(depth):
+        step = front.select("source", F.col("node").alias("a"), "path").join(step_of, "a").select("source", F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
+        fresh = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path"))
+        front = cut(fresh)
+        seen = seen.unionByName(front)
+    return seen.join(sinks.select("node").distinct(), "node").select("source", F.col("node").alias("sink"), (F.size("path") - 1).alias("hops"), "path")
+
+
+def enclosing(nodes: DataFrame, parents: DataFrame, meets: Column, depth: int = 8) -> DataFrame:
+    """(node, ancestor, levels): the nearest ancestor, the node itself included, for which `meets` (a column over the
+    columns of parents: node, parent and more) holds; null after `depth` levels. parents has a row for every node."""
+    step_of = cut(parents.select(F.col("node").alias("at"), "parent", F.coalesce(meets, F.lit(False)).alias("hit")))
+    open_ = nodes.select("node", F.col("node").alias("at"))
+    done = None
+    for level in range(depth + 1):
+        seen = cut(open_.join(step_of, "at", "left"))
+        last = F.col("hit") | F.col("parent").isNull() | F.lit(level == depth)
+        ended = seen.where(F.coalesce(last, F.lit(True))).select("node", F.when(F.col("hit"), F.col("at")).alias("ancestor"), F.lit(level).alias("levels"))
+        done = ended if done is None else done.unionByName(ended)
+        open_ = seen.where(~F.coalesce(last, F.lit(True))).select("node", F.col("parent").alias("at"))
+    return done
+
+
+def merged_graph(known: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """Nodes or edges of both, one a key: what is known stays as it is, so merging again changes nothing."""
+    fresh = new.join(known.select(*key), key, "left_anti")
+    rest = [c for c in known.columns if c not in key]
+    one = fresh.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_r")).select(*key, "_r.*") if rest else fresh.select(*key).distinct()
+    return known.unionByName(one.select(*known.columns))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.plans import curating, diffing, evaluating, feeds, grading, matching, ruling, streams
+from graniteloom.plans import curating, deciding, diffing, evaluating, feeds, grading, matching, ruling, streams
 from graniteloom.plans.curating import curate_split
 
 __all__ = ["curate_split", "oracle_sql", "queries"]
-MODULES = (curating, diffing, evaluating, feeds, grading, matching, ruling, streams)
+MODULES = (curating, deciding, diffing, evaluating, feeds, grading, matching, ruling, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

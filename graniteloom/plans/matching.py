@@ -157,29 +157,6 @@ def merge_findings(spark, sf_dir):
     return D.merge(_engines(spark, sf_dir), ["conv_id", "line"], "engine", "rank", (F.col("engine") != "review") | (F.col("weight") > 3))
 
 
-def evidence_rank(spark, sf_dir):
-    return D.best_per_file(_engines(spark, sf_dir), "conv_id", [F.desc("weight"), "rank", "line"]).select("conv_id", "line", "engine", "weight", "n_findings")
-
-
-def critic_filter(spark, sf_dir):
-    f = _engines(spark, sf_dir)
-    verdict, sure = F.when(F.col("weight") < 3, "FALSE").otherwise("TRUE"), F.when(F.col("weight") % 2 == 0, "high").otherwise("low")
-    basis = F.when(F.col("weight") != 1, F.col("line") + F.col("weight") * 4)
-    gone = D.suppressed(verdict, sure, basis, F.col("line"), F.lit("not reachable"))
-    return f.groupBy("engine").agg(F.count_if(gone).alias("removed"), F.count_if(~gone).alias("kept"))
-
-
-def policy_aggregate(spark, sf_dir):
-    f = _engines(spark, sf_dir)
-    verdict = D.policy(F.col("rank") == 1, F.when(F.col("weight") != 0, F.col("weight") / F.lit(7.0)), F.lit(0.1), 0.6)
-    return f.groupBy(verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def tier(spark, sf_dir):
-    f = _engines(spark, sf_dir)
-    return f.groupBy(D.tier(F.col("weight") == 0, F.col("weight") == 1, F.col("weight") < 4).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
-
-
 def _edges(spark, sf_dir):
     """Ways up between customers: property flows from every order, aliases from the larger ones."""
     o = table(spark, sf_dir, "orders")
@@ -243,7 +220,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hash_lookup, fallback_join, key_intersection, semi_allowlist, resume_anti, left_default, ordinal_join, interval_containment, smallest_enclosing, tolerance_join, nearest_line,
-        line_ladder, rule_match, candidate_agg, locf, finding_dedupe, merge_findings, evidence_rank, critic_filter, policy_aggregate, tier, taint_resolve, var_length_path,
+        line_ladder, rule_match, candidate_agg, locf, finding_dedupe, merge_findings, taint_resolve, var_length_path,
         neighborhood, evidence_verdict, risk_score, knn, knn_filtered,
     )
 }
@@ -283,10 +260,6 @@ ORACLE = {
         SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, category) - 1 AS uid FROM r""",
     "merge_findings": f"""WITH {ENGINES}, d AS (SELECT DISTINCT conv_id, line, engine, rank FROM f WHERE engine <> 'review' OR weight > 3)
         SELECT conv_id, line, min_by(engine, rank) AS first_engine, string_agg(engine, ',' ORDER BY rank) AS contributors FROM d GROUP BY 1, 2""",
-    "evidence_rank": f"WITH {ENGINES} SELECT conv_id, line, engine, weight, n_findings FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, rank, line) AS r, count(*) OVER (PARTITION BY conv_id) AS n_findings FROM f) WHERE r = 1",
-    "critic_filter": f"""WITH {ENGINES}, g AS (SELECT engine, weight < 3 AND weight % 2 = 0 AND weight <> 1 AND abs(weight * 4) <= 6 AS gone FROM f) SELECT engine, count(*) FILTER (gone) AS removed, count(*) FILTER (NOT gone) AS kept FROM g GROUP BY 1""",
-    "policy_aggregate": f"""WITH {ENGINES} SELECT CASE WHEN rank = 1 THEN 'TRUST' WHEN weight = 0 THEN 'PARTIAL' WHEN weight / CAST(7 AS DOUBLE) + CAST(0.1 AS DOUBLE) >= CAST(0.6 AS DOUBLE) THEN 'SIGNAL' ELSE 'NO_BETTER' END AS verdict, count(*) AS n FROM f GROUP BY 1""",
-    "tier": f"WITH {ENGINES} SELECT CASE WHEN weight = 0 THEN 'exact' WHEN weight = 1 THEN 'path_hit' WHEN weight < 4 THEN 'near' ELSE 'miss' END AS tier, count(*) AS n FROM f GROUP BY 1",
     "taint_resolve": f"""WITH RECURSIVE {EDGES}, up AS (SELECT node, up FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY p, up) AS r FROM edges) WHERE r = 1),
         src AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 26 = 0 THEN 'user_input' ELSE 'static_import' END AS kind FROM customer WHERE c_custkey % 13 = 0),
         w AS (SELECT c_custkey AS id, c_custkey AS here, [c_custkey] AS path, 0 AS step FROM customer

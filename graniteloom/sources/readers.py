@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graniteloom.operators.rules import compiling
+
 SAMPLE = T.StructType(
     [
         T.StructField("prompt", T.StringType()),
@@ -57,10 +59,12 @@ def rule_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sanitizer_table(spark: SparkSession, path: str) -> DataFrame:
-    """(pattern, applies_to, note): the second of three columns is a list of categories, * for all."""
+    """(pattern, applies_to, note): the second of three columns is a list of categories, * for all. Patterns that do not
+    compile are dropped."""
     parts = F.split("value", "\t", -1)
     names = F.filter(F.transform(F.split(F.try_element_at(parts, F.lit(2)), ","), lambda x: F.trim(x)), lambda x: x != "")
-    return spark.read.text(path).where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("pattern"), names.alias("applies_to"), F.try_element_at(parts, F.lit(3)).alias("note"))
+    rows = spark.read.text(path).where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("pattern"), names.alias("applies_to"), F.try_element_at(parts, F.lit(3)).alias("note"))
+    return compiling(rows, "pattern").where("compiles").drop("compiles")
 
 
 def propagation_table(spark: SparkSession, path: str) -> DataFrame:
@@ -74,7 +78,57 @@ def propagation_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("pattern"), moves.alias("moves"))
 
 
-def source_tree(spark: SparkSession, path: str, glob: str = "*", excluded: str = r"/(node_modules|vendor|dist|build|test)/", most_bytes: int = 2_000_000) -> DataFrame:
-    """(path, content) of the files below a folder whose names match, without excluded folders and large files."""
+def source_tree(
+    spark: SparkSession, path: str, glob: str = "*", excluded: str = r"/(node_modules|vendor|dist|build|test)/", most_bytes: int = 2_000_000, suffixes: tuple[str, ...] = (), without: tuple[str, ...] = ()
+) -> DataFrame:
+    """(path, content) of the files below a folder whose names match, and end in one of `suffixes` (if any are given) and
+    in none of `without`; excluded folders and large files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.where((F.col("length") <= most_bytes) & ~F.col("path").rlike(excluded)).select("path", F.decode("content", "utf-8").alias("content"))
+    chosen = files.where((F.col("length") <= most_bytes) & ~F.col("path").rlike(excluded))
+    for names, wanted in ((suffixes, True), (without, False)):
+        if names:
+            ends = F.exists(F.array(*(F.lit(s) for s in names)), lambda s: F.endswith(F.col("path"), s))
+            chosen = chosen.where(ends if wanted else ~ends)
+    return chosen.select("path", F.decode("content", "utf-8").alias("content"))
+
+
+#: The tables of a program graph, as an exporter writes them.
+PROGRAM = {
+    "methods": "id long, name string, full_name string, file string, line_start int, line_end int, parent long",
+    "calls": "id long, method long, name string, full_name string, file string, line int, code string",
+    "args": "call long, position int, code string, literal boolean",
+    "params": "method long, position int, name string",
+    "edges": "a long, b long, kind string",
+}
+
+
+def program_graph(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a program graph below a folder (one Parquet folder each); one that is not there is empty."""
+    found = {}
+    for name, schema in PROGRAM.items():
+        try:
+            found[name] = spark.read.schema(schema).parquet(f"{path}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found[name] = spark.createDataFrame([], schema)
+    return found
+
+
+def scanned_lines(files: DataFrame, name: str = r"^[ -]*name: *(.*)$", value: str = r"^ +([a-z_]+): *(.*)$") -> DataFrame:
+    """(path, name, key, value) of simple indented lists (path, content): a name holds for the values below it."""
+    lines = files.select("path", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    found = F.nullif(F.regexp_extract("line", name, 1), F.lit(""))
+    down = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = lines.select("path", "line", found.alias("own"), F.last(found, ignorenulls=True).over(down).alias("name"))
+    pairs = carried.where(F.col("own").isNull()).select("path", "name", F.regexp_extract("line", value, 1).alias("key"), F.regexp_extract("line", value, 2).alias("value"))
+    return pairs.where("key <> ''")
+
+
+def cached(cache: DataFrame, wanted: DataFrame, frontend: str, key: str, value: str) -> DataFrame:
+    """wanted (frontend, key) with the value cached under "frontend:key", else under the key alone (an older form)."""
+    known = cache.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
+    spaced = wanted.withColumn("_full", F.concat_ws(":", F.col(frontend), F.col(key)))
+    one = spaced.join(known, F.col("_full") == F.col("_key"), "left").withColumn("_first", F.col("_value")).drop("_key", "_value")
+    two = one.join(known, F.col(key) == F.col("_key"), "left").withColumn(value, F.coalesce("_first", "_value"))
+    return two.drop("_key", "_value", "_first", "_full")

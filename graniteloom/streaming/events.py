@@ -41,3 +41,25 @@ def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append")
     query = stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.parquet(path)
+
+
+def upserted(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> DataFrame:
+    """All that is there now, merged batch by batch into a table of one row a key: the row of the highest `order`.
+
+    A batch writes the table anew under its own number and the reader takes the highest one, so a batch that is run again
+    after a failure changes nothing.
+    """
+    spark = stream.sparkSession
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch
+        if number > 0:
+            rows = spark.read.parquet(f"{path}/{number - 1}").unionByName(batch)
+        rest = [c for c in rows.columns if c not in keys]
+        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, *(c for c in rest if c != order))).alias("_r"))
+        best.select(*keys, "_r.*").write.mode("overwrite").parquet(f"{path}/{number}")
+        spark.range(1).select(F.lit(number).alias("number")).coalesce(1).write.mode("overwrite").parquet(f"{path}/last")
+
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{path}/last").first()["number"]
+    return spark.read.parquet(f"{path}/{last}")

@@ -1,3 +1,5 @@
+import time
+
 from graniteloom.streaming import events as S
 from tests.comparing import plain
 
@@ -19,3 +21,22 @@ def test_windowed_counts(spark, sf_dir, tmp_path):
     want = S.window_counts(batch, "event_type")
     # Windows that the watermark has not passed are still open.
     assert set(plain(got.select("start", "event_type", "n").toPandas())) <= set(plain(want.select("start", "event_type", "n").toPandas())) and got.count() > 0
+
+
+def test_late_rows_and_sessions(spark, tmp_path):
+    """A row beyond the watermark is left out of its window; sessions end after their gap."""
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-03 00:00:00"), (2, "2024-01-09 00:00:00"), (1, "2024-01-01 00:05:00"), (2, "2024-01-20 00:00:00")]
+    for i, row in enumerate(rows):
+        spark.createDataFrame([(i, row[1], row[0], "t", 1.0)], "event_id long, ts string, user_id long, event_type string, value double").selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts", "user_id", "event_type", "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)
+    counts = S.drained(S.window_counts(S.event_stream(spark, f"{tmp_path}/in"), "event_type", late="1 day"), f"{tmp_path}/w", f"{tmp_path}/cw")
+    assert {str(r["start"])[:10]: r["n"] for r in counts.collect()} == {"2024-01-01": 2, "2024-01-03": 1, "2024-01-09": 1}
+    found = S.drained(S.sessions(S.event_stream(spark, f"{tmp_path}/in"), "user_id", late="1 day"), f"{tmp_path}/s", f"{tmp_path}/cs")
+    assert sorted((r["user_id"], str(r["start"])[:10], r["n"]) for r in found.collect()) == [(1, "2024-01-01", 2), (1, "2024-01-03", 1), (2, "2024-01-09", 1)]
+
+
+def test_batches_are_merged(spark, tmp_path):
+    for i, rows in enumerate(([(1, "a", 1), (2, "b", 1)], [(1, "c", 3)], [(1, "d", 2), (3, "e", 1)])):
+        spark.createDataFrame(rows, "k int, v string, at int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        got = S.upserted(S.event_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ckpt", ["k"], "at")
+        assert {r["k"]: r["v"] for r in got.collect()} == [{1: "a", 2: "b"}, {1: "c", 2: "b"}, {1: "c", 2: "b", 3: "e"}][i]
