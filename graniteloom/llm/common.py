@@ -22,18 +22,71 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+#: Paths that the open scopes below have written, the innermost last.
+_scopes: list[list[str]] = []
+
+
+def _path(df: DataFrame) -> str | None:
+    return getattr(df, "_written_path", None)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, and lost executors cost nothing.
 
-    The files go when the application ends.
+    The files go with the scope they are written in (see Scratch), with forget(), or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        path = _path(df)
+        if path is not None:
+            _delete(df.sparkSession, path)
+            for scope in _scopes:
+                if path in scope:
+                    scope.remove(path)
+
+
+class Scratch:
+    """A scope whose written tables go at its end, but for those that keep() names. What leaves the scope must be read
+    from these alone: then no table is deleted that a lost executor's work could still need."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def __enter__(self) -> Scratch:
+        self.paths: list[str] = []
+        _scopes.append(self.paths)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """df, written if it is not yet, stays after the scope."""
+        df = df if _path(df) else written(df)
+        self.paths.remove(_path(df))
+        if len(_scopes) > 1:
+            _scopes[-2].append(_path(df))
+        return df
+
+    def __exit__(self, *_: object) -> None:
+        _scopes.pop()
+        for path in self.paths:
+            _delete(self.spark, path)
 
 
 def kept(keep: list[str], *made: str) -> list[str]:

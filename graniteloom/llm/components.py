@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graniteloom.llm.common import written
+from graniteloom.llm.common import forget, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,9 +28,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = written(large)
+        forget(now)
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = written(small.unionByName(low.select("hi", F.col("m").alias("lo"))).distinct())
+        forget(large)
         state, before = _state(now), state
         if state == before:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graniteloom.llm.common import documents, fields_of, row_of, written
+from graniteloom.llm.common import Scratch, documents, fields_of, forget, row_of, written
 from graniteloom.llm.components import components
 from graniteloom.llm.shingles import set_key, shingle_sets
 
@@ -130,6 +130,7 @@ def _candidates(docs: DataFrame, first: DataFrame, order) -> DataFrame:
     able = able.where("have >= lacks").select(F.col("k").alias("k1"))
     reps = first.where("token IS NULL AND n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("id"))
     ids = written(reps.join(able, "k1").select(F.col("id").alias("_id")).distinct())
+    forget(shared)
     chosen = docs.join(F.broadcast(ids) if ids.count() * 16 <= BROADCAST_BYTES else ids, F.col("id") == F.col("_id")).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +174,9 @@ def _candidates(docs: DataFrame, first: DataFrame, order) -> DataFrame:
     held = each.withColumn("_lo", F.min("id").over(one)).withColumn("_hi", F.max("id").over(one)).where("known >= 0 OR _lo <> _hi")
     have = F.count_if(F.col("known") < 0) + F.max(F.greatest("known", F.lit(0)))
     kept = held.groupBy("id", "n").agg(have.alias("have")).where("5 * have >= 4 * n").select("id")
-    return written(able.join(kept, "id"))
+    out = written(able.join(kept, "id"))
+    forget(able, ids)
+    return out
 
 
 def _members(candidates: DataFrame, order) -> DataFrame:
@@ -196,7 +199,9 @@ def _members(candidates: DataFrame, order) -> DataFrame:
     rows = written(candidates.select("id", "s").mapInArrow(run, "token long, id long, n long"))
     groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     kept = groups.where("c > 1").groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token", "c")
-    return written(rows.join(kept, "token"))
+    out = written(rows.join(kept, "token"))
+    forget(rows)
+    return out
 
 
 class Forest:
@@ -339,17 +344,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     body = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    first = written(_scan(body))
-    top = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas()
-    order = spark.sparkContext.broadcast((top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["count"].to_numpy(dtype=np.int64)))
-    found = links_of(_candidates(body, first, order), order)
-    rows = first.where("token IS NULL").select("id", "n", "k1", "k2")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    equal = rows.where("n > 0").join(classes, ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    joined = components(found.unionByName(equal))
-    return rows.join(joined, "id", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+    with Scratch(spark) as scratch:
+        first = written(_scan(body))
+        top = first.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(FREQUENT).toPandas()
+        order = spark.sparkContext.broadcast((top["token"].to_numpy(dtype=np.int64).view(np.uint64), top["count"].to_numpy(dtype=np.int64)))
+        found = written(links_of(_candidates(body, first, order), order))
+        rows = first.where("token IS NULL").select("id", "n", "k1", "k2")
+        classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+        equal = rows.where("n > 0").join(classes, ["k1", "k2"]).where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        joined = components(found.unionByName(equal))
+        out = rows.join(joined, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+        return scratch.keep(out)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -360,15 +365,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     through whatever their names. An empty table gives an empty one.
     """
     body = written(docs.select(row_of(docs.columns).alias("row"), F.monotonically_increasing_id().alias("at")))
-    found = near_copies(body.select(F.col("at").alias("doc_id"), F.col("row").getField("text").alias("text")))
-    found = found.select(F.col("doc_id").alias("at"), "component_id")
-    ids = body.select("at", F.col("row").getField("doc_id").alias("doc_id"))
-    # Only groups of two or more need a look at their ids; the others' rows stay as they are.
-    many = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    grouped = written(found.join(many, "component_id"))
-    first = grouped.join(ids, "at").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "at")).alias("least"))
-    gone = grouped.join(first.select(F.col("least.at").alias("at"), F.lit(True).alias("stays")), "at", "left").where("stays IS NULL").select("at")
-    return body.join(gone, "at", "left_anti").select(*fields_of("row", docs.columns))
+    with Scratch(docs.sparkSession) as scratch:
+        found = near_copies(body.select(F.col("at").alias("doc_id"), F.col("row").getField("text").alias("text")))
+        ids = body.select(F.col("at").alias("doc_id"), F.col("row").getField("doc_id").alias("given"))
+        first = F.min(F.struct(F.col("given").isNull(), F.col("given"), F.col("doc_id").alias("at")))
+        stay = scratch.keep(found.join(ids, "doc_id").groupBy("component_id").agg(first.alias("first")).select("first.at"))
+    return body.join(stay, "at", "left_semi").select(*fields_of("row", docs.columns))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

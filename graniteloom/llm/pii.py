@@ -22,7 +22,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graniteloom.llm.common import documents, fields_of, kept, let, row_of, running, text_of, words_of, written
+from graniteloom.llm.common import Scratch, documents, fields_of, kept, let, row_of, running, text_of, words_of, written
 
 #: Fixed values, in the order that settles ties. Possessive quantifiers and the anchors `(?:\G|(?<!...))` only keep
 #: matching linear: they find the same spans as the plain patterns.
@@ -234,7 +234,8 @@ def _detected(docs: DataFrame, keep: list[str]) -> DataFrame:
     """row, base and spans."""
     found = written(scanned(docs, keep).withColumn("at", F.monotonically_increasing_id()))
     marks = found.select("at", F.explode("marks").alias("m")).select("at", "m.*")
-    lexicon = discovered(docs, marks.select("kind", "value", "patterns"))
+    with Scratch(docs.sparkSession) as scratch:
+        lexicon = scratch.keep(discovered(docs, marks.select("kind", "value", "patterns")))
     more = marks.where("kind IN ('other', 'key')").select("at", "start", "stop", "value").join(lexicon, "value")
     more = more.groupBy("at").agg(F.collect_list(F.struct("start", "stop", "kind", "value")).alias("more"))
     both = found.join(more, "at", "left")

@@ -652,3 +652,24 @@ def test_rules_against_brute_force(spark):
     kept = rules.quality_rules(docs(spark, texts).withColumn("n_words", F.lit(1)))
     assert {x["doc_id"] for x in kept.collect()} == {i for i, x in got.items() if x["kept"]} and "n_words" in kept.columns
     assert rules.judged(docs(spark, ["x"]).limit(0), ["doc_id"]).count() == 0
+
+
+# -- written tables
+
+
+def test_scratch_keeps_what_is_named(spark):
+    import os
+
+    from graniteloom.llm.common import Scratch, forget, written
+
+    def there(df):
+        return os.path.exists(df._written_path.removeprefix("file:").removeprefix("//"))
+
+    with Scratch(spark) as outer:
+        with Scratch(spark) as inner:
+            gone, stays = written(spark.range(3)), inner.keep(spark.range(4))
+        assert not there(gone) and there(stays) and stays.count() == 4
+        other = written(spark.range(2))
+        forget(other)
+        assert not there(other)
+    assert not there(stays) and outer.paths
