@@ -55,14 +55,14 @@ def bucket_counts(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -
     words = docs.select("doc_id", F.regexp_extract_all(flat, F.lit(r"\p{L}+"), F.lit(0)).alias("_w"), words_of(flat).alias("_s")).join(known, "doc_id")
     least = F.expr("coalesce(array_min(transform(_s, (w, i) -> xxhash64(w, get(_s, i + 1), get(_s, i + 2)))), 0)")
     body = written(words.select("_label", least.alias("_least"), F.array_distinct("_w").alias("_w")))
-    votes = body.groupBy("_label", "_least").agg((1 / F.count(F.lit(1))).alias("_vote"))
+    # Groups of two or more are few; their votes meet the texts before these are cut into tokens, so that tokens are
+    # summed in the tasks that read the texts.
+    groups = written(body.groupBy("_label", "_least").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    voting = body.join(groups, ["_label", "_least"], "left").withColumn("_vote", 1 / F.coalesce("_n", F.lit(1)))
     stems = ", ".join(f"transform(filter(_w, w -> length(w) > {n}), w -> concat('~', left(w, {n})))" for n in STEMS)
-    # Tokens are summed within a group of copies before the group's vote is joined, which is small beside them.
     hashed = F.expr(f"array_distinct(transform(concat(array('~'), _w, {stems}), t -> CASE WHEN t = '~' THEN -1L ELSE pmod(xxhash64(t), {BUCKETS}L) END))")
-    each = body.select("_label", "_least", F.explode(hashed).alias("bucket"))
-    each = each.groupBy("_label", "_least", "bucket").agg(F.count(F.lit(1)).alias("_n")).join(votes, ["_label", "_least"])
-    share = F.col("_n") * F.col("_vote")
-    return each.groupBy("bucket").agg(F.sum(F.when(F.col("_label") == 1, share).otherwise(0.0)).alias("y1"), F.sum(F.when(F.col("_label") == 0, share).otherwise(0.0)).alias("y0"))
+    each = voting.select("_label", "_vote", F.explode(hashed).alias("bucket"))
+    return each.groupBy("bucket").agg(*(F.sum(F.when(F.col("_label") == v, F.col("_vote")).otherwise(0.0)).alias(f"y{v}") for v in (1, 0)))
 
 
 def lexicon(docs: DataFrame, labels: DataFrame, *, label: str = "toxic") -> dict:
@@ -107,19 +107,22 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 class Passages:
-    """Toxic passages of texts, from a lexicon."""
+    """Toxic passages of texts, from a lexicon. What it learns about tokens stays with the lexicon."""
 
     def __init__(self, lexicon: dict):
+        import xxhash
+
         self.buckets, self.odds = lexicon["buckets"], lexicon["odds"]
         self.neutral = lexicon["other"] - DRIFT
-        self.known: dict[str, float] = {}
+        self.known: dict[str, float] = lexicon.setdefault("known", {})
+        self.hash = xxhash.xxh64_intdigest
+        marked = np.zeros(BUCKETS, dtype=np.uint8)
+        marked[self.buckets] = 1
+        self.marked = marked.tobytes()
 
     def significant(self, token: str) -> float | None:
-        import xxhash
-
-        bucket = xxhash.xxh64_intdigest(token.encode(), seed=42) % BUCKETS
-        at = int(np.searchsorted(self.buckets, bucket))
-        return float(self.odds[at]) if at < len(self.buckets) and self.buckets[at] == bucket else None
+        bucket = self.hash(token.encode(), seed=42) % BUCKETS
+        return float(self.odds[np.searchsorted(self.buckets, bucket)]) if self.marked[bucket] else None
 
     def token(self, token: str) -> float:
         """The score of a token: by its own log-odds, else those of its longest stem that has any, else the others'."""
@@ -139,9 +142,10 @@ class Passages:
         Every occurrence of a token scores, so a passage is found wherever it stands and however often.
         """
         tokens = TOKEN.findall(text.lower())
-        get = self.known.get
-        scores = np.array([s if (s := get(t)) is not None else self.token(t) for t in tokens], dtype=np.float64)
-        return len(tokens), maximal_segments(scores)
+        scores = list(map(self.known.get, tokens))
+        if None in scores:
+            scores = [self.token(t) if s is None else s for s, t in zip(scores, tokens, strict=True)]
+        return len(tokens), maximal_segments(np.array(scores, dtype=np.float64))
 
 
 def tail(scores: np.ndarray, tokens: float) -> tuple[float, float]:
