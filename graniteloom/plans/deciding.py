@@ -243,11 +243,24 @@ def graph_merge(spark, sf_dir):
     return G.merged_graph(once, new, ["o_custkey", "o_orderpriority"])
 
 
+def window_merge(spark, sf_dir):
+    """Findings of overlapping windows, one a (file, line): an accepted one before the others, then by window."""
+    f = _findings(spark, sf_dir).select("file", "line", (F.col("weight") <= 25).alias("open"), F.col("l_linenumber").alias("window"), "engine", "l_orderkey")
+    return C.dedup_first(f, ["file", "line"], ["open", "window", "engine", "l_orderkey"])
+
+
+def live_calls(spark, sf_dir):
+    """Findings that no sanitizer takes away, of calls whose target is known."""
+    flows = _flows(spark, sf_dir).where("NOT sanitized")
+    calls = _calls(spark, sf_dir).select(F.col("node").alias("sink"), F.when(F.col("file") % 7 == 0, "<unresolved>").otherwise(F.concat(F.lit("m"), F.col("file") % 5)).alias("target"))
+    return flows.join(calls, "sink").where("target <> '<unresolved>'").groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         reachable_flows, propagation_override, source_selection, verdict_sanitized, ancestor_walk, call_closure, suppression, evidence_rows, import_resolve, prop_flow, context_extract,
-        template_expand, tier, critic_filter, policy_aggregate, evidence_rank, query_dedup, advisory, two_pass, multi_taint, decoy_verdict, context_attach, budget_visible, graph_merge,
+        template_expand, tier, critic_filter, policy_aggregate, evidence_rank, query_dedup, advisory, two_pass, multi_taint, decoy_verdict, context_attach, budget_visible, graph_merge, window_merge, live_calls,
     )
 }
 
@@ -296,5 +309,8 @@ ORACLE = {
     "budget_visible": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
         s AS (SELECT doc_id, CAST(sum(len(regexp_extract_all(line, '[^ ]+')) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS BIGINT) AS t FROM l), k AS (SELECT doc_id, count(*) FILTER (t <= 120) AS lines_kept, coalesce(max(t) FILTER (t <= 120), 0) AS tokens_kept FROM s GROUP BY 1)
         SELECT *, doc_id % 6 > 0 AND doc_id % 6 <= lines_kept AS visible FROM k""",
+    "window_merge": f"""{FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY file, line ORDER BY weight <= 25, l_linenumber, engine, l_orderkey) AS r, count(*) OVER (PARTITION BY file, line) AS n_copies FROM f)
+        SELECT file, line, weight <= 25 AS open, l_linenumber AS "window", engine, l_orderkey, n_copies FROM r WHERE r = 1""",
+    "live_calls": f"{FLOWS} SELECT 'm' || c.file % 5 AS target, count(*) AS n FROM f JOIN c ON c.node = f.sink WHERE NOT sanitized AND c.file % 7 <> 0 GROUP BY 1",
     "graph_merge": "SELECT o_custkey, o_orderpriority, coalesce(min(o_orderkey) FILTER (o_orderkey % 2 = 0), -max(o_orderkey)) AS w FROM orders GROUP BY 1, 2",
 }
