@@ -148,7 +148,7 @@ def paired_bootstrap(spark, sf_dir):
 def delta_auc(spark, sf_dir):
     """Interval of the difference in AUC between the score and minus the length under the same 100 resamples of pairs:
     scores are summed with their multiplicities before they are ranked."""
-    rows = _judged(spark, sf_dir).select("pair_id", "gold", F.round("score", 2).alias("score"), (-F.expr("n_chars div 200")).cast("double").alias("short"))
+    rows = _judged(spark, sf_dir).select("pair_id", "gold", "score", (-F.expr("n_chars div 200")).cast("double").alias("short"))
     drawn = cut(rows.join(E.bootstrap_weights(rows, "pair_id", 100), "pair_id").where("w > 0"))
     sides = []
     for column in ("score", "short"):
@@ -300,7 +300,7 @@ ORACLE = {
         x AS (SELECT g, score, CAST((SELECT count(*) FROM c WHERE cut <= n_chars) AS INTEGER) AS bin FROM j), r AS (SELECT bin, g, rank() OVER w + (count(*) OVER (PARTITION BY bin, score) - 1) / CAST(2 AS DOUBLE) AS r FROM x WINDOW w AS (PARTITION BY bin ORDER BY score)),
         s AS (SELECT bin, count(*) FILTER (g) AS n_pos, count(*) FILTER (NOT g) AS n_neg, sum(r) FILTER (g) AS r FROM r GROUP BY 1), a AS (SELECT bin, n_pos, n_neg, (r - n_pos * (n_pos + 1) / CAST(2 AS DOUBLE)) / nullif(n_pos * n_neg, 0) AS auc FROM s), b AS (SELECT * FROM a WHERE auc IS NOT NULL)
         SELECT bin, n_pos, n_neg, round(auc, 6) AS auc FROM b UNION ALL SELECT -1, CAST(sum(n_pos) AS BIGINT), CAST(sum(n_neg) AS BIGINT), round(sum(auc * n_pos * n_neg) / sum(n_pos * n_neg), 6) FROM b""",
-    "delta_auc": f"""{JUDGED}, v AS (SELECT pair_id, g, round(score, 2) AS score, CAST(-(n_chars // 200) AS DOUBLE) AS short FROM j), q AS (SELECT DISTINCT pair_id FROM v), u AS (SELECT pair_id, rep, {U} AS u FROM q, range(1, 101) t(rep)),
+    "delta_auc": f"""{JUDGED}, v AS (SELECT pair_id, g, score, CAST(-(n_chars // 200) AS DOUBLE) AS short FROM j), q AS (SELECT DISTINCT pair_id FROM v), u AS (SELECT pair_id, rep, {U} AS u FROM q, range(1, 101) t(rep)),
         w AS (SELECT v.*, rep, {W} AS w FROM v JOIN u USING (pair_id)), e AS (SELECT rep, g, w, 'score' AS side, score AS x FROM w WHERE w > 0 UNION ALL SELECT rep, g, w, 'short', short FROM w WHERE w > 0),
         t AS (SELECT rep, side, x, coalesce(sum(w) FILTER (g), 0) AS p, coalesce(sum(w) FILTER (NOT g), 0) AS n FROM e GROUP BY 1, 2, 3), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep, side ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t),
         a AS (SELECT rep, side, sum(p * (below + n / CAST(2 AS DOUBLE))) / CAST(sum(p) * sum(n) AS DOUBLE) AS auc FROM b GROUP BY 1, 2), d AS (SELECT x.auc - y.auc AS d FROM a x JOIN a y ON x.rep = y.rep AND x.side = 'score' AND y.side = 'short'),

@@ -211,9 +211,9 @@ def knn(spark, sf_dir):
 
 
 def knn_filtered(spark, sf_dir):
-    """The same among the vectors of one label, at a similarity of at least a half."""
+    """The same among the vectors of odd labels, at a similarity of at least a half."""
     e = _vectors(spark, sf_dir)
-    return R.knn(e.where("id % 50 = 0"), e.where("label = 1"), 5, 0.5).select("q", "id", "rank", F.round("sim", 5).alias("sim"))
+    return R.knn(e.where("id % 50 = 0"), e.where("label % 2 = 1"), 5, 0.5).select("q", "id", "rank", F.round("sim", 5).alias("sim"))
 
 
 QUERIES = {
@@ -280,6 +280,6 @@ ORACLE = {
     "risk_score": """SELECT event_id, round(greatest(CAST(0 AS DOUBLE), least(CAST(10 AS DOUBLE), event_id % 21 / CAST(2 AS DOUBLE) + CAST(CASE event_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN -1.0 ELSE -0.2 END AS DOUBLE))), 6) AS risk FROM events""",
     "knn": """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS id, list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) AS sim FROM q, embeddings)
         SELECT q, id, rank, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM s) WHERE rank <= 5""",
-    "knn_filtered": """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS id, list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) AS sim FROM q, embeddings WHERE label = 1)
+    "knn_filtered": """WITH q AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS a FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT q, vec_id AS id, list_cosine_similarity(a, CAST(embedding AS DOUBLE[])) AS sim FROM q, embeddings WHERE label % 2 = 1)
         SELECT q, id, rank, round(sim, 5) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM s WHERE sim >= 0.5) WHERE rank <= 5""",
 }
