@@ -14,27 +14,46 @@ from graniteloom.llm.common import documents, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every quality rule."""
+    """Documents that pass every quality rule, with their columns.
+
+    A null or empty text fails (it has no words). Rows are judged one by one: null and repeated ids and repeated rows
+    change nothing, texts are read whole, and an empty table gives an empty one.
+    """
     return rules.quality_rules(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest doc_id."""
+    """One document of each group of near copies, that with the smallest doc_id (null last), with its columns.
+
+    Rows are told apart by their place in the table: rows with a null or a repeated doc_id are documents like any other.
+    Texts without words have no copies and stay. An empty table gives an empty one.
+    """
     return ngram_join.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts gives way to the names of its kinds."""
+    """Personal data in texts gives way to the names of its kinds; n_chars follows, other columns stay.
+
+    Every row stays, whatever its id; a null text stays null. An empty table gives an empty one.
+    """
     return pii.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in their target shares: documents repeated, left out, or taken in part."""
+    """Sources in their target shares: documents repeated, left out, or taken in part; n_chars follows.
+
+    A null source is one source, after the others. Rows without words take none, so they are not in the mix. Rows are
+    told apart by their place in the table, whatever their ids. An empty table gives an empty one.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and digests of the ids, and of the text decoded from them, for each row of the mix."""
+    """doc_id, source, n_tokens and digests of the ids, and of the text decoded from them, for each row of the mix.
+
+    A null or empty text has no tokens. Rows are independent: null and repeated ids and repeated rows change nothing. An
+    empty table gives an empty one.
+    """
     rows = bpe.encode(docs.select("doc_id", "source", "text"), bpe.vocabulary_path(), decoded="decoded")
     return bpe.digests(rows, ["doc_id", "source"])
 
