@@ -58,3 +58,32 @@ def test_stages_against_brute_force(spark, sf_dir):
     library = Tokenizer.from_file(bpe.vocabulary_path())
     ids = [library.encode(r["text"], add_special_tokens=False).ids for r in mix]
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in tokens) == sorted((r["doc_id"], hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for r, i in zip(mix, ids, strict=True))
+
+
+ODD = [
+    (None, "a@b.cd " + "the word of an old house is near to you and it was there", "en", None, 1),
+    (None, "a@b.cd " + "the word of an old house is near to you and it was there", "en", None, 1),
+    (7, "the quick brown fox is on the lazy dog that was not there for you", "en", "s", 2),
+    (7, "das ist nicht der Hund und auch nicht die Katze von dem Haus an der Ecke", "de", "s", 2),
+    (8, None, "en", "s", 0),
+    (9, "", None, "t", 0),
+    (10, "the of and " * 40_000, "en", "t", 3),
+    (11, " ".join(f"the{i} of and" for i in range(30_000)), "en", "t", 3),
+]
+
+
+def test_stages_with_odd_rows_and_none(spark, sf_dir):
+    """Null and repeated ids, repeated rows, null, empty and very long texts, a further column, and an empty table."""
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(ODD)], "doc_id long, text string, lang string, source string, n_chars long, at long")
+    stages = dict(corpus_pipeline.STAGES)
+    assert sorted(r["at"] for r in stages["quality_rules"](spark, docs, sf_dir).collect()) == [0, 1, 2, 3, 11 - 4]
+    kept = sorted(r["at"] for r in stages["near_copies"](spark, docs, sf_dir).collect())
+    assert kept in ([0, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 6, 7])
+    private = {r["at"]: r["text"] for r in stages["personal_data"](spark, docs, sf_dir).collect()}
+    assert len(private) == 8 and private[0].startswith("[EMAIL] the") and private[4] is None and private[7] == ODD[7][1]
+    mixed = stages["source_mix"](spark, docs, sf_dir)
+    assert mixed.columns == docs.columns and {r["at"] for r in mixed.select("at").distinct().collect()} <= {0, 1, 2, 3, 6, 7}
+    ids = stages["token_ids"](spark, docs, sf_dir).collect()
+    assert len(ids) == 8 and sum(r["n_tokens"] == 0 for r in ids) == 2
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
