@@ -128,6 +128,22 @@ PII = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
     string_agg(said, ',' ORDER BY a, r, b) FILTER (base) AS base, string_agg(said, ',' ORDER BY a, r, b) AS spans FROM named GROUP BY 1)
   SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN sums USING (doc_id)"""
 
+
+
+def _kmeans_round(r: int) -> str:
+    """CTEs of one round: a<r> is the nearest centroid of c<r> for each vector, c<r + 1> the floors of the means."""
+    return f"""a{r} AS MATERIALIZED (SELECT n, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT n, k, CAST(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d FROM v, c{r}) GROUP BY 1),
+  c{r + 1} AS MATERIALIZED (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM (SELECT k, i, sum(x[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (n), range(1, 65) t(i) GROUP BY 1, 2) GROUP BY 1
+    UNION ALL SELECT k, c FROM c{r} WHERE k NOT IN (SELECT k FROM a{r}))"""
+
+
+OP13 = f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+  c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, x AS c FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8)),
+  {", ".join(_kmeans_round(r) for r in range(10))}, {_kmeans_round(10)}
+  SELECT vec_id, CAST(k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+  FROM a10 JOIN v USING (n) JOIN c10 USING (k)"""
+
 ORACLE = {
     "op2_contextual_pii": PII,
     "op3_multi_index_dedup": OP3,
@@ -135,4 +151,5 @@ ORACLE = {
     "op6_signature_tree_join": OP6,
     "op7_budgeted_chat": CHAT,
     "op10_quality_rules": OP10,
+    "op13_block_norm_clusters": OP13,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graniteloom.llm import bpe, chat, embedding_dedup, mixing, ngram_join, pii, quality, rules, sharding, toxicity
+from graniteloom.llm import bpe, chat, clustering, embedding_dedup, mixing, ngram_join, packing, pii, quality, rules, sharding, toxicity, whitening
 from graniteloom.llm.oracles import ORACLE
 
 
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": bpe.op8,
         "op9_compression_quality": quality.op9,
         "op10_quality_rules": rules.op10,
+        "op11_jacobi_whitening": whitening.op11,
+        "op12_certified_packing": packing.op12,
+        "op13_block_norm_clusters": clustering.op13,
     }
 
 
