@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -101,6 +102,12 @@ class WordIds:
         return flat, np.diff(np.concatenate([[0], upto[ends + np.arange(len(ends))]]))
 
 
+@lru_cache(maxsize=1)
+def _word_ids(vocabulary: str, end: int) -> WordIds:
+    """One for each worker process: what a task has learnt serves the next."""
+    return WordIds(vocabulary, end)
+
+
 def pieces(docs: DataFrame, keep: list[str], vocabulary: str, *, text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """keep, piece, start, length and ids (4 bytes each, little-endian) of each piece of each text.
 
@@ -114,7 +121,7 @@ def pieces(docs: DataFrame, keep: list[str], vocabulary: str, *, text: str = "te
     schema = T.StructType([body.schema["row"], *(T.StructField(c, t()) for c, t in zip(made, (T.IntegerType, T.LongType, T.LongType, T.BinaryType), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordIds(vocabulary, end)
+        encoder = _word_ids(vocabulary, end)
         for batch in batches:
             sizes = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False) + 1)
             at = 0
