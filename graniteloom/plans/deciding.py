@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graniteloom.operators import curation as C
 from graniteloom.operators import findings as D
 from graniteloom.operators import graphs as G
+from graniteloom.operators import taint as TA
 from graniteloom.plans.tables import table
 
 
@@ -43,16 +44,62 @@ def propagation_override(spark, sf_dir):
     return out.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("far").alias("far"))
 
 
+def _code_nodes(spark, sf_dir):
+    """Orders as nodes of code: their priority is the kind, sixteen neighbours are a method, their customer is the file."""
+    o = table(spark, sf_dir, "orders")
+    key, file, rank = F.col("o_orderkey"), F.col("o_custkey"), F.substring("o_orderpriority", 1, 1)
+    kind = F.when(rank == "1", "parameter").when((rank == "2") & (key % 3 == 0), "source_call").when(rank == "3", "field_access").when(rank == "4", "index_access").when(key % 11 == 0, "internal_parameter")
+    name = F.when(key % 8 == 0, "this").otherwise(F.concat(F.lit("p"), key % 4))
+    code = F.when(key % 2 == 1, "this.f").otherwise(F.concat(F.lit("p"), key % 7, F.lit(".f")))
+    type_ = F.when(file % 4 == 0, "java.lang.String").when(file % 4 == 1, "HttpServletRequestMap").when(file % 4 == 2, "int").otherwise("java.util.Map")
+    return o.select(key.alias("node"), kind.alias("kind"), name.alias("name"), code.alias("code"), type_.alias("type"), F.expr("o_orderkey div 16").alias("method"), file.alias("file"), (file % 3 > 0).alias("public"))
+
+
 def source_selection(spark, sf_dir):
-    """Sources by mode: parameters, calls, both, and calls in files that hold a sink."""
-    calls = _calls(spark, sf_dir)
-    files = calls.where("sink").select("file").distinct()
-    modes = {"params": calls.where("param"), "calls": calls.where("call"), "all": calls.where("param OR call"), "local": calls.where("call").join(files, "file", "left_semi")}
+    """Sources by mode and kind; in the modes that choose by place, those with a sink (an open order) there."""
+    nodes = _code_nodes(spark, sf_dir)
+    sinks = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.expr("o_orderkey div 16").alias("method"), F.col("o_custkey").alias("file"), F.array(F.lit(1).cast("long")).alias("labels"))
     every = None
-    for mode, rows in modes.items():
-        one = rows.select("node", F.lit(mode).alias("mode"))
+    for mode in TA.MODES:
+        found = TA.sources(nodes, mode)
+        one = found.join(TA.open_to(found, mode, sinks, 1).select("node"), "node").groupBy(F.lit(mode).alias("mode"), "source_kind").agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("nodes"))
         every = one if every is None else every.unionByName(one)
-    return every.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("nodes"))
+    return every
+
+
+#: How data goes through calls of some methods; the third and fourth line say nothing.
+PROPAGATION = ("m0\t1,return;2,1", "m1\t0,return", "m2\tx,y", "m3")
+
+
+def _rule_flows(spark, sf_dir, mode):
+    """Flows by rule: nations are the rules, regions their categories; an open order is a sink of its suppliers' nations."""
+    nodes = _code_nodes(spark, sf_dir)
+    numbers = TA.numbered(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id")))
+    supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("rule_id"))
+    open_orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), "l_suppkey")
+    pairs = lines.join(open_orders, "node", "left_semi").join(supplier, "l_suppkey").select("node", "rule_id").distinct()
+    sinks = TA.labelled(pairs, numbers, 1).join(nodes.select("node", "method", "file"), "node")
+    inside = nodes.select(F.col("node").alias("a"), (F.col("node") + F.col("file") % 5 + 1).alias("b"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("long").alias("arg"), F.lit(None).cast("long").alias("to"))
+    calls = nodes.where("node % 2 = 0").select(F.col("node").alias("a"), (F.col("node") + 7).alias("b"), F.concat(F.lit("m"), F.col("file") % 6).alias("method"), (F.col("node") % 3).alias("arg"), F.when(F.col("node") % 4 == 0, -1).otherwise(1).cast("long").alias("to"))
+    maps = TA.propagation_maps(spark.createDataFrame([(line,) for line in PROPAGATION], "value string"))
+    edges = TA.through_calls(inside.unionByName(calls), maps)
+    found = TA.by_rule(TA.flows_by_rule(TA.open_to(TA.sources(nodes, mode), mode, sinks, 1), sinks, edges, 1, 4), numbers)
+    rules = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id"), F.col("n_regionkey").cast("string").alias("category"))
+    cleaners = nodes.where("node % 11 = 0").select("node", F.when(F.col("node") % 3 == 0, "*").otherwise((F.col("node") % 5).cast("string")).alias("category"))
+    return TA.sanitized(found.join(F.broadcast(rules), "rule_id"), cleaners, ["rule_id", "source", "sink"])
+
+
+def rule_flows(spark, sf_dir):
+    """The shortest way from a source to each sink of each rule with a sink in the source's file, and what cleans it."""
+    found = _rule_flows(spark, sf_dir, "java_file")
+    shown = {c: F.array_join(F.col(c).cast("array<string>"), ">") for c in ("path", "hits")}
+    return found.withColumns(shown).select("rule_id", "category", "source", "sink", "hops", "path", "hits", "sanitized")
+
+
+def rule_flow_counts(spark, sf_dir):
+    """Flows of every rule from all parameters, calls, and what is read from parameters."""
+    return _rule_flows(spark, sf_dir, "r2chain").groupBy("rule_id", "hops").agg(F.count(F.lit(1)).alias("n"), F.count_if("sanitized").alias("sanitized"), F.count_distinct("source").alias("sources"))
 
 
 def verdict_sanitized(spark, sf_dir):
@@ -259,7 +306,7 @@ def live_calls(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        reachable_flows, propagation_override, source_selection, verdict_sanitized, ancestor_walk, call_closure, suppression, evidence_rows, import_resolve, prop_flow, context_extract,
+        reachable_flows, propagation_override, source_selection, rule_flows, rule_flow_counts, verdict_sanitized, ancestor_walk, call_closure, suppression, evidence_rows, import_resolve, prop_flow, context_extract,
         template_expand, tier, critic_filter, policy_aggregate, evidence_rank, query_dedup, advisory, two_pass, multi_taint, decoy_verdict, context_attach, budget_visible, graph_merge, window_merge, live_calls,
     )
 }
@@ -268,13 +315,32 @@ CALLS = """c AS (SELECT o_orderkey AS node, o_custkey AS file, o_orderpriority[1
     e AS (SELECT DISTINCT a, b FROM (SELECT node AS a, node + file % 5 + 1 AS b FROM c WHERE node % 9 <> 0 UNION ALL SELECT node, node + 7 FROM c WHERE node % 2 = 0 AND node % 9 <> 0 UNION ALL SELECT node, node + 2 FROM c WHERE node % 9 = 0))"""
 FLOWS = f"""WITH RECURSIVE {CALLS}, w AS (SELECT node AS source, node, [node] AS path FROM c WHERE param UNION ALL SELECT source, b, list_append(path, b) FROM w JOIN e ON a = node WHERE len(path) < 5),
     f AS (SELECT source, w.node AS sink, path, len(list_filter(path, lambda x: x % 11 = 0)) > 0 AS sanitized FROM w JOIN c ON c.node = w.node AND sink QUALIFY row_number() OVER (PARTITION BY source, w.node ORDER BY len(path), path) = 1)"""
+CODE_NODES = """n AS (SELECT o_orderkey AS node, o_custkey AS file, o_orderkey // 16 AS method, o_orderstatus = 'P' AS sink, o_custkey % 3 > 0 AS public,
+    CASE WHEN o_orderpriority[1] = '1' THEN 'parameter' WHEN o_orderpriority[1] = '2' AND o_orderkey % 3 = 0 THEN 'source_call' WHEN o_orderpriority[1] = '3' THEN 'field_access' WHEN o_orderpriority[1] = '4' THEN 'index_access' WHEN o_orderkey % 11 = 0 THEN 'internal_parameter' END AS kind,
+    CASE WHEN o_orderkey % 8 = 0 THEN 'this' ELSE 'p' || o_orderkey % 4 END AS name, o_orderkey % 2 = 1 AS own, 'p' || o_orderkey % 7 AS root, o_custkey % 4 IN (0, 3) AS data FROM orders)"""
+MODE_SOURCES = """m AS (SELECT * FROM (VALUES ('params'), ('calls'), ('r2'), ('r2chain'), ('java'), ('java_local'), ('java_file')) v(mode)),
+    s AS (SELECT mode, node, method, file, CASE WHEN kind = 'parameter' AND name <> 'this' AND mode <> 'calls' AND (mode NOT LIKE 'java%' OR public AND data) THEN 'public_parameter' WHEN kind = 'internal_parameter' THEN kind WHEN kind = 'source_call' THEN 'explicit_source_api'
+      WHEN mode LIKE 'java%' AND kind = 'field_access' AND own AND data THEN 'instance_state'
+      WHEN mode LIKE 'r2%' AND (kind = 'field_access' OR mode = 'r2chain' AND kind = 'index_access') AND NOT own AND EXISTS (SELECT 1 FROM n q WHERE q.method = n.method AND q.kind = 'parameter' AND q.name = n.root) THEN 'parameter_field_access' END AS source_kind FROM n, m WHERE source_kind IS NOT NULL)"""
+RULE_FLOWS = f"""WITH RECURSIVE {CODE_NODES}, {MODE_SOURCES},
+    t AS (SELECT node, node + 7 AS b, 'm' || file % 6 AS m, node % 3 AS arg, CASE WHEN node % 4 = 0 THEN -1 ELSE 1 END AS too FROM n WHERE node % 2 = 0),
+    e AS (SELECT node AS a, node + file % 5 + 1 AS b FROM n UNION SELECT node, b FROM t WHERE m NOT IN ('m0', 'm1') OR (m, arg, too) IN (('m0', 1, -1), ('m0', 2, 1), ('m1', 0, -1))),
+    sr AS (SELECT DISTINCT l_orderkey AS node, s_nationkey AS rule_id FROM lineitem JOIN n ON node = l_orderkey AND sink JOIN supplier ON s_suppkey = l_suppkey),
+    w AS (SELECT DISTINCT node AS source, node, [node] AS path FROM s WHERE mode = '{{mode}}' UNION ALL SELECT source, b, list_append(path, b) FROM w JOIN e ON a = node WHERE len(path) < 5),
+    f AS (SELECT source, w.node AS sink, path FROM w JOIN n ON n.node = w.node AND sink QUALIFY row_number() OVER (PARTITION BY source, w.node ORDER BY len(path), path) = 1)"""
+RULE_HITS = """h AS (SELECT g.*, CAST(n_regionkey AS VARCHAR) AS category, list_filter(path, lambda x: x % 11 = 0 AND (x % 3 = 0 OR x % 5 = n_regionkey)) AS hits FROM g JOIN nation ON n_nationkey = rule_id)"""
 FOUND = """WITH f AS (SELECT l_orderkey, l_linenumber, l_suppkey AS file, l_partkey % 120 AS line, CAST(l_quantity AS INTEGER) AS weight, CASE l_returnflag WHEN 'A' THEN 'graph' WHEN 'N' THEN 'rules' ELSE 'review' END AS engine, l_linestatus AS status FROM lineitem)"""
 
 ORACLE = {
     "reachable_flows": f"{FLOWS} SELECT source, sink, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path, sanitized FROM f",
     "propagation_override": f"WITH {CALLS}, x AS (SELECT node AS a, node + file % 5 + 1 AS b FROM c WHERE node % 9 <> 0 UNION ALL SELECT node, node + 7 FROM c WHERE node % 2 = 0 AND node % 9 <> 0 UNION ALL SELECT node, node + 2 FROM c WHERE node % 9 = 0), k AS (SELECT a, count(*) AS k, max(b - a) AS far FROM x GROUP BY 1) SELECT k, count(*) AS n, CAST(sum(far) AS BIGINT) AS far FROM k GROUP BY 1",
-    "source_selection": f"""WITH {CALLS}, m AS (SELECT node, 'params' AS mode FROM c WHERE param UNION ALL SELECT node, 'calls' FROM c WHERE call UNION ALL SELECT node, 'all' FROM c WHERE param OR call UNION ALL SELECT node, 'local' FROM c WHERE call AND file IN (SELECT file FROM c WHERE sink))
-        SELECT mode, count(*) AS n, CAST(sum(node) AS BIGINT) AS nodes FROM m GROUP BY 1""",
+    "source_selection": f"""WITH {CODE_NODES}, place AS (SELECT node // 16 AS method, file FROM n WHERE sink), {MODE_SOURCES}
+        SELECT mode, source_kind, count(*) AS n, CAST(sum(node) AS BIGINT) AS nodes FROM s
+        WHERE CASE mode WHEN 'java_local' THEN method IN (SELECT method FROM place) WHEN 'java_file' THEN file IN (SELECT file FROM place) ELSE true END GROUP BY 1, 2""",
+    "rule_flows": f"""{RULE_FLOWS.format(mode="java_file")}, g AS (SELECT f.*, rule_id FROM f JOIN sr ON sr.node = sink JOIN n ON n.node = source WHERE EXISTS (SELECT 1 FROM sr x JOIN n y ON y.node = x.node WHERE x.rule_id = sr.rule_id AND y.file = n.file)), {RULE_HITS}
+        SELECT rule_id, category, source, sink, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, '>') AS path, array_to_string(hits, '>') AS hits, len(hits) > 0 AS sanitized FROM h""",
+    "rule_flow_counts": f"""{RULE_FLOWS.format(mode="r2chain")}, g AS (SELECT f.*, rule_id FROM f JOIN sr ON sr.node = sink), {RULE_HITS}
+        SELECT rule_id, CAST(len(path) - 1 AS INTEGER) AS hops, count(*) AS n, count(*) FILTER (len(hits) > 0) AS sanitized, count(DISTINCT source) AS sources FROM h GROUP BY 1, 2""",
     "verdict_sanitized": f"""{FLOWS}, s AS (SELECT c.file, bool_or(NOT sanitized) AS live FROM f JOIN c ON c.node = f.sink GROUP BY 1), v AS (SELECT c_custkey AS file, CASE WHEN c_custkey % 17 = 0 THEN 'unknown' WHEN live THEN 'vuln' WHEN live IS NOT NULL THEN 'safe_sanitized' ELSE 'safe' END AS verdict FROM customer LEFT JOIN s ON s.file = c_custkey)
         SELECT verdict, count(*) AS n, CAST(sum(file) AS BIGINT) AS files FROM v GROUP BY 1""",
     "ancestor_walk": """WITH RECURSIVE w AS (SELECT p_partkey AS node, p_partkey AS here, 0 AS levels FROM part UNION ALL SELECT node, here // 3, levels + 1 FROM w JOIN part ON p_partkey = here WHERE levels < 3 AND here > 0 AND p_size % 6 <> 0),
