@@ -86,8 +86,9 @@ def around(lines: Column, at: Column, reach: int) -> Column:
 
 
 def evenly(path: Column, most: int = 10) -> Column:
-    """A path's ends and evenly spaced steps between them, `most` in all; a shorter path whole."""
-    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(path, F.floor(i * (F.size(path) - 1) / (most - 1)).cast("int")))
+    """A path's ends and evenly spaced steps between them, `most` in all, a place of a half going to the even one; a shorter
+    path whole."""
+    picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(path, F.bround(i * (F.size(path) - 1) / (most - 1), 0).cast("int")))
     return F.when(F.size(path) <= most, path).otherwise(picks)
 
 

@@ -41,8 +41,8 @@ def pair_sides(rows: DataFrame, pair: str, gold: str, value: str) -> DataFrame:
 
 
 def pair_outcome(vuln_flagged: Column, safe_flagged: Column) -> Column:
-    """The outcome of a pair by the verdicts on its two sides; a verdict that is null (no parsed answer, or no such
-    row) makes it parse_fail, which counts like any other."""
+    """The outcome of a pair that has both sides by the verdicts on them; a verdict that is null (no parsed answer) makes it
+    parse_fail, which counts like any other."""
     return (
         F.when(vuln_flagged.isNull() | safe_flagged.isNull(), "parse_fail").when(vuln_flagged & ~safe_flagged, "correct").when(vuln_flagged & safe_flagged, "vulnerable").when(~vuln_flagged & ~safe_flagged, "benign").otherwise("reversed")
     )
@@ -129,27 +129,44 @@ def quantile_bins(rows: DataFrame, value: str, id: str, k: int) -> DataFrame:
     return rows.join(F.broadcast(found)).withColumn("bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
 
 
-def bootstrap_weights(groups: DataFrame, group: str, replicates: int, seed: int = 42) -> DataFrame:
-    """(group, rep, w): Poisson(1) multiplicities from a keyed hash, so that any engine draws the same."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col(group).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def _poisson(*keys: Column, seed: int) -> Column:
+    """A Poisson(1) multiplicity from a keyed hash, so that any engine draws the same."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     # The distribution function of the Poisson distribution of mean 1.
     cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    w = sum(((u >= c).cast("int") for c in cdf[1:]), (u >= cdf[0]).cast("int"))
-    return groups.select(group).distinct().select(group, F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).withColumn("w", w)
+    return sum(((u >= c).cast("int") for c in cdf[1:]), (u >= cdf[0]).cast("int"))
 
 
-def bootstrap_counts(rows: DataFrame, group: str, replicates: int, seed: int = 42) -> DataFrame:
-    """Weighted tp, fp, fn, tn of each replicate: rows are summed by group before they meet the weights."""
-    cells = rows.groupBy(group).agg(*confusion_aggs(F.col("gold"), F.col("pred")))
-    drawn = cells.join(bootstrap_weights(cells, group, replicates, seed), group)
-    return drawn.groupBy("rep").agg(*(F.sum(F.col(c) * F.col("w")).alias(c) for c in ("tp", "fp", "fn", "tn")))
+def resampled(units: DataFrame, unit: str, replicates: int, seed: int = 42) -> DataFrame:
+    """units (one row a unit) with rep and w > 0: how often each replicate draws the unit."""
+    each = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return each.withColumn("w", _poisson(F.col("rep").cast("string"), F.col(unit).cast("string"), seed=seed)).where("w > 0")
+
+
+def bootstrap_counts(rows: DataFrame, group: str, replicates: int, preds: tuple[str, ...] = ("pred",), seed: int = 42) -> DataFrame:
+    """rep and, for each of several verdicts on the same rows, a struct of that name with its weighted tp, fp, fn and tn:
+    rows are summed by group first, and all verdicts meet the same weights in one pass."""
+    names = ("tp", "fp", "fn", "tn")
+    aggs = [a.alias(f"{p}_{n}") for p in preds for a, n in zip(confusion_aggs(F.col("gold"), F.col(p)), names, strict=True)]
+    drawn = resampled(rows.groupBy(group).agg(*aggs), group, replicates, seed)
+    sums = drawn.groupBy("rep").agg(*(F.sum(F.col(f"{p}_{n}") * F.col("w")).alias(f"{p}_{n}") for p in preds for n in names))
+    return sums.select("rep", *(F.struct(*(F.col(f"{p}_{n}").alias(n) for n in names)).alias(p) for p in preds))
 
 
 def interval(values: DataFrame, value: str, level: float = 0.95) -> DataFrame:
-    """lo and hi: the order statistics xs[int(n * (1 - level) / 2)] and its mirror."""
-    ranked = values.select(F.col(value).alias("v"), F.row_number().over(Window.orderBy(value)).alias("_at"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_n"))
-    low = F.floor(F.col("_n") * F.lit(round((1 - level) / 2, 9)))
-    return ranked.agg(F.max(F.when(F.col("_at") == low + 1, F.col("v"))).alias("lo"), F.max(F.when(F.col("_at") == F.col("_n") - low, F.col("v"))).alias("hi"))
+    """lo and hi: the places int(n * (1 - level) / 2) and int(n * (1 + level) / 2), from 0 on, of the sorted values."""
+    ranked = values.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(value)) - 1).alias("_at"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))).alias("_n"))
+    place = lambda share: F.floor(F.col("_n") * F.lit(round(share, 9)))
+    return ranked.agg(F.max(F.when(F.col("_at") == place((1 - level) / 2), F.col("v"))).alias("lo"), F.max(F.when(F.col("_at") == place((1 + level) / 2), F.col("v"))).alias("hi"))
+
+
+def combined(answer: Column, graph: Column, strong: Column) -> dict[str, Column]:
+    """The rules R0 to R4 over a model's answer (boolean), a graph verdict (vuln, safe or other) and whether that is a strong
+    one. R0: the answer. R1: a vulnerable graph verdict is final, so is a strong safe one. R2: the graph only adds. R3: a
+    strong safe verdict only takes away. R4: both, the veto first."""
+    found, veto = F.coalesce(graph == "vuln", F.lit(False)), F.coalesce((graph == "safe") & strong, F.lit(False))
+    answer = F.coalesce(answer, F.lit(False))
+    return {"r0": answer, "r1": found | (answer & ~veto), "r2": answer | found, "r3": answer & ~veto, "r4": (answer | found) & ~veto}
 
 
 def macro_f1(rows: DataFrame, gold: str, pred: str) -> DataFrame:

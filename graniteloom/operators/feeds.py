@@ -60,12 +60,12 @@ def prompt(language: Column, code: Column, question: str) -> Column:
 
 
 def language_of(name: Column, table: dict[str, str]) -> Column:
-    """A language by its whole name, else by one of its tokens, else by a key of three letters or more inside it; longer
-    keys first."""
+    """A language by its whole name, else by one of its tokens (between white space, slashes, commas and brackets), else by a
+    key of three letters or more inside it; longer keys first."""
     low = F.lower(F.trim(name))
     keys = sorted(table, key=lambda k: (-len(k), k))
     found = F.lit(None).cast("string")
-    for holds in (lambda k: F.contains(low, F.lit(k)) if len(k) >= 3 else F.lit(False), lambda k: F.array_contains(F.split(low, "[^a-z0-9+#]+"), k), lambda k: low == k):
+    for holds in (lambda k: F.contains(low, F.lit(k)) if len(k) >= 3 else F.lit(False), lambda k: F.array_contains(F.split(low, r"[\s/,()]+"), k), lambda k: low == k):
         choice = F.lit(None).cast("string")
         for k in reversed(keys):
             choice = F.when(holds(k), table[k]).otherwise(choice)

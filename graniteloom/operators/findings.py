@@ -36,12 +36,29 @@ def criticised(verdict: Column, confidence: Column, basis: Column, line: Column,
     return F.when(F.coalesce(verdict != "FALSE", F.lit(True)), "KEPT").when(sure, "REMOVED").otherwise("UNCERTAIN")
 
 
-def policy(trusted: Column, score: Column, delta: Column, tau: Column, fallback: Column) -> Column:
-    """struct<verdict, fallback>: TRUST where the engine is trusted, else SIGNAL or NO_BETTER by score + delta >= tau. A
-    missing score takes the fallback's; without either it is PARTIAL."""
-    used = F.coalesce(score, fallback)
-    verdict = F.when(trusted, "TRUST").when(used.isNull(), "PARTIAL").when(used + delta >= tau, "SIGNAL").otherwise("NO_BETTER")
-    return F.struct(verdict.alias("verdict"), (~trusted & score.isNull() & fallback.isNotNull()).alias("fallback"))
+#: How an engine's verdict enters the result.
+POLICIES = ("TRUST_ENGINE", "ENGINE_AS_SIGNAL", "NO_BETTER", "INCONCLUSIVE")
+
+
+def policy(name: Column, detected: Column, score: Column, engine: Column, graph: Column, delta: Column, tau: Column) -> Column:
+    """struct<detected, source, status, score, policy_fallback> of a model's answer (detected, score), an engine's verdict
+    (null if it did not run) and a graph's (vuln or other), by a policy.
+
+    TRUST_ENGINE takes the engine's finding first, then the model's, then the graph's. ENGINE_AS_SIGNAL adds delta to the
+    score where the engine finds something and compares with tau, then asks the graph; without a score, delta or tau it is
+    NO_BETTER with policy_fallback. NO_BETTER and INCONCLUSIVE leave the engine out. The status of the first two is PARTIAL
+    without an engine, else DONE.
+    """
+    hit, drawn, said = (F.coalesce(c, F.lit(False)) for c in (engine == "vuln", graph == "vuln", detected))
+    trust = name == "TRUST_ENGINE"
+    fallback = (name == "ENGINE_AS_SIGNAL") & (score.isNull() | delta.isNull() | tau.isNull())
+    signal = (name == "ENGINE_AS_SIGNAL") & ~fallback
+    sum_ = score + F.when(hit, delta).otherwise(0.0)
+    over = signal & (sum_ >= tau)
+    source = F.when(trust & hit, "engine").when(over, "llm+engine").when(~signal & said, "llm").when(drawn, "graph").when(signal, "llm+engine").otherwise("llm")
+    found = F.when(signal, over | drawn).otherwise((trust & hit) | said | drawn)
+    status = F.when((trust | signal) & engine.isNull(), "PARTIAL").otherwise("DONE")
+    return F.struct(found.alias("detected"), source.alias("source"), status.alias("status"), F.when(signal, sum_).otherwise(score).alias("score"), fallback.alias("policy_fallback"))
 
 
 def tier(line: Column, path: Column, truth: Column, near: int = 5) -> Column:

@@ -84,11 +84,15 @@ def proportional_fill(rows: DataFrame, group: str, order: list[Column | str], li
     return chosen.select(*rows.columns).unionByName(more.select(*rows.columns))
 
 
-def envelope(auc: Column, prevalence: Column, recall: Column) -> Column:
-    """The largest precision at a recall that the AUC allows: false positives at that recall are least if the curve runs
-    along the left side as long as it can, fpr = max(0, (recall - auc) / recall)."""
-    fpr = F.greatest(F.lit(0.0), (recall - auc) / recall)
-    return ratio(recall * prevalence, recall * prevalence + fpr * (1 - prevalence))
+#: The recalls at which an envelope is read.
+RECALLS = (0.90, 0.75, 0.50, 0.30, 0.20, 0.10)
+
+
+def envelope(auc: Column, recall: Column) -> Column:
+    """struct<fpr, precision>: the least false positive rate and the largest precision at a recall that an AUC allows, for a
+    concave curve and as many positives as negatives: fpr = max(0, recall - (2 auc - 1))."""
+    fpr = F.greatest(F.lit(0.0), recall - (2 * auc - 1))
+    return F.struct(fpr.alias("fpr"), F.coalesce(F.try_divide(recall, recall + fpr), F.lit(1.0)).alias("precision"))
 
 
 def joint_cells(rows: DataFrame, bins: DataFrame, bin: str, cue: str, hit: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graniteloom.operators.state import cut
@@ -21,37 +21,54 @@ def resolve(starts: DataFrame, edges: DataFrame, sources: DataFrame, depth: int
 
     A node that is a source ends the way, a user input before a static import; else its edge goes on, a property flow
     before an alias, the smallest `up` among equals. Verdict: the source's kind, "cycle" if a node comes again,
-    "unknown" at a dead end or after `depth` steps. path: the nodes, from the start on. A round is one join with the
-    open ways; finished ways leave.
+    "unknown" at a dead end or after `depth` steps. path: the nodes, from the start on. One recursive query; a way has
+    one row a step, so it never widens.
     """
+    spark = starts.sparkSession
     first = F.min(F.struct(_precedence(F.col("kind")), "kind"))["kind"]
-    known = sources.groupBy(F.col("node").alias("at")).agg(first.alias("kind"))
-    up = edges.groupBy(F.col("node").alias("at")).agg(F.min(F.struct(_precedence(F.col("kind")).alias("p"), "up"))["up"].alias("up"))
-    step_of = cut(known.join(up, "at", "full"))
-    open_ = starts.select("id", F.col("node").alias("at"), F.array("node").alias("path"))
-    done = None
-    for step in range(depth + 1):
-        verdict = (
-            F.when(F.col("kind").isNotNull(), F.col("kind"))
-            .when(F.col("up").isNull() | F.lit(step == depth), F.lit("unknown"))
-            .when(F.array_contains("path", F.col("up")), F.lit("cycle"))
-        )
-        seen = cut(open_.join(step_of, "at", "left").withColumn("verdict", verdict))
-        ended = seen.where("verdict IS NOT NULL").select("id", "verdict", F.when(F.col("kind").isNotNull(), F.col("at")).alias("source"), F.lit(step).alias("steps"), "path")
-        done = ended if done is None else done.unionByName(ended)
-        open_ = seen.where("verdict IS NULL").select("id", F.col("up").alias("at"), F.concat("path", F.array("up")).alias("path"))
-    return done
+    known = sources.groupBy(F.col("node").alias("here")).agg(first.alias("kind"))
+    up = edges.groupBy(F.col("node").alias("here")).agg(F.min(F.struct(_precedence(F.col("kind")).alias("p"), "up"))["up"].alias("up"))
+    step_of = known.join(up, "here", "full")
+    ways = _recursive(
+        spark,
+        f"""WITH RECURSIVE way(id, at, path, steps) AS (
+          SELECT id, node, array(node), 0 FROM {{starts}}
+          UNION ALL SELECT id, up, concat(path, array(up)), steps + 1 FROM way JOIN {{step_of}} ON at = here
+          WHERE kind IS NULL AND up IS NOT NULL AND steps < {int(depth)} AND NOT array_contains(path, up))
+        SELECT id, at, path, steps FROM way""",
+        starts=starts.select("id", "node"),
+        step_of=step_of,
+    )
+    verdict = (
+        F.when(F.col("kind").isNotNull(), F.col("kind"))
+        .when(F.col("up").isNull() | (F.col("steps") == depth), F.lit("unknown"))
+        .when(F.array_contains("path", F.col("up")), F.lit("cycle"))
+    )
+    ended = ways.join(step_of, F.col("at") == F.col("here"), "left").withColumn("verdict", verdict).where("verdict IS NOT NULL")
+    return ended.select("id", "verdict", F.when(F.col("kind").isNotNull(), F.col("at")).alias("source"), "steps", "path")
+
+
+def _recursive(spark: SparkSession, query: str, **frames: DataFrame) -> DataFrame:
+    """A recursive query over DataFrames. Its depth is bounded in the query, so Spark's own bound on rows is lifted."""
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(query, **frames)
 
 
 def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(start, node, hops): every node within `depth` edges (a to b) of a start, by the fewest hops, the start at 0."""
-    seen = starts.select(F.col("node").alias("start"), "node").distinct().withColumn("hops", F.lit(0))
-    front = seen
-    for hop in range(1, depth + 1):
-        step = front.select("start", F.col("node").alias("a")).join(edges.select("a", "b"), "a").select("start", F.col("b").alias("node")).distinct()
-        front = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(hop)))
-        seen = seen.unionByName(front)
-    return seen
+    """(start, node, hops): every node within `depth` edges (a to b) of a start, by the fewest hops, the start at 0.
+
+    One recursive query; a round has each (start, node) once, so it is bounded by their number and not by that of ways.
+    """
+    every = _recursive(
+        starts.sparkSession,
+        f"""WITH RECURSIVE way(start, node, hops) AS (
+          SELECT node, node, 0 FROM {{starts}}
+          UNION ALL SELECT DISTINCT start, b, hops + 1 FROM way JOIN {{edges}} ON node = a WHERE hops < {int(depth)})
+        SELECT start, node, min(hops) AS hops FROM way GROUP BY start, node""",
+        starts=starts.select("node").distinct(),
+        edges=edges.select("a", "b"),
+    )
+    return every
 
 
 def neighborhood(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int = 64, most_edges: int = 256) -> DataFrame:

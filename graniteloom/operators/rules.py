@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,22 +10,10 @@ ROLES, MATCHES = ("source", "sink", "sanitizer", "propagation"), ("name", "full"
 
 
 def compiling(rules: DataFrame, pattern: str) -> DataFrame:
-    """rules with `compiles`: whether the pattern is a regular expression. Distinct patterns are tried, each once."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"_pattern": batch["_pattern"], "compiles": [_compiles(p) for p in batch["_pattern"]]})
-
-    tried = rules.select(F.col(pattern).alias("_pattern")).where("_pattern IS NOT NULL").distinct().mapInPandas(run, "_pattern string, compiles boolean")
-    return rules.join(tried, F.col(pattern) == F.col("_pattern"), "left").withColumn("compiles", F.coalesce("compiles", F.lit(False))).drop("_pattern")
-
-
-def _compiles(pattern: str) -> bool:
-    try:
-        re.compile(pattern)
-    except re.error:
-        return False
-    return True
+    """rules with `compiles`: whether the pattern is a regular expression of the engine that will run it, which is asked
+    itself; a null pattern is none."""
+    made = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.col(pattern))
+    return rules.withColumn("compiles", F.col(pattern).isNotNull() & made.isNotNull())
 
 
 def verdict(rules: DataFrame, allowed: DataFrame) -> DataFrame:

@@ -207,17 +207,18 @@ def critic_filter(spark, sf_dir):
     return f.groupBy("engine", made.alias("critic")).agg(F.count(F.lit(1)).alias("n"))
 
 
-LANGUAGE_POLICIES = {"en": "trust", "de": "signal", "_default": "none"}
+LANGUAGE_POLICIES = {"en": "TRUST_ENGINE", "de": "ENGINE_AS_SIGNAL", "fr": "ENGINE_AS_SIGNAL", "_default": "NO_BETTER"}
 
 
 def policy_aggregate(spark, sf_dir):
-    """Verdicts by the policy of a language, with a second score where the first is missing."""
+    """Results by the policy of a language; every fourth length has no score, every seventh no engine verdict."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     d = D.by_language(d, LANGUAGE_POLICIES, "lang", "policy")
-    score = F.when(F.col("n_chars") % 4 > 0, (F.col("n_chars") % 100) / 100)
-    fallback = F.when(F.col("n_chars") % 8 > 0, (F.col("doc_id") % 100) / 100)
-    made = D.policy((F.col("policy") == "trust") & (F.col("n_chars") % 3 == 0), score, F.when(F.col("policy") == "signal", 0.1).otherwise(0.0), F.lit(0.6), fallback)
-    return d.groupBy("policy", made["verdict"].alias("verdict"), made["fallback"].alias("fallback")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n_chars")
+    score, engine = F.when(n % 4 > 0, (n % 100) / 100), F.when(n % 7 == 0, "vuln").when(n % 7 > 1, "safe")
+    graph = F.when(F.col("doc_id") % 6 == 0, "vuln").otherwise("unknown")
+    made = D.policy(F.col("policy"), n % 5 == 0, score, engine, graph, F.lit(0.25), F.lit(0.6))
+    return d.select("policy", made.alias("r")).groupBy("policy", "r.detected", "r.source", "r.status", "r.policy_fallback").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r.score"), 6).alias("score"))
 
 
 def evidence_rank(spark, sf_dir):
@@ -361,9 +362,13 @@ ORACLE = {
         SELECT o_orderkey, lang, template FROM m WHERE r = 1 ORDER BY o_orderkey, lang LIMIT 200""",
     "tier": f"{FOUND} SELECT CASE WHEN line = file % 120 THEN 'exact' WHEN file % 120 > line AND (file % 120 - line) % 2 = 0 AND (file % 120 - line) // 2 <= l_linenumber THEN 'path_hit' WHEN abs(line - file % 120) <= 5 THEN 'near' ELSE 'miss' END AS tier, count(*) AS n FROM f GROUP BY 1",
     "critic_filter": f"""{FOUND} SELECT engine, CASE WHEN weight % 3 <> 0 THEN 'KEPT' WHEN weight % 2 = 0 AND weight % 5 > 0 AND weight % 12 <= 6 AND weight % 7 > 0 THEN 'REMOVED' ELSE 'UNCERTAIN' END AS critic, count(*) AS n FROM f GROUP BY 1, 2""",
-    "policy_aggregate": """WITH d AS (SELECT CASE lang WHEN 'en' THEN 'trust' WHEN 'de' THEN 'signal' ELSE 'none' END AS policy, n_chars, CASE WHEN n_chars % 4 > 0 THEN (n_chars % 100) / CAST(100 AS DOUBLE) END AS s, CASE WHEN n_chars % 8 > 0 THEN (doc_id % 100) / CAST(100 AS DOUBLE) END AS f FROM documents),
-        k AS (SELECT *, policy = 'trust' AND n_chars % 3 = 0 AS t FROM d) SELECT policy, CASE WHEN t THEN 'TRUST' WHEN coalesce(s, f) IS NULL THEN 'PARTIAL' WHEN coalesce(s, f) + CAST(CASE WHEN policy = 'signal' THEN 0.1 ELSE 0 END AS DOUBLE) >= CAST(0.6 AS DOUBLE) THEN 'SIGNAL' ELSE 'NO_BETTER' END AS verdict,
-        NOT t AND s IS NULL AND f IS NOT NULL AS fallback, count(*) AS n FROM k GROUP BY 1, 2, 3""",
+    "policy_aggregate": """WITH d AS (SELECT CASE lang WHEN 'en' THEN 'TRUST_ENGINE' WHEN 'de' THEN 'ENGINE_AS_SIGNAL' WHEN 'fr' THEN 'ENGINE_AS_SIGNAL' ELSE 'NO_BETTER' END AS policy, n_chars % 5 = 0 AS llm, CASE WHEN n_chars % 4 > 0 THEN (n_chars % 100) / CAST(100 AS DOUBLE) END AS score,
+          n_chars % 7 <> 1 AS ran, n_chars % 7 = 0 AS hit, doc_id % 6 = 0 AS graph FROM documents),
+        trust AS (SELECT policy, hit OR llm OR graph AS detected, CASE WHEN hit THEN 'engine' WHEN llm THEN 'llm' WHEN graph THEN 'graph' ELSE 'llm' END AS source, CASE WHEN ran THEN 'DONE' ELSE 'PARTIAL' END AS status, score, false AS policy_fallback FROM d WHERE policy = 'TRUST_ENGINE'),
+        moved AS (SELECT *, score + CASE WHEN hit THEN CAST(0.25 AS DOUBLE) ELSE 0 END AS s FROM d WHERE policy = 'ENGINE_AS_SIGNAL' AND score IS NOT NULL),
+        signal AS (SELECT policy, s >= CAST(0.6 AS DOUBLE) OR graph AS detected, CASE WHEN s >= CAST(0.6 AS DOUBLE) THEN 'llm+engine' WHEN graph THEN 'graph' ELSE 'llm+engine' END AS source, CASE WHEN ran THEN 'DONE' ELSE 'PARTIAL' END AS status, s AS score, false AS policy_fallback FROM moved),
+        rest AS (SELECT policy, llm OR graph AS detected, CASE WHEN llm THEN 'llm' WHEN graph THEN 'graph' ELSE 'llm' END AS source, 'DONE' AS status, score, policy <> 'NO_BETTER' AS policy_fallback FROM d WHERE policy = 'NO_BETTER' OR policy = 'ENGINE_AS_SIGNAL' AND score IS NULL)
+        SELECT policy, detected, source, status, policy_fallback, count(*) AS n, round(sum(score), 6) AS score FROM (FROM trust UNION ALL FROM signal UNION ALL FROM rest) GROUP BY 1, 2, 3, 4, 5""",
     "evidence_rank": f"""{FOUND} SELECT file, line, engine, weight, n_findings FROM (SELECT *, count(*) OVER (PARTITION BY file) AS n_findings, row_number() OVER (PARTITION BY file ORDER BY weight % 3, CASE engine WHEN 'graph' THEN 0 WHEN 'rules' THEN 1 ELSE 2 END, l_linenumber, weight DESC, status, line, l_orderkey) AS r FROM f) WHERE r = 1""",
     "query_dedup": f"{FOUND} SELECT file, status, line, l_orderkey, l_linenumber AS steps FROM f QUALIFY row_number() OVER (PARTITION BY file, status, line ORDER BY l_orderkey, l_linenumber) = 1",
     "advisory": f"""{FOUND} SELECT CASE WHEN weight > 25 THEN 'vuln' ELSE 'safe' END AS verdict, count(*) AS n, count(s_suppkey) AS advised, sum(round(s_acctbal, 0)) AS score FROM f LEFT JOIN supplier ON s_suppkey = file AND s_acctbal > 0 GROUP BY 1""",

@@ -158,7 +158,7 @@ ORACLE = {
     "caller_window": f"""WITH l AS (SELECT doc_id, {SPLIT} AS l FROM documents), a AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(x, '[0-9]')), true) AS line FROM l)
         SELECT doc_id, line, md5(array_to_string(l[greatest(1, line - 2) : line + 2], '|')) AS digest FROM a WHERE line > 0""",
     "path_sample": """WITH p AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS p FROM orders GROUP BY 1)
-        SELECT o_custkey, len(p) AS n, array_to_string(CASE WHEN len(p) <= 10 THEN p ELSE list_transform(range(10), lambda i: p[i * (len(p) - 1) // 9 + 1]) END, '>') AS steps FROM p""",
+        SELECT o_custkey, len(p) AS n, array_to_string(CASE WHEN len(p) <= 10 THEN p ELSE list_transform(range(10), lambda i: p[round_even(i * (len(p) - 1) / CAST(9 AS DOUBLE), 0)::INT + 1]) END, '>') AS steps FROM p""",
     "path_union": "WITH s AS (SELECT DISTINCT l_suppkey AS file, l_partkey % 40 AS line, l_returnflag AS r FROM lineitem) SELECT file, string_agg(line || r, ' ' ORDER BY line, r) AS steps FROM s GROUP BY 1",
     "marker": f"WITH l AS (SELECT doc_id, {SPLIT} AS l FROM documents) SELECT doc_id, md5(array_to_string(list_concat(l[1:2], ['>>>'], l[3:]), '|')) AS digest FROM l WHERE len(l) >= 3",
     "line_chunks": """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, t, string_split(t, chr(10)) AS l FROM d),

@@ -42,9 +42,10 @@ def trivial_baseline(spark, sf_dir):
 
 
 def pairwise(spark, sf_dir):
-    """Outcomes of all pairs; answers that do not parse, and pairs without a side, count as parse_fail."""
-    rows = _judged(spark, sf_dir).withColumn("pred", F.when(F.col("n_chars") % 13 != 0, F.col("pred")))
-    sides = rows.groupBy("pair_id").agg(F.max(F.when(F.col("gold"), F.col("pred"))).alias("vuln"), F.max(F.when(~F.col("gold"), F.col("pred"))).alias("safe"))
+    """Outcomes of the pairs that have both labels; answers that do not parse count as parse_fail. Rows whose length is
+    divisible by 17 have lost their pair."""
+    rows = _judged(spark, sf_dir).withColumn("pred", F.when(F.col("n_chars") % 13 != 0, F.col("pred"))).withColumn("pair_id", F.when(F.col("n_chars") % 17 == 0, -F.col("doc_id") - 1).otherwise(F.col("pair_id")))
+    sides = rows.groupBy("pair_id").agg(F.max(F.when(F.col("gold"), F.col("pred"))).alias("vuln"), F.max(F.when(~F.col("gold"), F.col("pred"))).alias("safe"), F.count_distinct("gold").alias("labels")).where("labels = 2")
     counts = sides.groupBy(E.pair_outcome(F.col("vuln"), F.col("safe")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
     total = sides.agg(F.count(F.lit(1)).alias("pairs"))
     return counts.join(F.broadcast(total)).select("outcome", "n", F.round(F.col("n") / F.col("pairs"), 6).alias("share"))
@@ -128,7 +129,7 @@ REPLICATES = 2000
 
 def bootstrap_ci(spark, sf_dir):
     """Intervals of f1, recall and fpr over resampled pairs."""
-    counts = cut(E.with_rates(E.bootstrap_counts(_judged(spark, sf_dir), "pair_id", REPLICATES)))
+    counts = cut(E.with_rates(E.bootstrap_counts(_judged(spark, sf_dir), "pair_id", REPLICATES).select("rep", "pred.*")))
     found = None
     for metric in ("f1", "recall", "fpr"):
         one = E.interval(counts, metric).withColumn("metric", F.lit(metric))
@@ -138,25 +139,26 @@ def bootstrap_ci(spark, sf_dir):
 
 def paired_bootstrap(spark, sf_dir):
     """Interval of the difference in f1 between two thresholds under the same resamples."""
-    rows = _judged(spark, sf_dir)
-    one = E.with_rates(E.bootstrap_counts(rows, "pair_id", REPLICATES)).select("rep", F.col("f1").alias("one"))
-    two = E.with_rates(E.bootstrap_counts(rows.withColumn("pred", F.col("score") >= 0.3), "pair_id", REPLICATES)).select("rep", F.col("f1").alias("two"))
-    out = E.interval(one.join(two, "rep").select((F.col("two") - F.col("one")).alias("delta")), "delta")
+    rows = _judged(spark, sf_dir).withColumn("other", F.col("score") >= 0.3)
+    drawn = E.bootstrap_counts(rows, "pair_id", REPLICATES, ("pred", "other"))
+    f1 = {p: E.ratio(2 * F.col(f"{p}.tp"), 2 * F.col(f"{p}.tp") + F.col(f"{p}.fp") + F.col(f"{p}.fn")) for p in ("pred", "other")}
+    out = E.interval(drawn.select((f1["other"] - f1["pred"]).alias("delta")), "delta")
     return _rounded(out, "lo", "hi").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
 def delta_auc(spark, sf_dir):
-    """Interval of the difference in AUC between the score and minus the length under the same 100 resamples of pairs:
-    scores are summed with their multiplicities before they are ranked."""
-    rows = _judged(spark, sf_dir).select("pair_id", "gold", "score", (-F.expr("n_chars div 200")).cast("double").alias("short"))
-    drawn = cut(rows.join(E.bootstrap_weights(rows, "pair_id", 100), "pair_id").where("w > 0"))
-    sides = []
-    for column in ("score", "short"):
-        steps = drawn.groupBy("rep", column).agg(F.sum(F.when(F.col("gold"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("gold"), 0).otherwise(F.col("w"))).alias("n"))
-        below = F.coalesce(F.sum("n").over(Window.partitionBy("rep").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sums = steps.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy("rep").agg(F.sum("won").alias("won"), F.sum("p").alias("P"), F.sum("n").alias("N"))
-        sides.append(sums.select("rep", (F.col("won") / (F.col("P") * F.col("N"))).alias(column)))
-    out = E.interval(sides[0].join(sides[1], "rep").select((F.col("score") - F.col("short")).alias("delta")), "delta")
+    """Interval of the difference in AUC between the score and minus the length under the same resamples of pairs: equal
+    values are summed with their multiplicities before they are ranked."""
+    rows = _judged(spark, sf_dir).select("pair_id", "gold", "score", (-F.col("n_chars")).cast("double").alias("short"))
+    sides = [F.struct(F.lit(c).alias("side"), F.col(c).alias("x"), "gold") for c in ("score", "short")]
+    pairs = rows.groupBy("pair_id").agg(F.flatten(F.collect_list(F.array(*sides))).alias("values"))
+    drawn = E.resampled(pairs, "pair_id", REPLICATES).select("rep", "w", F.inline("values"))
+    steps = drawn.groupBy("rep", "side", "x").agg(F.sum(F.when(F.col("gold"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("gold"), 0).otherwise(F.col("w"))).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("rep", "side").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = steps.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy("rep", "side").agg(F.sum("won").alias("won"), F.sum("p").alias("P"), F.sum("n").alias("N"))
+    auc = F.try_divide(F.col("won"), (F.col("P") * F.col("N")).cast("double"))
+    both = sums.groupBy("rep").agg((F.max(F.when(F.col("side") == "score", auc)) - F.max(F.when(F.col("side") == "short", auc))).alias("delta"))
+    out = E.interval(both, "delta")
     return _rounded(out, "lo", "hi").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
@@ -234,8 +236,9 @@ def abstention(spark, sf_dir):
 
 
 def policy_metrics(spark, sf_dir):
-    rows = _judged(spark, sf_dir).withColumn("graph", F.col("n_chars") % 4 == 0)
-    rules = {"r0": F.col("pred"), "r1": F.col("pred") | F.col("graph"), "r2": F.col("pred") & F.col("graph"), "r3": F.col("graph")}
+    """Metrics of the rules R0 to R4."""
+    rows = _judged(spark, sf_dir).withColumn("graph", F.when(F.col("n_chars") % 4 == 0, "vuln").when(F.col("n_chars") % 4 == 1, "safe").otherwise("unknown"))
+    rules = E.combined(F.col("pred"), F.col("graph"), F.col("n_chars") % 3 == 0)
     each = rows.select("gold", F.inline(F.array(*(F.struct(F.lit(n).alias("rule"), v.alias("p")) for n, v in rules.items()))))
     return _rounded(E.with_rates(each.groupBy("rule").agg(*E.confusion_aggs(F.col("gold"), F.col("p")))), *RATES)
 
@@ -278,7 +281,7 @@ DRAWS = f"""{JUDGED}, c AS (SELECT pair_id, """ + COUNTS.format(g="g", p="p") +
 
 
 def _interval(value: str, metric: str) -> str:
-    return f"""SELECT '{metric}' AS metric, round(max(v) FILTER (r = 51), 6) AS lo, round(max(v) FILTER (r = 1950), 6) AS hi FROM (SELECT {value} AS v, row_number() OVER (ORDER BY {value}) AS r FROM m)"""
+    return f"""SELECT '{metric}' AS metric, round(max(v) FILTER (r = 51), 6) AS lo, round(max(v) FILTER (r = 1951), 6) AS hi FROM (SELECT {value} AS v, row_number() OVER (ORDER BY {value}) AS r FROM m)"""
 
 
 ORACLE = {
@@ -286,7 +289,7 @@ ORACLE = {
     "f2": f"{JUDGED}, c AS (SELECT source, {COUNTS.format(g='g', p='p')} FROM j GROUP BY 1) SELECT *, round(coalesce(CAST(5 * tp AS DOUBLE) / nullif(5 * tp + 4 * fn + fp, 0), 0), 6) AS f_beta FROM c",
     "report_rollup": f"{JUDGED}, c AS (SELECT coalesce(lang, 'all') AS lang, {COUNTS.format(g='g', p='p')} FROM j GROUP BY ROLLUP (j.lang)) SELECT *, {RATE} FROM c",
     "trivial_baseline": f"{JUDGED}, c AS (SELECT lang, {COUNTS.format(g='g', p='true')} FROM j GROUP BY 1) SELECT *, {RATE} FROM c",
-    "pairwise": f"""{JUDGED}, q AS (SELECT pair_id, g, CASE WHEN n_chars % 13 <> 0 THEN p END AS p FROM j), s AS (SELECT pair_id, bool_or(p) FILTER (g) AS v, bool_or(p) FILTER (NOT g) AS s FROM q GROUP BY 1)
+    "pairwise": f"""{JUDGED}, q AS (SELECT CASE WHEN n_chars % 17 = 0 THEN -doc_id - 1 ELSE pair_id END AS pair_id, g, CASE WHEN n_chars % 13 <> 0 THEN p END AS p FROM j), s AS (SELECT pair_id, bool_or(p) FILTER (g) AS v, bool_or(p) FILTER (NOT g) AS s FROM q GROUP BY 1 HAVING count(DISTINCT g) = 2)
         SELECT CASE WHEN v IS NULL OR s IS NULL THEN 'parse_fail' WHEN v AND NOT s THEN 'correct' WHEN v THEN 'vulnerable' WHEN NOT s THEN 'benign' ELSE 'reversed' END AS outcome, count(*) AS n,
         round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM s), 6) AS share FROM s GROUP BY 1""",
     "pair_rank": PAIRS.format("score") + """ SELECT count(*) AS n, round(avg((vuln > safe)::INT), 6) AS strict, round(avg((vuln = safe)::INT), 6) AS ties, round(avg((vuln > safe)::INT + (vuln = safe)::INT / CAST(2 AS DOUBLE)), 6) AS tie_half FROM s""",
@@ -300,11 +303,11 @@ ORACLE = {
         x AS (SELECT g, score, CAST((SELECT count(*) FROM c WHERE cut <= n_chars) AS INTEGER) AS bin FROM j), r AS (SELECT bin, g, rank() OVER w + (count(*) OVER (PARTITION BY bin, score) - 1) / CAST(2 AS DOUBLE) AS r FROM x WINDOW w AS (PARTITION BY bin ORDER BY score)),
         s AS (SELECT bin, count(*) FILTER (g) AS n_pos, count(*) FILTER (NOT g) AS n_neg, sum(r) FILTER (g) AS r FROM r GROUP BY 1), a AS (SELECT bin, n_pos, n_neg, (r - n_pos * (n_pos + 1) / CAST(2 AS DOUBLE)) / nullif(n_pos * n_neg, 0) AS auc FROM s), b AS (SELECT * FROM a WHERE auc IS NOT NULL)
         SELECT bin, n_pos, n_neg, round(auc, 6) AS auc FROM b UNION ALL SELECT -1, CAST(sum(n_pos) AS BIGINT), CAST(sum(n_neg) AS BIGINT), round(sum(auc * n_pos * n_neg) / sum(n_pos * n_neg), 6) FROM b""",
-    "delta_auc": f"""{JUDGED}, v AS (SELECT pair_id, g, score, CAST(-(n_chars // 200) AS DOUBLE) AS short FROM j), q AS (SELECT DISTINCT pair_id FROM v), u AS (SELECT pair_id, rep, {U} AS u FROM q, range(1, 101) t(rep)),
+    "delta_auc": f"""{JUDGED}, v AS (SELECT pair_id, g, score, CAST(-n_chars AS DOUBLE) AS short FROM j), q AS (SELECT DISTINCT pair_id FROM v), u AS (SELECT pair_id, rep, {U} AS u FROM q, range(1, 2001) t(rep)),
         w AS (SELECT v.*, rep, {W} AS w FROM v JOIN u USING (pair_id)), e AS (SELECT rep, g, w, 'score' AS side, score AS x FROM w WHERE w > 0 UNION ALL SELECT rep, g, w, 'short', short FROM w WHERE w > 0),
         t AS (SELECT rep, side, x, coalesce(sum(w) FILTER (g), 0) AS p, coalesce(sum(w) FILTER (NOT g), 0) AS n FROM e GROUP BY 1, 2, 3), b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rep, side ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM t),
         a AS (SELECT rep, side, sum(p * (below + n / CAST(2 AS DOUBLE))) / CAST(sum(p) * sum(n) AS DOUBLE) AS auc FROM b GROUP BY 1, 2), d AS (SELECT x.auc - y.auc AS d FROM a x JOIN a y ON x.rep = y.rep AND x.side = 'score' AND y.side = 'short'),
-        r AS (SELECT d, row_number() OVER (ORDER BY d) AS r FROM d), o AS (SELECT round(max(d) FILTER (r = 3), 6) AS lo, round(max(d) FILTER (r = 98), 6) AS hi FROM r) SELECT *, lo > 0 OR hi < 0 AS significant FROM o""",
+        r AS (SELECT d, row_number() OVER (ORDER BY d) AS r FROM d), o AS (SELECT round(max(d) FILTER (r = 51), 6) AS lo, round(max(d) FILTER (r = 1951), 6) AS hi FROM r) SELECT *, lo > 0 OR hi < 0 AS significant FROM o""",
     "threshold_curve": f"""{JUDGED}, {GRID}, c AS (SELECT tau, {COUNTS.format(g='g', p='(score >= tau)')} FROM grid, j GROUP BY 1) SELECT *, {RATE} FROM c""",
     "best_tau": f"""{JUDGED}, {CURVE.format(by='lang,', tby='t.lang,', on='ON t.lang = j.lang')}, r AS (SELECT *, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0) AS f, coalesce(CAST(fp AS DOUBLE) / nullif(fp + tn, 0), 0) AS x FROM c)
         SELECT 'f1' AS rule, lang, tau, round(f, 6) AS f1, round(x, 6) AS fpr FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY lang ORDER BY f DESC, tau) = 1)
@@ -339,6 +342,8 @@ ORACLE = {
         SELECT round(m, 6) AS macro, invalid, reversed, m >= 0.8 AND invalid = 0 AND reversed = '' AS passed FROM o""",
     "abstention": f"""WITH {SCORED}, c AS (SELECT lang, gold, count(*) AS n, count(*) FILTER (score >= 0.3 AND score <= 0.8) AS unknown FROM scored GROUP BY 1, 2), l AS (SELECT lang, sum(unknown) / CAST(sum(n) AS DOUBLE) > 0.5 AS excluded FROM c GROUP BY 1)
         SELECT lang, gold, n, unknown, excluded, round(CAST(unknown AS DOUBLE) / n, 6) AS share FROM c JOIN l USING (lang)""",
-    "policy_metrics": f"""{JUDGED}, e AS (SELECT g, p, n_chars % 4 = 0 AS h FROM j), x AS (SELECT 'r0' AS rule, g, p FROM e UNION ALL SELECT 'r1', g, p OR h FROM e UNION ALL SELECT 'r2', g, p AND h FROM e UNION ALL SELECT 'r3', g, h FROM e),
+    "policy_metrics": f"""{JUDGED}, e AS (SELECT g, p, CASE n_chars % 4 WHEN 0 THEN 'vuln' WHEN 1 THEN 'safe' ELSE 'unknown' END AS gv, n_chars % 3 = 0 AS strong FROM j),
+        x AS (SELECT 'r0' AS rule, g, p FROM e UNION ALL SELECT 'r1', g, CASE WHEN gv = 'vuln' THEN true WHEN gv = 'safe' AND strong THEN false ELSE p END FROM e UNION ALL SELECT 'r2', g, CASE WHEN p THEN true WHEN gv = 'vuln' THEN true ELSE false END FROM e
+          UNION ALL SELECT 'r3', g, CASE WHEN gv = 'safe' AND strong THEN false ELSE p END FROM e UNION ALL SELECT 'r4', g, CASE WHEN gv = 'safe' AND strong THEN false WHEN p THEN true WHEN gv = 'vuln' THEN true ELSE false END FROM e),
         c AS (SELECT rule, {COUNTS.format(g='g', p='p')} FROM x GROUP BY 1) SELECT *, {RATE} FROM c""",
 }

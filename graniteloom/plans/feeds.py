@@ -8,7 +8,7 @@ from graniteloom.operators import curation as C
 from graniteloom.operators import feeds as V
 from graniteloom.plans.tables import table
 
-LANGUAGES = {"c++": "cpp", "c": "c", "javascript": "js", "java": "java", "py": "python", "python": "python", "go": "go"}
+LANGUAGES = {"en": "english", "de": "german", "fr": "french", "es": "spanish", "src1": "first source"}
 CUE = "(?i) (that|dass|que) "
 
 
@@ -88,9 +88,9 @@ def prompt_text(spark, sf_dir):
 
 def lang_resolve(spark, sf_dir):
     """A language from free names: whole name, token, then part of it."""
-    names = ["C++", "modern c++ code", "Python", "cpython", "go", "golang", "C", "objective c", "Java", "javascript-es6", "cobol", "x-py-y"]
-    name = F.get(F.array(*(F.lit(n) for n in names)), (F.col("p_partkey") % len(names)).cast("int"))
-    return table(spark, sf_dir, "part").groupBy(V.language_of(name, LANGUAGES).alias("language")).agg(F.count(F.lit(1)).alias("n"))
+    d = table(spark, sf_dir, "documents").select("lang", F.coalesce("source", F.lit("?")).alias("source"), (F.col("n_chars") % 3).alias("k"))
+    name = F.when(F.col("k") == 0, F.concat(F.lit(" "), F.upper("lang"), F.lit(" "))).when(F.col("k") == 1, F.concat_ws(" / ", "source", "lang")).otherwise(F.concat_ws("-", "source", "lang"))
+    return d.groupBy(V.language_of(name, LANGUAGES).alias("language")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def url_owner(spark, sf_dir):
@@ -149,7 +149,7 @@ FEED = f"""WITH f AS (SELECT o_orderkey, 'CVE-' || year(o_orderdate) || '-' || o
     CASE WHEN o_custkey % 5 > 0 THEN 'CWE-' || o_custkey % 40 ELSE 'NVD-noinfo' END AS cwe, strftime(o_orderdate, '%Y-%m-%d') AS published FROM orders),
     v AS (SELECT *, CASE WHEN k = 6 THEN NULL ELSE value END AS score, CASE WHEN k = 0 THEN '4.0' WHEN k IN (1, 2) THEN '3.1' WHEN k = 3 THEN '3.0' WHEN k IN (4, 5) THEN '2.0' END AS version FROM f), s AS (SELECT *, {SEVERITY} AS severity FROM v)"""
 NAMES = "['C++', 'modern c++ code', 'Python', 'cpython', 'go', 'golang', 'C', 'objective c', 'Java', 'javascript-es6', 'cobol', 'x-py-y']"
-RESOLVED = "['cpp', 'cpp', 'python', 'python', 'go', NULL, 'c', 'c', 'java', 'js', NULL, 'python']"
+TONGUE = "CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' WHEN 'fr' THEN 'french' WHEN 'es' THEN 'spanish' END"
 
 ORACLE = {
     "cvss_precedence": f"{FEED} SELECT version, severity, count(*) AS n, round(sum(score), 2) AS total FROM s GROUP BY 1, 2",
@@ -164,7 +164,7 @@ ORACLE = {
         c AS (SELECT *, list_filter(f, lambda x: regexp_matches(x, '(?i) (that|dass|que) '))[1] AS c FROM s)
         SELECT doc_id, CASE WHEN c IS NOT NULL THEN 'causal' WHEN len(f) > 0 THEN 'plain' ELSE 'cut' END AS tier, md5(coalesce(c, f[1], left(text, 400))) AS digest FROM c""",
     "prompt_text": """SELECT doc_id, md5('Is this code vulnerable?' || chr(10) || 'Language: ' || coalesce(lang, 'unknown') || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10)) AS digest FROM documents""",
-    "lang_resolve": f"SELECT {RESOLVED}[p_partkey % 12 + 1] AS language, count(*) AS n FROM part GROUP BY 1",
+    "lang_resolve": f"""SELECT CASE WHEN n_chars % 3 = 0 THEN {TONGUE} WHEN n_chars % 3 = 1 THEN CASE WHEN source = 'src1' THEN 'first source' ELSE {TONGUE} END WHEN contains(source, 'src1') THEN 'first source' END AS language, count(*) AS n FROM documents GROUP BY 1""",
     "url_owner": """WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS p FROM pages) SELECT page_id, CASE WHEN len(p) > 2 AND p[2] <> '' AND p[3] <> '' THEN p[2] || '/' || p[3] END AS repo FROM p""",
     "ext_language": "SELECT ['python', 'javascript', 'java', 'other', 'python', 'other', 'python'][p_partkey % 7 + 1] AS language, count(*) AS n FROM part GROUP BY 1",
     "severity_fallback": f"""WITH g AS (SELECT s_suppkey % 4 AS k, CASE WHEN s_suppkey % 4 > 1 THEN CAST(s_suppkey % 11 AS DOUBLE) END AS score FROM supplier)

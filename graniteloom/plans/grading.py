@@ -235,10 +235,11 @@ def failure_cause(spark, sf_dir):
 
 
 def envelope(spark, sf_dir):
-    """The largest precision that each source's AUC allows at three recalls."""
-    rows = E.auc(_judged(spark, sf_dir), ["source"], "gold", "score")
-    each = rows.select("source", F.round("auc", 9).alias("auc"), (F.col("n_pos") / (F.col("n_pos") + F.col("n_neg"))).alias("p"), F.explode(F.array(F.lit(0.5), F.lit(0.8), F.lit(0.95))).alias("recall"))
-    return each.select("source", "recall", F.round(Q.envelope(F.col("auc"), F.col("p"), F.col("recall")), 6).alias("most"))
+    """The least false positive rate and the largest precision that each source's AUC allows at some recalls."""
+    rows = E.auc(_judged(spark, sf_dir), ["source"], "gold", "score").where("auc IS NOT NULL")
+    each = rows.select("source", F.round("auc", 9).alias("auc"), F.explode(F.array(*(F.lit(r) for r in Q.RECALLS))).alias("recall"))
+    bound = Q.envelope(F.col("auc"), F.col("recall"))
+    return each.select("source", "recall", F.round(bound["fpr"], 4).alias("fpr_min"), F.round(bound["precision"], 4).alias("precision_max"))
 
 
 def argmax_agreement(spark, sf_dir):
@@ -422,8 +423,8 @@ ORACLE = {
     "engine_union": """WITH e AS (SELECT DISTINCT o_custkey, 'e' || k AS engine FROM orders, (VALUES (2), (3), (5), (7)) v(k) WHERE o_orderkey % k = 0), c AS (SELECT o_custkey, count(*) AS k, min(engine) AS engine FROM e GROUP BY 1)
         SELECT CASE WHEN k = 1 THEN engine ELSE 'several' END AS engine, count(*) AS n FROM c GROUP BY 1""",
     "failure_cause": """SELECT CASE WHEN l_quantity < 5 THEN 'not_parsed' WHEN l_discount < CAST(0.02 AS DOUBLE) THEN 'no_source' WHEN l_returnflag = 'A' THEN 'sanitized' WHEN l_tax > CAST(0.06 AS DOUBLE) THEN 'wrong_line' ELSE 'unknown' END AS cause, count(*) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1""",
-    "envelope": f"""WITH a AS ({_auc("score", "source", 9)}), e AS (SELECT source, auc, CAST(n_pos AS DOUBLE) / (n_pos + n_neg) AS p, CAST(r AS DOUBLE) AS recall FROM a, (VALUES (0.5), (0.8), (0.95)) v(r)), f AS (SELECT *, greatest(0, (recall - auc) / recall) AS fpr FROM e)
-        SELECT source, recall, round(coalesce(recall * p / nullif(recall * p + fpr * (1 - p), 0), 0), 6) AS most FROM f""",
+    "envelope": f"""WITH a AS ({_auc("score", "source", 9)}), f AS (SELECT source, CAST(t AS DOUBLE) AS recall, greatest(CAST(0 AS DOUBLE), CAST(t AS DOUBLE) - (2 * auc - 1)) AS f FROM a, (VALUES (0.90), (0.75), (0.50), (0.30), (0.20), (0.10)) v(t) WHERE auc IS NOT NULL)
+        SELECT source, recall, round(f, 4) AS fpr_min, round(CASE WHEN recall + f > 0 THEN recall / (recall + f) ELSE 1 END, 4) AS precision_max FROM f""",
     "argmax_agreement": f"{J} SELECT lang, round(avg(((score - CAST(0.5 AS DOUBLE) >= 0) = CASE WHEN n_chars % 8 = 0 THEN NOT p ELSE p END)::INT), 6) AS agreement FROM j GROUP BY 1",
     "joint_cells": f"""{J}, k AS (SELECT b AS bin, c AS cue FROM (VALUES ('short'), ('middle'), ('long'), ('huge')) x(b), (VALUES (true), (false)) y(c)), r AS (SELECT CASE WHEN n_chars < 200 THEN 'short' WHEN n_chars < 1000 THEN 'middle' ELSE 'long' END AS bin, n_chars % 3 = 0 AS cue, g = p AS hit FROM j)
         SELECT k.bin, k.cue, count(hit) AS n, round(avg(hit::INT), 6) AS accuracy FROM k LEFT JOIN r ON r.bin = k.bin AND r.cue = k.cue GROUP BY 1, 2""",

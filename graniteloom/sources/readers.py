@@ -51,31 +51,33 @@ def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 
 def rule_table(spark: SparkSession, path: str) -> DataFrame:
     """Rules of five to eight tab-separated columns; an empty or missing column is null, but for the endpoint, which is
-    all_args of a sink and return of a source."""
+    all_args of a sink and return of a source. Lines of fewer columns are left out."""
     parts = F.split("value", "\t", -1)
     names = ("role", "category", "cwe", "match", "pattern", "arg_pattern", "endpoint", "rule_id")
-    rows = spark.read.text(path).where(F.trim("value") != "").select(*(F.nullif(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(n) for i, n in enumerate(names)))
+    rows = spark.read.text(path).where(F.size(parts) >= 5).select(*(F.nullif(F.try_element_at(parts, F.lit(i + 1)), F.lit("")).alias(n) for i, n in enumerate(names)))
     return rows.withColumn("endpoint", F.coalesce("endpoint", F.when(F.col("role") == "sink", "all_args").otherwise("return")))
 
 
 def sanitizer_table(spark: SparkSession, path: str) -> DataFrame:
-    """(pattern, applies_to, note): the second of three columns is a list of categories, * for all. Patterns that do not
-    compile are dropped."""
-    parts = F.split("value", "\t", -1)
-    names = F.filter(F.transform(F.split(F.try_element_at(parts, F.lit(2)), ","), lambda x: F.trim(x)), lambda x: x != "")
-    rows = spark.read.text(path).where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("pattern"), names.alias("applies_to"), F.try_element_at(parts, F.lit(3)).alias("note"))
-    return compiling(rows, "pattern").where("compiles").drop("compiles")
+    """(category, applies_to, pattern) of lines `category TAB categories TAB pattern`: applies_to is a list of categories, *
+    for all; the pattern may hold tabs. Lines without all three, and patterns that do not compile, are left out."""
+    parts = F.split("value", "\t", 3)
+    names = F.filter(F.transform(F.split(F.element_at(parts, 2), ","), lambda x: F.trim(x)), lambda x: x != "")
+    rows = spark.read.text(path).where(F.size(parts) == 3).select(F.element_at(parts, 1).alias("category"), names.alias("applies_to"), F.trim(F.element_at(parts, 3)).alias("pattern"))
+    return compiling(rows.where((F.col("pattern") != "") & (F.size("applies_to") > 0)), "pattern").where("compiles").drop("compiles")
 
 
 def propagation_table(spark: SparkSession, path: str) -> DataFrame:
-    """(pattern, moves): from,to pairs separated by semicolons, `return` as -1."""
-    parts = F.split("value", "\t", -1)
+    """(pattern, moves) of lines `pattern TAB from,to;from,to`: a place is a number, or `return`, which is -1. Moves that do
+    not read so are left out, and lines without any move that does."""
+    parts = F.split("value", "\t", 2)
 
     def place(x):
         return F.when(F.trim(x) == "return", F.lit(-1)).otherwise(F.trim(x).try_cast("int"))
 
-    moves = F.transform(F.split(F.element_at(parts, 2), ";"), lambda m: F.struct(place(F.element_at(F.split(m, ","), 1)).alias("from"), place(F.element_at(F.split(m, ","), 2)).alias("to")))
-    return spark.read.text(path).where(F.size(parts) >= 2).select(F.element_at(parts, 1).alias("pattern"), moves.alias("moves"))
+    pairs = F.filter(F.transform(F.split(F.element_at(parts, 2), ";"), lambda m: F.split(m, ",")), lambda m: F.size(m) == 2)
+    moves = F.filter(F.transform(pairs, lambda m: F.struct(place(m[0]).alias("from"), place(m[1]).alias("to"))), lambda m: m["from"].isNotNull() & m["to"].isNotNull())
+    return spark.read.text(path).where(F.size(parts) == 2).select(F.element_at(parts, 1).alias("pattern"), moves.alias("moves")).where(F.size("moves") > 0)
 
 
 def source_tree(

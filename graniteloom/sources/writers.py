@@ -40,8 +40,9 @@ def rule_lines(rules: DataFrame, columns: list[str], extra: list[str] | None = N
 
 
 def sanitizer_lines(rules: DataFrame) -> DataFrame:
-    """pattern, comma-joined applies_to and note as lines of a sanitizer file."""
-    return rules.select(F.concat_ws("\t", F.col("pattern"), F.array_join("applies_to", ","), _cell(F.col("note"))).alias("value"))
+    """category, comma-joined applies_to (* if there is none) and pattern as lines of a sanitizer file."""
+    applies = F.coalesce(F.nullif(F.array_join("applies_to", ","), F.lit("")), F.lit("*"))
+    return rules.select(F.concat_ws("\t", _cell(F.col("category")), applies, F.col("pattern")).alias("value"))
 
 
 def propagation_lines(rules: DataFrame) -> DataFrame:

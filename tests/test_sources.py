@@ -1,5 +1,6 @@
 from pyspark.sql import types as T
 
+from graniteloom.operators import rules
 from graniteloom.operators.retrieval import flat_index, with_payload
 from graniteloom.sources import readers, writers
 
@@ -24,8 +25,17 @@ def test_rule_tables(spark, tmp_path):
     assert (a["arg_pattern"], a["endpoint"], a["rule_id"], b["endpoint"], b["rule_id"]) == (None, "arg:1", "r1", "return", None)
     (tmp_path / "p.tsv").write_text("f.*\t1,return;2,0\n")
     assert [tuple(m) for m in readers.propagation_table(spark, str(tmp_path / "p.tsv")).first()["moves"]] == [(1, -1), (2, 0)]
-    (tmp_path / "s.tsv").write_text("esc.*\txss, sqli\tnote\nclean\t*\n")
-    assert [r["applies_to"] for r in readers.sanitizer_table(spark, str(tmp_path / "s.tsv")).collect()] == [["xss", "sqli"], ["*"]]
+    (tmp_path / "r5.tsv").write_text("sink\txss\tCWE-79\tname\n\nsink\txss\tCWE-79\tname\tok\n")
+    assert [r["pattern"] for r in readers.rule_table(spark, str(tmp_path / "r5.tsv")).collect()] == ["ok"]
+    (tmp_path / "p2.tsv").write_text("f\t1,return;x,2;3;4,5,6\ng\tbad\nh\n")
+    assert [(r["pattern"], [tuple(m) for m in r["moves"]]) for r in readers.propagation_table(spark, str(tmp_path / "p2.tsv")).collect()] == [("f", [(1, -1)])]
+    # Patterns are judged by the engine that runs them: Python's named groups are none of its, letters by class are.
+    (tmp_path / "s.tsv").write_text("sql\txss, sqli\tprepare(d|Statement)\nweb\t*\t \\p{L}+ \nweb\t*\t(?P<n>a)b\nweb\t*\t(?<n>a)b\nweb\t,\ta\nweb\t*\t \nold\t*\ntab\tx\ta\tb\n")
+    got = [tuple(r) for r in readers.sanitizer_table(spark, str(tmp_path / "s.tsv")).collect()]
+    assert got == [("sql", ["xss", "sqli"], "prepare(d|Statement)"), ("web", ["*"], "\\p{L}+"), ("web", ["*"], "(?<n>a)b"), ("tab", ["x"], "a\tb")]
+    codes = spark.createDataFrame([(1, "PreparedStatement prepareStatement", "sqli"), (2, "nothing", "xss"), (3, "prepared", "rce")], "id long, code string, category string")
+    hits = rules.sanitizing(codes, readers.sanitizer_table(spark, str(tmp_path / "s.tsv")).drop("category"), "code", "category")
+    assert sorted((r["id"], r["pattern"]) for r in hits.collect()) == [(1, "\\p{L}+"), (1, "prepare(d|Statement)"), (2, "\\p{L}+"), (3, "\\p{L}+")]
 
 
 def test_source_tree_and_upsert(spark, tmp_path):
@@ -58,9 +68,9 @@ def test_reports_and_splits(spark, tmp_path):
 def test_rule_files_round_trip(spark, tmp_path):
     rules = spark.createDataFrame([("sink", "xss", "a", None), ("source", None, "b", "arg:1")], "role string, cwe string, pattern string, endpoint string")
     assert [r["value"] for r in writers.rule_lines(rules, ["role", "cwe", "pattern"], ["endpoint"]).collect()] == ["sink\txss\ta", "source\t\tb\targ:1"]
-    sanitizers = spark.createDataFrame([("esc.*", ["xss", "sqli"], None), ("(", ["*"], "broken")], "pattern string, applies_to array<string>, note string")
+    sanitizers = spark.createDataFrame([("web", "esc.*", ["xss", "sqli"]), ("web", "(", ["*"]), ("sql", "q", [])], "category string, pattern string, applies_to array<string>")
     writers.sanitizer_lines(sanitizers).write.text(str(tmp_path / "z"))
-    assert [(r["pattern"], r["applies_to"]) for r in readers.sanitizer_table(spark, str(tmp_path / "z")).collect()] == [("esc.*", ["xss", "sqli"])]
+    assert sorted(tuple(r) for r in readers.sanitizer_table(spark, str(tmp_path / "z")).collect()) == [("sql", ["*"], "q"), ("web", ["xss", "sqli"], "esc.*")]
     moves = spark.createDataFrame([("f", [(1, -1), (2, 0)])], "pattern string, moves array<struct<from:int,to:int>>")
     assert writers.propagation_lines(moves).first()["value"] == "f\t1,return;2,0"
 
