@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from graniteloom.functions.linediff import changed_lines, changed_places, diff_counts, hunk_text, line_steps, sequence_ratio
+
+
+__all__ = [
+    "answer",
+    "changed_lines",
+    "changed_places",
+    "day",
+    "diff_counts",
+    "extended",
+    "fenced",
+    "field",
+    "hunk_text",
+    "json_items",
+    "line_shingles",
+    "line_steps",
+    "log_gap",
+    "sequence_ratio",
+    "set_similarity",
+    "without_thinking",
+    "year",
+]
 
 
 def fenced(text: Column) -> Column:
@@ -72,19 +91,3 @@ def line_shingles(text: Column, k: int = 3) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - k, F.lit(0))), lambda i: F.array_join(F.slice(lines, i + 1, k), "\n"))
     return F.array_distinct(runs)
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching characters of two texts, twice over their lengths together, as line-wise editors measure it."""
-    return pd.Series([difflib.SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def changed_lines(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Numbers (from 1 on) of the lines of b that a line difference adds or replaces."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        steps = difflib.SequenceMatcher(None, (x or "").split("\n"), (y or "").split("\n"), autojunk=False).get_opcodes()
-        out.append([n + 1 for kind, _, _, start, stop in steps if kind in ("insert", "replace") for n in range(start, stop)])
-    return pd.Series(out)

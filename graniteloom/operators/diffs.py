@@ -4,30 +4,40 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graniteloom.functions.tables import windows_of
+
 #: Paths that hold no code of interest, and lines that say nothing.
 EXCLUDED_PATHS = r"(^|/)(tests?|vendor|node_modules|dist|build)/|[.]lock$|[.]min[.]js$"
 NOISE_LINES = r"^[ \t]*(//|#|[*]|import |from |[{}();]*[ \t]*$)"
+FILES = r" a/(\S+) b/(\S+)$"
 HUNK = r"^@@ -([0-9]+)(?:,[0-9]+)? [+]([0-9]+)(?:,[0-9]+)? @@"
 
 
 def numbered(lines: DataFrame, key: list[str], pos: str, line: str) -> DataFrame:
-    """The lines of hunks with hunk (1, 2, ...), side ("-", "+" or " "), body, old_no and new_no.
+    """The lines of hunks with hunk (1, 2, ...), side ("-", "+" or " "), body, old_no, new_no, file and post_path.
 
     Headers carry the first numbers of both sides forward; the counters start anew with every hunk. Lines before the
-    first header are left out. old_no is null on the new side, new_no on the old side.
+    first header are left out. old_no is null on the new side, new_no on the old side. A `diff --git` line ends a hunk and
+    begins a file; lines of a file whose paths do not read are left out, and so are `---`, `+++` and `\\` lines. Diffs
+    without such lines have null files.
     """
-    header = F.col(line).rlike(HUNK)
+    text = F.col(line)
+    opens, header = F.startswith(text, F.lit("diff --git")), text.rlike(HUNK)
     order = Window.partitionBy(*key).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = [F.last(F.when(header, F.regexp_extract(line, HUNK, i).cast("int")), ignorenulls=True).over(order) for i in (1, 2)]
-    laid = lines.select("*", F.sum(header.cast("int")).over(order).alias("hunk"), first[0].alias("_old"), first[1].alias("_new"), header.alias("_header"))
-    side = F.when(F.left(F.col(line), F.lit(1)).isin("+", "-"), F.left(F.col(line), F.lit(1))).otherwise(" ")
-    body = laid.where((F.col("hunk") > 0) & ~F.col("_header")).withColumns({"side": side, "body": F.substring(line, 2, 1 << 30)})
-    inside = Window.partitionBy(*key, "hunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = {s: F.sum((F.col("side") != other).cast("int")).over(inside) for s, other in (("old", "+"), ("new", "-"))}
+    # -1 stands for "no hunk yet" after a file's first line.
+    first = [F.last(F.when(opens, F.lit(-1)).when(header, F.regexp_extract(line, HUNK, i).cast("int")), ignorenulls=True).over(order) for i in (1, 2)]
+    paths = [F.last(F.when(opens, F.regexp_extract(line, FILES, i)), ignorenulls=True).over(order) for i in (1, 2)]
+    laid = lines.select("*", F.sum(header.cast("int")).over(order).alias("hunk"), first[0].alias("_old"), first[1].alias("_new"), header.alias("_header"), paths[0].alias("file"), paths[1].alias("post_path"))
+    side = F.when(F.left(text, F.lit(1)).isin("+", "-"), F.left(text, F.lit(1))).otherwise(" ")
+    other = opens | text.rlike(r"^(---|[+][+][+]|\\)")
+    inside = (F.col("hunk") > 0) & ~F.col("_header") & ~other & (F.col("_old") >= 0) & (F.coalesce("file", F.lit("-")) != "")
+    body = laid.where(inside).withColumns({"side": side, "body": F.substring(line, 2, 1 << 30)})
+    upto = Window.partitionBy(*key, "hunk").orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = {s: F.sum((F.col("side") != o).cast("int")).over(upto) for s, o in (("old", "+"), ("new", "-"))}
     out = body.withColumns({"old_no": F.when(F.col("side") != "+", F.col("_old") + count["old"] - 1), "new_no": F.when(F.col("side") != "-", F.col("_new") + count["new"] - 1)})
     return out.drop("_old", "_new", "_header")
 
@@ -110,37 +120,25 @@ def chunk_ends(text: str, most: int) -> list[int]:
     return [*ends, at] if at > begin or not ends else ends
 
 
-def windows_of(text: str, most: int, overlap: int) -> list[tuple[int, int]]:
-    """Overlapping windows [start, stop) of a text of `most` characters at most. A window ends after its last line feed
-    if that leaves more than the overlap; the next begins `overlap` before its end."""
-    out, start = [], 0
-    while True:
-        stop = min(len(text), start + most)
-        if stop < len(text):
-            feed = text.rfind("\n", start, stop) + 1
-            stop = feed if feed > start + overlap else stop
-        out.append((start, stop))
-        if stop >= len(text):
-            return out
-        start = max(start + 1, stop - overlap)
-
-
-def cut_up(rows: DataFrame, id: str, text: str, most: int, overlap: int = 0) -> DataFrame:
-    """(id, part, start, stop): chunks of whole lines, or with an overlap, windows of each text, in code points.
+def cut_up(rows: DataFrame, id: str, text: str, most: int, windows: bool = False) -> DataFrame:
+    """(id, part, start, stop): chunks of whole lines, or overlapping windows, of each text, in code points.
 
-    Where a chunk ends depends on the one before it, so a text is cut in the task that reads it; null counts as empty.
+    Where a chunk ends depends on the one before it, so a text is cut in the task that reads it; null counts as empty. A
+    batch of texts gives one batch of arrays, which Spark spreads.
     """
-    kind = rows.schema[id].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in zip(batch["id"], batch["text"], strict=True):
-                if overlap:
-                    spans = windows_of(t, most, overlap)
-                else:
-                    ends = chunk_ends(t, most)
-                    spans = list(zip([0, *ends[:-1]], ends, strict=True))
-                yield pd.DataFrame({"id": i, "part": range(len(spans)), "start": [a for a, _ in spans], "stop": [b for _, b in spans]})
+            starts, stops = [], []
+            for t in batch.column(1).to_pylist():
+                ends = chunk_ends(t, most)
+                spans = windows_of(t, most) if windows else zip([0, *ends[:-1]], ends, strict=True)
+                a, b = zip(*spans, strict=True) if t or not windows else ((), ())
+                starts.append(a)
+                stops.append(b)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in (starts, stops))], ["id", "starts", "stops"])
 
+    kind = rows.schema[id].dataType.simpleString()
     body = rows.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    return body.mapInPandas(run, f"id {kind}, part int, start long, stop long").withColumnRenamed("id", id)
+    cut = body.mapInArrow(run, f"id {kind}, starts array<long>, stops array<long>")
+    return cut.select(F.col("id").alias(id), F.posexplode(F.arrays_zip("starts", "stops")).alias("part", "s")).select(id, "part", F.col("s.starts").alias("start"), F.col("s.stops").alias("stop"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graniteloom import functions as N
 from graniteloom.operators import curation as C
 from graniteloom.operators import diffs as X
 from graniteloom.plans.tables import table
@@ -119,17 +120,39 @@ def line_chunks(spark, sf_dir):
 
 
 def overlap_windows(spark, sf_dir):
-    """Overlapping windows of up to 600 characters: their number, sum of lengths and last end."""
+    """Overlapping windows of up to 600 characters, begun and ended at lines where there are some: their number, sum of
+    lengths and last end."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    parts = X.cut_up(docs, "doc_id", "text", 600, 50)
+    parts = X.cut_up(docs, "doc_id", "text", 600, windows=True)
     return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("windows"), F.sum(F.col("stop") - F.col("start")).alias("chars"), F.max("stop").alias("last"))
 
 
+def multi_file_diff(spark, sf_dir):
+    """Lines of diffs over several files by file: marks of files and ends are no lines, a file without paths is left out."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "[.\n,]")).alias("pos", "body"))
+    pos, k, side = F.col("pos"), F.col("pos") % 13, F.when(F.length("body") % 3 == 0, "-").when(F.length("body") % 3 == 1, "+").otherwise(" ")
+    marks = {0: F.when(pos % 52 == 26, "diff --git broken").otherwise(F.concat(F.lit("diff --git a/f"), pos, F.lit(".py b/g"), pos, F.lit(".py"))), 1: F.lit("--- a/f"), 2: F.lit("+++ b/g"), 3: F.concat(F.lit("@@ -"), pos * 10 + 1, F.lit(",9 +"), pos * 10 + 3, F.lit(",9 @@")), 9: F.lit("\\ No newline at end of file")}
+    line = F.concat(side, "body")
+    for at, mark in marks.items():
+        line = F.when(k == at, mark).otherwise(line)
+    found = X.numbered(rows.select("doc_id", "pos", line.alias("line")), ["doc_id"], "pos", "line")
+    return found.groupBy("doc_id", "file", "post_path", "side").agg(F.count(F.lit(1)).alias("n"), F.sum("old_no").alias("old"), F.sum("new_no").alias("new"))
+
+
+def line_diff(spark, sf_dir):
+    """What an edit of each document changes: every fifth clause in capitals, every seventh taken out."""
+    lines = F.split(F.coalesce("text", F.lit("")), "[.\n,]")
+    edited = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] % 7 > 0), lambda s: F.when(s["i"] % 5 == 0, F.upper(s["x"])).otherwise(s["x"]))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("a"), F.array_join(edited, "\n").alias("b"))
+    steps = docs.select("doc_id", N.line_steps("a", "b").alias("steps"))
+    return steps.select("doc_id", N.diff_counts(F.col("steps")).alias("c")).select("doc_id", "c.*")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         diff_line_no, representative_line, commit_cap, path_exclusion, noise_lines, keyword_filter, identical_pair, banned_string, diff_findings, keyword_lines, caller_window, path_sample,
-        path_union, marker, line_chunks, overlap_windows,
+        path_union, marker, line_chunks, overlap_windows, multi_file_diff, line_diff,
     )
 }
 
@@ -161,6 +184,11 @@ ORACLE = {
         SELECT o_custkey, len(p) AS n, array_to_string(CASE WHEN len(p) <= 10 THEN p ELSE list_transform(range(10), lambda i: p[round_even(i * (len(p) - 1) / CAST(9 AS DOUBLE), 0)::INT + 1]) END, '>') AS steps FROM p""",
     "path_union": "WITH s AS (SELECT DISTINCT l_suppkey AS file, l_partkey % 40 AS line, l_returnflag AS r FROM lineitem) SELECT file, string_agg(line || r, ' ' ORDER BY line, r) AS steps FROM s GROUP BY 1",
     "marker": f"WITH l AS (SELECT doc_id, {SPLIT} AS l FROM documents) SELECT doc_id, md5(array_to_string(list_concat(l[1:2], ['>>>'], l[3:]), '|')) AS digest FROM l WHERE len(l) >= 3",
+    "multi_file_diff": """WITH l AS (SELECT doc_id, generate_subscripts(b, 1) - 1 AS pos, unnest(b) AS body FROM (SELECT doc_id, string_split_regex(coalesce(text, ''), '[.\\n,]') AS b FROM documents)),
+        h AS (SELECT *, pos // 13 * 13 AS start, CASE length(body) % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE ' ' END AS side FROM l WHERE pos % 13 > 3 AND pos % 13 <> 9 AND pos // 13 * 13 % 52 <> 26),
+        c AS (SELECT *, CASE WHEN side <> '+' THEN (start + 3) * 10 + CAST(count(*) FILTER (side <> '+') OVER w AS BIGINT) END AS old_no, CASE WHEN side <> '-' THEN (start + 3) * 10 + 2 + CAST(count(*) FILTER (side <> '-') OVER w AS BIGINT) END AS new_no
+          FROM h WHERE NOT (side = '-' AND starts_with(body, '--') OR side = '+' AND starts_with(body, '++')) WINDOW w AS (PARTITION BY doc_id, start ORDER BY pos ROWS UNBOUNDED PRECEDING))
+        SELECT doc_id, 'f' || start || '.py' AS file, 'g' || start || '.py' AS post_path, side, count(*) AS n, CAST(sum(old_no) AS BIGINT) AS old, CAST(sum(new_no) AS BIGINT) AS new FROM c GROUP BY 1, 2, 3, 4""",
     "line_chunks": """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), s AS (SELECT doc_id, t, string_split(t, chr(10)) AS l FROM d),
         e AS (SELECT doc_id, i, len(l) AS n, CAST(sum(length(x) + CASE WHEN i < len(l) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM (SELECT doc_id, l, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM s)),
         f AS (SELECT doc_id, i, n, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY i), 0) AS start FROM e WHERE true), m AS (SELECT * FROM f WHERE stop > start OR n = 1),

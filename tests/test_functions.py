@@ -1,6 +1,11 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from graniteloom import functions as N
+from graniteloom.functions import linediff, tables
+from graniteloom.operators import diffs
 
 
 def one(spark, value, *columns):
@@ -28,3 +33,93 @@ def test_differences_of_lines(spark):
     got = rows.select(N.changed_lines("a", "b").alias("lines"), F.round(N.sequence_ratio("a", "b"), 4).alias("ratio")).collect()
     assert [r["lines"] for r in got] == [[2, 4], [], [1]] and [r["ratio"] for r in got] == [0.6667, 1.0, 0.0]
     assert one(spark, "a\n\n b\nc\nd", N.line_shingles(F.col("t")))[0] == ["a\nb\nc", "b\nc\nd"]
+
+
+def lcs_table(a, b):
+    rows = [[0] * (len(b) + 1)]
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(rows[-1][j] + 1 if x == y else max(row[-1], rows[-1][j + 1]))
+        rows.append(row)
+    return rows[-1][-1]
+
+
+def test_matches_are_longest(monkeypatch):
+    """Both ways, against the whole table: few and many equal lines, empty sides, equal sides."""
+    r = random.Random(7)
+    for pairs in (linediff.PAIRS, 0):
+        monkeypatch.setattr(linediff, "PAIRS", pairs)
+        for _ in range(300):
+            letters = "abcdefghijkl"[: r.choice([1, 2, 4, 12])]
+            a, b = ([r.choice(letters) for _ in range(r.randrange(24))] for _ in range(2))
+            got = linediff.matched(a, b)
+            assert len(got) == lcs_table(a, b) == linediff.lcs_length(a, b)
+            assert all(a[i] == b[j] for i, j in got) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:]))
+            steps, built = linediff.steps_between(a, b), []
+            for tag, i1, i2, j1, j2 in steps:
+                assert (tag == "equal") == (a[i1:i2] == b[j1:j2]) and (i1 < i2, j1 < j2) == {"equal": (True, True), "replace": (True, True), "delete": (True, False), "insert": (False, True)}[tag]
+                built += a[i1:i2] if tag == "equal" else b[j1:j2]
+            assert built == b and [s[1] for s in steps] == [0, *(s[2] for s in steps)][:-1] if steps else a == b == []
+
+
+def test_long_texts_are_quick():
+    a = [f"line {i}" for i in range(100_000)]
+    b = [x + "!" if i % 50 == 0 else x for i, x in enumerate(a) if i % 97]
+    began = time.time()
+    assert len(linediff.matched(a, b)) == sum(i % 97 > 0 and i % 50 > 0 for i in range(100_000)) and time.time() - began < 5
+    a, b = ["x", "y", "z"] * 3000, ["y", "x", "w"] * 3000
+    began = time.time()
+    assert len(linediff.matched(a, b)) == linediff.lcs_length(a, b) and time.time() - began < 20
+
+
+def test_steps_as_columns(spark):
+    rows = spark.createDataFrame([("a\nb\nc\nd", "a\nx\nc\nd\ne"), (None, "n"), ("same", "same")], "a string, b string")
+    lines = {s: F.when(F.coalesce(s, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.split(s, "\n")) for s in ("a", "b")}
+    got = rows.withColumn("s", N.line_steps("a", "b")).select(N.diff_counts(F.col("s")).alias("c"), N.changed_places(F.col("s"), "a").alias("p"), N.hunk_text(lines["a"], lines["b"], F.col("s")).alias("h")).collect()
+    assert [tuple(r["c"]) for r in got] == [(2, 1, 3, 1), (1, 0, 1, 0), (0, 0, 0, None)]
+    assert [r["p"] for r in got] == [[2], [], []] and [r["h"] for r in got] == ["- b\n+ x\n+ e", "+ n", "(none)"]
+
+
+DIFF = """diff --git a/x.py b/x.py
+--- a/x.py
++++ b/x.py
+@@ -3,4 +3,4 @@
+ keep
+-old
++new
+ tail
+-gone
++more
+\\ No newline at end of file
+diff --git a/y.py b/z.py
+--- a/y.py
++++ b/z.py
+@@ -10 +10,2 @@ def f():
+-one
++two
++three
+@@ -20,0 +22 @@
++late
+diff --git broken
+@@ -1 +1 @@
+-lost
+"""
+
+
+def test_diffs_of_several_files(spark):
+    """The table function and the window form agree; files, ends and marks are no lines."""
+    rows = spark.createDataFrame([(k, i, x) for k in ("d", "e") for i, x in enumerate((DIFF if k == "d" else "no diff\n-x").split("\n")[:-1])], "key string, pos int, line string")
+    want = [("x.py", 1, " ", 3, 3, "keep"), ("x.py", 1, "-", 4, None, "old"), ("x.py", 1, "+", None, 4, "new"), ("x.py", 1, " ", 5, 5, "tail"), ("x.py", 1, "-", 6, None, "gone"), ("x.py", 1, "+", None, 6, "more")]
+    want += [("y.py", 2, "-", 10, None, "one"), ("y.py", 2, "+", None, 10, "two"), ("y.py", 2, "+", None, 11, "three"), ("y.py", 3, "+", None, 22, "late")]
+    columns = ("file", "hunk", "side", "old_no", "new_no", "body")
+    tables.register(spark)
+    rows.createOrReplaceTempView("diff_lines")
+    by_sql = spark.sql("SELECT * FROM parse_diff(TABLE(diff_lines) PARTITION BY key ORDER BY pos)")
+    assert [tuple(r[c] for c in columns) for r in by_sql.orderBy("hunk", F.expr("coalesce(new_no, old_no)"), F.expr("side = '+'")).collect()] == want
+    assert {(r["hunk_start"], r["hunk_stop"]) for r in by_sql.collect()} == {(3, 6), (10, 10), (20, 20)} and {r["post_path"] for r in by_sql.collect()} == {"x.py", "z.py"}
+    windows = diffs.numbered(rows, ["key"], "pos", "line")
+    assert [tuple(r[c] for c in columns) for r in windows.orderBy("hunk", F.expr("coalesce(new_no, old_no)"), F.expr("side = '+'")).collect()] == want
+    texts = spark.createDataFrame([("k", "ab\ncd\nef", 7), ("l", "", 8), ("m", "x" * 20, 8)], "key string, text string, most int")
+    found = tables.LineWindows(texts.asTable().partitionBy("key")).orderBy("key", "window").collect()
+    assert [tuple(r)[1:] for r in found if r["key"] == "k"] == [(0, 0, 6, 0), (1, 5, 8, 1)] and [tuple(r)[2:4] for r in found if r["key"] == "m"] == [(0, 8), (6, 14), (12, 20)]

@@ -1,6 +1,9 @@
 import time
 
+from pyspark.sql import functions as F
+
 from graniteloom.streaming import events as S
+from graniteloom.streaming import keyed
 from tests.comparing import plain
 
 
@@ -40,3 +43,30 @@ def test_batches_are_merged(spark, tmp_path):
         spark.createDataFrame(rows, "k int, v string, at int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         got = S.upserted(S.event_stream(spark, f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ckpt", ["k"], "at")
         assert {r["k"]: r["v"] for r in got.collect()} == [{1: "a", 2: "b"}, {1: "c", 2: "b"}, {1: "c", 2: "b", 3: "e"}][i]
+
+
+def test_first_texts_of_buckets(spark, tmp_path):
+    """Equal and nearly equal texts over batches and a restart; a text may come again when its time is over."""
+    keyed.with_rocksdb(spark)
+    long = [f"w{i}" for i in range(400)]
+    near, far = " ".join([*long[:-1], "x"]), " ".join([*long[:300], *"abcdefgh"])
+    batches = [
+        [(1, "b", "g1", " ".join(long), "2024-01-01 00:00:00"), (2, "b", "g1", "OTHER  text", "2024-01-01 00:00:01")],
+        [(3, "b", "g2", near, "2024-01-02 00:00:00"), (4, "b", "g1", near, "2024-01-02 00:00:00"), (5, "c", "g2", near, "2024-01-02 00:00:00"), (6, "b", "g2", far, "2024-01-02 00:00:00"), (7, "b", "g3", "other text ", "2024-01-02 00:00:00"), (8, None, None, None, "2024-01-02 00:00:00")],
+        [(9, None, None, "", "2024-01-03 00:00:00"), (10, "z", "g", "q", "2024-03-01 00:00:00")],
+        [(11, "z", "g", "r", "2024-03-02 00:00:00")],
+        [(12, "b", "g9", "other text", "2024-03-03 00:00:00"), (13, "b", "g9", "Other text", "2024-03-03 00:00:01"), (14, "b", "g2", near, "2024-03-03 00:00:00")],
+    ]
+    got = {}
+    for rows in batches:
+        spark.createDataFrame(rows, "id long, bucket string, grp string, text string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = keyed.first_texts(S.event_stream(spark, f"{tmp_path}/in"), "id", "text", ["bucket"], "grp", live="10 days", late="1 hour")
+        got = {r["id"]: r["verdict"] for r in S.drained(stream, f"{tmp_path}/out", f"{tmp_path}/ckpt").collect()}
+    assert got == {1: "kept", 2: "kept", 3: "near", 4: "kept", 5: "kept", 6: "kept", 7: "same", 8: "kept", 9: "same", 10: "kept", 11: "kept", 12: "kept", 13: "same", 14: "kept"}
+    state = spark.read.format("statestore").option("stateVarName", "kept").load(f"{tmp_path}/ckpt")
+    assert state.count() == 4, "entries beyond their time are gone"
+
+
+def test_jaccard_above():
+    a = set(range(100))
+    assert keyed.jaccard_above(a, set(range(98)), 0.95) and not keyed.jaccard_above(a, set(range(95)), 0.95) and not keyed.jaccard_above(set(), set(), 0.5)
