@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from graniteloom.operators.state import cut
@@ -38,6 +38,17 @@ def first_failing(rules: list[tuple[str, Column]]) -> Column:
     return found
 
 
+def kept_and_counted(rows: DataFrame, rules: list[tuple[str, Column]], path: str) -> dict[str, int]:
+    """Writes the rows that pass every rule as Parquet, and returns how many each rule stopped and how many were kept, as
+    first_failing() names them. The counters are taken in the one pass that writes."""
+    names = ["kept", *(name for name, _ in rules)]
+    seen = Observation()
+    outcome = rows.withColumn("_outcome", first_failing(rules))
+    counted = outcome.observe(seen, *(F.count_if(F.col("_outcome") == n).alias(f"n{i}") for i, n in enumerate(names)))
+    counted.where("_outcome = 'kept'").drop("_outcome").write.mode("overwrite").parquet(path)
+    return {n: seen.get[f"n{i}"] for i, n in enumerate(names)}
+
+
 def dedup_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in a stated order (the other columns settle ties); n_copies counts the rows.
 

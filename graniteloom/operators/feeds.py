@@ -76,3 +76,38 @@ def language_of(name: Column, table: dict[str, str]) -> Column:
 def repository(url: Column) -> Column:
     """owner/name of a repository address of several hosts, null if it is none."""
     return F.nullif(F.regexp_extract(url, r"^(?:https?://|git@)[^/:]+[/:]([^/]+/[^/?#]+?)(?:[.]git)?(?:[/?#].*)?$", 1), F.lit(""))
+
+
+#: The names of an entry's scores, the newest version first.
+SCORES = (("4.0", "cvssMetricV40"), ("3.1", "cvssMetricV31"), ("3.0", "cvssMetricV30"), ("2.0", "cvssMetricV2"))
+
+
+def entries(document: Column) -> Column:
+    """The entries of a feed (JSON text) as an array of variants, whatever their shapes: a list, or an envelope with `data`
+    or else `vulnerabilities`; null for text that is no JSON or holds neither."""
+    v = F.try_parse_json(document)
+    many = "array<variant>"
+    return F.coalesce(F.try_variant_get(v, "$", many), F.try_variant_get(v, "$.data", many), F.try_variant_get(v, "$.vulnerabilities", many))
+
+
+def _at(entry: Column, path: str, kind: str) -> Column:
+    """A value of an entry, which may be wrapped in `cve`."""
+    return F.coalesce(F.try_variant_get(entry, f"$.{path}", kind), F.try_variant_get(entry, f"$.cve.{path}", kind))
+
+
+def entry_fields(entry: Column) -> Column:
+    """struct<id, status, description, version, score, severity> of an entry of any version of the feed.
+
+    description: the English one of a list, else the first, else a plain string. The score is that of the newest version the
+    entry has, its source's primary one first; version 2 keeps its severity beside the score's data, not in it.
+    """
+    listed = _at(entry, "descriptions", "array<struct<lang string, value string>>")
+    description = F.coalesce(first_match(listed, lambda d: d["lang"] == "en")["value"], _at(entry, "description", "string"))
+    kind = "array<struct<type string, baseSeverity string, cvssData struct<baseScore double, baseSeverity string>>>"
+    choices = []
+    for version, name in SCORES:
+        m = first_match(_at(entry, f"metrics.{name}", kind), lambda x: x["type"] == "Primary")
+        choices.append(F.when(m["cvssData"]["baseScore"].isNotNull(), F.struct(F.lit(version).alias("version"), m["cvssData"]["baseScore"].alias("score"), F.coalesce(m["cvssData"]["baseSeverity"], m["baseSeverity"]).alias("severity"))))
+    plain = F.struct(F.lit(None).cast("string").alias("version"), _at(entry, "score", "double").alias("score"), _at(entry, "severity", "string").alias("severity"))
+    best = F.coalesce(*choices, plain)
+    return F.struct(F.coalesce(_at(entry, "id", "string"), _at(entry, "cve_id", "string")).alias("id"), _at(entry, "vulnStatus", "string").alias("status"), description.alias("description"), *(best[c].alias(c) for c in ("version", "score", "severity")))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from graniteloom.operators.state import cut
 
 #: What a rule may be.
 ROLES, MATCHES = ("source", "sink", "sanitizer", "propagation"), ("name", "full", "code", "arg_literal", "arg_count")
@@ -94,13 +100,90 @@ def _holds(args: str, match: str, value: str | int) -> Column:
     return F.exists(args, lambda a: a.rlike(f"^(?:{value})$"))
 
 
+#: Letters of a gram, bytes of rules that are sent to every executor; more of them meet the texts by a shuffle.
+GRAM, RULE_BYTES = 3, 32 << 20
+
+
+def literal_of(pattern: str | None) -> str | None:
+    """The longest run of plain letters that every match of a regular expression holds, null if none of GRAM letters is sure:
+    classes, groups, optional letters and alternatives give none, nor do patterns that change what letters mean."""
+    if not pattern or re.search(r"[(][?][a-zA-Z-]*[ixudU]|[\\][QE]", pattern):
+        return None
+    runs, run, depth, at = [], "", 0, 0
+    while at < len(pattern):
+        c, step, plain = pattern[at], 1, None
+        if c == "\\":
+            step = 2
+            plain = pattern[at + 1 : at + 2] if not pattern[at + 1 : at + 2].isalnum() else None
+        elif c == "[":
+            inside, step = 1, 1
+            while at + step < len(pattern) and inside:
+                d = pattern[at + step]
+                step += 2 if d == "\\" else 1
+                inside += (d == "[") - (d == "]")
+        elif c == "|" and depth == 0:
+            return None
+        elif c == "{":
+            step = pattern.find("}", at) - at + 1 or len(pattern)
+        elif c not in "^$.()?*+|":
+            plain = c
+        depth += (c == "(") - (c == ")")
+        if c in "?*{" and pattern[at - 1 : at] not in (")", "]") and run:
+            run = run[:-1]
+        if plain is None or depth:
+            runs.append(run)
+            run = ""
+        else:
+            run += plain
+        at += step
+    best = max([*runs, run], key=len)
+    return best if len(best) >= GRAM else None
+
+
+def _grams(text: Column) -> Column:
+    """The distinct runs of GRAM letters of a text, by one pass over its letters (bound once, as an element of an array)."""
+
+    def runs(letters: Column) -> Column:
+        places = F.sequence(F.lit(0), F.greatest(F.size(letters) - GRAM, F.lit(0)))
+        return F.array_distinct(F.array_compact(F.transform(places, lambda i: F.concat(*(F.get(letters, i + k) for k in range(GRAM))))))
+
+    return F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0))
+
+
+@F.pandas_udf(T.StringType())
+def _literals(patterns: pd.Series) -> pd.Series:
+    return patterns.map(literal_of)
+
+
+def matches_of(rows: DataFrame, keep: list[str], text: str, rules: DataFrame, id: str = "rule_id", pattern: str = "pattern") -> DataFrame:
+    """keep and rule_id of the rules whose pattern is found in a row's text, for many rules from a table.
+
+    A rule with a sure literal has one key, the gram of it that fewest texts hold; texts meet rules by that key, and only
+    those that hold the whole literal are tried with the pattern. Rules without one are tried on every text. Patterns that
+    do not compile and null texts match nothing. Rules are broadcast up to RULE_BYTES.
+    """
+    known = cut(compiling(rules.select(F.col(id).alias("_rule"), F.col(pattern).alias("_pattern")), "_pattern").where("compiles").drop("compiles").withColumn("_literal", _literals("_pattern")))
+    size = known.agg(F.coalesce(F.sum(F.length("_pattern") + 64), F.lit(0))).first()[0]
+    sent = F.broadcast if size <= RULE_BYTES else (lambda d: d)
+    choices = known.where("_literal IS NOT NULL").select("_rule", F.explode(_grams(F.col("_literal"))).alias("_gram"))
+    wanted = choices.agg(F.coalesce(F.collect_set("_gram"), F.array().cast("array<string>")).alias("_wanted"))
+    texts = rows.where(F.col(text).isNotNull()).join(F.broadcast(wanted)).withColumn("_hits", F.array_intersect(_grams(F.col(text)), "_wanted")).drop("_wanted")
+    held = texts.select(F.explode("_hits").alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    key = choices.join(held, "_gram", "left").groupBy("_rule").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    indexed = cut(known.join(key, "_rule"))
+    met = texts.withColumn("_gram", F.explode("_hits")).join(sent(indexed), "_gram").where(F.contains(text, "_literal") & F.expr(f"`{text}` rlike _pattern"))
+    rest = rows.join(sent(known.where("_literal IS NULL").select("_rule", "_pattern")), F.expr(f"`{text}` rlike _pattern"))
+    both = met.select(*keep, "_rule").unionByName(rest.select(*keep, "_rule"))
+    return both.withColumnRenamed("_rule", id)
+
+
 def sanitizing(elements: DataFrame, sanitizers: DataFrame, code: str, category: str) -> DataFrame:
     """The flow elements with each sanitizer (pattern, applies_to) that applies to all ("*") or to their category, and
-    whose pattern is found in their code. A join of patterns has no key, so Spark sends the smaller side, the
-    sanitizers, to the elements."""
-    rules = sanitizers.select("pattern", "applies_to")
-    applies = F.array_contains("applies_to", "*") | F.expr(f"array_contains(applies_to, {category})")
-    return elements.join(rules, applies & F.expr(f"{code} rlike pattern"))
+    whose pattern is found in their code."""
+    rules = sanitizers.select("pattern", "applies_to").distinct().withColumn("_pair", F.struct("pattern", "applies_to"))
+    found = matches_of(elements, elements.columns, code, rules, "_pair")
+    out = found.select(*elements.columns, "_pair.*")
+    return out.where(F.array_contains("applies_to", "*") | F.expr(f"array_contains(applies_to, `{category}`)"))
 
 
 def suffix_matches(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graniteloom.operators.rules import matches_of
 from graniteloom.operators.state import cut
 
 #: The modes of choosing sources, the receivers that are no sources, the types that carry data, and those of
@@ -64,11 +65,14 @@ def _spread(label: str) -> list[Column]:
 
 def through_calls(edges: DataFrame, maps: DataFrame) -> DataFrame:
     """Edges (a, b) of edges (a, b, method, arg, to): those inside a body (null method), those of methods that maps
-    (method, arg, to) do not speak of, and those along its maps for the others. arg counts from 0 for the receiver; a
-    `to` of -1 is what the call returns."""
-    known = maps.select("method").distinct()
+    (method, arg, to) do not speak of, and those along its maps for the others. A map's method is a pattern of the whole
+    name. arg counts from 0 for the receiver; a `to` of -1 is what the call returns."""
+    names = edges.where("method IS NOT NULL").select("method").distinct()
+    patterns = maps.select(F.col("method").alias("_named")).distinct().withColumn("_whole", F.concat(F.lit("^(?:"), "_named", F.lit(")$")))
+    known = cut(matches_of(names, ["method"], "method", patterns, "_named", "_whole"))
     free = edges.where("method IS NULL").select("a", "b").unionByName(edges.where("method IS NOT NULL").join(known, "method", "left_anti").select("a", "b"))
-    bound = edges.join(maps.select("method", "arg", "to").distinct(), ["method", "arg", "to"], "left_semi").select("a", "b")
+    allowed = known.join(maps.withColumnRenamed("method", "_named"), "_named").select("method", "arg", "to").distinct()
+    bound = edges.join(allowed, ["method", "arg", "to"], "left_semi").select("a", "b")
     return free.unionByName(bound).distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from graniteloom.operators import evaluation as E
+from graniteloom.operators import sketches as S
 from graniteloom.operators.state import cut
 from graniteloom.plans.tables import SCORED, scored, table
 
@@ -187,6 +188,19 @@ def length_stats(spark, sf_dir):
     return sums.join(picked, "lang").select("lang", "mean", ((F.col("low") + F.col("high")) / 2).alias("median"), "p90", "most")
 
 
+def sketch_bounds(spark, sf_dir):
+    """Sketches a language and source, merged a language: whether their distinct counts, medians and ninth tenths keep to
+    their bounds against the exact ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    found = S.merged(S.sketched(docs, ["lang", "source"], "doc_id", "n_chars"), ["lang"])
+    counts = docs.groupBy("lang", "n_chars").agg(F.count(F.lit(1)).alias("n"))
+    around = {f"{q}_{side}": f"greatest(1, least(_n, cast(ceil(_n * {share + e}) AS bigint)))" for q, share in (("mid", 0.5), ("high", 0.9)) for side, e in (("low", -S.RANK_ERROR), ("top", S.RANK_ERROR))}
+    exact = E.quantile_pick(counts, ["lang"], "n_chars", "n", around).join(docs.groupBy("lang").agg(F.count_distinct("doc_id").alias("distinct")), "lang")
+    both = found.select("lang", "n", S.distinct_count().alias("d"), S.quantile(0.5).alias("mid"), S.quantile(0.9).alias("high")).join(exact, "lang")
+    near = F.abs(F.col("d") - F.col("distinct")) <= S.DISTINCT_ERROR * F.col("distinct") + 1
+    return both.select("lang", "n", near.alias("distinct_holds"), F.col("mid").between(F.col("mid_low"), F.col("mid_top")).alias("median_holds"), F.col("high").between(F.col("high_low"), F.col("high_top")).alias("tenth_holds"))
+
+
 def quantile_bins(spark, sf_dir):
     rows = E.quantile_bins(scored(spark, sf_dir).select("doc_id", "n_chars"), "n_chars", "doc_id", 5)
     return rows.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
@@ -247,7 +261,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         confusion, f2, report_rollup, trivial_baseline, pairwise, pair_rank, pair_join, auc, length_baseline, stratified_auc, delta_auc, macro_gate, threshold_curve, best_tau, tau_stride, multi_source_op, vote_sweep,
-        bootstrap_ci, paired_bootstrap, spearman, zscore_blend, length_stats, quantile_bins, mean_rank, gap_median, macro_f1, abstention, policy_metrics,
+        bootstrap_ci, paired_bootstrap, spearman, zscore_blend, length_stats, sketch_bounds, quantile_bins, mean_rank, gap_median, macro_f1, abstention, policy_metrics,
     )
 }
 
@@ -342,6 +356,7 @@ ORACLE = {
         SELECT round(m, 6) AS macro, invalid, reversed, m >= 0.8 AND invalid = 0 AND reversed = '' AS passed FROM o""",
     "abstention": f"""WITH {SCORED}, c AS (SELECT lang, gold, count(*) AS n, count(*) FILTER (score >= 0.3 AND score <= 0.8) AS unknown FROM scored GROUP BY 1, 2), l AS (SELECT lang, sum(unknown) / CAST(sum(n) AS DOUBLE) > 0.5 AS excluded FROM c GROUP BY 1)
         SELECT lang, gold, n, unknown, excluded, round(CAST(unknown AS DOUBLE) / n, 6) AS share FROM c JOIN l USING (lang)""",
+    "sketch_bounds": "SELECT lang, count(*) AS n, true AS distinct_holds, true AS median_holds, true AS tenth_holds FROM documents GROUP BY 1",
     "policy_metrics": f"""{JUDGED}, e AS (SELECT g, p, CASE n_chars % 4 WHEN 0 THEN 'vuln' WHEN 1 THEN 'safe' ELSE 'unknown' END AS gv, n_chars % 3 = 0 AS strong FROM j),
         x AS (SELECT 'r0' AS rule, g, p FROM e UNION ALL SELECT 'r1', g, CASE WHEN gv = 'vuln' THEN true WHEN gv = 'safe' AND strong THEN false ELSE p END FROM e UNION ALL SELECT 'r2', g, CASE WHEN p THEN true WHEN gv = 'vuln' THEN true ELSE false END FROM e
           UNION ALL SELECT 'r3', g, CASE WHEN gv = 'safe' AND strong THEN false ELSE p END FROM e UNION ALL SELECT 'r4', g, CASE WHEN gv = 'safe' AND strong THEN false WHEN p THEN true WHEN gv = 'vuln' THEN true ELSE false END FROM e),

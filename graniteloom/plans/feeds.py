@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from graniteloom.operators import curation as C
 from graniteloom.operators import feeds as V
+from graniteloom.operators.state import shared_dir
 from graniteloom.plans.tables import table
+from graniteloom.sources import paging
 
 LANGUAGES = {"en": "english", "de": "german", "fr": "french", "es": "spanish", "src1": "first source"}
 CUE = "(?i) (that|dass|que) "
@@ -136,10 +140,38 @@ def filter_two_keys(spark, sf_dir):
     return C.dedup_first(one, ["key"], ["doc_id"]).select("doc_id", "id")
 
 
+def paged_feed(spark, sf_dir):
+    """Documents as pages of a feed of 200 items, read back page by page: their entries and lengths by page and language."""
+    base = f"{shared_dir(spark)}/feeds/{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    paging.write_pages(docs, F.struct("doc_id", "lang", "n_chars"), ["doc_id"], base)
+    spark.dataSource.register(paging.PagedFeed)
+    rows = spark.read.format("paged_feed").option("base", base).load().select("index", F.from_json("item", "doc_id long, lang string, n_chars long").alias("i"))
+    return rows.groupBy(F.expr("index div 200").alias("page"), "i.lang").agg(F.count(F.lit(1)).alias("n"), F.sum("i.n_chars").alias("chars"))
+
+
+def variant_versions(spark, sf_dir):
+    """Entries of one document of mixed versions and shapes: their scores and severities by version."""
+    n = F.col("n_chars")
+    score, severity = F.concat((n % 10).cast("string"), F.lit(".5")), F.when(n % 2 == 0, "HIGH").otherwise("LOW")
+
+    def metric(name, inside):
+        data = F.concat(F.lit('{"baseScore": '), score, F.when(F.lit(inside), F.concat(F.lit(', "baseSeverity": "'), severity, F.lit('"}'))).otherwise(F.concat(F.lit('}, "baseSeverity": "'), severity, F.lit('"'))))
+        return F.concat(F.lit(f'"metrics": {{"{name}": [{{"type": "Secondary", "cvssData": {{"baseScore": 9.9}}}}, {{"type": "Primary", "cvssData": '), data, F.lit("}]}"))
+
+    body = F.when(n % 5 == 0, metric("cvssMetricV40", True)).when(n % 5 == 1, metric("cvssMetricV31", True)).when(n % 5 == 2, metric("cvssMetricV30", True)).when(n % 5 == 3, metric("cvssMetricV2", False)).otherwise(F.concat(F.lit('"severity": "'), severity, F.lit('", "score": '), score))
+    entry = F.concat(F.lit('{"id": "D-'), F.col("doc_id"), F.lit('", '), body, F.lit("}"))
+    wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"cve": '), entry, F.lit("}"))).otherwise(entry)
+    many = table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("page"), wrapped.alias("entry")).groupBy("page").agg(F.array_join(F.collect_list("entry"), ", ").alias("e"))
+    document = F.when(F.col("page") % 3 == 0, F.concat(F.lit("["), "e", F.lit("]"))).when(F.col("page") % 3 == 1, F.concat(F.lit('{"data": ['), "e", F.lit("]}"))).otherwise(F.concat(F.lit('{"vulnerabilities": ['), "e", F.lit("]}")))
+    found = many.select(F.explode(V.entries(document)).alias("v")).select(V.entry_fields(F.col("v")).alias("f"))
+    return found.groupBy("f.version", "f.severity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("f.score"), 2).alias("total"), F.count_distinct("f.id").alias("ids"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        cvss_precedence, cpe_products, cve_text, feed_age, newest_first, score_stats, reason_sentence, prompt_text, lang_resolve, url_owner, ext_language, severity_fallback, union_sources,
+        cvss_precedence, cpe_products, cve_text, feed_age, newest_first, score_stats, reason_sentence, prompt_text, lang_resolve, url_owner, ext_language, severity_fallback, union_sources, paged_feed, variant_versions,
         total_order, filter_two_keys,
     )
 }
@@ -164,6 +196,9 @@ ORACLE = {
         c AS (SELECT *, list_filter(f, lambda x: regexp_matches(x, '(?i) (that|dass|que) '))[1] AS c FROM s)
         SELECT doc_id, CASE WHEN c IS NOT NULL THEN 'causal' WHEN len(f) > 0 THEN 'plain' ELSE 'cut' END AS tier, md5(coalesce(c, f[1], left(text, 400))) AS digest FROM c""",
     "prompt_text": """SELECT doc_id, md5('Is this code vulnerable?' || chr(10) || 'Language: ' || coalesce(lang, 'unknown') || chr(10) || '```' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10)) AS digest FROM documents""",
+    "paged_feed": "WITH p AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 200 AS page, lang, n_chars FROM documents) SELECT page, lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM p GROUP BY 1, 2",
+    "variant_versions": """WITH e AS (SELECT doc_id, CASE n_chars % 5 WHEN 0 THEN '4.0' WHEN 1 THEN '3.1' WHEN 2 THEN '3.0' WHEN 3 THEN '2.0' END AS version, CASE WHEN n_chars % 2 = 0 THEN 'HIGH' ELSE 'LOW' END AS severity, n_chars % 10 + CAST(0.5 AS DOUBLE) AS score FROM documents)
+        SELECT version, severity, count(*) AS n, round(sum(score), 2) AS total, count(DISTINCT doc_id) AS ids FROM e GROUP BY 1, 2""",
     "lang_resolve": f"""SELECT CASE WHEN n_chars % 3 = 0 THEN {TONGUE} WHEN n_chars % 3 = 1 THEN CASE WHEN source = 'src1' THEN 'first source' ELSE {TONGUE} END WHEN contains(source, 'src1') THEN 'first source' END AS language, count(*) AS n FROM documents GROUP BY 1""",
     "url_owner": """WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS p FROM pages) SELECT page_id, CASE WHEN len(p) > 2 AND p[2] <> '' AND p[3] <> '' THEN p[2] || '/' || p[3] END AS repo FROM p""",
     "ext_language": "SELECT ['python', 'javascript', 'java', 'other', 'python', 'other', 'python'][p_partkey % 7 + 1] AS language, count(*) AS n FROM part GROUP BY 1",

@@ -103,6 +103,15 @@ def sanitizer_join(spark, sf_dir):
     return U.sanitizing(elements, rules, "code", "category").groupBy("pattern", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def rule_index(spark, sf_dir):
+    """Pages that the rules of a table match: words of the benchmark are rules, as they are, with a gap, or at a word's begin."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("rule_id")).distinct()
+    kind, w = F.length("rule_id") % 3, F.col("rule_id")
+    pattern = F.when(kind == 0, w).when(kind == 1, F.concat(F.left(w, F.lit(4)), F.lit("[a-z]+"), F.right(w, F.lit(2)))).otherwise(F.concat(F.lit("(?:^|[^a-zA-Z])"), w))
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    return U.matches_of(pages, ["page_id"], "html", words.withColumn("pattern", pattern)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+
+
 def path_suffix(spark, sf_dir):
     """Paths of two kinds of report that mean one file: either is the end of the other."""
     parts = F.split(F.regexp_replace("url", "^https?://|[?#].*$", ""), "/")
@@ -130,7 +139,7 @@ def prefix_map_match(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        rule_valid, rule_ids, rule_merge, rule_conflicts, rule_compose, cache_override, overlay_update, local_packages, retry_fill, rule_args, sanitizer_join, path_suffix, hierarchy_accept,
+        rule_valid, rule_ids, rule_merge, rule_conflicts, rule_compose, cache_override, overlay_update, local_packages, retry_fill, rule_args, sanitizer_join, rule_index, path_suffix, hierarchy_accept,
         prefix_map_match,
     )
 }
@@ -157,6 +166,9 @@ ORACLE = {
     "rule_args": """WITH c AS (SELECT l_orderkey, list(l_returnflag || l_linestatus) AS a FROM lineitem GROUP BY 1), h AS (SELECT l_orderkey, unnest([CASE WHEN list_contains(a, 'RF') THEN 'a1' END, CASE WHEN len(list_filter(a, lambda x: ends_with(x, 'O'))) > 0 THEN 'a2' END, CASE WHEN len(a) = 4 THEN 'a3' END, CASE WHEN list_contains(a, 'N') THEN 'a4' END]) AS rule_id FROM c)
         SELECT rule_id, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS calls FROM h WHERE rule_id IS NOT NULL GROUP BY 1""",
     "sanitizer_join": "SELECT pattern, p_type AS category, count(*) AS n FROM part JOIN (VALUES ('^c', ['*']), ('widget', ['ECONOMY']), ('(small|large)', ['PROMO', 'LARGE']), ('gadget$', ['*'])) r(pattern, applies) ON (list_contains(applies, '*') OR list_contains(applies, p_type)) AND regexp_matches(p_name, pattern) GROUP BY 1, 2",
+    "rule_index": """WITH r AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{6,}')) AS rule_id FROM benchmark),
+        p AS (SELECT rule_id, CASE length(rule_id) % 3 WHEN 0 THEN rule_id WHEN 1 THEN left(rule_id, 4) || '[a-z]+' || right(rule_id, 2) ELSE '(?:^|[^a-zA-Z])' || rule_id END AS pattern FROM r)
+        SELECT rule_id, count(*) AS n, min(page_id) AS first FROM p JOIN pages ON regexp_matches(html, pattern) GROUP BY 1""",
     "path_suffix": """WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^https?://|[?#].*$', '', 'g'), '/') AS p FROM pages), o AS (SELECT page_id, p[1] || '/' || p[-1] AS a FROM p WHERE len(p) > 1), t AS (SELECT page_id AS other, CASE WHEN page_id % 3 = 0 THEN p[-1] ELSE 'repo/' || p[1] || '/' || p[-1] END AS b FROM p WHERE page_id % 2 = 0 AND len(p) > 1)
         SELECT page_id, count(*) AS n, min(other) AS first FROM o JOIN t ON ends_with('/' || a, '/' || b) OR ends_with('/' || b, '/' || a) GROUP BY 1""",
     "hierarchy_accept": """WITH l AS (SELECT l_partkey % 60 AS t, CAST(floor((l_partkey % 60 + CAST(l_quantity AS BIGINT) % 7) / CAST(1 + l_linenumber % 2 AS DOUBLE)) AS BIGINT) AS g FROM lineitem)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graniteloom.operators.feeds import entries
 from graniteloom.operators.rules import compiling
 
 SAMPLE = T.StructType(
@@ -44,6 +45,13 @@ def feed(spark: SparkSession, path: str, item: T.StructType) -> DataFrame:
     return text.select(F.inline(items))
 
 
+def variant_feed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, entry): the entries of the feed documents below a path as variants, so that files of several versions, and
+    entries of several shapes in one file, are one table; see feeds.entry_fields(). Documents that do not parse have none."""
+    text = spark.read.option("wholetext", True).text(path)
+    return text.select(F.input_file_name().alias("path"), F.explode(entries(F.col("value"))).alias("entry"))
+
+
 def csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with a header, quoted cells of several lines, doubled quotes."""
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
