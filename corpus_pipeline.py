@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graniteloom.llm import bpe, mixing, ngram_join, pii, rules
-from graniteloom.llm.common import documents, written
+from graniteloom.llm.common import Scratch, documents, forget, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,7 +71,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each in a scope of its own: of what a stage writes only its result stays, and that goes when the next
+    stage's is written."""
     docs = documents(spark, sf_dir)
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with Scratch(spark) as scratch:
+            made = scratch.keep(written(stage(spark, docs, sf_dir)))
+        forget(docs)
+        docs = made
     return STAGES[-1][1](spark, docs, sf_dir)
