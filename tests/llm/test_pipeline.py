@@ -1,9 +1,11 @@
 import hashlib
+import os
 
 import corpus_pipeline
 from graniteloom.llm import bpe, mixing, queries
 from graniteloom.llm.common import documents, written
 from graniteloom.llm.oracles import OP10
+from graniteloom.operators.state import shared_dir
 from tests.comparing import oracle
 from tests.llm import brute
 from tests.llm.test_llm import WORD, shingles
@@ -87,3 +89,12 @@ def test_stages_with_odd_rows_and_none(spark, sf_dir):
     assert len(ids) == 8 and sum(r["n_tokens"] == 0 for r in ids) == 2
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0, name
+
+
+def test_one_table_is_left(spark, sf_dir):
+    """After a run only what its result reads from is on the disk."""
+    tables = lambda: set(os.listdir(f"{shared_dir(spark).removeprefix('file://')}/tables"))
+    written(spark.range(1))
+    before = tables()
+    result = corpus_pipeline.run(spark, sf_dir)
+    assert len(tables() - before) == 1 and before <= tables() and result.count() > 0
