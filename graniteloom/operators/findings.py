@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,10 +83,60 @@ def retried(inputs: DataFrame, first: DataFrame, second: DataFrame, key: str) ->
     return inputs.join(found, key, "left").fillna(0, ["passes"])
 
 
-def ladder(text: Column, source: str, sink: str, sanitizer: str) -> Column:
-    """tainted, sanitized, source_only, sink_only or clean, by patterns of one language."""
-    s, k, z = text.rlike(source), text.rlike(sink), text.rlike(sanitizer)
-    return F.when(s & k & ~z, "tainted").when(s & k, "sanitized").when(k, "sink_only").when(s, "source_only").otherwise("clean")
+@dataclass(frozen=True)
+class Patterns:
+    """What a staged verdict looks for. Patterns are lists; any of a list is enough.
+
+    primitives: (category, weak, unless, context): a weak construct, not beside a strong one, is a finding where the context
+    (if there is one) matches too, else undecided. sources: by language. sinks: by category and language, in the order in
+    which categories are tried. cleaners: by category. needs: what a category's sinks ask for beside them. bound: (category,
+    keyword, concat): a keyword with a cleaner of the category and no concatenation is surely safe.
+    """
+
+    primitives: list[tuple[str, list[str], list[str], list[str]]] = field(default_factory=list)
+    sources: dict[str, list[str]] = field(default_factory=dict)
+    sinks: dict[str, dict[str, list[str]]] = field(default_factory=dict)
+    cleaners: dict[str, list[str]] = field(default_factory=dict)
+    needs: dict[str, list[str]] = field(default_factory=dict)
+    bound: tuple[str, list[str], list[str]] | None = None
+
+
+def staged_verdict(text: Column, language: Column, patterns: Patterns) -> Column:
+    """struct<verdict, category, strong>: vuln, safe or unknown, by the first stage that decides.
+
+    Primitives first, whatever the language's sources; then the bound query, which is strongly safe; then the categories in
+    order: a sink (with what its category needs) beside a cleaner of the category is strongly safe, beside a source vuln,
+    alone unknown. Nothing found is unknown, and so is a language without patterns. One projection.
+    """
+
+    def has(list_: list[str]) -> Column:
+        return text.rlike("|".join(f"(?:{p})" for p in list_)) if list_ else F.lit(False)
+
+    def by_language(lists: dict[str, list[str]]) -> Column:
+        out = F.lit(False)
+        for name, list_ in lists.items():
+            out = F.when(language == name, has(list_)).otherwise(out)
+        return out
+
+    def said(verdict: str, category: str, strong: bool = False) -> Column:
+        return F.struct(F.lit(verdict).alias("verdict"), F.lit(category).alias("category"), F.lit(strong).alias("strong"))
+
+    known = F.coalesce(language.isin(*{*patterns.sources, *(x for s in patterns.sinks.values() for x in s)}), F.lit(False))
+    stages = [(~known, said("unknown", "?"))]
+    for category, weak, unless, context in patterns.primitives:
+        here = has(weak) & ~has(unless)
+        stages.append((here, F.when(has(context), said("vuln", category)).otherwise(said("unknown", category)) if context else said("vuln", category)))
+    if patterns.bound:
+        category, keyword, concat = patterns.bound
+        stages.append((has(keyword) & ~has(concat) & has(patterns.cleaners.get(category, [])), said("safe", category, True)))
+    source = by_language(patterns.sources)
+    for category, sinks in patterns.sinks.items():
+        there = by_language(sinks) & (has(patterns.needs[category]) if category in patterns.needs else F.lit(True))
+        stages.append((there, F.when(has(patterns.cleaners.get(category, [])), said("safe", category, True)).when(source, said("vuln", category)).otherwise(said("unknown", category))))
+    out = said("unknown", "?")
+    for holds, verdict in reversed(stages):
+        out = F.when(holds, verdict).otherwise(out)
+    return out
 
 
 def three_valued(tainted: Column, overwritten: Column) -> Column:

@@ -250,16 +250,20 @@ def two_pass(spark, sf_dir):
     return D.retried(inputs.select("doc_id"), first, second, "doc_id").groupBy("how", "passes").agg(F.count(F.lit(1)).alias("n"))
 
 
-LADDERS = {"en": ("the", "tion", "shh"), "de": ("und", "zu", "ich"), "fr": ("que", "eux", "aux")}
+STAGED = D.Patterns(
+    primitives=[("weak", ["###"], ["[$]{3}"], ["%%%"]), ("secret", ["token ?= ?[A-Za-z0-9]{6,}"], [], [])],
+    sources={"en": [r"\bthe\b", "(?i)^of"], "de": ["und"], "fr": ["que"]},
+    sinks={"first": {"en": ["tion", "ing"], "de": ["zu"]}, "query": {"en": ["er"], "de": ["ver"], "fr": ["ment"]}, "last": {"fr": ["eux"]}},
+    cleaners={"first": ["shh", "ich"], "query": ["[0-9] ?[)]", "ble"]},
+    needs={"query": ["[0-9]"]},
+    bound=("query", ["[0-9]{2}"], ["@"]),
+)
 
 
 def multi_taint(spark, sf_dir):
-    """The verdict of each language's patterns; a language without any is unknown."""
-    text = F.coalesce("text", F.lit(""))
-    verdict = F.lit("unknown")
-    for language, (source, sink, sanitizer) in LADDERS.items():
-        verdict = F.when(F.col("lang") == language, D.ladder(text, source, sink, sanitizer)).otherwise(verdict)
-    return table(spark, sf_dir, "documents").groupBy("lang", verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
+    """The staged verdict on every document, its language's words being sources and sinks."""
+    rows = table(spark, sf_dir, "documents").select("lang", D.staged_verdict(F.coalesce("text", F.lit("")), F.col("lang"), STAGED).alias("v"))
+    return rows.groupBy("lang", "v.verdict", "v.category", "v.strong").agg(F.count(F.lit(1)).alias("n"))
 
 
 def decoy_verdict(spark, sf_dir):
@@ -373,8 +377,14 @@ ORACLE = {
     "query_dedup": f"{FOUND} SELECT file, status, line, l_orderkey, l_linenumber AS steps FROM f QUALIFY row_number() OVER (PARTITION BY file, status, line ORDER BY l_orderkey, l_linenumber) = 1",
     "advisory": f"""{FOUND} SELECT CASE WHEN weight > 25 THEN 'vuln' ELSE 'safe' END AS verdict, count(*) AS n, count(s_suppkey) AS advised, sum(round(s_acctbal, 0)) AS score FROM f LEFT JOIN supplier ON s_suppkey = file AND s_acctbal > 0 GROUP BY 1""",
     "two_pass": "SELECT CASE WHEN n_chars % 3 = 0 THEN 'raw' WHEN n_chars % 2 = 0 THEN 'wrapped' END AS how, CASE WHEN n_chars % 3 = 0 THEN 1 WHEN n_chars % 2 = 0 THEN 2 ELSE 0 END AS passes, count(*) AS n FROM documents GROUP BY 1, 2",
-    "multi_taint": """WITH p AS (SELECT * FROM (VALUES ('en', 'the', 'tion', 'shh'), ('de', 'und', 'zu', 'ich'), ('fr', 'que', 'eux', 'aux')) v(lang, a, b, c)), t AS (SELECT d.lang, contains(coalesce(text, ''), a) AS s, contains(coalesce(text, ''), b) AS k, contains(coalesce(text, ''), c) AS z FROM documents d LEFT JOIN p ON p.lang = d.lang)
-        SELECT lang, CASE WHEN s IS NULL THEN 'unknown' WHEN s AND k AND NOT z THEN 'tainted' WHEN s AND k THEN 'sanitized' WHEN k THEN 'sink_only' WHEN s THEN 'source_only' ELSE 'clean' END AS verdict, count(*) AS n FROM t GROUP BY 1, 2""",
+    "multi_taint": r"""WITH t AS (SELECT lang, coalesce(text, '') AS t FROM documents), f AS (SELECT lang, lang IN ('en', 'de', 'fr') AS known, regexp_matches(t, '###') AND NOT regexp_matches(t, '[$]{3}') AS weak, regexp_matches(t, '%%%') AS ctx, regexp_matches(t, 'token ?= ?[A-Za-z0-9]{6,}') AS secret,
+          regexp_matches(t, '[0-9]{2}') AND NOT regexp_matches(t, '@') AS bound, regexp_matches(t, '[0-9] ?[)]|ble') AS clean_q, regexp_matches(t, 'shh|ich') AS clean_f, regexp_matches(t, '[0-9]') AS digit,
+          CASE lang WHEN 'en' THEN regexp_matches(t, '\bthe\b|^[Oo][Ff]') WHEN 'de' THEN contains(t, 'und') WHEN 'fr' THEN contains(t, 'que') ELSE false END AS src,
+          CASE lang WHEN 'en' THEN regexp_matches(t, 'tion|ing') WHEN 'de' THEN contains(t, 'zu') ELSE false END AS sink_f, CASE lang WHEN 'en' THEN contains(t, 'er') WHEN 'de' THEN contains(t, 'ver') WHEN 'fr' THEN contains(t, 'ment') ELSE false END AS sink_q, lang = 'fr' AND contains(t, 'eux') AS sink_l FROM t),
+        v AS (SELECT lang, CASE WHEN NOT known THEN ('unknown', '?', false) WHEN weak AND ctx THEN ('vuln', 'weak', false) WHEN weak THEN ('unknown', 'weak', false) WHEN secret THEN ('vuln', 'secret', false) WHEN bound AND clean_q THEN ('safe', 'query', true)
+          WHEN sink_f AND clean_f THEN ('safe', 'first', true) WHEN sink_f AND src THEN ('vuln', 'first', false) WHEN sink_f THEN ('unknown', 'first', false) WHEN sink_q AND digit AND clean_q THEN ('safe', 'query', true) WHEN sink_q AND digit AND src THEN ('vuln', 'query', false)
+          WHEN sink_q AND digit THEN ('unknown', 'query', false) WHEN sink_l AND src THEN ('vuln', 'last', false) WHEN sink_l THEN ('unknown', 'last', false) ELSE ('unknown', '?', false) END AS v FROM f)
+        SELECT lang, v[1] AS verdict, v[2] AS category, v[3] AS strong, count(*) AS n FROM v GROUP BY 1, 2, 3, 4""",
     "decoy_verdict": """WITH e AS (SELECT CASE WHEN event_id % 5 > 0 THEN value > 100 END AS t, CASE WHEN event_id % 7 > 0 THEN event_type = 'error' END AS o FROM events), v AS (SELECT t AND NOT o AS live FROM e) SELECT CASE WHEN live THEN 'vuln' WHEN NOT live THEN 'safe' ELSE 'unknown' END AS verdict, count(*) AS n FROM v GROUP BY 1""",
     "context_attach": """WITH r AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 128 AS batch, c_custkey FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0) SELECT batch, CASE WHEN c_custkey IS NULL THEN 'missing' ELSE 'ok' END AS status, count(*) AS n FROM r GROUP BY 1, 2""",
     "budget_visible": """WITH l AS (SELECT doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),

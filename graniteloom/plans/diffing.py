@@ -64,8 +64,8 @@ def keyword_filter(spark, sf_dir):
 
 def identical_pair(spark, sf_dir):
     """Pairs whose sides differ after white space and case are normalised."""
-    after = F.when(F.col("doc_id") % 3 == 0, F.upper("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")))).otherwise(F.concat("text", F.lit(" x")))
-    rows = table(spark, sf_dir, "documents").where("text = regexp_replace(text, '[^ -~\\n]', '')").select("doc_id", C.content_key(F.col("text")).alias("a"), C.content_key(after).alias("b"))
+    after = F.when(F.col("doc_id") % 3 == 0, F.lower("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit(" "), F.replace("text", F.lit(" "), F.lit("  ")))).otherwise(F.concat("text", F.lit(" x")))
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", C.content_key(F.col("text")).alias("a"), C.content_key(after).alias("b"))
     return rows.groupBy((F.col("doc_id") % 3).alias("kind")).agg(F.count_if(F.col("a") == F.col("b")).alias("identical"), F.count_if(F.col("a") != F.col("b")).alias("kept"))
 
 
@@ -173,7 +173,7 @@ ORACLE = {
     "path_exclusion": "SELECT page_id % 5 AS kind, count(*) AS n FROM pages WHERE page_id % 5 IN (0, 3) AND page_id % 11 <> 0 GROUP BY 1",
     "noise_lines": f"{CHANGED} SELECT side, count(*) AS n, CAST(sum(length(body)) AS BIGINT) AS chars FROM c WHERE {TELLING} GROUP BY 1",
     "keyword_filter": "SELECT 'CWE-' || doc_id % 5 AS cwe, count(*) AS n FROM documents WHERE CASE doc_id % 5 WHEN 0 THEN contains(coalesce(text, ''), 'e') WHEN 1 THEN regexp_matches(coalesce(text, ''), '[0-9]') WHEN 2 THEN regexp_matches(coalesce(text, ''), '^[A-Z]') ELSE true END GROUP BY 1",
-    "identical_pair": r"""SELECT doc_id % 3 AS kind, count(*) FILTER (doc_id % 3 < 2) AS identical, count(*) FILTER (doc_id % 3 = 2) AS kept FROM documents WHERE text = regexp_replace(text, '[^ -~\n]', '', 'g') GROUP BY 1""",
+    "identical_pair": "SELECT doc_id % 3 AS kind, count(*) FILTER (doc_id % 3 < 2) AS identical, count(*) FILTER (doc_id % 3 = 2) AS kept FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "banned_string": "SELECT regexp_matches(regexp_replace(html, '(?s)<(?:script|style)>.*?</(?:script|style)>', ' ', 'g'), 'margin|track|e</a>') AS banned, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS pages FROM pages GROUP BY 1",
     "diff_findings": f"{CHANGED}, f AS (SELECT DISTINCT doc_id, cls, new_no FROM c JOIN (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in RULES) + f") r(cls, pattern) ON regexp_matches(body, pattern) WHERE side = '+' AND {TELLING}) SELECT doc_id, cls, string_agg(new_no, ',' ORDER BY new_no) AS lines FROM f GROUP BY 1, 2",
     "keyword_lines": f"""{CHANGED}, n AS (SELECT * FROM c WHERE new_no IS NOT NULL), b AS (SELECT doc_id, min_by(new_no, hunk * 1000000000 + new_no) AS start FROM n GROUP BY 1), w AS (SELECT * FROM (VALUES ('the'), ('und'), ('@')) v(word)),

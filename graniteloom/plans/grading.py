@@ -31,12 +31,13 @@ def instance_grade(spark, sf_dir):
 
 
 def castle_points(spark, sf_dir):
-    """Distinct lines reported for a file that hit its truth (a returned line of that number), those that do not, and
-    the points of both."""
-    rows = _lines(spark, sf_dir).where("l_linestatus = 'O'")
-    truth = _lines(spark, sf_dir).where("l_returnflag = 'R'").select("file", "line").distinct().withColumn("true", F.lit(True))
-    points = Q.rounded_points(rows.join(truth, ["file", "line"], "left"), "file", "line", F.col("true").isNotNull())
-    return points.withColumn("points", F.when(F.col("hits") > 0, 5).otherwise(0) - F.col("false_lines"))
+    """Points of orders as cases: two of three are vulnerable, their open lines are findings, their returned ones the truth;
+    a class is accepted with its half and its doubles."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case"), (F.col("l_partkey") % 12).alias("cls"), (F.col("l_partkey") % 9).alias("line"), "l_returnflag", "l_linestatus")
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case"), (F.col("o_orderkey") % 3 > 0).alias("vulnerable"), (F.col("o_custkey") % 12).alias("cls"))
+    accepted = rows.select("cls").distinct().select("cls", F.explode(F.array(F.expr("cls div 2"), F.col("cls") * 2, F.col("cls") * 2 + 1)).alias("ok"))
+    points = Q.case_points(cases, rows.where("l_linestatus = 'O' AND l_returnflag <> 'N'"), rows.where("l_returnflag = 'R' AND l_linestatus = 'F'"), accepted)
+    return points.groupBy("tp", "tn", "fn", "points").agg(F.count(F.lit(1)).alias("n"), F.sum("fp").alias("fp"))
 
 
 def unit_grade(spark, sf_dir):
@@ -51,6 +52,21 @@ def unit_grade(spark, sf_dir):
     return a.join(b, "cwe", "full").select("cwe", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "fn", "fp", "alerts_in")))
 
 
+def unit_summary(spark, sf_dir):
+    """Suppliers of a nation as files of a project: recall of projects, units found, and alerts of the project's class and of
+    others; alerts with little tax are sanitized."""
+    nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("project"))
+    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(nation), "l_suppkey")
+    unit = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = rows.select(unit.alias("unit"), "project", F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 12).alias("cwe"), (F.col("l_partkey") % 3000).alias("line"), "l_linenumber", "l_returnflag", "l_linestatus", "l_tax").dropDuplicates(["unit"])
+    groups = nation.select("project").distinct().withColumn("expected", F.col("project").cast("long") % 12)
+    own = rows.where("l_returnflag = 'R'").join(F.broadcast(groups), "project").where("cwe = expected")
+    units = own.select("unit", "project", "file", "cwe", F.col("line").alias("start"), (F.col("line") + F.col("l_linenumber")).alias("stop"))
+    alerts = rows.where("l_linestatus = 'O' AND l_tax > 0.02").select(F.col("unit").alias("alert"), "project", "file", "cwe", "line")
+    found, matched = Q.unit_grade(units, alerts, "file", "unit", "start", "stop", "line", "cwe", 16)
+    return _rounded(Q.group_summary(groups, found, matched, "project", "cwe"), "group_recall", "precision", "recall", "f1", "target_precision", "target_recall", "target_f1")
+
+
 def ambiguous_join(spark, sf_dir):
     """Findings by base name: no file of that name, one (strict), or several (lenient), and how many."""
     files = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 70).alias("base"))
@@ -185,23 +201,24 @@ def distinct_sets(spark, sf_dir):
 
 
 def critic_metrics(spark, sf_dir):
-    """Accuracy of a critic by source beside that of always saying one thing, disagreement inside pairs, and a verdict
-    that is withheld below ten pairs."""
+    """A critic's figures by source; low scores say YES, every thirteenth length does not parse."""
     rows = _judged(spark, sf_dir)
-    base = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("accuracy"), F.greatest(F.avg(F.col("gold").cast("double")), 1 - F.avg(F.col("gold").cast("double"))).alias("trivial"))
-    pairs = rows.groupBy("pair_id").agg(F.min("source").alias("source"), F.count(F.lit(1)).alias("k"), F.count_distinct("pred").alias("d")).where("k = 2")
-    split = pairs.groupBy("source").agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("d") == 2).cast("double")).alias("disagree"))
-    out = base.join(split, "source", "left").fillna(0, ["pairs"])
-    return _rounded(out.withColumn("status", Q.measured(F.col("accuracy"), F.col("pairs"))), "accuracy", "trivial", "disagree")
+    answer = F.when(F.col("n_chars") % 13 == 0, "UNPARSED").when(F.col("score") < 0.5, "YES").otherwise("NO")
+    out = Q.critic_report(rows.select("source", "pair_id", F.when(F.col("gold"), "vuln").otherwise("safe").alias("label"), answer.alias("answer")), "source", "pair_id", "label", "answer")
+    return _rounded(out, "accuracy", "always_no", "margin", "disagreement", "pair_correct", "yes_rate", "unparsed_rate")
 
 
 def precision_gate(spark, sf_dir):
-    """Precision of each source with its normal interval, and a verdict against a target."""
-    counts = E.with_rates(_judged(spark, sf_dir).groupBy("source").agg(*E.confusion_aggs(F.col("gold"), F.col("pred"))))
-    n = (F.col("tp") + F.col("fp")).cast("double")
-    half = 1.96 * F.sqrt(F.col("prec") * (1 - F.col("prec")) / n)
-    rows = counts.withColumns({"lo": F.round(F.col("prec") - half, 6), "hi": F.round(F.col("prec") + half, 6)})
-    return rows.select("source", F.round("prec", 6).alias("prec"), "lo", "hi", Q.gate(F.round("prec", 6), F.col("lo"), F.col("hi"), 0.55).alias("verdict"))
+    """Precision of an engine's findings in each source with its normal interval, two verdicts on it: against a target, and on
+    how the engine may be used. Every ninth length is unknown."""
+    rows = _judged(spark, sf_dir)
+    known = F.col("n_chars") % 9 > 0
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("all"), F.count_if(known & F.col("pred")).alias("n"), F.count_if(known & F.col("pred") & F.col("gold")).alias("tp"), F.count_if(~known).alias("unknown"))
+    counts = counts.withColumn("prec", E.ratio(F.col("tp"), F.col("n")))
+    half = 1.96 * F.sqrt(F.try_divide(F.col("prec") * (1 - F.col("prec")), F.col("n")))
+    rows = counts.withColumns({"lo": F.round(F.col("prec") - half, 6), "hi": F.round(F.col("prec") + half, 6), "prec": F.round("prec", 6), "unknown_rate": F.round(E.ratio(F.col("unknown"), F.col("all")), 6)})
+    use = Q.engine_gate(F.col("n"), F.col("prec"), F.col("lo"), F.col("unknown_rate"))
+    return rows.select("source", "n", "prec", "lo", "hi", "unknown_rate", Q.gate(F.col("prec"), F.col("lo"), F.col("hi"), 0.55).alias("verdict"), use.alias("use"))
 
 
 def arm_metrics(spark, sf_dir):
@@ -330,9 +347,9 @@ def token_difference(spark, sf_dir):
 
 
 def context_subset(spark, sf_dir):
-    """Lines of a document's first half that stand in its source's texts as a whole (every other line is changed)."""
+    """Lines of a document that stand in its source's texts as a whole (every other line is changed)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    context = docs.where("pos < 4").select("doc_id", "source", F.when(F.col("pos") % 2 == 0, F.col("line")).otherwise(F.concat("line", F.lit("!"))).alias("line"))
+    context = docs.select("doc_id", "source", F.when(F.col("pos") % 2 == 0, F.col("line")).otherwise(F.concat("line", F.lit("!"))).alias("line"))
     known = docs.select("source", "line").distinct().withColumn("known", F.lit(True))
     met = context.join(known, ["source", "line"], "left")
     return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count("known").alias("known"))
@@ -359,7 +376,7 @@ def ensemble_vote(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        instance_grade, castle_points, unit_grade, ambiguous_join, score_attach, adjacent_pairs, cohort_assign, time_prefix, hash_select, keyed_coin, half_split, proportional_fill,
+        instance_grade, castle_points, unit_grade, unit_summary, ambiguous_join, score_attach, adjacent_pairs, cohort_assign, time_prefix, hash_select, keyed_coin, half_split, proportional_fill,
         quota_backfill, upper_median, stop_on_first, accuracy_report, exact_class_f2, keyword_asymmetry, distinct_sets, critic_metrics, precision_gate, arm_metrics, engine_union,
         failure_cause, envelope, argmax_agreement, joint_cells, overlap_report, counterbalance, arm_matrix, suppression_count, budget_total, alias_hit, convention_sensitivity,
         fingerprint_persist, token_difference, context_subset, provenance, ensemble_vote,
@@ -380,12 +397,24 @@ ORACLE = {
         b AS (SELECT coalesce(t.cwe, f.cwe) AS cwe, t.file AS t, f.file AS f FROM t FULL JOIN f ON t.file = f.file AND t.method = f.method AND t.cwe = f.cwe),
         c AS (SELECT cwe, count(*) FILTER (t IS NOT NULL AND f IS NOT NULL) AS tp, count(*) FILTER (t IS NULL) AS fp, count(*) FILTER (f IS NULL) AS fn FROM b GROUP BY ROLLUP (cwe))
         SELECT coalesce(cwe, -1) AS cwe, tp, fp, fn, round({_share('tp', 'tp + fn')}, 6) AS recall, round({_share('tp', 'tp + fp')}, 6) AS prec, round({_share('2 * tp', '2 * tp + fp + fn')}, 6) AS f1 FROM c""",
-    "castle_points": f"""{LINES}, l AS (SELECT DISTINCT file, line FROM r WHERE l_linestatus = 'O'), t AS (SELECT DISTINCT file, line FROM r WHERE l_returnflag = 'R'), c AS (SELECT l.file, count(t.file) AS hits, count(*) - count(t.file) AS false_lines FROM l LEFT JOIN t ON t.file = l.file AND t.line = l.line GROUP BY 1)
-        SELECT *, CASE WHEN hits > 0 THEN 5 ELSE 0 END - false_lines AS points FROM c""",
+    "castle_points": """WITH f AS (SELECT DISTINCT l_orderkey AS c, l_partkey % 12 AS ok, l_partkey % 9 AS line FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag <> 'N'), t AS (SELECT DISTINCT l_orderkey AS c, l_partkey % 9 AS line FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
+        k AS (SELECT o_orderkey AS c, o_orderkey % 3 > 0 AS v, o_custkey % 12 AS cls FROM orders),
+        l AS (SELECT k.c, f.line, bool_or(t.c IS NOT NULL OR ok = cls OR ok = cls // 2 OR ok = 2 * cls OR ok = 2 * cls + 1) AS hit FROM f JOIN k ON k.c = f.c LEFT JOIN t ON t.c = f.c AND t.line = f.line GROUP BY 1, 2),
+        s AS (SELECT c, count(*) AS n, count(*) FILTER (hit) AS h FROM l GROUP BY 1), r AS (SELECT v, coalesce(n, 0) AS n, coalesce(h, 0) AS h FROM k LEFT JOIN s USING (c)),
+        e AS (SELECT CASE WHEN n = 0 AND v THEN (0, 0, 0, 1, 0) WHEN n = 0 THEN (0, 0, 1, 0, 2) WHEN NOT v THEN (0, n, 0, 0, -n) WHEN h > 0 THEN (1, n - h, 0, 0, 5 - (n - h)) ELSE (0, n, 0, 1, -n) END AS p FROM r)
+        SELECT CAST(p[1] AS BIGINT) AS tp, CAST(p[3] AS BIGINT) AS tn, CAST(p[4] AS BIGINT) AS fn, CAST(p[5] AS BIGINT) AS points, count(*) AS n, CAST(sum(p[2]) AS BIGINT) AS fp FROM e GROUP BY 1, 2, 3, 4""",
     "unit_grade": f"""{LINES}, u AS (SELECT l_orderkey || ':' || l_linenumber AS unit, file, cwe, line AS a, line + l_linenumber AS b FROM r WHERE l_returnflag = 'R'), k AS (SELECT l_orderkey || ':' || l_linenumber AS alert, file, cwe, line FROM r WHERE l_linestatus = 'O'),
         m AS (SELECT unit, alert FROM u JOIN k ON u.file = k.file AND u.cwe = k.cwe AND line BETWEEN a AND b), x AS (SELECT cwe, count(*) FILTER (unit IN (SELECT unit FROM m)) AS tp, count(*) FILTER (unit NOT IN (SELECT unit FROM m)) AS fn FROM u GROUP BY 1),
         y AS (SELECT cwe, count(*) FILTER (alert NOT IN (SELECT alert FROM m)) AS fp, count(*) FILTER (alert IN (SELECT alert FROM m)) AS alerts_in FROM k GROUP BY 1)
         SELECT coalesce(x.cwe, y.cwe) AS cwe, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, coalesce(fp, 0) AS fp, coalesce(alerts_in, 0) AS alerts_in FROM x FULL JOIN y ON x.cwe = y.cwe""",
+    "unit_summary": f"""WITH r AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) s_nationkey AS project, l_suppkey AS file, l_partkey % 12 AS cwe, l_partkey % 3000 AS line, l_linenumber, l_returnflag, l_linestatus, l_tax, s_nationkey % 12 AS expected FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+        u AS (SELECT row_number() OVER () AS unit, project, file, cwe, line AS a, line + l_linenumber AS b FROM r WHERE l_returnflag = 'R' AND cwe = expected), k AS (SELECT row_number() OVER () AS alert, project, file, cwe, line, cwe = expected AS own FROM r WHERE l_linestatus = 'O' AND l_tax > 0.02),
+        m AS (SELECT unit, alert FROM u JOIN k ON u.file = k.file AND u.cwe = k.cwe AND line BETWEEN a AND b), f AS (SELECT *, unit IN (SELECT unit FROM m) AS hit FROM u), g AS (SELECT *, alert IN (SELECT alert FROM m) AS hit FROM k),
+        c AS (SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier) AS groups, (SELECT count(DISTINCT project) FROM f WHERE hit) AS d, (SELECT count(*) FROM f WHERE hit) AS tp, (SELECT count(*) FROM f WHERE NOT hit) AS fn,
+          (SELECT count(*) FROM g WHERE own AND NOT hit) AS target_fp, (SELECT count(*) FROM g WHERE NOT own) AS unrelated, (SELECT count(*) FROM g) AS active),
+        x AS (SELECT *, target_fp + unrelated AS fp, {_share('d', 'groups')} AS gr, {_share('tp', '(tp + target_fp + unrelated)')} AS p, {_share('tp', '(tp + fn)')} AS q, {_share('tp', '(tp + target_fp)')} AS o FROM c)
+        SELECT groups, tp, fn, target_fp, unrelated, active, fp, round(gr, 6) AS group_recall, round(p, 6) AS precision, round(q, 6) AS recall, round(coalesce(2 * p * q / nullif(p + q, 0), 0), 6) AS f1,
+        round(o, 6) AS target_precision, round(q, 6) AS target_recall, round(coalesce(2 * o * q / nullif(o + q, 0), 0), 6) AS target_f1 FROM x""",
     "ambiguous_join": """WITH c AS (SELECT s_suppkey % 70 AS base, count(*) AS n, min(s_suppkey) AS file FROM supplier GROUP BY 1) SELECT CASE WHEN n IS NULL THEN 'unresolved' WHEN n = 1 THEN 'strict' ELSE 'lenient' END AS kind, count(*) AS n, CAST(sum(c.n) AS BIGINT) AS files, CAST(sum(file) AS BIGINT) AS first
         FROM orders LEFT JOIN c ON base = o_orderkey % 90 GROUP BY 1""",
     "score_attach": f"""WITH {SCORED} SELECT gold, count(*) FILTER (n_chars % 10 > 0) AS attached, count(*) FILTER (n_chars % 10 = 0) AS missed, CAST(0 AS BIGINT) AS repeated FROM scored GROUP BY 1""",
@@ -412,11 +441,16 @@ ORACLE = {
     "keyword_asymmetry": """WITH k AS (SELECT unnest(['the', 'und', 'que', '$$$', 'token']) AS word), r AS (SELECT word, avg(contains(coalesce(text, ''), word)::INT) FILTER (doc_id % 2 = 0) AS v, avg(contains(coalesce(text, ''), word)::INT) FILTER (doc_id % 2 = 1) AS s FROM k, documents GROUP BY 1)
         SELECT word, round(v, 6) AS vuln, round(s, 6) AS safe, word = (SELECT word FROM r ORDER BY abs(round(v - s, 9)) DESC, word DESC LIMIT 1) AS largest FROM r""",
     "distinct_sets": "SELECT c_nationkey, count(DISTINCT o_custkey) AS customers, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS priorities FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1",
-    "critic_metrics": f"""{J}, b AS (SELECT source, count(*) AS n, avg((g = p)::INT) AS a, greatest(avg(g::INT), 1 - avg(g::INT)) AS t FROM j GROUP BY 1), q AS (SELECT pair_id, min(source) AS source, count(DISTINCT p) AS d FROM j GROUP BY 1 HAVING count(*) = 2),
-        s AS (SELECT source, count(*) AS pairs, avg((d = 2)::INT) AS x FROM q GROUP BY 1)
-        SELECT source, n, round(a, 6) AS accuracy, round(t, 6) AS trivial, coalesce(pairs, 0) AS pairs, round(x, 6) AS disagree, CASE WHEN coalesce(pairs, 0) < 10 THEN 'UNMEASURED' WHEN a > 0.5 THEN 'PASS' ELSE 'FAIL' END AS status FROM b LEFT JOIN s USING (source)""",
-    "precision_gate": f"""{J}, c AS (SELECT source, count(*) FILTER (g AND p) AS tp, count(*) FILTER (p) AS n FROM j GROUP BY 1), k AS (SELECT source, {_share('tp', 'n')} AS q, n FROM c), h AS (SELECT source, round(q, 6) AS prec, round(q - 1.96 * sqrt(q * (1 - q) / n), 6) AS lo, round(q + 1.96 * sqrt(q * (1 - q) / n), 6) AS hi FROM k)
-        SELECT *, CASE WHEN lo > 0.55 THEN 'GO' WHEN hi < 0.55 THEN 'KILL' WHEN prec > 0.55 THEN 'WEAK' ELSE 'INCONCLUSIVE' END AS verdict FROM h""",
+    "critic_metrics": f"""{J}, a AS (SELECT source, pair_id, g, CASE WHEN n_chars % 13 = 0 THEN 'UNPARSED' WHEN score < CAST(0.5 AS DOUBLE) THEN 'YES' ELSE 'NO' END AS c FROM j),
+        s AS (SELECT source, count(*) AS n, count(*) FILTER (c <> 'UNPARSED') AS scored, count(*) FILTER (c = 'UNPARSED') AS unparsed, count(*) FILTER (c = 'YES') AS yes, count(*) FILTER (c = 'YES' AND NOT g OR c = 'NO' AND g) AS ok, count(*) FILTER (c <> 'UNPARSED' AND g) AS v FROM a GROUP BY 1),
+        q AS (SELECT source, pair_id, max(c) FILTER (g) AS v, max(c) FILTER (NOT g) AS s FROM a WHERE c <> 'UNPARSED' GROUP BY 1, 2), p AS (SELECT source, count(*) AS pairs, count(*) FILTER (v <> s) AS d, count(*) FILTER (v = 'NO' AND s = 'YES') AS b FROM q WHERE v IS NOT NULL AND s IS NOT NULL GROUP BY 1),
+        r AS (SELECT source, n, scored, unparsed, yes, coalesce(pairs, 0) AS pairs, {_share('ok', 'scored')} AS accuracy, {_share('s.v', 'scored')} AS always_no, {_share('d', 'pairs')} AS disagreement, {_share('b', 'pairs')} AS pair_correct, {_share('yes', 'scored')} AS yes_rate, {_share('unparsed', 'n')} AS unparsed_rate FROM s LEFT JOIN p USING (source))
+        SELECT source, n, scored, unparsed, yes, pairs, round(accuracy, 6) AS accuracy, round(always_no, 6) AS always_no, round(disagreement, 6) AS disagreement, round(pair_correct, 6) AS pair_correct, round(yes_rate, 6) AS yes_rate, round(unparsed_rate, 6) AS unparsed_rate, round(accuracy - always_no, 6) AS margin,
+        CASE WHEN pairs < 10 THEN 'UNMEASURED' WHEN disagreement > yes_rate THEN 'PASS' ELSE 'FAIL' END AS t3, round(accuracy - always_no, 4) >= CAST(0.15 AS DOUBLE) AND yes >= 5 AND round(unparsed_rate, 4) < CAST(0.20 AS DOUBLE) AS promising FROM r""",
+    "precision_gate": f"""{J}, c AS (SELECT source, count(*) AS a, count(*) FILTER (n_chars % 9 > 0 AND p) AS n, count(*) FILTER (n_chars % 9 > 0 AND p AND g) AS tp, count(*) FILTER (n_chars % 9 = 0) AS unk FROM j GROUP BY 1), k AS (SELECT source, n, {_share('tp', 'n')} AS q, {_share('unk', 'a')} AS unk FROM c),
+        h AS (SELECT source, n, round(q, 6) AS prec, round(q - 1.96 * sqrt(q * (1 - q) / nullif(n, 0)), 6) AS lo, round(q + 1.96 * sqrt(q * (1 - q) / nullif(n, 0)), 6) AS hi, round(unk, 6) AS unknown_rate FROM k)
+        SELECT *, CASE WHEN lo > 0.55 THEN 'GO' WHEN hi < 0.55 THEN 'KILL' WHEN prec > 0.55 THEN 'WEAK' ELSE 'INCONCLUSIVE' END AS verdict,
+        CASE WHEN n < 20 THEN 'INCONCLUSIVE' WHEN prec >= 0.60 AND lo >= 0.80 THEN 'TRUST_ENGINE' WHEN prec >= 0.60 THEN 'ENGINE_AS_SIGNAL' WHEN prec < 0.60 OR unknown_rate >= 0.916 THEN 'NO_BETTER' ELSE 'INCONCLUSIVE' END AS use FROM h""",
     "arm_metrics": f"""WITH r AS (SELECT o_totalprice % 10 < 3 AS t, o_custkey % 2 = 0 AS c, o_totalprice % 10 < 5 AS s1, o_custkey % 3 = 0 AS s2 FROM orders), e AS (SELECT 'S1' AS arm, t, c, s1 AS f FROM r UNION ALL SELECT 'S2', t, c, s2 FROM r UNION ALL SELECT 'C1', t, c, s1 OR s2 FROM r UNION ALL SELECT 'C2', t, c, s1 AND s2 FROM r)
         SELECT arm, round(avg(f::INT), 6) AS flag_rate, round({_share('count(*) FILTER (f AND t AND c)', 'count(*) FILTER (t AND c)')}, 6) AS recall_cross, round({_share('count(*) FILTER (f AND t AND NOT c)', 'count(*) FILTER (t AND NOT c)')}, 6) AS recall_single,
         count(*) FILTER (f AND NOT t) AS fp_files, round({_share('count(*) FILTER (f AND t)', 'count(*) FILTER (f)')}, 6) AS prec FROM e GROUP BY 1""",
@@ -445,7 +479,7 @@ ORACLE = {
     "token_difference": f"""WITH w AS (SELECT doc_id, list_distinct({TOKENS}) AS w FROM documents) SELECT a.doc_id // 2 AS pair, len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) AS only_a, len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) AS only_b
         FROM w a JOIN w b ON a.doc_id % 2 = 0 AND b.doc_id = a.doc_id + 1""",
     "context_subset": """WITH l AS (SELECT doc_id, source, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), k AS (SELECT DISTINCT source, line FROM l),
-        c AS (SELECT doc_id, source, CASE WHEN pos % 2 = 0 THEN line ELSE line || '!' END AS line FROM l WHERE pos < 4) SELECT doc_id, count(*) AS lines, count(k.line) AS known FROM c LEFT JOIN k ON k.source = c.source AND k.line = c.line GROUP BY 1""",
+        c AS (SELECT doc_id, source, CASE WHEN pos % 2 = 0 THEN line ELSE line || '!' END AS line FROM l) SELECT doc_id, count(*) AS lines, count(k.line) AS known FROM c LEFT JOIN k ON k.source = c.source AND k.line = c.line GROUP BY 1""",
     "provenance": f"""{LINES}, a AS (SELECT l_orderkey, l_linenumber, line FROM r WHERE l_returnflag = 'R'), g AS (SELECT a.l_orderkey, a.l_linenumber, min(abs(a.line - b.line)) AS gap FROM a LEFT JOIN r b ON b.l_orderkey = a.l_orderkey AND b.l_returnflag = 'A' GROUP BY 1, 2)
         SELECT CASE WHEN gap IS NULL THEN 'graph_only' WHEN gap <= 30 THEN 'overlap' ELSE 'ambiguous' END AS kind, count(*) AS n FROM g GROUP BY 1""",
     "ensemble_vote": f"""WITH {SCORED}, r AS (SELECT gold = 'vuln' AS g, score AS a, CASE WHEN n_chars % 6 > 0 THEN (n_chars % 100) / CAST(100 AS DOUBLE) END AS b FROM scored), e AS (SELECT 'or' AS rule, g, a >= CAST(0.6 AS DOUBLE) OR coalesce(b >= CAST(0.6 AS DOUBLE), false) AS p FROM r

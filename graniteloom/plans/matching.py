@@ -23,7 +23,7 @@ def fallback_join(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
     exact = lines.where("l_quantity > 45").groupBy(F.concat_ws(":", "l_partkey", "l_suppkey").alias("k")).agg(F.max("l_linenumber").alias("v"))
     wild = lines.groupBy(F.col("l_partkey").alias("w")).agg(F.min("l_linenumber").alias("v"))
-    keyed = lines.where("l_quantity < 3").select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", "l_suppkey").alias("k"), F.col("l_partkey").alias("w"))
+    keyed = lines.select("l_orderkey", "l_linenumber", F.concat_ws(":", "l_partkey", "l_suppkey").alias("k"), F.col("l_partkey").alias("w"))
     return J.first_of(keyed, exact, wild, "k", "w", "v").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -235,7 +235,7 @@ RULE_ROWS = ", ".join(f"('{i}', '{c}', '{m}', '{p}')" for i, c, m, p in RULES)
 ORACLE = {
     "hash_lookup": "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1",
     "fallback_join": """WITH e AS (SELECT l_partkey, l_suppkey, max(l_linenumber) AS v FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2), w AS (SELECT l_partkey, min(l_linenumber) AS v FROM lineitem GROUP BY 1)
-        SELECT coalesce(e.v, w.v) AS v, count(*) AS n FROM lineitem l LEFT JOIN e ON l.l_partkey = e.l_partkey AND l.l_suppkey = e.l_suppkey LEFT JOIN w ON l.l_partkey = w.l_partkey WHERE l_quantity < 3 GROUP BY 1""",
+        SELECT coalesce(e.v, w.v) AS v, count(*) AS n FROM lineitem l LEFT JOIN e ON l.l_partkey = e.l_partkey AND l.l_suppkey = e.l_suppkey LEFT JOIN w ON l.l_partkey = w.l_partkey GROUP BY 1""",
     "key_intersection": "SELECT count(*) AS n, CAST(sum(k) AS BIGINT) AS keys FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')",
     "semi_allowlist": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 40) GROUP BY 1",
     "resume_anti": "SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
