@@ -79,13 +79,15 @@ def rule_findings(changed: DataFrame, key: list[str], rules: list[tuple[str, str
     return each.groupBy(*key, "cls").agg(F.array_sort(F.collect_list("new_no")).alias("lines"))
 
 
-def keyword_lines(changed: DataFrame, key: list[str], words: list[str]) -> DataFrame:
-    """key, word and line of each word: the first added line that holds it, else the first line of the first hunk."""
+def keyword_lines(changed: DataFrame, key: list[str], words: dict[str, list[str]]) -> DataFrame:
+    """key, cls, lines and fallback for each class: all added lines (rising) that hold one of its words in any case, else the
+    first line of the first hunk alone. Diffs without a line on the new side are left out."""
     new = changed.where("new_no IS NOT NULL")
-    start = new.groupBy(*key).agg(F.min(F.struct("hunk", "new_no"))["new_no"].alias("_start"))
-    hits = [F.min(F.when((F.col("side") == "+") & F.contains("body", F.lit(w)), F.col("new_no"))).alias(f"w{i}") for i, w in enumerate(words)]
-    found = new.groupBy(*key).agg(*hits).join(start, key)
-    each = F.inline(F.array(*(F.struct(F.lit(w).alias("word"), F.coalesce(f"w{i}", "_start").alias("line"), F.col(f"w{i}").isNull().alias("fallback")) for i, w in enumerate(words))))
+    body = F.lower("body")
+    holds = {c: F.exists(F.array(*(F.lit(w.lower()) for w in list_)), lambda w: F.contains(body, w)) if list_ else F.lit(False) for c, list_ in words.items()}
+    lines = [F.array_sort(F.collect_list(F.when((F.col("side") == "+") & h, F.col("new_no")))).alias(f"w{i}") for i, h in enumerate(holds.values())]
+    found = new.groupBy(*key).agg(F.min(F.struct("hunk", "new_no"))["new_no"].alias("_start"), *lines)
+    each = F.inline(F.array(*(F.struct(F.lit(c).alias("cls"), F.when(F.size(f"w{i}") > 0, F.col(f"w{i}")).otherwise(F.array("_start")).alias("lines"), (F.size(f"w{i}") == 0).alias("fallback")) for i, c in enumerate(words))))
     return found.select(*key, each)
 
 

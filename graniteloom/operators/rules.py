@@ -41,9 +41,31 @@ def verdict(rules: DataFrame, allowed: DataFrame) -> DataFrame:
     return known.withColumn("verdict", found).drop("compiles", "_allowed")
 
 
-def rule_id(*parts: Column) -> Column:
-    """Sixteen digits of the SHA-256 of a rule's parts."""
-    return F.left(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), F.lit(16))
+#: Roles that a generated rule may enforce, and places of a call that a rule may speak of.
+ENFORCED, PLACES = ("sink", "source", "sanitizer", "propagator"), r"^(return|receiver|call|arg:[1-9][0-9]*)$"
+
+
+def rule_id(role: Column, cwe: Column, pattern: Column, endpoint: Column, prefix: str = "rule.") -> Column:
+    """A prefix and sixteen digits of the SHA-256 of role|cwe|pattern|endpoint; nulls are empty."""
+    parts = (F.coalesce(p.cast("string"), F.lit("")) for p in (role, cwe, pattern, endpoint))
+    return F.concat(F.lit(prefix), F.left(F.sha2(F.concat_ws("|", *parts), 256), F.lit(16)))
+
+
+def exact_pattern(name: Column) -> Column:
+    """The pattern of exactly one name: signs with a meaning in patterns, and white space, are quoted one by one."""
+    return F.concat(F.lit("^"), F.regexp_replace(name, r"([()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\f])", r"\\$1"), F.lit("$"))
+
+
+def identified(rules: DataFrame, prefix: str = "rule.") -> DataFrame:
+    """Generated rules (role, cwe, match, pattern, endpoint, full_name, internal, resolved, confidence, rule_id) with their id,
+    kept if they have one, and `enforce`: whether their call is resolved, their pattern is exactly its full name (matched as
+    such: `full`, or `internal_parameter` for an internal parameter), their confidence is high and their role may be. Rules
+    whose endpoint is no place of a call are left out."""
+    exact = F.col("full_name").isNotNull() & (F.col("pattern") == exact_pattern(F.col("full_name")))
+    matched = F.when(F.col("match") == "internal_parameter", F.col("internal") & exact).otherwise((F.col("match") == "full") & exact)
+    sure = F.col("resolved") & matched & (F.lower("confidence") == "high") & F.col("role").isin(*ENFORCED)
+    made = rule_id(F.col("role"), F.col("cwe"), F.col("pattern"), F.col("endpoint"), prefix)
+    return rules.where(F.col("endpoint").rlike(PLACES)).withColumns({"rule_id": F.coalesce(F.nullif("rule_id", F.lit("")), made), "enforce": F.coalesce(sure, F.lit(False))})
 
 
 def merged(sets: list[tuple[str, DataFrame]], key: list[str]) -> DataFrame:

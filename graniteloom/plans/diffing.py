@@ -10,7 +10,7 @@ from graniteloom.operators import diffs as X
 from graniteloom.plans.tables import table
 
 RULES = [("CWE-1", "(?i)th"), ("CWE-2", "[0-9]{3}"), ("CWE-3", "[@#$]")]
-WORDS = ["the", "und", "@"]
+WORDS = {"articles": ["The", "und", "la"], "addresses": ["@"], "none": []}
 PATTERNS = [("CWE-0", "e"), ("CWE-1", "[0-9]"), ("CWE-2", "^[A-Z]")]
 
 
@@ -82,7 +82,9 @@ def diff_findings(spark, sf_dir):
 
 
 def keyword_lines(spark, sf_dir):
-    return X.keyword_lines(_changed(spark, sf_dir), ["doc_id"], WORDS)
+    """Lines of each class's words, in any case, or the first line of the first hunk."""
+    found = X.keyword_lines(_changed(spark, sf_dir), ["doc_id"], WORDS)
+    return found.select("doc_id", "cls", F.size("lines").alias("n"), F.md5(F.array_join(F.col("lines").cast("array<string>"), ",")).alias("lines"), "fallback")
 
 
 def caller_window(spark, sf_dir):
@@ -176,8 +178,9 @@ ORACLE = {
     "identical_pair": "SELECT doc_id % 3 AS kind, count(*) FILTER (doc_id % 3 < 2) AS identical, count(*) FILTER (doc_id % 3 = 2) AS kept FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "banned_string": "SELECT regexp_matches(regexp_replace(html, '(?s)<(?:script|style)>.*?</(?:script|style)>', ' ', 'g'), 'margin|track|e</a>') AS banned, count(*) AS n, CAST(sum(page_id) AS BIGINT) AS pages FROM pages GROUP BY 1",
     "diff_findings": f"{CHANGED}, f AS (SELECT DISTINCT doc_id, cls, new_no FROM c JOIN (VALUES " + ", ".join(f"('{c}', '{p}')" for c, p in RULES) + f") r(cls, pattern) ON regexp_matches(body, pattern) WHERE side = '+' AND {TELLING}) SELECT doc_id, cls, string_agg(new_no, ',' ORDER BY new_no) AS lines FROM f GROUP BY 1, 2",
-    "keyword_lines": f"""{CHANGED}, n AS (SELECT * FROM c WHERE new_no IS NOT NULL), b AS (SELECT doc_id, min_by(new_no, hunk * 1000000000 + new_no) AS start FROM n GROUP BY 1), w AS (SELECT * FROM (VALUES ('the'), ('und'), ('@')) v(word)),
-        f AS (SELECT doc_id, word, min(new_no) AS line FROM n JOIN w ON contains(body, word) WHERE side = '+' GROUP BY 1, 2) SELECT b.doc_id, w.word, coalesce(line, start) AS line, line IS NULL AS fallback FROM b CROSS JOIN w LEFT JOIN f ON f.doc_id = b.doc_id AND f.word = w.word""",
+    "keyword_lines": f"""{CHANGED}, n AS (SELECT * FROM c WHERE new_no IS NOT NULL), b AS (SELECT doc_id, min_by(new_no, hunk * 1000000000 + new_no) AS start FROM n GROUP BY 1), k AS (SELECT * FROM (VALUES ('articles', 'the|und|la'), ('addresses', '@'), ('none', NULL)) v(cls, words)),
+        f AS (SELECT doc_id, cls, list(new_no ORDER BY new_no) AS l FROM n JOIN k ON regexp_matches(lower(body), words) WHERE side = '+' GROUP BY 1, 2), r AS (SELECT b.doc_id, k.cls, coalesce(l, [start]) AS l, l IS NULL AS fallback FROM b CROSS JOIN k LEFT JOIN f ON f.doc_id = b.doc_id AND f.cls = k.cls)
+        SELECT doc_id, cls, CAST(len(l) AS INTEGER) AS n, md5(array_to_string(l, ',')) AS lines, fallback FROM r""",
     "caller_window": f"""WITH l AS (SELECT doc_id, {SPLIT} AS l FROM documents), a AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(x, '[0-9]')), true) AS line FROM l)
         SELECT doc_id, line, md5(array_to_string(l[greatest(1, line - 2) : line + 2], '|')) AS digest FROM a WHERE line > 0""",
     "path_sample": """WITH p AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS p FROM orders GROUP BY 1)

@@ -30,9 +30,15 @@ def rule_valid(spark, sf_dir):
 
 
 def rule_ids(spark, sf_dir):
-    """Each rule's id from its parts, and whether it may be enforced: valid and sure enough."""
-    judged = U.verdict(_rules(spark, sf_dir), _allowed(spark, sf_dir))
-    return judged.select("id", U.rule_id(F.col("role"), F.col("match"), F.col("pattern"), F.col("cwe")).alias("rule_id"), ((F.col("verdict") == "valid") & (F.col("confidence") >= 0.6)).alias("enforce"))
+    """Valid rules with their ids, and whether they may be enforced: those whose pattern is exactly their call's full name."""
+    judged = U.verdict(_rules(spark, sf_dir), _allowed(spark, sf_dir)).where("verdict = 'valid'")
+    k = F.col("id")
+    name = F.regexp_replace(F.trim("pattern"), " ", ".")
+    exact = judged.withColumns({
+        "full_name": F.when(k % 7 > 0, name), "pattern": F.when(k % 2 == 0, U.exact_pattern(name)).otherwise(F.col("pattern")), "internal": k % 4 == 0, "resolved": k % 5 > 0, "confidence": F.when(F.col("confidence") >= 0.3, "High").otherwise("low"),
+        "endpoint": F.when(k % 9 == 0, "arg:0").when(k % 9 < 5, "return").otherwise(F.concat(F.lit("arg:"), k % 9)), "rule_id": F.when(k % 10 == 0, F.concat(F.lit("own."), k)),
+    })
+    return U.identified(exact, "made.").select("id", "rule_id", "enforce")
 
 
 def _sets(spark, sf_dir):
@@ -148,7 +154,9 @@ R = """WITH r AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'sink
     CASE WHEN p_size % 4 = 0 THEN 'name' WHEN p_size % 4 = 1 THEN 'full' WHEN p_size % 20 = 2 THEN 'odd' ELSE 'code' END AS match, p_name || CASE WHEN p_partkey % 11 = 0 THEN '(' WHEN p_partkey % 13 = 0 THEN ' a/b' ELSE '' END AS pattern,
     p_type AS category, 'CWE-' || p_partkey % 7 AS cwe, p_size / CAST(50 AS DOUBLE) AS confidence FROM part),
   v AS (SELECT *, CASE WHEN role = 'other' THEN 'role' WHEN match = 'odd' THEN 'match' WHEN contains(pattern, '(') THEN 'regex' WHEN contains(pattern, '/') THEN 'path' WHEN cwe = 'CWE-3' AND category <> 'ECONOMY' THEN 'category' ELSE 'valid' END AS verdict FROM r),
-  i AS (SELECT id, left(sha256(role || '|' || match || '|' || pattern || '|' || cwe), 16) AS rule_id, verdict = 'valid' AND confidence >= CAST(0.6 AS DOUBLE) AS enforce FROM v),
+  q AS (SELECT id, role, match, cwe, confidence, replace(trim(pattern), ' ', '.') AS name, CASE WHEN id % 2 = 0 THEN '^' || replace(replace(trim(pattern), ' ', '.'), '.', '\\.') || '$' ELSE pattern END AS pattern, CASE WHEN id % 9 < 5 THEN 'return' ELSE 'arg:' || id % 9 END AS endpoint FROM v WHERE verdict = 'valid' AND id % 9 > 0),
+  i AS (SELECT id, CASE WHEN id % 10 = 0 THEN 'own.' || id ELSE 'made.' || left(sha256(role || '|' || cwe || '|' || pattern || '|' || endpoint), 16) END AS rule_id,
+    id % 7 > 0 AND id % 2 = 0 AND id % 5 > 0 AND match = 'full' AND confidence >= CAST(0.3 AS DOUBLE) AND role IN ('sink', 'source', 'sanitizer') AS enforce FROM q),
   m AS (SELECT match, pattern, arg_min(role, (id % 2, role)) AS role, CASE WHEN min(id % 2) = max(id % 2) THEN CASE WHEN min(id % 2) = 0 THEN 'hand' ELSE 'generated' END ELSE 'hand+generated' END AS merged_from, count(DISTINCT role) AS n_roles FROM r GROUP BY 1, 2)"""
 
 ORACLE = {

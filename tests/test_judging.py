@@ -1,11 +1,13 @@
 """Results worked out by hand for judging: pairs, intervals, combined rules, envelopes, policies, names and paths."""
 
+import hashlib
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from graniteloom.operators import diffs, evaluation, feeds, findings, grading
+from graniteloom.operators import diffs, evaluation, feeds, findings, grading, rules
 
 
 def test_combined_rules(spark):
@@ -72,3 +74,83 @@ def test_languages_and_paths(spark):
     assert [r[0] for r in got] == [None, "python", None, "java", "python", "js", None]
     steps = spark.range(1).select(diffs.evenly(F.sequence(F.lit(0), F.lit(11))), diffs.evenly(F.sequence(F.lit(0), F.lit(9))), diffs.evenly(F.sequence(F.lit(0), F.lit(5)), 3)).first()
     assert steps[0] == [0, 1, 2, 4, 5, 6, 7, 9, 10, 11] and steps[1] == list(range(10)) and steps[2] == [0, 2, 5]
+
+
+def test_points_of_cases(spark):
+    """A hit by line, by class, by a class accepted for it; further lines; missed, safe and silent cases."""
+    cases = [(1, True, 79), (2, True, 79), (3, True, 79), (4, True, 79), (5, False, 79), (6, False, 79), (7, True, 79), (8, True, None)]
+    findings = [(1, 10, 5), (1, 11, 5), (1, 11, 6), (2, 50, 79), (3, 50, 80), (4, 50, 5), (4, 51, 5), (5, 1, 79), (5, 1, 80), (5, 2, 1), (1, None, 79), (8, 3, None)]
+    frames = (
+        spark.createDataFrame(cases, "case long, vulnerable boolean, cls long"), spark.createDataFrame(findings, "case long, line long, cls long"),
+        spark.createDataFrame([(1, 10), (4, 10), (9, 1)], "case long, line long"), spark.createDataFrame([(79, 80), (80, 79)], "cls long, ok long"),
+    )
+    got = {r["case"]: tuple(r)[1:] for r in grading.case_points(*frames).collect()}
+    assert got == {1: (1, 1, 0, 0, 4), 2: (1, 0, 0, 0, 5), 3: (1, 0, 0, 0, 5), 4: (0, 2, 0, 1, -2), 5: (0, 2, 0, 0, -2), 6: (0, 0, 1, 0, 2), 7: (0, 0, 0, 1, 0), 8: (1, 0, 0, 0, 5)}
+
+
+def test_summary_of_groups(spark):
+    groups = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3)], "project string, expected int")
+    found = spark.createDataFrame([("p", True), ("p", False), ("q", False)], "project string, found boolean")
+    alerts = spark.createDataFrame([("p", 1, True), ("p", 1, False), ("p", 9, True), ("q", 2, False), ("r", None, False)], "project string, cwe int, matched boolean")
+    row = grading.group_summary(groups, found, alerts, "project", "cwe").first().asDict()
+    assert {k: row[k] for k in ("groups", "tp", "fn", "target_fp", "unrelated", "active", "fp")} == {"groups": 3, "tp": 1, "fn": 2, "target_fp": 2, "unrelated": 2, "active": 5, "fp": 4}
+    assert [row[k] for k in ("group_recall", "precision", "recall", "target_precision", "f1", "target_f1")] == pytest.approx([1 / 3, 1 / 5, 1 / 3, 1 / 3, 0.25, 1 / 3])
+
+
+def test_critic_and_gate(spark):
+    rows = [("a", i, label, answer) for i in range(12) for label, answer in (("vuln", "NO"), ("safe", "YES" if i < 8 else "NO"))] + [("a", 90, "vuln", "UNPARSED"), ("a", 90, "safe", None), ("b", 1, "vuln", "YES")]
+    got = {r["source"]: r.asDict() for r in grading.critic_report(spark.createDataFrame(rows, "source string, pair long, label string, answer string"), "source", "pair", "label", "answer").collect()}
+    a, b = got["a"], got["b"]
+    assert (a["n"], a["scored"], a["unparsed"], a["yes"], a["pairs"], a["t3"], a["promising"]) == (26, 24, 2, 8, 12, "PASS", True)
+    assert [a[k] for k in ("accuracy", "always_no", "margin", "disagreement", "yes_rate")] == pytest.approx([20 / 24, 0.5, 20 / 24 - 0.5, 8 / 12, 8 / 24])
+    assert (b["pairs"], b["t3"], b["promising"], b["accuracy"]) == (0, "UNMEASURED", False, 0.0)
+    cases = [(19, 0.9, 0.9, 0.0, "INCONCLUSIVE"), (20, 0.9, 0.8, 0.0, "TRUST_ENGINE"), (20, 0.6, 0.79, 0.99, "ENGINE_AS_SIGNAL"), (20, 0.59, 0.9, 0.0, "NO_BETTER")]
+    gates = spark.createDataFrame(cases, "n long, p double, lo double, u double, want string")
+    assert gates.where(grading.engine_gate(F.col("n"), F.col("p"), F.col("lo"), F.col("u")) == F.col("want")).count() == 4
+
+
+STAGES = findings.Patterns(
+    primitives=[("hash", ["md5"], ["bcrypt"], ["(?i)password"]), ("secret", ["key='[a-z]{6,}'"], ["getenv"], [])],
+    sources={"py": ["input"], "go": ["Param"]},
+    sinks={"cmd": {"py": ["system"]}, "sql": {"py": ["execute"], "go": ["Query"]}},
+    cleaners={"cmd": ["quote"], "sql": ["[?]"]},
+    needs={"sql": ["SELECT"]},
+    bound=("sql", ["SELECT"], ["[+]"]),
+)
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "want"),
+    [
+        ("py", "md5(Password)", ("vuln", "hash", False)), ("py", "md5(x)", ("unknown", "hash", False)), ("py", "md5 bcrypt password", ("unknown", "?", False)), ("py", "key='abcdef'", ("vuln", "secret", False)), ("py", "key='abcdef' getenv", ("unknown", "?", False)),
+        ("py", "SELECT ? system input", ("safe", "sql", True)), ("py", "SELECT ? + system input", ("vuln", "cmd", False)), ("py", "system quote input", ("safe", "cmd", True)), ("py", "system", ("unknown", "cmd", False)), ("py", "execute input", ("unknown", "?", False)),
+        ("go", "Query SELECT Param", ("vuln", "sql", False)), ("go", "system Param", ("unknown", "?", False)), ("cobol", "md5 password", ("unknown", "?", False)), (None, "md5 password", ("unknown", "?", False)),
+    ],
+)
+def test_stages_of_a_verdict(spark, language, text, want):
+    row = spark.range(1).select(findings.staged_verdict(F.lit(text), F.lit(language).cast("string"), STAGES).alias("v")).first()
+    assert tuple(row["v"]) == want
+
+
+def test_identity_of_generated_rules(spark):
+    """The digest of sink|CWE-78|^a\\.b$|arg:1 was worked out apart."""
+    exact = r"^a\.b$"
+    rows = [
+        (1, "sink", "CWE-78", "full", exact, "arg:1", "a.b", False, True, "HIGH", None), (2, "sink", "CWE-78", "name", exact, "arg:1", "a.b", False, True, "high", None), (3, "source", None, "internal_parameter", exact, "return", "a.b", True, True, "high", "own"),
+        (4, "sink", "CWE-78", "full", exact, "arg:0", "a.b", False, True, "high", None), (5, "other", "CWE-78", "full", exact, "call", "a.b", False, True, "high", ""), (6, "sink", "CWE-78", "full", "a.b", "receiver", "a.b", False, True, "high", None), (7, "sink", "CWE-78", "full", exact, "call", None, False, True, "high", None),
+    ]
+    table = spark.createDataFrame(rows, "id long, role string, cwe string, match string, pattern string, endpoint string, full_name string, internal boolean, resolved boolean, confidence string, rule_id string")
+    got = {r["id"]: (r["rule_id"], r["enforce"]) for r in rules.identified(table).collect()}
+    digest = hashlib.sha256(f"sink|CWE-78|{exact}|arg:1".encode()).hexdigest()[:16]
+    assert got[1] == (f"rule.{digest}", True) == (got[2][0], True) and not got[2][1] and got[3] == ("own", True) and 4 not in got
+    assert [got[i][1] for i in (5, 6, 7)] == [False] * 3 and got[5][0].startswith("rule.")
+    names = ["java.lang.String.<init>:void(int[],char)", "a b-c", "x$y_1", "é"]
+    quoted = spark.createDataFrame([(n,) for n in names], "n string").select(rules.exact_pattern(F.col("n"))).collect()
+    assert [r[0] for r in quoted] == ["^" + re.escape(n) + "$" for n in names]
+
+
+def test_lines_of_words(spark):
+    lines = ["@@ -1,2 +5,3 @@", " ctx", "+uses Pickle.Loads(x)", "-pickle.loads(y)", "+none", "@@ -9,1 +20,2 @@", "+READOBJECT", "+x"]
+    changed = diffs.numbered(spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "key string, pos int, line string"), ["key"], "pos", "line")
+    got = diffs.keyword_lines(changed, ["key"], {"deser": ["pickle.loads", "readobject"], "xxe": ["sax"], "none": []}).collect()
+    assert [tuple(r) for r in got] == [("d", "deser", [6, 20], False), ("d", "xxe", [5], True), ("d", "none", [5], True)]
