@@ -31,6 +31,8 @@ CAPACITY, END, PART, ROUNDS = 4096, 1, 8192, 8
 SLICE_CHARS, WORDS = 4 << 20, 400_000
 #: What the vocabulary's tokens have at the end of a word.
 WORD_END = "</w>"
+#: Letters below this have small forms that are letters; ASCII signs that end a string behind such a letter.
+LATIN, SIGNS = "\u0250", "([a-z\u00df-\u00f6\u00f8-\u00ff])" + r"([!-/:-@\[-`{-~]+)(\s|$)"
 
 
 class WordIds:
@@ -66,17 +68,17 @@ class WordIds:
         if len(new):
             asked = [words[i] for i in new.tolist()]
             # One word of letters ends where its only word end is, so such words are asked for together.
-            plain = np.fromiter((w.isascii() and w.isalpha() for w in asked), dtype=bool, count=len(asked))
-            asked = [asked[i] for i in np.argsort(~plain, kind="stable").tolist()]
-            new = new[np.argsort(~plain, kind="stable")]
-            k = int(plain.sum())
-            together = self._ask([" ".join(asked[at : min(k, at + 256)]) for at in range(0, k, 256)])
-            stops = np.flatnonzero(self.ends_word[together[0]]) + 1
-            if len(stops) != k:
-                raise ValueError("the vocabulary does not mark the ends of words")
+            plain = np.fromiter((w.isalpha() and (w.isascii() or (max(w) < LATIN and w.lower().isalpha())) for w in asked), dtype=bool, count=len(asked))
+            order = np.argsort(~plain, kind="stable")
+            asked, new, k = [asked[i] for i in order.tolist()], new[order], int(plain.sum())
+            together, _ = self._ask([" ".join(asked[at : min(k, at + 256)]) for at in range(0, k, 256)])
+            stops = np.flatnonzero(self.ends_word[together]) + 1
+            if len(stops) != k:  # a vocabulary that marks the ends of words in another way
+                together, lengths = self._ask(asked[:k])
+                stops = np.cumsum(lengths)
             alone = self._ask(asked[k:])
             lengths = np.concatenate([np.diff(stops, prepend=0), alone[1]])
-            flat = np.concatenate([together[0], alone[0]])
+            flat = np.concatenate([together, alone[0]])
             found[new] = np.arange(len(self.lengths), len(self.lengths) + len(new))
             self.slots.update(zip(asked, found[new].tolist(), strict=True))
             self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
@@ -91,7 +93,10 @@ class WordIds:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, each text's followed by the end id; and the number of each text."""
-        lists = pc.ascii_split_whitespace(texts)
+        # Signs behind a letter at a string's end are words of their own, and capitals are made small anyway; set apart and
+        # small, far fewer strings are distinct. Texts that may name special tokens stay as they are.
+        simple = pc.replace_substring_regex(pc.ascii_lower(texts), SIGNS, r"\1 \2\3")
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, simple))
         coded = lists.flatten().dictionary_encode()
         slots = self.slots_of(coded.dictionary.to_pylist())
         ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))

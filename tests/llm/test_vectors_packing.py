@@ -154,7 +154,7 @@ def test_pieces_are_the_librarys(spark):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(packing.vocabulary_path())
-    texts = [*EDGE, "It's 2,500 é́ x y z İstanbul ΣΑΣ", "a<|endoftext|>b <|startoftext|>", "\x1c\x85 tab\tline\r\n", "x" * 9000, "\U0001f600 don't ＡＢ ﬁ", " ́ lead"]
+    texts = [*EDGE, "It's 2,500 é́ x y z İstanbul ΣΑΣ", "a<|endoftext|>b <|startoftext|>", "\x1c\x85 tab\tline\r\n", "x" * 9000, "<|ENDOFTEXT|>, A<|endoftext|>,", "e\u0301, e, \u0301, É. İ, I\u0307. x\u0338< y<\u0338", "don't, it'S. 'll' we'll'", "a.. b!?) C, d,e, f_ g; ª. ß, ÿ] ĳ, ǅ. ſ,", "\U0001f600 don't ＡＢ ﬁ", " ́ lead"]
     table = docs(spark, texts).withColumn("piece", F.lit("clash")).withColumn("key", F.lit(1))
     got = {}
     for r in packing.pieces(table, table.columns, packing.vocabulary_path(), capacity=64).collect():
