@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graniteloom.operators.curation import rank_within
+
+
+def _first(rows: DataFrame, key: list[str], order: list[Column | str], count: str) -> DataFrame:
+    """The first row of each key in an order (the other columns settle ties), and the number of its rows: a minimum with
+    partial aggregation, so a key with very many rows is no task of its own."""
+    rest = [c for c in rows.columns if c not in key]
+    places = [(F.col(o) if isinstance(o, str) else o).alias(f"_{i}") for i, o in enumerate([*order, *rest])]
+    found = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*places)).alias("_row"), F.count(F.lit(1)).alias(count))
+    return found.select(*(F.col(c) if c in key else F.col("_row")[c].alias(c) for c in rows.columns), count)
+
 
 def dedupe(findings: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
-    """One finding a key, with n_duplicates and uid (0, 1, ... by key within the first key column)."""
-    part = Window.partitionBy(*key)
-    ranked = findings.withColumn("_at", F.row_number().over(part.orderBy(*order))).withColumn("n_duplicates", F.count(F.lit(1)).over(part) - 1)
-    return ranked.where("_at = 1").drop("_at").withColumn("uid", F.row_number().over(Window.partitionBy(key[0]).orderBy(*key[1:])) - 1)
+    """One finding a key, with n_duplicates and uid (0, 1, ... by key within the first key column). The order is rising."""
+    one = _first(findings, key, order, "_n").withColumn("n_duplicates", F.col("_n") - 1).drop("_n")
+    return rank_within(one, key[0], key[1:], "uid").withColumn("uid", F.col("uid") - 1)
 
 
 def merge(findings: DataFrame, key: list[str], engine: str, rank: str, accepted: Column) -> DataFrame:
@@ -24,18 +34,29 @@ def merge(findings: DataFrame, key: list[str], engine: str, rank: str, accepted:
 
 
 def best_per_file(findings: DataFrame, file: str, order: list[Column | str]) -> DataFrame:
-    """The first finding of each file in the order of its evidence, with n_findings."""
-    part = Window.partitionBy(file)
-    ranked = findings.withColumn("_at", F.row_number().over(part.orderBy(*order))).withColumn("n_findings", F.count(F.lit(1)).over(part))
-    return ranked.where("_at = 1").drop("_at")
-
-
-def criticised(verdict: Column, confidence: Column, basis: Column, line: Column, reason: Column, window: int = 6) -> Column:
-    """What a critic makes of a finding: REMOVED for a false verdict of high confidence on a line that was shown to it,
-    with a reason; UNCERTAIN for a false verdict that lacks one of these; else KEPT."""
-    shown = basis.isNotNull() & (F.abs(basis - line) <= window)
-    sure = F.coalesce((confidence == "high") & shown & (F.length(F.trim(reason)) > 0), F.lit(False))
-    return F.when(F.coalesce(verdict != "FALSE", F.lit(True)), "KEPT").when(sure, "REMOVED").otherwise("UNCERTAIN")
+    """The first finding of each file in the (rising) order of its evidence, with n_findings."""
+    return _first(findings, [file], order, "n_findings")
+
+
+#: Fixed value: lines shown on either side of a finding's lines.
+SHOWN = 6
+
+
+def reviewed(verdict: Column, confidence: Column, basis: Column, lines: list[Column], reason: Column, evidence: Column, shown: int = SHOWN) -> Column:
+    """struct<verdict, original, suppressed> of a critic's verdict on a finding.
+
+    Findings whose evidence did not match what was to be sent, and those without a verdict, are UNJUDGED. A FALSE of high
+    confidence with a reason and a basis within the lines shown (around the finding's lines, from 1 on) suppresses the
+    finding; any other FALSE becomes UNCERTAIN, with FALSE as its original. Only suppressed findings go.
+    """
+    near = F.lit(False)
+    for line in lines:
+        near = near | F.coalesce((line > 0) & basis.between(F.greatest(F.lit(1), line - shown), line + shown), F.lit(False))
+    false = verdict == "FALSE"
+    grounded = F.coalesce(false & (F.lower(confidence) == "high") & near & (F.length(F.trim(reason)) > 0), F.lit(False))
+    judged = F.coalesce(evidence, F.lit(False)) & verdict.isNotNull()
+    said = F.when(~judged, "UNJUDGED").when(false & ~grounded, "UNCERTAIN").otherwise(verdict)
+    return F.struct(said.alias("verdict"), F.when(judged & false & ~grounded, "FALSE").alias("original"), (judged & grounded).alias("suppressed"))
 
 
 #: How an engine's verdict enters the result.

@@ -71,6 +71,10 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return every
 
 
+#: Edges of a node beyond which it is a hub.
+HUB = 1024
+
+
 def neighborhood(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int = 64, most_edges: int = 256) -> DataFrame:
     """(start, n_nodes, n_edges, truncated): the induced graph of the `most` nodes nearest each start (by hops, then
     node), with its first `most_edges` edges (a to b); truncated if either limit left something out.
@@ -93,7 +97,12 @@ def neighborhood(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int =
     ranked = seen.withColumn("_at", F.row_number().over(Window.partitionBy("start").orderBy("hops", "node")))
     nodes = cut(ranked.where(F.col("_at") <= most).select("start", "node"))
     total = seen.groupBy("start").agg(F.count(F.lit(1)).alias("_all"))
-    inner = nodes.withColumnRenamed("node", "a").join(plain, "a").join(nodes.withColumnRenamed("node", "b"), ["start", "b"])
+    # A node's edges meet the chosen ones; a hub with more edges than HUB meets the at most `most` nodes chosen beside it.
+    hubs = plain.groupBy("a").count().where(F.col("count") > HUB).select("a")
+    left, right = nodes.withColumnRenamed("node", "a"), nodes.withColumnRenamed("node", "b")
+    small = left.join(plain.join(hubs, "a", "left_anti"), "a").join(right, ["start", "b"]).select("start", "a", "b")
+    large = left.join(hubs, "a", "left_semi").join(right, "start").join(plain, ["a", "b"], "left_semi").select("start", "a", "b")
+    inner = small.unionByName(large)
     counted = nodes.groupBy("start").agg(F.count(F.lit(1)).alias("n_nodes")).join(inner.groupBy("start").agg(F.count(F.lit(1)).alias("_e")), "start", "left")
     e = F.coalesce("_e", F.lit(0))
     return counted.join(total, "start").select("start", "n_nodes", F.least(e, F.lit(most_edges)).alias("n_edges"), ((F.col("_all") > most) | (e > most_edges)).alias("truncated"))

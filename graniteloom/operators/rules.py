@@ -95,12 +95,23 @@ def overlaid(base: DataFrame, changes: DataFrame, key: str, columns: list[str])
     return out, changes.join(base.select(key), key, "left_anti")
 
 
-def without_local(names: DataFrame, name: str, packages: DataFrame, package: str) -> DataFrame:
-    """Names that lie in none of the packages: a name's own prefixes at its dots meet the packages by equality."""
+def local_names(names: DataFrame, name: str, packages: DataFrame, package: str) -> DataFrame:
+    """The distinct names that lie in one of the packages: a name's own prefixes before its dots meet the packages by
+    equality. A package itself lies in no package of its name."""
     parts = F.split(F.col(name), r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-    local = names.select(name, F.explode(prefixes).alias("_p")).join(packages.select(F.col(package).alias("_p")).distinct(), "_p").select(name).distinct()
-    return names.join(local, name, "left_anti")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    each = names.select(name).distinct().where(F.size(parts) > 1)
+    return each.select(name, F.explode(prefixes).alias("_p")).join(packages.select(F.col(package).alias("_p")).distinct(), "_p").select(name).distinct()
+
+
+def without_local(calls: DataFrame, id: str, name: str, packages: DataFrame, package: str) -> DataFrame:
+    """calls (a row for each full name of a call) without those whose every name is resolved and lies in one of the packages.
+    Names that are null, empty or begin with "<" are not resolved, and one of them keeps the call."""
+    resolved = F.coalesce((F.col(name) != "") & ~F.startswith(name, F.lit("<")), F.lit(False))
+    local = local_names(calls.where(resolved), name, packages, package).withColumn("_local", F.lit(True))
+    judged = calls.select(id, name, resolved.alias("_resolved")).join(local, name, "left")
+    gone = judged.groupBy(id).agg(F.bool_and(F.col("_resolved") & F.coalesce("_local", F.lit(False))).alias("_all")).where("_all").select(id)
+    return calls.join(gone, id, "left_anti")
 
 
 def latest_answers(answers: DataFrame, id: str, attempt: str, answer: str) -> DataFrame:

@@ -199,12 +199,13 @@ def tier(spark, sf_dir):
 
 
 def critic_filter(spark, sf_dir):
-    """Findings of each engine by what the critic makes of them."""
+    """Findings of each engine by what becomes of them under a critic."""
     f = _findings(spark, sf_dir)
-    verdict = F.when(F.col("weight") % 3 == 0, "FALSE").when(F.col("weight") % 3 == 1, "TRUE")
-    basis = F.when(F.col("weight") % 5 > 0, F.col("line") + F.col("weight") % 12)
-    made = D.criticised(verdict, F.when(F.col("weight") % 2 == 0, "high").otherwise("low"), basis, F.col("line"), F.when(F.col("weight") % 7 > 0, "not reachable").otherwise(" "))
-    return f.groupBy("engine", made.alias("critic")).agg(F.count(F.lit(1)).alias("n"))
+    w, line = F.col("weight"), F.col("line")
+    verdict = F.when(w % 4 == 0, "FALSE").when(w % 4 == 1, "TRUE").when(w % 4 == 2, "UNCERTAIN")
+    basis = F.when(w % 5 == 1, line + 38).when(w % 5 > 1, line + w % 12)
+    made = D.reviewed(verdict, F.when(w % 3 > 0, "High").otherwise("low"), basis, [line, F.when(F.col("l_linenumber") % 2 == 0, line + 40)], F.when(w % 7 > 0, "not reachable").otherwise(" "), w % 11 > 0)
+    return f.select("engine", made.alias("c")).groupBy("engine", "c.verdict", "c.original", "c.suppressed").agg(F.count(F.lit(1)).alias("n"))
 
 
 LANGUAGE_POLICIES = {"en": "TRUST_ENGINE", "de": "ENGINE_AS_SIGNAL", "fr": "ENGINE_AS_SIGNAL", "_default": "NO_BETTER"}
@@ -224,7 +225,7 @@ def policy_aggregate(spark, sf_dir):
 def evidence_rank(spark, sf_dir):
     """The best finding of each file by seven keys, and how many it has."""
     f = _findings(spark, sf_dir).withColumns({"critic": (F.col("weight") % 3).cast("int"), "kind": F.when(F.col("engine") == "graph", 0).when(F.col("engine") == "rules", 1).otherwise(2)})
-    order = ["critic", "kind", F.size("path"), F.desc("weight"), "status", "line", "l_orderkey"]
+    order = ["critic", "kind", F.size("path"), -F.col("weight"), "status", "line", "l_orderkey"]
     return D.best_per_file(f, "file", order).select("file", "line", "engine", "weight", "n_findings")
 
 
@@ -365,7 +366,9 @@ ORACLE = {
     "template_expand": """WITH t AS (SELECT i AS template, i % 5 AS cwe, CASE WHEN i % 3 = 0 THEN 'java' ELSE 'python' END AS lang FROM range(36) r(i)), m AS (SELECT o_orderkey, lang, template, row_number() OVER (PARTITION BY o_orderkey, lang ORDER BY md5(o_orderkey || ':' || template)) AS r FROM orders JOIN t ON t.cwe = o_custkey % 6)
         SELECT o_orderkey, lang, template FROM m WHERE r = 1 ORDER BY o_orderkey, lang LIMIT 200""",
     "tier": f"{FOUND} SELECT CASE WHEN line = file % 120 THEN 'exact' WHEN file % 120 > line AND (file % 120 - line) % 2 = 0 AND (file % 120 - line) // 2 <= l_linenumber THEN 'path_hit' WHEN abs(line - file % 120) <= 5 THEN 'near' ELSE 'miss' END AS tier, count(*) AS n FROM f GROUP BY 1",
-    "critic_filter": f"""{FOUND} SELECT engine, CASE WHEN weight % 3 <> 0 THEN 'KEPT' WHEN weight % 2 = 0 AND weight % 5 > 0 AND weight % 12 <= 6 AND weight % 7 > 0 THEN 'REMOVED' ELSE 'UNCERTAIN' END AS critic, count(*) AS n FROM f GROUP BY 1, 2""",
+    "critic_filter": f"""{FOUND}, v AS (SELECT engine, CASE weight % 4 WHEN 0 THEN 'FALSE' WHEN 1 THEN 'TRUE' WHEN 2 THEN 'UNCERTAIN' END AS v, weight % 11 > 0 AS ok, CASE weight % 5 WHEN 0 THEN NULL WHEN 1 THEN line + 38 ELSE line + weight % 12 END AS basis, line, CASE WHEN l_linenumber % 2 = 0 THEN line + 40 END AS source_line, weight FROM f),
+        g AS (SELECT *, coalesce(v = 'FALSE' AND weight % 3 > 0 AND weight % 7 > 0 AND (coalesce(line > 0 AND basis >= greatest(1, line - 6) AND basis <= line + 6, false) OR coalesce(basis >= greatest(1, source_line - 6) AND basis <= source_line + 6, false)), false) AS grounded FROM v)
+        SELECT engine, CASE WHEN NOT ok OR v IS NULL THEN 'UNJUDGED' WHEN v = 'FALSE' AND NOT grounded THEN 'UNCERTAIN' ELSE v END AS verdict, CASE WHEN ok AND v = 'FALSE' AND NOT grounded THEN 'FALSE' END AS original, ok AND grounded AS suppressed, count(*) AS n FROM g GROUP BY 1, 2, 3, 4""",
     "policy_aggregate": """WITH d AS (SELECT CASE lang WHEN 'en' THEN 'TRUST_ENGINE' WHEN 'de' THEN 'ENGINE_AS_SIGNAL' WHEN 'fr' THEN 'ENGINE_AS_SIGNAL' ELSE 'NO_BETTER' END AS policy, n_chars % 5 = 0 AS llm, CASE WHEN n_chars % 4 > 0 THEN (n_chars % 100) / CAST(100 AS DOUBLE) END AS score,
           n_chars % 7 <> 1 AS ran, n_chars % 7 = 0 AS hit, doc_id % 6 = 0 AS graph FROM documents),
         trust AS (SELECT policy, hit OR llm OR graph AS detected, CASE WHEN hit THEN 'engine' WHEN llm THEN 'llm' WHEN graph THEN 'graph' ELSE 'llm' END AS source, CASE WHEN ran THEN 'DONE' ELSE 'PARTIAL' END AS status, score, false AS policy_fallback FROM d WHERE policy = 'TRUST_ENGINE'),

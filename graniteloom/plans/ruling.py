@@ -83,11 +83,12 @@ def overlay_update(spark, sf_dir):
 
 
 def local_packages(spark, sf_dir):
-    """Names outside of the packages of the repository itself."""
-    name = F.concat_ws(".", F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit(".")), F.concat(F.lit("m"), F.col("p_size")))
-    rows = table(spark, sf_dir, "part").select(name.alias("name"))
-    packages = table(spark, sf_dir, "part").where("p_size > 45").select(F.concat_ws(".", F.lower("p_type"), F.regexp_extract("p_name", "^[a-z]+", 0)).alias("package")).distinct().where("package < 'm'")
-    return U.without_local(rows, "name", packages, "package").groupBy(F.regexp_extract("name", "^[a-z]+", 0).alias("top")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"))
+    """Calls (three parts each, whose names are the full names) that are not all of the repository's own packages."""
+    k = F.col("p_partkey")
+    name = F.when(k % 17 == 0, "<unresolved>").when(k % 19 == 0, "").otherwise(F.concat_ws(".", F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit(".")), F.concat(F.lit("m"), F.col("p_size"))))
+    calls = table(spark, sf_dir, "part").select(F.expr("p_partkey div 3").alias("call"), name.alias("name"))
+    packages = table(spark, sf_dir, "part").where("p_size > 45").select(F.concat_ws(".", F.lower("p_type"), F.regexp_extract("p_name", "^[a-z]+", 0)).alias("package")).distinct().where("package < 'q'")
+    return U.without_local(calls, "call", "name", packages, "package").groupBy("call").agg(F.count(F.lit(1)).alias("names"))
 
 
 def retry_fill(spark, sf_dir):
@@ -168,8 +169,9 @@ ORACLE = {
     "cache_override": f"{R}, o AS (SELECT id, CASE WHEN id % 5 = 1 THEN 'sink' ELSE role END AS role FROM r WHERE id % 5 <> 0) SELECT role, count(*) AS n, CAST(sum(id) AS BIGINT) AS ids FROM o GROUP BY 1",
     "overlay_update": """WITH c AS (SELECT s_suppkey * 37 AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'CHANGED' END AS seg, round(s_acctbal, 2) AS bal FROM supplier), o AS (SELECT coalesce(seg, c_mktsegment) AS c_mktsegment, coalesce(bal, round(c_acctbal, 2)) AS b FROM customer LEFT JOIN c ON k = c_custkey)
         SELECT c_mktsegment, count(*) AS n, round(sum(b), 2) AS total FROM o GROUP BY 1 UNION ALL SELECT 'unknown', count(*), round(sum(bal), 2) FROM c WHERE k NOT IN (SELECT c_custkey FROM customer)""",
-    "local_packages": """WITH n AS (SELECT lower(p_type) || '.' || replace(p_name, ' ', '.') || '.m' || p_size AS name FROM part), p AS (SELECT DISTINCT lower(p_type) || '.' || regexp_extract(p_name, '^[a-z]+') AS package FROM part WHERE p_size > 45)
-        SELECT regexp_extract(name, '^[a-z]+') AS top, count(*) AS n, count(DISTINCT name) AS names FROM n WHERE NOT EXISTS (SELECT 1 FROM p WHERE package < 'm' AND (name = package OR starts_with(name, package || '.'))) GROUP BY 1""",
+    "local_packages": """WITH n AS (SELECT p_partkey // 3 AS call, CASE WHEN p_partkey % 17 = 0 THEN '<unresolved>' WHEN p_partkey % 19 = 0 THEN '' ELSE lower(p_type) || '.' || replace(p_name, ' ', '.') || '.m' || p_size END AS name FROM part),
+        p AS (SELECT DISTINCT lower(p_type) || '.' || regexp_extract(p_name, '^[a-z]+') AS package FROM part WHERE p_size > 45 AND package < 'q'), l AS (SELECT call, name <> '' AND NOT starts_with(name, '<') AND EXISTS (SELECT 1 FROM p WHERE starts_with(name, package || '.')) AS own FROM n)
+        SELECT call, count(*) AS names FROM l GROUP BY 1 HAVING NOT bool_and(own)""",
     "retry_fill": "WITH c AS (SELECT conv_id, turn, CASE WHEN (length(text) + conv_id) % 3 = 0 THEN md5(text) END AS a FROM conversations) SELECT conv_id, max_by(a, turn) FILTER (a IS NOT NULL) AS answer, count(a) = 0 AS missing FROM c GROUP BY 1",
     "rule_args": """WITH c AS (SELECT l_orderkey, list(l_returnflag || l_linestatus) AS a FROM lineitem GROUP BY 1), h AS (SELECT l_orderkey, unnest([CASE WHEN list_contains(a, 'RF') THEN 'a1' END, CASE WHEN len(list_filter(a, lambda x: ends_with(x, 'O'))) > 0 THEN 'a2' END, CASE WHEN len(a) = 4 THEN 'a3' END, CASE WHEN list_contains(a, 'N') THEN 'a4' END]) AS rule_id FROM c)
         SELECT rule_id, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS calls FROM h WHERE rule_id IS NOT NULL GROUP BY 1""",

@@ -154,3 +154,31 @@ def test_lines_of_words(spark):
     changed = diffs.numbered(spark.createDataFrame([("d", i, x) for i, x in enumerate(lines)], "key string, pos int, line string"), ["key"], "pos", "line")
     got = diffs.keyword_lines(changed, ["key"], {"deser": ["pickle.loads", "readobject"], "xxe": ["sax"], "none": []}).collect()
     assert [tuple(r) for r in got] == [("d", "deser", [6, 20], False), ("d", "xxe", [5], True), ("d", "none", [5], True)]
+
+
+REVIEWS = [
+    (("FALSE", "HIGH", 15, 10, None, "dead code", True), ("FALSE", None, True)),
+    (("FALSE", "high", 17, 10, None, "dead code", True), ("UNCERTAIN", "FALSE", False)),
+    (("FALSE", "high", 34, 10, 40, "dead code", True), ("FALSE", None, True)),
+    (("FALSE", "high", 15, 10, None, " ", True), ("UNCERTAIN", "FALSE", False)),
+    (("FALSE", "low", 15, 10, None, "dead code", True), ("UNCERTAIN", "FALSE", False)),
+    (("FALSE", "high", None, 10, None, "dead code", True), ("UNCERTAIN", "FALSE", False)),
+    (("FALSE", "high", 0, 3, None, "before the first line", True), ("UNCERTAIN", "FALSE", False)),
+    (("FALSE", "high", 15, 10, None, "dead code", False), ("UNJUDGED", None, False)),
+    (("TRUE", "low", None, 10, None, None, True), ("TRUE", None, False)),
+    ((None, None, None, 10, None, None, True), ("UNJUDGED", None, False)),
+]
+
+
+def test_reviews(spark):
+    rows = spark.createDataFrame([(i, *r) for i, (r, _) in enumerate(REVIEWS)], "i int, v string, c string, basis int, line int, source_line int, reason string, ok boolean")
+    made = findings.reviewed(F.col("v"), F.col("c"), F.col("basis"), [F.col("line"), F.col("source_line")], F.col("reason"), F.col("ok"))
+    assert [tuple(r["m"]) for r in rows.select("i", made.alias("m")).orderBy("i").collect()] == [w for _, w in REVIEWS]
+
+
+def test_calls_of_own_packages(spark):
+    """A package's own name is not inside of it; one name that is not resolved keeps its call."""
+    calls = [(1, "a.b.C"), (1, "a.b.c.D"), (2, "a.b.C"), (2, "<unresolved>"), (3, "a.b"), (4, "a.bc.D"), (5, "a.b.C"), (5, "x.Y"), (6, ""), (7, None), (8, "D"), (9, "x.z.W")]
+    packages = spark.createDataFrame([("a.b",), ("x.z",)], "package string")
+    kept = rules.without_local(spark.createDataFrame(calls, "call int, name string"), "call", "name", packages, "package")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([c for c in calls if c[0] not in (1, 9)], key=str)

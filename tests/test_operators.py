@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -76,3 +77,13 @@ def test_knn_order(spark):
     points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.6, 0.8])], "id int, vector array<double>")
     got = R.knn(spark.createDataFrame([(0, [1.0, 0.0])], "id int, vector array<double>"), points, 2).orderBy("rank").collect()
     assert [(r["id"], round(r["sim"], 6)) for r in got] == [(1, 1.0), (3, 0.6)]
+
+
+def test_hubs_count_the_same(spark, monkeypatch):
+    """A node of many edges meets the chosen nodes instead of all its neighbours."""
+    r = random.Random(2)
+    edges = spark.createDataFrame(sorted({("h", f"n{i:03d}") for i in range(120)} | {(f"n{r.randrange(120):03d}", f"n{r.randrange(120):03d}") for _ in range(300)}), "a string, b string")
+    starts = spark.createDataFrame([("h",), ("n001",), ("n050",), ("alone",)], "node string")
+    plain = sorted(map(tuple, G.neighborhood(starts, edges, 2, 20, 30).collect()))
+    monkeypatch.setattr(G, "HUB", 3)
+    assert sorted(map(tuple, G.neighborhood(starts, edges, 2, 20, 30).collect())) == plain and len(plain) == 4
