@@ -138,9 +138,12 @@ def _poisson(*keys: Column, seed: int) -> Column:
 
 
 def resampled(units: DataFrame, unit: str, replicates: int, seed: int = 42) -> DataFrame:
-    """units (one row a unit) with rep and w > 0: how often each replicate draws the unit."""
-    each = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return each.withColumn("w", _poisson(F.col("rep").cast("string"), F.col(unit).cast("string"), seed=seed)).where("w > 0")
+    """units (one row a unit) with rep and w: how often each replicate draws the unit, 0 included. A filter on w would be
+    moved before its projection and compute the hash once for each step of the distribution, so sums take the zeros."""
+    # Few units make many rows: they are dealt out before, or adaptive execution would leave them to one task.
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = units.repartition(parts, unit).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    return each.withColumn("w", _poisson(F.col("rep").cast("string"), F.col(unit).cast("string"), seed=seed))
 
 
 def bootstrap_counts(rows: DataFrame, group: str, replicates: int, preds: tuple[str, ...] = ("pred",), seed: int = 42) -> DataFrame:

@@ -28,7 +28,7 @@ def resolve(starts: DataFrame, edges: DataFrame, sources: DataFrame, depth: int
     first = F.min(F.struct(_precedence(F.col("kind")), "kind"))["kind"]
     known = sources.groupBy(F.col("node").alias("here")).agg(first.alias("kind"))
     up = edges.groupBy(F.col("node").alias("here")).agg(F.min(F.struct(_precedence(F.col("kind")).alias("p"), "up"))["up"].alias("up"))
-    step_of = known.join(up, "here", "full")
+    step_of = cut(known.join(up, "here", "full"))
     ways = _recursive(
         spark,
         f"""WITH RECURSIVE way(id, at, path, steps) AS (
@@ -66,7 +66,7 @@ def reach(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
           UNION ALL SELECT DISTINCT start, b, hops + 1 FROM way JOIN {{edges}} ON node = a WHERE hops < {int(depth)})
         SELECT start, node, min(hops) AS hops FROM way GROUP BY start, node""",
         starts=starts.select("node").distinct(),
-        edges=edges.select("a", "b"),
+        edges=cut(edges.select("a", "b").distinct()),
     )
     return every
 
@@ -98,11 +98,14 @@ def neighborhood(starts: DataFrame, edges: DataFrame, hops: int = 2, most: int =
     nodes = cut(ranked.where(F.col("_at") <= most).select("start", "node"))
     total = seen.groupBy("start").agg(F.count(F.lit(1)).alias("_all"))
     # A node's edges meet the chosen ones; a hub with more edges than HUB meets the at most `most` nodes chosen beside it.
-    hubs = plain.groupBy("a").count().where(F.col("count") > HUB).select("a")
+    hubs = cut(plain.groupBy("a").count().where(F.col("count") > HUB).select("a"))
     left, right = nodes.withColumnRenamed("node", "a"), nodes.withColumnRenamed("node", "b")
-    small = left.join(plain.join(hubs, "a", "left_anti"), "a").join(right, ["start", "b"]).select("start", "a", "b")
-    large = left.join(hubs, "a", "left_semi").join(right, "start").join(plain, ["a", "b"], "left_semi").select("start", "a", "b")
-    inner = small.unionByName(large)
+    if hubs.isEmpty():
+        inner = left.join(plain, "a").join(right, ["start", "b"]).select("start", "a", "b")
+    else:
+        small = left.join(plain.join(hubs, "a", "left_anti"), "a").join(right, ["start", "b"]).select("start", "a", "b")
+        large = left.join(hubs, "a", "left_semi").join(right, "start").join(plain, ["a", "b"], "left_semi").select("start", "a", "b")
+        inner = small.unionByName(large)
     counted = nodes.groupBy("start").agg(F.count(F.lit(1)).alias("n_nodes")).join(inner.groupBy("start").agg(F.count(F.lit(1)).alias("_e")), "start", "left")
     e = F.coalesce("_e", F.lit(0))
     return counted.join(total, "start").select("start", "n_nodes", F.least(e, F.lit(most_edges)).alias("n_edges"), ((F.col("_all") > most) | (e > most_edges)).alias("truncated"))

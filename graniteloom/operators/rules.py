@@ -191,7 +191,7 @@ def _literals(patterns: pd.Series) -> pd.Series:
 def matches_of(rows: DataFrame, keep: list[str], text: str, rules: DataFrame, id: str = "rule_id", pattern: str = "pattern") -> DataFrame:
     """keep and rule_id of the rules whose pattern is found in a row's text, for many rules from a table.
 
-    A rule with a sure literal has one key, the gram of it that fewest texts hold; texts meet rules by that key, and only
+    A rule with a sure literal has one key, the gram of it that fewest rules hold; texts meet rules by that key, and only
     those that hold the whole literal are tried with the pattern. Rules without one are tried on every text. Patterns that
     do not compile and null texts match nothing. Rules are broadcast up to RULE_BYTES.
     """
@@ -199,11 +199,11 @@ def matches_of(rows: DataFrame, keep: list[str], text: str, rules: DataFrame, id
     size = known.agg(F.coalesce(F.sum(F.length("_pattern") + 64), F.lit(0))).first()[0]
     sent = F.broadcast if size <= RULE_BYTES else (lambda d: d)
     choices = known.where("_literal IS NOT NULL").select("_rule", F.explode(_grams(F.col("_literal"))).alias("_gram"))
-    wanted = choices.agg(F.coalesce(F.collect_set("_gram"), F.array().cast("array<string>")).alias("_wanted"))
-    texts = rows.where(F.col(text).isNotNull()).join(F.broadcast(wanted)).withColumn("_hits", F.array_intersect(_grams(F.col(text)), "_wanted")).drop("_wanted")
-    held = texts.select(F.explode("_hits").alias("_gram")).groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
-    key = choices.join(held, "_gram", "left").groupBy("_rule").agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"))
+    held = choices.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
+    key = choices.join(held, "_gram").groupBy("_rule").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
     indexed = cut(known.join(key, "_rule"))
+    wanted = indexed.agg(F.coalesce(F.collect_set("_gram"), F.array().cast("array<string>")).alias("_wanted"))
+    texts = rows.where(F.col(text).isNotNull()).join(F.broadcast(wanted)).withColumn("_hits", F.array_intersect(_grams(F.col(text)), "_wanted")).drop("_wanted")
     met = texts.withColumn("_gram", F.explode("_hits")).join(sent(indexed), "_gram").where(F.contains(text, "_literal") & F.expr(f"`{text}` rlike _pattern"))
     rest = rows.join(sent(known.where("_literal IS NULL").select("_rule", "_pattern")), F.expr(f"`{text}` rlike _pattern"))
     both = met.select(*keep, "_rule").unionByName(rest.select(*keep, "_rule"))
