@@ -57,8 +57,8 @@ def unit_summary(spark, sf_dir):
     others; alerts with little tax are sanitized."""
     nation = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("project"))
     rows = table(spark, sf_dir, "lineitem").join(F.broadcast(nation), "l_suppkey")
-    unit = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    rows = rows.select(unit.alias("unit"), "project", F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 12).alias("cwe"), (F.col("l_partkey") % 3000).alias("line"), "l_linenumber", "l_returnflag", "l_linestatus", "l_tax").dropDuplicates(["unit"])
+    unit = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_tax")
+    rows = rows.select(unit.alias("unit"), "project", F.col("l_suppkey").alias("file"), (F.col("l_partkey") % 12).alias("cwe"), (F.col("l_partkey") % 3000).alias("line"), "l_linenumber", "l_returnflag", "l_linestatus", "l_tax").distinct()
     groups = nation.select("project").distinct().withColumn("expected", F.col("project").cast("long") % 12)
     own = rows.where("l_returnflag = 'R'").join(F.broadcast(groups), "project").where("cwe = expected")
     units = own.select("unit", "project", "file", "cwe", F.col("line").alias("start"), (F.col("line") + F.col("l_linenumber")).alias("stop"))
@@ -407,7 +407,7 @@ ORACLE = {
         m AS (SELECT unit, alert FROM u JOIN k ON u.file = k.file AND u.cwe = k.cwe AND line BETWEEN a AND b), x AS (SELECT cwe, count(*) FILTER (unit IN (SELECT unit FROM m)) AS tp, count(*) FILTER (unit NOT IN (SELECT unit FROM m)) AS fn FROM u GROUP BY 1),
         y AS (SELECT cwe, count(*) FILTER (alert NOT IN (SELECT alert FROM m)) AS fp, count(*) FILTER (alert IN (SELECT alert FROM m)) AS alerts_in FROM k GROUP BY 1)
         SELECT coalesce(x.cwe, y.cwe) AS cwe, coalesce(tp, 0) AS tp, coalesce(fn, 0) AS fn, coalesce(fp, 0) AS fp, coalesce(alerts_in, 0) AS alerts_in FROM x FULL JOIN y ON x.cwe = y.cwe""",
-    "unit_summary": f"""WITH r AS (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_partkey, l_suppkey) s_nationkey AS project, l_suppkey AS file, l_partkey % 12 AS cwe, l_partkey % 3000 AS line, l_linenumber, l_returnflag, l_linestatus, l_tax, s_nationkey % 12 AS expected FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
+    "unit_summary": f"""WITH r AS (SELECT DISTINCT l_orderkey, l_partkey, s_nationkey AS project, l_suppkey AS file, l_partkey % 12 AS cwe, l_partkey % 3000 AS line, l_linenumber, l_returnflag, l_linestatus, l_tax, s_nationkey % 12 AS expected FROM lineitem JOIN supplier ON s_suppkey = l_suppkey),
         u AS (SELECT row_number() OVER () AS unit, project, file, cwe, line AS a, line + l_linenumber AS b FROM r WHERE l_returnflag = 'R' AND cwe = expected), k AS (SELECT row_number() OVER () AS alert, project, file, cwe, line, cwe = expected AS own FROM r WHERE l_linestatus = 'O' AND l_tax > 0.02),
         m AS (SELECT unit, alert FROM u JOIN k ON u.file = k.file AND u.cwe = k.cwe AND line BETWEEN a AND b), f AS (SELECT *, unit IN (SELECT unit FROM m) AS hit FROM u), g AS (SELECT *, alert IN (SELECT alert FROM m) AS hit FROM k),
         c AS (SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier) AS groups, (SELECT count(DISTINCT project) FROM f WHERE hit) AS d, (SELECT count(*) FROM f WHERE hit) AS tp, (SELECT count(*) FROM f WHERE NOT hit) AS fn,
