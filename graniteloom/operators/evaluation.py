@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graniteloom.functions.draws import multiplicities
 from graniteloom.operators.curation import rank_in_order
 
 
@@ -129,31 +132,69 @@ def quantile_bins(rows: DataFrame, value: str, id: str, k: int) -> DataFrame:
     return rows.join(F.broadcast(found)).withColumn("bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
 
 
-def _poisson(*keys: Column, seed: int) -> Column:
-    """A Poisson(1) multiplicity from a keyed hash, so that any engine draws the same."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *keys)), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    # The distribution function of the Poisson distribution of mean 1.
-    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
-    return sum(((u >= c).cast("int") for c in cdf[1:]), (u >= cdf[0]).cast("int"))
-
-
-def resampled(units: DataFrame, unit: str, replicates: int, seed: int = 42) -> DataFrame:
-    """units (one row a unit) with rep and w: how often each replicate draws the unit, 0 included. A filter on w would be
-    moved before its projection and compute the hash once for each step of the distribution, so sums take the zeros."""
-    # Few units make many rows: they are dealt out before, or adaptive execution would leave them to one task.
-    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    each = units.repartition(parts, unit).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    return each.withColumn("w", _poisson(F.col("rep").cast("string"), F.col(unit).cast("string"), seed=seed))
-
-
 def bootstrap_counts(rows: DataFrame, group: str, replicates: int, preds: tuple[str, ...] = ("pred",), seed: int = 42) -> DataFrame:
     """rep and, for each of several verdicts on the same rows, a struct of that name with its weighted tp, fp, fn and tn:
-    rows are summed by group first, and all verdicts meet the same weights in one pass."""
-    names = ("tp", "fp", "fn", "tn")
-    aggs = [a.alias(f"{p}_{n}") for p in preds for a, n in zip(confusion_aggs(F.col("gold"), F.col(p)), names, strict=True)]
-    drawn = resampled(rows.groupBy(group).agg(*aggs), group, replicates, seed)
-    sums = drawn.groupBy("rep").agg(*(F.sum(F.col(f"{p}_{n}") * F.col("w")).alias(f"{p}_{n}") for p in preds for n in names))
-    return sums.select("rep", *(F.struct(*(F.col(f"{p}_{n}").alias(n) for n in names)).alias(p) for p in preds))
+    rows are summed by group first, and all verdicts meet the same weights in one pass. A task draws for its groups and
+    hands on one row a replicate."""
+    names = [f"{p}_{n}" for p in preds for n in ("tp", "fp", "fn", "tn")]
+    aggs = [a.alias(n) for n, a in zip(names, (a for p in preds for a in confusion_aggs(F.col("gold"), F.col(p))), strict=True)]
+
+    def summed(batches):
+        sums = np.zeros((replicates, len(names)), np.int64)
+        for batch in batches:
+            # Products of doubles are exact here: a batch's sums stay far below 2**53.
+            counts = batch[names].to_numpy("float64")
+            for reps, w in multiplicities(batch["_unit"].tolist(), replicates, seed):
+                sums[reps - 1] += (w.astype("float64") @ counts).astype(np.int64)
+        yield pd.DataFrame({"rep": np.arange(1, replicates + 1)} | {n: sums[:, i] for i, n in enumerate(names)})
+
+    # Few groups make many draws: they are dealt out before, or adaptive execution would leave them to one task.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = rows.groupBy(group).agg(*aggs).repartition(parts, group).select(F.col(group).cast("string").alias("_unit"), *names)
+    drawn = units.mapInPandas(summed, "rep int, " + ", ".join(f"{n} long" for n in names))
+    sums = drawn.groupBy("rep").agg(*(F.sum(n).alias(n) for n in names))
+    return sums.select("rep", *(F.struct(*(F.col(f"{p}_{n}").alias(n) for n in ("tp", "fp", "fn", "tn"))).alias(p) for p in preds))
+
+
+def bootstrap_aucs(rows: DataFrame, group: str, gold: str, scores: tuple[str, ...], replicates: int, seed: int = 42) -> DataFrame:
+    """(rep, side, auc): the AUC of each of several scores under the same resamples of groups, ties counting a half, null
+    where a class is drawn empty. A null score is below all others.
+
+    Rows are laid in the order of scores, groups last, so equal scores may lie in several tasks. A batch hands on three
+    steps a replicate: what has its first score, what has its last one, and what lies between, which no other batch
+    shares, with the pairs won inside. Sums are whole numbers.
+    """
+
+    def steps(batches):
+        for batch in batches:
+            for side, part in batch.groupby("side", sort=False):
+                x, g = part["x"].to_numpy(), part["g"].to_numpy(bool)
+                new = (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+                first = np.concatenate([[0], np.flatnonzero(new) + 1])
+                last = len(first) - 1
+                spans = [s for s in dict.fromkeys([(0, 1), (1, last), (max(1, last), last + 1)]) if s[0] < s[1]]
+                out = np.zeros((len(spans), 3, replicates), np.int64)
+                for reps, w in multiplicities(part["_unit"].tolist(), replicates, seed):
+                    p, n = (np.add.reduceat(w * on, first, axis=1, dtype=np.int64) for on in (g, ~g))
+                    for i, (a, b) in enumerate(spans):
+                        p_, n_ = p[:, a:b], n[:, a:b]
+                        total = p_.sum(1), n_.sum(1)
+                        inner = (p_ * (2 * (np.cumsum(n_, axis=1) - n_) + n_)).sum(1) - total[0] * total[1]
+                        out[i][:, reps - 1] = *total, inner
+                for (a, _), (p, n, inner) in zip(spans, out, strict=True):
+                    yield pd.DataFrame({"rep": np.arange(1, replicates + 1), "side": side, "x": x[first[a]], "p": p, "n": n, "inner": inner})
+
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias("x")) for i, c in enumerate(scores)))
+    each = rows.select(F.col(group).cast("string").alias("_unit"), F.coalesce(F.col(gold), F.lit(False)).alias("g"), F.inline(sides))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = each.repartitionByRange(parts, "side", "x", "_unit").sortWithinPartitions("side", "x", "_unit")
+    found = laid.mapInPandas(steps, "rep int, side int, x double, p long, n long, inner long")
+    met = found.groupBy("rep", "side", "x").agg(*(F.sum(c).alias(c) for c in ("p", "n", "inner")))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy("rep", "side").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    won = met.withColumn("won", F.col("p") * (2 * below + F.col("n")) + F.col("inner"))
+    sums = won.groupBy("rep", "side").agg(F.sum("won").alias("won"), F.sum("p").alias("P"), F.sum("n").alias("N"))
+    name = F.element_at(F.array(*(F.lit(c) for c in scores)), F.col("side") + 1)
+    return sums.select("rep", name.alias("side"), F.try_divide(F.col("won") / 2, (F.col("P") * F.col("N")).cast("double")).alias("auc"))
 
 
 def interval(values: DataFrame, value: str, level: float = 0.95) -> DataFrame:

@@ -148,17 +148,10 @@ def paired_bootstrap(spark, sf_dir):
 
 
 def delta_auc(spark, sf_dir):
-    """Interval of the difference in AUC between the score and minus the length under the same resamples of pairs: equal
-    values are summed with their multiplicities before they are ranked."""
+    """Interval of the difference in AUC between the score and minus the length under the same resamples of pairs."""
     rows = _judged(spark, sf_dir).select("pair_id", "gold", "score", (-F.col("n_chars")).cast("double").alias("short"))
-    sides = [F.struct(F.lit(c).alias("side"), F.col(c).alias("x"), "gold") for c in ("score", "short")]
-    pairs = rows.groupBy("pair_id").agg(F.flatten(F.collect_list(F.array(*sides))).alias("values"))
-    drawn = E.resampled(pairs, "pair_id", REPLICATES).select("rep", "w", F.inline("values"))
-    steps = drawn.groupBy("rep", "side", "x").agg(F.sum(F.when(F.col("gold"), F.col("w")).otherwise(0)).alias("p"), F.sum(F.when(F.col("gold"), 0).otherwise(F.col("w"))).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("rep", "side").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = steps.withColumn("won", F.col("p") * (below + F.col("n") / 2)).groupBy("rep", "side").agg(F.sum("won").alias("won"), F.sum("p").alias("P"), F.sum("n").alias("N"))
-    auc = F.try_divide(F.col("won"), (F.col("P") * F.col("N")).cast("double"))
-    both = sums.groupBy("rep").agg((F.max(F.when(F.col("side") == "score", auc)) - F.max(F.when(F.col("side") == "short", auc))).alias("delta"))
+    aucs = E.bootstrap_aucs(rows, "pair_id", "gold", ("score", "short"), REPLICATES)
+    both = aucs.groupBy("rep").agg((F.max(F.when(F.col("side") == "score", F.col("auc"))) - F.max(F.when(F.col("side") == "short", F.col("auc")))).alias("delta"))
     out = E.interval(both, "delta")
     return _rounded(out, "lo", "hi").withColumn("significant", (F.col("lo") > 0) | (F.col("hi") < 0))
 

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from graniteloom.functions import draws
 from graniteloom.operators import diffs, evaluation, feeds, findings, grading, rules
 
 
@@ -182,3 +183,35 @@ def test_calls_of_own_packages(spark):
     packages = spark.createDataFrame([("a.b",), ("x.z",)], "package string")
     kept = rules.without_local(spark.createDataFrame(calls, "call int, name string"), "call", "name", packages, "package")
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([c for c in calls if c[0] not in (1, 9)], key=str)
+
+
+def test_draws_are_the_hash_of_the_unit(spark):
+    """Multiplicities by the hash as it is defined, one by one, for units of all lengths and none."""
+    units = ["7", "12345", None, "ü" * 20, "x" * 52, "y" * 200, ""]
+    cdf = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
+    seen = 0
+    for reps, w in draws.multiplicities(units, 120):
+        for rep, row in zip(reps, w, strict=True):
+            seen += 1
+            for unit, m in zip(units, row, strict=True):
+                u = int(hashlib.md5((f"42:{rep}" + ("" if unit is None else f":{unit}")).encode()).hexdigest()[:8], 16) / 2**32
+                assert m == sum(u >= c for c in cdf)
+    assert seen == 120
+
+
+def test_resampled_auc_with_ties_over_tasks(spark):
+    """Equal scores in several tasks and batches count a half; the unit's draw is shared by both scores."""
+    data = [(i // 2, i % 3 == 0, float(i * 7 % 4), float(-(i % 90))) for i in range(600)]
+    rows = spark.createDataFrame(data, "pair long, gold boolean, a double, b double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {(r["rep"], r["side"]): r["auc"] for r in evaluation.bootstrap_aucs(rows, "pair", "gold", ("a", "b"), 12).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    weights = {int(r): w for reps, some in draws.multiplicities([str(i) for i in range(300)], 12) for r, w in zip(reps, some, strict=True)}
+    for (rep, side), auc in got.items():
+        w, at = weights[rep].tolist(), 2 if side == "a" else 3
+        pos, neg = ([(d[at], w[d[0]]) for d in data if d[1] is g] for g in (True, False))
+        won = sum(wp * wn * ((x > y) + (x == y) / 2) for x, wp in pos for y, wn in neg)
+        assert auc == won / (sum(p[1] for p in pos) * sum(n[1] for n in neg))
+    assert len(got) == 24
