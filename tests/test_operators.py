@@ -126,3 +126,50 @@ def test_knn_has_no_row_a_pair(spark):
     rows = spark.range(50).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vector"))
     plan = R.knn(rows, rows, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CoGroup" in plan
+
+
+def test_shingle_index_is_that_of_all_rows(spark, monkeypatch):
+    """Crowds of copies, near copies, longer texts that hold a query and so rank before copies, short and null texts: as comparing all."""
+    r = random.Random(7)
+    word = lambda: r.choice("abcdefghij") + r.choice("klmnop")
+    base = [" ".join(word() for _ in range(n)) for n in (3, 30, 45, 60, 120)]
+    data = [(i, base[i % 5]) for i in range(60)]
+    data += [(100 + i, base[4].replace(base[4].split()[i], "zz", 1)) for i in range(12)] + [(200 + i, base[3] + " " + base[4] + f" x{i}") for i in range(9)]
+    data += [(300, None), (301, ""), (302, base[2].upper()), (303, "license text of all"), (304, "license text of all")]
+    rows = spark.createDataFrame(data, "doc_id long, text string")
+    joined = []
+    monkeypatch.setattr(C, "cut", lambda d: joined.append((d.columns, d.localCheckpoint())) or joined[-1][1])
+    got = {(x["q"], x["id"], x["shared"], round(x["jaccard"], 9)) for x in C.shingle_index(rows, "doc_id", "text", rows.where("doc_id % 5 < 4"), 20, 0.9).collect()}
+
+    def grams(t):
+        w = " ".join(t.lower().split()).split(" ")
+        return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
+
+    sets, want = {i: grams(t) for i, t in data if t is not None}, set()
+    for q, s in sets.items():
+        if q % 5 < 4:
+            found = sorted((-len(s & t), i) for i, t in sets.items() if i != q and s & t)[:20]
+            want |= {(q, i, -n, round(-n / len(s | sets[i]), 9)) for n, i in found if -n / len(s | sets[i]) >= 0.9}
+    assert got == want and len(got) > 500
+    # What is looked up of a query is its rarest tenth, not all of it.
+    rare = next(d for c, d in joined if c == ["qk", "need", "t"])
+    assert rare.count() < sum(len(s) for s in {frozenset(s) for s in sets.values()}) / 5
+
+
+def test_reach_by_shared_searches(spark, monkeypatch):
+    """Starts that share a search keep their own hops, whatever the number that share one; a null start is itself alone."""
+    r = random.Random(9)
+    pairs = {(r.randrange(150), r.randrange(60)) for _ in range(260)}
+    edges = spark.createDataFrame(sorted(pairs), "a long, b long")
+    starts = spark.createDataFrame([(i,) for i in range(150)] + [(None,), (3,), (999,)], "node long")
+    want = {(None, None, 0)}
+    for s in [*range(150), 999]:
+        hops, front = {s: 0}, {s}
+        for k in range(1, 5):
+            front = {b for a, b in pairs if a in front} - hops.keys()
+            hops |= dict.fromkeys(front, k)
+        want |= {(s, n, h) for n, h in hops.items()}
+    for bits in (64, 5):
+        monkeypatch.setattr(G, "BITS", bits)
+        got = G.reach(starts, edges, 4).collect()
+        assert {tuple(x) for x in got} == want and len(got) == len(want)
