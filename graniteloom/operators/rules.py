@@ -183,6 +183,22 @@ def _grams(text: Column) -> Column:
     return F.get(F.transform(F.array(F.split(text, "")), runs), F.lit(0))
 
 
+def _held(literals: frozenset[str]):
+    """A function for the literals that a text holds: those whose first gram it has are looked for."""
+    begins: dict[str, list[str]] = {}
+    for literal in sorted(literals):
+        begins.setdefault(literal[:GRAM], []).append(literal)
+
+    def held(texts: pd.Series) -> pd.Series:
+        found = []
+        for t in texts:
+            runs = {t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} if t is not None else set()
+            found.append([x for gram in runs & begins.keys() for x in begins[gram] if x in t])
+        return pd.Series(found, dtype=object)
+
+    return F.pandas_udf(held, T.ArrayType(T.StringType()))
+
+
 @F.pandas_udf(T.StringType())
 def _literals(patterns: pd.Series) -> pd.Series:
     return patterns.map(literal_of)
@@ -191,21 +207,28 @@ def _literals(patterns: pd.Series) -> pd.Series:
 def matches_of(rows: DataFrame, keep: list[str], text: str, rules: DataFrame, id: str = "rule_id", pattern: str = "pattern") -> DataFrame:
     """keep and rule_id of the rules whose pattern is found in a row's text, for many rules from a table.
 
-    A rule with a sure literal has one key, the gram of it that fewest rules hold; texts meet rules by that key, and only
-    those that hold the whole literal are tried with the pattern. Rules without one are tried on every text. Patterns that
-    do not compile and null texts match nothing. Rules are broadcast up to RULE_BYTES.
+    Rules of a sure literal are tried on the texts that hold it whole, unless they are nothing else. Up to RULE_BYTES of
+    rules are sent to every task, which looks for their literals while a text is one row; beyond, a rule has one key, the
+    gram of its literal that fewest rules hold, and texts meet rules by that key. Rules without a literal are tried on every
+    text. Patterns that do not compile and null texts match nothing.
     """
     known = cut(compiling(rules.select(F.col(id).alias("_rule"), F.col(pattern).alias("_pattern")), "_pattern").where("compiles").drop("compiles").withColumn("_literal", _literals("_pattern")))
     size = known.agg(F.coalesce(F.sum(F.length("_pattern") + 64), F.lit(0))).first()[0]
     sent = F.broadcast if size <= RULE_BYTES else (lambda d: d)
+    tried = F.expr(f"_pattern = _literal OR `{text}` rlike _pattern")
+    rest = rows.join(sent(known.where("_literal IS NULL").select("_rule", "_pattern")), F.expr(f"`{text}` rlike _pattern"))
+    if size <= RULE_BYTES:
+        sure = known.where("_literal IS NOT NULL")
+        held = _held(frozenset(r["_literal"] for r in sure.select("_literal").distinct().collect()))
+        met = rows.withColumn("_literal", F.explode(held(F.col(text)))).join(F.broadcast(sure), "_literal").where(tried)
+        return met.select(*keep, "_rule").unionByName(rest.select(*keep, "_rule")).withColumnRenamed("_rule", id)
     choices = known.where("_literal IS NOT NULL").select("_rule", F.explode(_grams(F.col("_literal"))).alias("_gram"))
     held = choices.groupBy("_gram").agg(F.count(F.lit(1)).alias("_n"))
     key = choices.join(held, "_gram").groupBy("_rule").agg(F.min_by("_gram", F.struct("_n", "_gram")).alias("_gram"))
     indexed = cut(known.join(key, "_rule"))
     wanted = indexed.agg(F.coalesce(F.collect_set("_gram"), F.array().cast("array<string>")).alias("_wanted"))
     texts = rows.where(F.col(text).isNotNull()).join(F.broadcast(wanted)).withColumn("_hits", F.array_intersect(_grams(F.col(text)), "_wanted")).drop("_wanted")
-    met = texts.withColumn("_gram", F.explode("_hits")).join(sent(indexed), "_gram").where(F.contains(text, "_literal") & F.expr(f"`{text}` rlike _pattern"))
-    rest = rows.join(sent(known.where("_literal IS NULL").select("_rule", "_pattern")), F.expr(f"`{text}` rlike _pattern"))
+    met = texts.withColumn("_gram", F.explode("_hits")).join(sent(indexed), "_gram").where(F.contains(text, "_literal") & tried)
     both = met.select(*keep, "_rule").unionByName(rest.select(*keep, "_rule"))
     return both.withColumnRenamed("_rule", id)
 

@@ -41,3 +41,15 @@ def test_maps_of_methods_by_pattern(spark):
     edges = [(1, 2, "java.lang.StringBuilder.append", 1, -1), (3, 4, "java.lang.StringBuilder.append", 2, -1), (5, 6, "ff", 1, -1), (7, 8, "f", 0, -1), (9, 10, "f", 1, -1)]
     got = taint.through_calls(spark.createDataFrame(edges, "a long, b long, method string, arg int, to int"), maps)
     assert sorted(map(tuple, got.collect())) == [(1, 2), (5, 6), (7, 8)]
+
+
+def test_rules_sent_or_met_by_key_are_the_same(spark, monkeypatch):
+    """Literals are looked for while a text is one row, so a small table of rules makes no row a gram; a large one does."""
+    texts = spark.createDataFrame([(1, "call(println)"), (2, "prin tln"), (3, None), (4, "xprintlnprintf"), (5, "")], "id long, t string")
+    table = spark.createDataFrame([(1, "println"), (2, "print[fl]"), (3, "^x"), (4, "("), (5, "println"), (6, "printlnx?")], "rule_id long, pattern string")
+    small = rules.matches_of(texts, ["id"], "t", table)
+    assert "_gram" not in small._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(rules, "RULE_BYTES", 0)
+    large = rules.matches_of(texts, ["id"], "t", table)
+    want = [(1, 1), (1, 2), (1, 5), (1, 6), (4, 1), (4, 2), (4, 3), (4, 5), (4, 6)]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) == want
