@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graniteloom.functions.linediff import changed_lines, changed_places, diff_counts, hunk_text, line_steps, sequence_ratio
+from graniteloom.functions.linediff import changed_lines, changed_places, diff_counts, hunk_text, line_counts, line_steps, sequence_ratio
 
 
 __all__ = [
@@ -20,6 +20,7 @@ __all__ = [
     "hunk_text",
     "json_items",
     "line_shingles",
+    "line_counts",
     "line_steps",
     "log_gap",
     "sequence_ratio",

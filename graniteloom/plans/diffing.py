@@ -146,8 +146,7 @@ def line_diff(spark, sf_dir):
     lines = F.split(F.coalesce("text", F.lit("")), "[.\n,]")
     edited = F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: s["i"] % 7 > 0), lambda s: F.when(s["i"] % 5 == 0, F.upper(s["x"])).otherwise(s["x"]))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.array_join(lines, "\n").alias("a"), F.array_join(edited, "\n").alias("b"))
-    steps = docs.select("doc_id", N.line_steps("a", "b").alias("steps"))
-    return steps.select("doc_id", N.diff_counts(F.col("steps")).alias("c")).select("doc_id", "c.*")
+    return docs.select("doc_id", N.line_counts("a", "b").alias("c")).select("doc_id", "c.*")
 
 
 QUERIES = {

@@ -123,3 +123,11 @@ def test_diffs_of_several_files(spark):
     texts = spark.createDataFrame([("k", "ab\ncd\nef", 7), ("l", "", 8), ("m", "x" * 20, 8)], "key string, text string, most int")
     found = tables.LineWindows(texts.asTable().partitionBy("key")).orderBy("key", "window").collect()
     assert [tuple(r)[1:] for r in found if r["key"] == "k"] == [(0, 0, 6, 0), (1, 5, 8, 1)] and [tuple(r)[2:4] for r in found if r["key"] == "m"] == [(0, 8), (6, 14), (12, 20)]
+
+
+def test_line_counts_are_those_of_the_steps(spark):
+    from graniteloom import functions as N
+
+    rows = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, "a", "a"), (3, None, "p\nq"), (4, "", None), (5, "a\nb", "")], "id int, a string, b string")
+    found = rows.select(N.line_counts("a", "b").alias("one"), N.diff_counts(N.line_steps("a", "b")).alias("two"))
+    assert all(r["one"] == r["two"] for r in found.collect()) and found.schema["one"].dataType.simpleString() == found.schema["two"].dataType.simpleString()
