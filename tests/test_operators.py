@@ -2,6 +2,7 @@ import functools
 import hashlib
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,43 @@ def test_near_dup_pairs_by_hand(spark):
     assert C.near_dup_pairs(rows.withColumn("g", F.lit(1)), "b", "g", "id", "text", 0.2).count() == 0
 
 
+def test_near_dup_pairs_are_those_of_all_sets(spark, monkeypatch):
+    """Against brute force: copies, short, empty and null texts, odd white space and capitals, null groups and buckets, passages in
+    many texts; whichever shingles are taken for frequent, the pairs are the same."""
+    r = random.Random(3)
+    base = [[f"w{r.randrange(400)}" for _ in range(r.choice((3, 8, 40, 90)))] for _ in range(25)]
+    passage = [f"p{i}" for i in range(12)]
+    data = []
+    for i in range(240):
+        words = list(base[r.randrange(25)])
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = f"W{r.randrange(400)}"
+        data.append((i, r.choice("ab"), r.choice("xyz"), r.choice((" ", "  ", "\n", "\t ")).join((words + passage) if i % 3 == 0 else words)))
+    data += [(300, "a", "x", ""), (301, "a", "y", " \n"), (302, "a", "y", ""), (303, "a", "z", None), (304, None, "x", "q"), (305, None, "y", "q"), (306, "a", None, "q"), (307, "a", "x", "Q"), (308, "b", "x", "é\x0bü É"), (309, "b", "y", "É\x0bü é ")]
+    sets = {}
+    for i, b, g, t in data:
+        if t is not None and b is not None and g is not None:
+            w = re.sub(r"[ \t\r\n]+", " ", t.lower()).strip(" ").split(" ")
+            sets.setdefault((b, g, frozenset(tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1)))), i)
+    want = {(i, j): len(s & t) / len(s | t) for (b, g, s), i in sets.items() for (c, h, t), j in sets.items() if i < j and b == c and g != h and len(s & t) >= 0.6 * len(s | t)}
+    rows = spark.createDataFrame(data, "id long, b string, g string, text string")
+    for sample, often in ((16, 8), (1, 2), (1, 30)):
+        monkeypatch.setattr(C, "SAMPLE", sample)
+        monkeypatch.setattr(C, "OFTEN", often)
+        got = {(x["id_a"], x["id_b"]): x["jaccard"] for x in C.near_dup_pairs(rows, "b", "g", "id", "text", 0.6).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got) and len(got) > 100
+    assert C.near_dup_pairs(rows.limit(0), "b", "g", "id", "text", 0.6).count() == 0
+
+
+def test_only_first_shingles_are_dealt_out(spark, monkeypatch):
+    """Texts that share a passage, but less than the threshold, are not compared; of the sets only the first shingles are rows."""
+    made, cut = [], C.cut
+    monkeypatch.setattr(C, "cut", lambda d: made.append(cut(d)) or made[-1])
+    rows = spark.createDataFrame([(i, 0, i, " ".join([f"p{j}" for j in range(30)] + [f"u{i}.{j}" for j in range(74)])) for i in range(20)], "id long, b int, g long, text string")
+    assert C.near_dup_pairs(rows, "b", "g", "id", "text", 0.8).count() == 0
+    assert "first" in made[0].columns and made[0].agg(F.sum(F.size("first"))).first()[0] == 20 * 21
+
+
 def test_pair_and_rank_metrics(spark):
     rows = spark.createDataFrame(PAIRS, "pair string, gold string, score double")
     judged = rows.select((F.col("gold") == "vuln").alias("gold"), (F.col("score") >= 0.5).alias("pred"), "score")
