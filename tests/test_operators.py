@@ -129,6 +129,39 @@ def test_hubs_count_the_same(spark, monkeypatch):
     assert sorted(map(tuple, G.neighborhood(starts, edges, 2, 20, 30).collect())) == plain and len(plain) == 4
 
 
+def test_neighborhood_is_that_of_all_steps(spark, monkeypatch):
+    """Against brute force: loops, edges both ways and twice, null nodes, starts without edges, one and three steps, either limit; nodes of
+    many edges or none. A start's nodes are one row, and nothing is written that has a row for each of them."""
+    r = random.Random(6)
+    name = lambda i: f"n{i:02d}"
+    data = [(name(r.randrange(40)), name(r.randrange(40))) for _ in range(110)] + [(name(1), name(1)), (name(2), name(3)), (name(3), name(2)), (name(2), name(3)), (name(4), None), (None, name(5))]
+    starts = [name(i) for i in range(0, 40, 3)] + ["alone"]
+    beside = {}
+    for a, b in data:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    beside.pop(None)
+
+    def brute(start, hops, most, most_edges):
+        seen, front = [start], [start]
+        for _ in range(hops):
+            front = sorted({n for f in front for n in beside.get(f, ())} - set(seen), key=lambda n: (n is not None, n or ""))[: most + 1 - len(seen)]
+            seen += front
+        kept = set(seen[:most]) - {None}
+        e = len({(a, b) for a, b in data if a in kept and b in kept})
+        return start, len(seen[:most]), min(e, most_edges), len(seen) > most or e > most_edges
+
+    made, cut = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda d: made.append(cut(d)) or made[-1])
+    frame = spark.createDataFrame(data, "a string, b string")
+    for hub in (1024, 4):
+        monkeypatch.setattr(G, "HUB", hub)
+        for hops, most, most_edges in ((1, 6, 5), (3, 12, 256)):
+            got = G.neighborhood(spark.createDataFrame([(s,) for s in starts], "node string"), frame, hops, most, most_edges)
+            assert sorted(map(tuple, got.collect())) == sorted(brute(s, hops, most, most_edges) for s in starts)
+    assert all(d.count() == len(starts) for d in made if "start" in d.columns)
+
+
 def test_knn_is_that_of_all_pairs(spark, monkeypatch):
     """Blocks of every size give what comparing one by one does: copies by id, null, empty, zero, NaN and shorter vectors as SQL
     orders them; crowds of equal vectors and near ties included."""
