@@ -9,6 +9,7 @@ from graniteloom.operators import curation as C
 from graniteloom.operators import findings as D
 from graniteloom.operators import graphs as G
 from graniteloom.operators import taint as TA
+from graniteloom.operators.state import written
 from graniteloom.plans.tables import table
 
 
@@ -72,34 +73,39 @@ PROPAGATION = ("m0\t1,return;2,1", "m1\t0,return", "m2\tx,y", "m3")
 
 
 def _rule_flows(spark, sf_dir, mode):
-    """Flows by rule: nations are the rules, regions their categories; an open order is a sink of its suppliers' nations."""
+    """Flows of rules as labels, and their rows by rule: nations are the rules, regions their categories; an open order is a
+    sink of its suppliers' nations."""
     nodes = _code_nodes(spark, sf_dir)
     numbers = TA.numbered(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id")))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("rule_id"))
     open_orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), "l_suppkey")
-    pairs = lines.join(open_orders, "node", "left_semi").join(supplier, "l_suppkey").select("node", "rule_id").distinct()
-    sinks = TA.labelled(pairs, numbers, 1).join(nodes.select("node", "method", "file"), "node")
+    pairs = lines.join(open_orders, "node", "left_semi").join(supplier, "l_suppkey").select("node", "rule_id")
+    sinks = written(TA.labelled(pairs, numbers, 1).join(nodes.select("node", "method", "file"), "node"))
     inside = nodes.select(F.col("node").alias("a"), (F.col("node") + F.col("file") % 5 + 1).alias("b"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("long").alias("arg"), F.lit(None).cast("long").alias("to"))
     calls = nodes.where("node % 2 = 0").select(F.col("node").alias("a"), (F.col("node") + 7).alias("b"), F.concat(F.lit("m"), F.col("file") % 6).alias("method"), (F.col("node") % 3).alias("arg"), F.when(F.col("node") % 4 == 0, -1).otherwise(1).cast("long").alias("to"))
     maps = TA.propagation_maps(spark.createDataFrame([(line,) for line in PROPAGATION], "value string"))
     edges = TA.through_calls(inside.unionByName(calls), maps)
-    found = TA.by_rule(TA.flows_by_rule(TA.open_to(TA.sources(nodes, mode), mode, sinks, 1), sinks, edges, 1, 4), numbers)
-    rules = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id"), F.col("n_regionkey").cast("string").alias("category"))
     cleaners = nodes.where("node % 11 = 0").select("node", F.when(F.col("node") % 3 == 0, "*").otherwise((F.col("node") % 5).cast("string")).alias("category"))
-    return TA.sanitized(found.join(F.broadcast(rules), "rule_id"), cleaners, ["rule_id", "source", "sink"])
+    flows = TA.flows_by_rule(TA.open_to(TA.sources(nodes, mode), mode, sinks, 1), sinks, edges, 1, 4, cleaners)
+    rules = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id"), F.col("n_regionkey").cast("string").alias("category"))
+    return flows, numbers, TA.cleaned(TA.by_rule(flows, numbers).join(F.broadcast(rules), "rule_id"))
 
 
 def rule_flows(spark, sf_dir):
     """The shortest way from a source to each sink of each rule with a sink in the source's file, and what cleans it."""
-    found = _rule_flows(spark, sf_dir, "java_file")
+    found = _rule_flows(spark, sf_dir, "java_file")[2]
     shown = {c: F.array_join(F.col(c).cast("array<string>"), ">") for c in ("path", "hits")}
     return found.withColumns(shown).select("rule_id", "category", "source", "sink", "hops", "path", "hits", "sanitized")
 
 
 def rule_flow_counts(spark, sf_dir):
-    """Flows of every rule from all parameters, calls, and what is read from parameters."""
-    return _rule_flows(spark, sf_dir, "r2chain").groupBy("rule_id", "hops").agg(F.count(F.lit(1)).alias("n"), F.count_if("sanitized").alias("sanitized"), F.count_distinct("source").alias("sources"))
+    """Flows of every rule from all parameters, calls, and what is read from parameters. A source counts once for a rule and
+    a number of hops, so its labels are joined before they are spread."""
+    flows, numbers, found = _rule_flows(spark, sf_dir, "r2chain")
+    ways = found.groupBy("rule_id", "hops").agg(F.count(F.lit(1)).alias("n"), F.count_if("sanitized").alias("sanitized"))
+    starts = TA.by_rule(TA.labels_of(flows, ["source", "hops"], 1), numbers).groupBy("rule_id", "hops").agg(F.count(F.lit(1)).alias("sources"))
+    return ways.join(starts, ["rule_id", "hops"])
 
 
 def verdict_sanitized(spark, sf_dir):

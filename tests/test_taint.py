@@ -95,3 +95,50 @@ def test_sanitizers_by_category(spark):
     cleaners = spark.createDataFrame([(2, "sqli"), (3, "*"), (4, "sqli"), (3, "xss")], "node long, category string")
     got = {r["rule_id"]: (r["hits"], r["sanitized"]) for r in taint.sanitized(flows, cleaners, ["rule_id", "source"]).collect()}
     assert got == {"r": ([2, 3, 2], True), "s": ([], False)}
+
+
+def test_marks_of_a_search_are_what_sanitized_finds(spark):
+    """Cleaners of sources, middles and sinks, several of a node, of one category or all, over the flows of many rules."""
+    edges, sinks, opened = graph(6)
+    numbers = taint.numbered(spark.createDataFrame([(f"r{i:02d}",) for i in range(70)], "rule_id string"))
+    label = lambda pairs: taint.labelled(spark.createDataFrame(pairs, "node long, rule_id string"), numbers, 2)
+    cleaners = spark.createDataFrame([(n, c) for n in range(40) for c in "*012" if (n * 7 + ord(c)) % 9 == 0] + [(5, None)], "node long, category string")
+    frame = spark.createDataFrame(edges, "a long, b long")
+    category = (F.substring("rule_id", 3, 1).cast("int") % 3).cast("string")
+    marked = taint.flows_by_rule(label(opened), label(sinks), frame, 2, 4, cleaners)
+    plain = taint.flows_by_rule(label(opened), label(sinks), frame, 2, 4)
+    assert [c for c in marked.columns if c not in plain.columns] == ["marks"]
+    got = taint.cleaned(taint.by_rule(marked, numbers).withColumn("category", category))
+    want = taint.sanitized(taint.by_rule(plain, numbers).withColumn("category", category), cleaners, ["rule_id", "source", "sink"])
+    rows = lambda d: sorted(tuple(r[c] for c in ("rule_id", "source", "sink", "hops", "path", "category", "hits", "sanitized")) for r in d.collect())
+    assert rows(got) == rows(want)
+    assert {r["sanitized"] for r in got.collect()} == {True, False} and got.where("size(hits) > 1").count()
+
+
+def test_needs_are_all_rules_within_a_number_of_edges(spark):
+    edges, sinks, _ = graph(4, rules=3)
+    numbers = taint.numbered(spark.createDataFrame([("r00",), ("r01",), ("r02",)], "rule_id string"))
+    label = taint.labelled(spark.createDataFrame(sinks, "node long, rule_id string"), numbers, 1)
+    want, bits = [{}], {f"r{i:02d}": 1 << i for i in range(3)}
+    for node, rule in sinks:
+        want[0][node] = want[0].get(node, 0) | bits[rule]
+    for _ in range(3):
+        want.append(dict(want[-1]))
+        for a, b in edges:
+            if b in want[-2]:
+                want[-1][a] = want[-1].get(a, 0) | want[-2][b]
+    got = taint.needs(label, spark.createDataFrame(edges, "a long, b long"), 1, 3).collect()
+    assert [{r["node"]: r[f"need{h}_0"] for r in got if r[f"need{h}_0"]} for h in range(4)] == want and len(got) == len(want[3])
+
+
+def exchanges(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_rows_of_flows_by_rule_are_not_shuffled(spark, sf_dir):
+    """What cleans a flow comes with its way; a source's rules are joined before they are spread."""
+    from graniteloom import plans
+
+    assert not [line for line in exchanges(plans.queries()["rule_flows"](spark, sf_dir)) if "source" in line]
+    assert not [line for line in exchanges(plans.queries()["rule_flow_counts"](spark, sf_dir)) if "rule_id" in line and "source" in line]
