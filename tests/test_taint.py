@@ -142,3 +142,10 @@ def test_rows_of_flows_by_rule_are_not_shuffled(spark, sf_dir):
 
     assert not [line for line in exchanges(plans.queries()["rule_flows"](spark, sf_dir)) if "source" in line]
     assert not [line for line in exchanges(plans.queries()["rule_flow_counts"](spark, sf_dir)) if "rule_id" in line and "source" in line]
+
+
+def test_sinks_of_rule_flows_are_looked_up_once(spark, sf_dir):
+    """The rules a way ends with come from the search, so lines are not read and joined again for the result."""
+    from graniteloom import plans
+
+    assert "l_suppkey" not in plans.queries()["rule_flows"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
