@@ -78,16 +78,17 @@ def _rule_flows(spark, sf_dir, mode):
     nodes = _code_nodes(spark, sf_dir)
     numbers = TA.numbered(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id")))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("rule_id"))
-    open_orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"))
+    placed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("node"), F.expr("o_orderkey div 16").alias("method"), F.col("o_custkey").alias("file"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("node"), "l_suppkey")
-    pairs = lines.join(open_orders, "node", "left_semi").join(supplier, "l_suppkey").select("node", "rule_id")
-    sinks = written(TA.labelled(pairs, numbers, 1).join(nodes.select("node", "method", "file"), "node"))
+    pairs = lines.join(placed.select("node").hint("shuffle_hash"), "node", "left_semi").join(supplier, "l_suppkey").select("node", "rule_id")
+    sinks = written(TA.labelled(pairs, numbers, 1).join(placed, "node"))
     inside = nodes.select(F.col("node").alias("a"), (F.col("node") + F.col("file") % 5 + 1).alias("b"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("long").alias("arg"), F.lit(None).cast("long").alias("to"))
     calls = nodes.where("node % 2 = 0").select(F.col("node").alias("a"), (F.col("node") + 7).alias("b"), F.concat(F.lit("m"), F.col("file") % 6).alias("method"), (F.col("node") % 3).alias("arg"), F.when(F.col("node") % 4 == 0, -1).otherwise(1).cast("long").alias("to"))
-    maps = TA.propagation_maps(spark.createDataFrame([(line,) for line in PROPAGATION], "value string"))
+    maps = TA.propagation_maps(spark.range(1).select(F.explode(F.array(*map(F.lit, PROPAGATION))).alias("value")))
     edges = TA.through_calls(inside.unionByName(calls), maps)
     cleaners = nodes.where("node % 11 = 0").select("node", F.when(F.col("node") % 3 == 0, "*").otherwise((F.col("node") % 5).cast("string")).alias("category"))
     flows = TA.flows_by_rule(TA.open_to(TA.sources(nodes, mode), mode, sinks, 1), sinks, edges, 1, 4, cleaners)
+    flows = flows.withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))  # once, not for each rule
     rules = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rule_id"), F.col("n_regionkey").cast("string").alias("category"))
     return flows, numbers, TA.cleaned(TA.by_rule(flows, numbers).join(F.broadcast(rules), "rule_id"))
 
@@ -95,8 +96,7 @@ def _rule_flows(spark, sf_dir, mode):
 def rule_flows(spark, sf_dir):
     """The shortest way from a source to each sink of each rule with a sink in the source's file, and what cleans it."""
     found = _rule_flows(spark, sf_dir, "java_file")[2]
-    shown = {c: F.array_join(F.col(c).cast("array<string>"), ">") for c in ("path", "hits")}
-    return found.withColumns(shown).select("rule_id", "category", "source", "sink", "hops", "path", "hits", "sanitized")
+    return found.withColumn("hits", F.array_join(F.col("hits").cast("array<string>"), ">")).select("rule_id", "category", "source", "sink", "hops", "path", "hits", "sanitized")
 
 
 def rule_flow_counts(spark, sf_dir):

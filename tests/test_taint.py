@@ -149,3 +149,31 @@ def test_sinks_of_rule_flows_are_looked_up_once(spark, sf_dir):
     from graniteloom import plans
 
     assert "l_suppkey" not in plans.queries()["rule_flows"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_shuffles_edges_once_and_no_first_step(spark, monkeypatch):
+    """What nodes need is not written by itself, the sweep and the ways share the edges' shuffle, and a first step is not
+    grouped: its ways are the only ones to their ends."""
+    edges, sinks, opened = graph(5, rules=3)
+    numbers = taint.numbered(spark.createDataFrame([("r00",), ("r01",), ("r02",)], "rule_id string"))
+    label = lambda pairs: taint.labelled(spark.createDataFrame(pairs, "node long, rule_id string"), numbers, 1)
+    frames, cut = [], taint.cut
+    monkeypatch.setattr(taint, "cut", lambda d: (frames.append(d), cut(d))[1])
+    found = taint.flows_by_rule(label(opened), label(sinks), spark.createDataFrame(edges, "a long, b long"), 1, 3)
+    assert found.count() and not [d.columns for d in frames if "need0_0" in d.columns and "a" not in d.columns]
+    ways, first = next(d for d in frames if "need0_0" in d.columns), [d for d in frames if "path" in d.columns][1]
+    assert not [line for line in exchanges(first) if "source" in line]
+    read = [line for line in ways._jdf.queryExecution().executedPlan().toString().splitlines() if "Filter" in line and "isnotnull(b#" in line]
+    assert len(read) > 1 and all("isnotnull(a#" in line for line in read)
+
+
+def test_lines_of_rule_flows_are_not_sorted(spark, sf_dir, monkeypatch):
+    """Lines meet the open orders by hash; the orders that are no sinks do not come into it."""
+    from graniteloom.plans import deciding
+
+    frames, written = [], deciding.written
+    monkeypatch.setattr(deciding, "written", lambda d: (frames.append(d), written(d))[1])
+    deciding.rule_flows(spark, sf_dir)
+    plan = frames[0]._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "ShuffledHashJoin" in line and "LeftSemi" in line]
+    assert not [line for line in plan.splitlines() if "FileScan" in line and "o_custkey" in line and "o_orderstatus" not in line]
