@@ -54,3 +54,11 @@ def test_line_diff(spark, sf_dir):
 
 def test_every_query_without_sql_is_known():
     assert set(plans.queries()) - set(plans.oracle_sql()) <= {"overlap_windows", "line_diff"}
+
+
+def test_var_length_path_takes_flows_from_every_order(spark, tmp_path):
+    """A customer whose only order has a key divisible by 3 has its flow like any other."""
+    spark.createDataFrame([(50, "A"), (351, "B")], "c_custkey long, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(3, 50)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {tuple(r) for r in plans.queries()["var_length_path"](spark, str(tmp_path)).collect()}
+    assert got == {(50, 50, 0, "A"), (50, 351, 1, "B"), (50, 3, 1, None)}
