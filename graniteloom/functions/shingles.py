@@ -66,8 +66,26 @@ def sets_of(raw: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return found[fresh], np.add.reduceat(fresh.astype(np.int64), upto - counts)
 
 
+_WHITE = np.isin(np.arange(256), [9, 10, 13, 32])
+
+
+def single_spaced(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts, each ended by white space, with one space after each token and none else; one alone for a text without tokens."""
+    white = _WHITE[raw]
+    starts = np.concatenate([[0], ends[:-1]])
+    after = np.concatenate([[True], white[:-1]])
+    after[starts] = True
+    keep = ~(white & after)
+    upto = np.cumsum(keep)
+    bare = upto[ends - 1] == upto[starts] - keep[starts]
+    if bare.any():
+        keep[ends[bare] - 1] = True
+        upto = np.cumsum(keep)
+    return np.where(white, np.uint8(32), raw)[keep], upto[ends - 1]
+
+
 def sets_by_slice(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(begin, end, shingles, sizes) of slices of an Array of texts, each ended by a space."""
+    """(begin, end, shingles, sizes) of slices of an Array of texts, each ended by white space."""
     if len(texts) == 0:
         return
     texts = texts.cast(pa.large_string())
@@ -76,7 +94,7 @@ def sets_by_slice(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarra
     begin = 0
     while begin < len(texts):
         end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + SLICE_BYTES, side="right")) - 1)
-        yield begin, end, *sets_of(data[offsets[begin] : offsets[end]], offsets[begin + 1 : end + 1] - offsets[begin], k)
+        yield begin, end, *sets_of(*single_spaced(data[offsets[begin] : offsets[end]], offsets[begin + 1 : end + 1] - offsets[begin]), k)
         begin = end
 
 

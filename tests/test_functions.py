@@ -1,10 +1,12 @@
 import random
+import re
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from graniteloom import functions as N
-from graniteloom.functions import linediff, tables
+from graniteloom.functions import linediff, shingles, tables
 from graniteloom.operators import diffs
 
 
@@ -131,3 +133,13 @@ def test_line_counts_are_those_of_the_steps(spark):
     rows = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc\nd"), (2, "a", "a"), (3, None, "p\nq"), (4, "", None), (5, "a\nb", "")], "id int, a string, b string")
     found = rows.select(N.line_counts("a", "b").alias("one"), N.diff_counts(N.line_steps("a", "b")).alias("two"))
     assert all(r["one"] == r["two"] for r in found.collect()) and found.schema["one"].dataType.simpleString() == found.schema["two"].dataType.simpleString()
+
+
+def test_texts_are_single_spaced():
+    """As by regular expression, for many texts at once; a text without tokens is one space."""
+    r = random.Random(4)
+    for _ in range(200):
+        texts = ["".join(r.choice(" \t\n\rab\u00e9\x0b") for _ in range(r.randrange(9))) + " " for _ in range(r.randrange(1, 7))]
+        raw = [t.encode() for t in texts]
+        out, ends = shingles.single_spaced(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([len(x) for x in raw]))
+        assert [bytes(out[a:b]).decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [re.sub(r"[ \t\r\n]+", " ", t).strip(" ") + " " for t in texts]

@@ -1,6 +1,7 @@
 import functools
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -72,6 +73,31 @@ def test_only_first_shingles_are_dealt_out(spark, monkeypatch):
     assert "first" in made[0].columns and made[0].agg(F.sum(F.size("first"))).first()[0] == 20 * 21
 
 
+def test_near_dup_pairs_write_no_whole_sets(spark, monkeypatch):
+    """What is written are first shingles, pairs and where they meet; texts outside pairs are not sent to a place. Crowds that are
+    cut up into blocks of two texts, and a filter of few bits, give the same pairs; what is done with is deleted."""
+    made = []
+    for name in ("cut", "settled"):
+        monkeypatch.setattr(C, name, (lambda f: lambda d: made.append(f(d)) or made[-1])(getattr(C, name, C.cut)), raising=False)
+    crowd = [(i, i % 3, " ".join([f"w{j}" for j in range(60)] + [f"u{i}.{j}" for j in range(i % 4)])) for i in range(30)]
+    rows = spark.createDataFrame(crowd + [(100 + i, i % 3, " ".join(f"x{i}.{j}" for j in range(40))) for i in range(20)], "id long, g long, text string").withColumn("b", F.lit("b"))
+    shingle = lambda t: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)}
+    first = {}
+    for i, g, t in crowd:
+        first.setdefault((g, t), i)
+    sets = {i: (g, shingle(t)) for (g, t), i in first.items()}
+    want = {(i, j, round(len(s & t) / len(s | t), 9)) for i, (g, s) in sets.items() for j, (h, t) in sets.items() if i < j and g != h and len(s & t) >= 0.8 * len(s | t)}
+    for block, bits, most in ((256, 27, 22), (2, 16, 1)):
+        for name, value in (("BLOCK", block), ("MOST_BITS", bits), ("MOST_SENT", most)):
+            monkeypatch.setattr(C, name, value, raising=False)
+        made.clear()
+        got = C.near_dup_pairs(rows, "b", "g", "id", "text", 0.8)
+        assert {(x["id_a"], x["id_b"], round(x["jaccard"], 9)) for x in got.collect()} == want and got.count() == len(want) > 50
+        assert not any("s" in d.columns for d in made)
+        assert all(i < 100 for d in made if {"unit", "id_a"} <= set(d.columns) for r in d.select("id_a", "id_b").collect() for i in r)
+        assert not any(os.path.exists(d._written_path.removeprefix("file:")) for d in made if {"key", "place"} & set(d.columns))
+
+
 def test_pair_and_rank_metrics(spark):
     rows = spark.createDataFrame(PAIRS, "pair string, gold string, score double")
     judged = rows.select((F.col("gold") == "vuln").alias("gold"), (F.col("score") >= 0.5).alias("pred"), "score")
