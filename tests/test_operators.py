@@ -253,6 +253,22 @@ def test_shingle_index_is_that_of_all_rows(spark, monkeypatch):
     assert rare.count() < sum(len(s) for s in {frozenset(s) for s in sets.values()}) / 5
 
 
+def test_shingle_index_deals_out_no_whole_sets(spark, monkeypatch):
+    """Rows that share nothing with a query's first shingles leave no shingle behind; queries may be other texts than the rows, ids
+    may be null, and a row may be there twice."""
+    made = []
+    for name in ("cut", "settled"):
+        monkeypatch.setattr(C, name, (lambda f: lambda d: made.append(f(d)) or made[-1])(getattr(C, name, C.cut)), raising=False)
+    text = lambda i, n=40: " ".join(f"x{i}.{j}" for j in range(n))
+    data = [(i, text(i)) for i in range(40)] + [(50, text(0) + " more"), (51, text(0)), (51, text(0)), (None, text(0)), (52, None)]
+    rows = spark.createDataFrame(data, "id long, text string")
+    queries = spark.createDataFrame([(0, text(0).upper()), (1, text(2) + " y"), (None, text(3)), (99, text(77))], "id long, text string")
+    got = sorted((x["q"], x["id"], x["shared"], round(x["jaccard"], 6)) for x in C.shingle_index(rows, "id", "text", queries, 20, 0.9).collect())
+    assert got == [(0, 50, 36, 0.972973), (0, 51, 36, 1.0), (0, 51, 36, 1.0), (1, 2, 36, 0.972973)]
+    lists = [d.agg(F.sum(F.size(c))).first()[0] for d in made for c, kind in d.dtypes if kind == "array<bigint>"]
+    assert lists and max(lists) < 40
+
+
 def test_reach_by_shared_searches(spark, monkeypatch):
     """Starts that share a search keep their own hops, whatever the number that share one; a null start is itself alone."""
     r = random.Random(9)
